@@ -223,3 +223,37 @@ pers AS (SELECT *, CASE WHEN {_any('gi', lx.MONITOR_WORDS)} THEN 'monitor' WHEN
   WHEN plats[1] = 'github' THEN 'contribute' ELSE 'discuss' END AS mode,
   CASE WHEN {_any('blob', lx.NEWBIE_WORDS)} THEN 'newbie' WHEN {_any('blob', lx.EXPERT_WORDS)} THEN 'expert' ELSE 'mid' END AS experience FROM pers2)
 """
+
+
+# Four personas of different shapes (narrow, infra, breadth, promoter).
+PERSONAS = [
+    ("nova", "Nova — Student", ["machine learning", "data", "python"], "Find good first issue repos to contribute to for a portfolio",
+     ["github", "reddit"], ["machine_learning", "ai_research", "python_data_eng"], ["C++", "Rust"], 5.0, "student", [0, 1]),
+    ("otto", "Otto — Platform Engineer", ["kubernetes", "cloud", "observability"], "Find high-signal threads where expert commentary adds value",
+     ["github", "reddit", "hackernews"], ["devops_k8s", "cloud_apis", "cybersecurity"], [], 3.0, "senior", [2, 3]),
+    ("iris", "Iris — Journalist", ["emerging tools", "open source"], "Surface rising things before they go mainstream",
+     ["github", "hackernews", "bluesky", "reddit"], [], [], 10.0, "writer", [4, 5, 6]),
+    ("remy", "Remy — Founder", ["developer tools", "cli"], "Grow awareness where a product is relevant",
+     ["reddit", "hackernews", "github", "devto"], ["developer_tools", "b2b_saas", "open_source_trending"], [], 4.0, "founder", [7, 8]),
+]
+PERSONA_MODES = {"nova": "contribute", "otto": "discuss", "iris": "monitor", "remy": "promote"}
+
+
+def personas(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(
+        PERSONAS, "id string, name string, interests array<string>, goal string, platforms array<string>, domains array<string>,"
+        " exclude_languages array<string>, time_budget_hours double, skills string, facet_labels array<int>")
+
+
+def _scope_rows(blank):
+    every = lx.DOMAINS + ([""] if blank else [])
+    return [(p[0], dom, not p[5]) for p in PERSONAS for dom in (p[5] or every)]
+
+
+def scopes(spark: SparkSession, blank=False) -> DataFrame:
+    """(scope, domain, breadth): the domains each persona looks at; breadth = all."""
+    return spark.createDataFrame(_scope_rows(blank), "scope string, domain string, breadth boolean")
+
+
+def scope_sql(blank=False):
+    return ", scope AS (SELECT * FROM (VALUES " + ", ".join(f"('{s}', '{dm}', {str(b).lower()})" for s, dm, b in _scope_rows(blank)) + ") t(scope, domain, breadth))"
