@@ -25,13 +25,13 @@ def key_list(text):
 
 
 def merged(old, new):
-    """Two JSON objects as one; keys of `new` win, in key order."""
-    kind = "map<string,string>"
+    """Two JSON objects as one; keys of `new` win. Value types stay as they were."""
+    kind = "map<string,variant>"
     none = F.create_map().cast(kind)
     a, b = (F.coalesce(F.from_json(x, kind), none) for x in (old, new))
     kept = F.map_filter(a, lambda k, v: ~F.map_contains_key(b, k))
     both = F.map_concat(kept, b)
-    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(both))))
+    return F.to_json(both)
 
 
 def valid_labels(labels, allowed):

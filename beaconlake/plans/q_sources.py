@@ -151,7 +151,7 @@ def activity_scores(spark, d):
 
 def repo_dimension(spark, d):
     """One row per repository, from the customers: stars, language, topics, description."""
-    cu = tb.table(spark, d, "customer").where("c_custkey < 700")
+    cu = tb.table(spark, d, "customer")
     return cu.selectExpr("concat('org', c_custkey % 7, '/repo', c_custkey div 7) as repo", "cast(abs(c_acctbal) / 10 as bigint) as stars",
                          "element_at(array('Rust', 'Python', 'Go'), cast(c_custkey % 3 as int) + 1) as language",
                          "array(lower(c_mktsegment)) as topics", "element_at(array('react ui', 'notes', 'cloud helper'), cast(c_nationkey % 3 as int) + 1) as description")
@@ -162,7 +162,7 @@ def _dom_case():
 
 
 _REPOS = """, rd AS (SELECT 'org' || (c_custkey % 7) || '/repo' || (c_custkey // 7) AS repo, CAST(trunc(abs(c_acctbal) / 10) AS BIGINT) AS stars, ['Rust', 'Python', 'Go'][(c_custkey % 3) + 1] AS language,
-  lower(c_mktsegment) AS topics, ['react ui', 'notes', 'cloud helper'][(c_nationkey % 3) + 1] AS description FROM customer WHERE c_custkey < 700)"""
+  lower(c_mktsegment) AS topics, ['react ui', 'notes', 'cloud helper'][(c_nationkey % 3) + 1] AS description FROM customer)"""
 
 
 @query("TOP-13", f"WITH {GH}{_REPOS} SELECT repo, activity, stars FROM (SELECT * FROM gs ORDER BY activity DESC, repo LIMIT 400) t JOIN rd USING (repo) WHERE stars >= 50")
@@ -170,11 +170,10 @@ def active_repos(spark, d):
     return ar.active_repos(ar.activity_scores(ar.weighted_events(archive_events(spark, d))), repo_dimension(spark, d)).select("repo", "activity", "stars")
 
 
-@query("JOI-15", f"WITH x AS (SELECT 1){_REPOS.replace(' WHERE c_custkey < 700', '')}, tx AS (SELECT *, lower(repo || ' ' || language || ' ' || topics || ' ' || description) AS txt FROM rd) SELECT repo, count(*) AS n, min({_dom_case()}) AS domain FROM tx GROUP BY repo")
+@query("JOI-15", f"WITH x AS (SELECT 1){_REPOS}, tx AS (SELECT *, lower(repo || ' ' || language || ' ' || topics || ' ' || description) AS txt FROM rd) SELECT repo, count(*) AS n, min({_dom_case()}) AS domain FROM tx GROUP BY repo")
 def first_matching_term(spark, d):
-    cu = tb.table(spark, d, "customer").selectExpr("concat('org', c_custkey % 7, '/repo', c_custkey div 7) as repo", "element_at(array('Rust', 'Python', 'Go'), cast(c_custkey % 3 as int) + 1) as language",
-                                                   "lower(c_mktsegment) as topics", "element_at(array('react ui', 'notes', 'cloud helper'), cast(c_nationkey % 3 as int) + 1) as description")
-    got = cu.withColumn("domain", ar.domain_of_text(F.concat_ws(" ", "repo", "language", "topics", "description")))
+    cu = repo_dimension(spark, d)
+    got = cu.withColumn("domain", ar.domain_of_text(F.concat_ws(" ", "repo", "language", F.array_join("topics", " "), "description")))
     return got.groupBy("repo").agg(N().alias("n"), F.min("domain").alias("domain"))
 
 

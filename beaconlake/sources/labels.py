@@ -45,7 +45,7 @@ def enrich_items(items: DataFrame, repos: DataFrame) -> DataFrame:
     signal keys win over old ones. Other items pass unchanged."""
     keys = ["forks", "watchers", "open_issues", "contributors", "repo_pushed_at", "repo_created_at", "repo_age_days", "star_velocity", "archived"]
     facts = repos.select(c("repo").alias("community"), F.lit("github").alias("source"), F.lit(True).alias("_known"), c("stars").alias("_stars"),
-                         c("language").alias("_language"), F.to_json(F.struct(*keys)).alias("_facts"))
+                         c("language").alias("_language"), F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}).alias("_facts"))
     got = items.join(facts, ["source", "community"], "left")
     known = F.coalesce("_known", F.lit(False))
     return (got.withColumn("community_size", F.when(known, c("_stars")).otherwise(c("community_size")))
