@@ -8,12 +8,19 @@ from pyspark.sql import functions as F
 from beaconlake import lexicon as lx
 
 
+def _sql(value):
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    if isinstance(value, list):
+        return "array(" + ", ".join(_sql(v) for v in value) + ")"
+    return f"{value!r}D" if isinstance(value, float) else str(value)
+
+
 def lookup(key, table, default=None):
-    """A small fixed table as a CASE expression."""
-    expr = F
-    for k, v in table.items():
-        expr = expr.when(key == k, F.lit(v))
-    return expr.otherwise(F.lit(default))
+    """A small fixed table as a map literal; unknown keys give `default`."""
+    literal = F.expr("map(" + ", ".join(f"{_sql(k)}, {_sql(v)}" for k, v in table.items()) + ")")
+    found = F.try_element_at(literal, key)
+    return found if default is None else F.coalesce(found, F.lit(default))
 
 
 def fixed_round(x, digits):
@@ -97,15 +104,14 @@ def renormalized(weights):
     return F.transform(clipped, lambda x: x / F.when(total == 0, 1.0).otherwise(total))
 
 
-def mode_weight(mode, signal):
-    return lookup(mode, {m: float(w.get(signal, 0.0)) for m, w in lx.MODE_WEIGHTS.items()}, 0.0)
+def default_weights(mode):
+    """A mode's ten default weights in signal order."""
+    return lookup(mode, {m: [float(w.get(x, 0.0)) for x in lx.SIGNALS] for m, w in lx.MODE_WEIGHTS.items()})
 
 
 def platform_fit(mode, source):
-    expr = F
-    for m, table in lx.MODE_PLATFORM_FIT.items():
-        expr = expr.when(mode == m, lookup(source, table, lx.DEFAULT_PLATFORM_FIT))
-    return expr.otherwise(F.lit(lx.DEFAULT_PLATFORM_FIT))
+    table = {f"{m}|{s}": float(v) for m, fits in lx.MODE_PLATFORM_FIT.items() for s, v in fits.items()}
+    return lookup(F.concat_ws("|", mode, source), table, lx.DEFAULT_PLATFORM_FIT)
 
 
 def bucket_of(source):

@@ -10,9 +10,8 @@ RAW = ["pop", "disc", "vel", "standout"]
 
 def decoded(opps: DataFrame) -> DataFrame:
     """Typed tags, domains and signals next to the raw text columns."""
-    return (opps.withColumn("tag_list", jsontext.tags_of(F.col("tags")))
-            .withColumn("domain_list", jsontext.domains_of(F.col("domains"), F.col("domain")))
-            .withColumn("sig", jsontext.signals_of(F.col("signals"))))
+    return opps.withColumns({"tag_list": jsontext.tags_of(F.col("tags")), "sig": jsontext.signals_of(F.col("signals")),
+                             "domain_list": jsontext.domains_of(F.col("domains"), F.col("domain"))})
 
 
 def with_raw_signals(items: DataFrame, as_of) -> DataFrame:

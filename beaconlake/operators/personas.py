@@ -45,9 +45,8 @@ def allowed_sources(platforms):
 
 def enriched(personas):
     """Adds mode, experience, allowed sources and lower-cased language limits."""
-    return (personas.withColumn("mode", mode_of(personas)).withColumn("experience", experience_of(personas))
-            .withColumn("allowed", allowed_sources(F.col("platforms")))
-            .withColumn("barred", F.transform("exclude_languages", F.lower)))
+    return personas.withColumns({"mode": mode_of(personas), "experience": experience_of(personas),
+                                 "allowed": allowed_sources(F.col("platforms")), "barred": F.transform("exclude_languages", F.lower)})
 
 
 def profile_text(goal, interests, skills):

@@ -159,6 +159,25 @@ def best_facet_top(corpus: DataFrame, facets: DataFrame, per_stratum: int) -> Da
     return local.withColumn("place", F.row_number().over(w)).where(c("place") <= per_stratum)
 
 
+def facet_similarity(corpus: DataFrame, facets: DataFrame) -> DataFrame:
+    """Every row's best similarity over each persona's facets, row by row as batches pass."""
+    rows = _small_queries(facets, ["persona", "vec"])
+    if rows is None:
+        raise ValueError(f"more than {QUERY_BOUND} facets; use best_facet_top")
+    names = sorted({r.persona for r in rows})
+    vectors = {p: np.array([r.vec for r in rows if r.persona == p], dtype=np.float64) for p in names}
+
+    def scan(batches):
+        for batch in batches:
+            if batch.num_rows:
+                matrix = _matrix(batch.column("vec"))
+                for p in names:
+                    yield pa.RecordBatch.from_arrays([pa.array([p] * batch.num_rows), batch.column("id"), pa.array((matrix @ vectors[p].T).max(axis=1))],
+                                                     ["persona", "id", "sim"])
+
+    return corpus.select("id", "vec").mapInArrow(scan, "persona string, id bigint, sim double")
+
+
 def best_prototype(corpus: DataFrame, prototypes: DataFrame) -> DataFrame:
     """Per row the closest prototype (first one wins ties) and its similarity. Prototypes
     (name, vec) are one per domain; their number is checked."""

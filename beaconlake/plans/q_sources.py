@@ -276,7 +276,7 @@ def feature_sink(spark, d):
 
 
 @query("SRC-18", oracle("""SELECT 'distribution' AS result, domain, count(*) AS volume FROM item WHERE domain <> '' GROUP BY domain UNION ALL
-  SELECT 'communities', domain, count(*) FROM item WHERE place IS NOT NULL AND domain <> '' GROUP BY domain UNION ALL SELECT 'weekly', domain, count(*) FROM item WHERE week IS NOT NULL AND domain <> '' GROUP BY domain"""))
+  SELECT 'communities', domain, count(*) FROM item WHERE spot IS NOT NULL AND domain <> '' GROUP BY domain UNION ALL SELECT 'weekly', domain, count(*) FROM item WHERE week IS NOT NULL AND domain <> '' GROUP BY domain"""))
 def result_tables(spark, d):
     a, path = act(spark, d).where("domain <> ''"), scratch_path(spark, "results")
     one = si.overwrite(tr.category_distribution(a), path + "/distribution", ["domain"]).select(F.lit("distribution").alias("result"), "domain", "volume")

@@ -47,7 +47,7 @@ def source_mix(spark, d):
     return tr.source_mix(act(spark, d))
 
 
-_COMM = "SELECT {0}, place AS community, count(*) AS volume, CAST(sum(engagement) AS BIGINT) AS engagement, count(DISTINCT voice) AS authors FROM item WHERE place IS NOT NULL GROUP BY {0}, place"
+_COMM = "SELECT {0}, spot AS community, count(*) AS volume, CAST(sum(engagement) AS BIGINT) AS engagement, count(DISTINCT voice) AS authors FROM item WHERE spot IS NOT NULL GROUP BY {0}, spot"
 
 
 @query("AGG-03", oracle(_COMM.format("domain")))
@@ -180,10 +180,10 @@ def contribute_kpis(spark, d):
     return k.join(middle, "scope").select("scope", "open_issues", "quick_pct", F.floor("middle").alias("middle_effort"), "standout")
 
 
-@query("AGG-18", oracle("""SELECT k.scope, conversations, total_engagement, place AS top_community FROM
+@query("AGG-18", oracle("""SELECT k.scope, conversations, total_engagement, spot AS top_community FROM
   (SELECT scope, CAST(sum(CASE WHEN source IN ('reddit', 'bluesky', 'hackernews') AND engagement >= 10 THEN 1 ELSE 0 END) AS BIGINT) AS conversations,
    CAST(sum(engagement) AS BIGINT) AS total_engagement FROM ins GROUP BY scope) k JOIN
-  (SELECT scope, place, row_number() OVER (PARTITION BY scope ORDER BY sum(engagement) DESC, count(*) DESC, place) AS rn FROM ins WHERE place IS NOT NULL GROUP BY scope, place) t
+  (SELECT scope, spot, row_number() OVER (PARTITION BY scope ORDER BY sum(engagement) DESC, count(*) DESC, spot) AS rn FROM ins WHERE spot IS NOT NULL GROUP BY scope, spot) t
   ON k.scope = t.scope AND rn = 1""", extra=_FRESH))
 def discuss_kpis(spark, d):
     rows = in_scope(spark, d, act(spark, d))

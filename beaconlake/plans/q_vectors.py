@@ -46,9 +46,7 @@ def vector_top_k(spark, d):
 
 @query("JOI-06", _VEC + f"SELECT persona, vec_id AS id, {Q6.format('max(' + DOT + ')')} AS sim_micro FROM embeddings e, facet GROUP BY persona, vec_id")
 def best_facet_similarity(spark, d):
-    every = corpus(spark, d).select("id", "vec", F.lit("all").alias("stratum"))
-    f = facet_rows(spark, d).withColumn("strata", F.array(F.lit("all")))
-    return vx.best_facet_top(every, f, 1 << 40).select("persona", "id", micro(c("sim")).alias("sim_micro"))
+    return vx.facet_similarity(corpus(spark, d), facet_rows(spark, d)).select("persona", "id", micro(c("sim")).alias("sim_micro"))
 
 
 _CENT = """, cs AS (SELECT label, pos, avg(x) AS m FROM (SELECT label, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings) t GROUP BY label, pos),

@@ -119,7 +119,7 @@ item AS (SELECT *, date_trunc('week', cts)::DATE AS week, COALESCE(score, 0) + C
   CASE WHEN gsig THEN n_chars % 11 = 0 END AS archived,
   CASE WHEN NOT gsig THEN NULL WHEN n_chars % 13 = 0 THEN 'closed' WHEN n_chars % 29 = 0 THEN NULL ELSE 'open' END AS state,
   CASE WHEN sig_ok AND source = 'devto' AND n_chars % 23 <> 0 THEN 1 + n_chars % 14 END AS reading_time_min,
-  NULLIF(author, '') AS voice, NULLIF(community, '') AS place FROM opp)
+  NULLIF(author, '') AS voice, NULLIF(community, '') AS spot FROM opp)
 """
 
 
