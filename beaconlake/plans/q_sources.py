@@ -359,3 +359,18 @@ def thread_profile(spark, d):
     per = pf.median_comments(posts, ["community"]).select(c("community").alias("part"), c("posts").cast("double").alias("a"), F.lit(None).cast("double").alias("b"),
                                                           c("median_comments").cast("double").alias("c"), F.lit(None).cast("double").alias("d"))
     return whole.unionByName(per)
+
+
+@query("UDF-06", oracle("SELECT domain, count(*) AS items, CAST(sum(length(title)) AS BIGINT) AS title_chars FROM item WHERE domain <> '' GROUP BY domain"))
+def captured_source(spark, d):
+    """Payload files per domain, read through the pluggable source and normalized."""
+    from beaconlake.sources.captured import CapturedPayloads
+    path = scratch_path(spark, "captured")
+    o = tb.opportunities(spark, d).where("domain <> ''")
+    hit = F.struct(c("ingest_seq").alias("id"), "url", "title")
+    pages_of(o, hit).select("domain", "value").write.partitionBy("domain").text(path)
+    spark.dataSource.register(CapturedPayloads)
+    uri = path if "://" in path or path.startswith("file:") else "file://" + path
+    uri = "file:///" + uri[len("file:"):].lstrip("/") if uri.startswith("file:") else uri
+    payloads = spark.read.format("captured_payloads").option("path", uri).load()
+    return pl.devto(payloads).groupBy("domain").agg(N().alias("items"), F.sum(F.length("title")).alias("title_chars"))

@@ -257,3 +257,44 @@ def scopes(spark: SparkSession, blank=False) -> DataFrame:
 
 def scope_sql(blank=False):
     return ", scope AS (SELECT * FROM (VALUES " + ", ".join(f"('{s}', '{dm}', {str(b).lower()})" for s, dm, b in _scope_rows(blank)) + ") t(scope, domain, breadth))"
+
+
+def feedback_log(spark: SparkSession, folder: str) -> DataFrame:
+    """The event log read as clicks on cards."""
+    return clicks(table(spark, folder, "events"))
+
+
+def clicks(events: DataFrame) -> DataFrame:
+    e = events.selectExpr("*", "cast(get_json_object(props, '$.k') as bigint) as k")
+    return e.selectExpr(
+        "event_id as seq", "ts", "concat('u', user_id) as user_id", "concat('p', k % 2) as persona_key", "concat('card', k div 20) as opportunity_id",
+        "case event_type when 'purchase' then 'engage' when 'click' then if(value < 10, 'unsave', 'save') when 'error' then 'dismiss' when 'signup' then 'undo' else 'open_detail' end as action",
+        "case when event_type = 'error' and value > 20 then concat('reason', k % 3) end as reason", "cast(k % 10 + 1 as int) as rank", "cast(k div 50 as int) as page",
+        f"element_at(array({_quoted(lx.SOURCES)}), cast(k % 5 as int) + 1) as source", f"element_at(array({_quoted(lx.BUCKETS)}), cast(k % 4 as int) + 1) as bucket",
+        "case when user_id % 3 = 0 and ts >= timestamp_ntz'2024-01-16 00:00:00' then 'monitor' when k % 2 = 0 then 'contribute' else 'discuss' end as mode",
+        "case when k % 17 = 0 then cast(array() as array<double>) else transform(sequence(1, 10), i -> cast((k * 7 + i * 3) % 11 as double) / 10D) end as signals")
+
+
+FB = f"""fb0 AS (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events),
+fb AS (SELECT event_id AS seq, ts, 'u' || user_id AS user_id, 'p' || (k % 2) AS persona_key, 'card' || (k // 20) AS opportunity_id,
+  CASE event_type WHEN 'purchase' THEN 'engage' WHEN 'click' THEN CASE WHEN value < 10 THEN 'unsave' ELSE 'save' END WHEN 'error' THEN 'dismiss' WHEN 'signup' THEN 'undo' ELSE 'open_detail' END AS action,
+  CASE WHEN event_type = 'error' AND value > 20 THEN 'reason' || (k % 3) END AS reason, k % 10 + 1 AS rank, k // 50 AS page,
+  ({sql_list(lx.SOURCES)})[(k % 5) + 1] AS source, ({sql_list(lx.BUCKETS)})[(k % 4) + 1] AS bucket,
+  CASE WHEN events_user % 3 = 0 AND ts >= TIMESTAMP '2024-01-16 00:00:00' THEN 'monitor' WHEN k % 2 = 0 THEN 'contribute' ELSE 'discuss' END AS mode,
+  CASE WHEN k % 17 = 0 THEN CAST([] AS DOUBLE[]) ELSE list_transform(range(1, 11), lambda i: CAST((k * 7 + i * 3) % 11 AS DOUBLE) / 10e0) END AS signals, k FROM (SELECT *, user_id AS events_user FROM fb0) q),
+trk AS (SELECT *, CASE WHEN action IN ('engage', 'dismiss', 'undo') THEN 'status' WHEN action IN ('save', 'unsave') THEN 'saved' END AS track FROM fb),
+tr AS (SELECT *, action IN ('engage', 'dismiss', 'save') AND (before IS NULL OR before <> action) AS applied FROM
+  (SELECT *, lag(action) OVER (PARTITION BY user_id, persona_key, opportunity_id, track ORDER BY seq) AS before FROM trk WHERE track IS NOT NULL) t),
+st AS (SELECT user_id, persona_key, opportunity_id, CASE arg_max(action, seq) FILTER (track = 'status') WHEN 'engage' THEN 'interested' WHEN 'dismiss' THEN 'dismissed' ELSE 'none' END AS status,
+  COALESCE(arg_max(action, seq) FILTER (track = 'saved') = 'save', false) AS saved, arg_max(reason, seq) FILTER (reason IS NOT NULL) AS reason, arg_min(rank, seq) AS rank, arg_min(page, seq) AS page,
+  arg_min(bucket, seq) AS bucket, arg_min(source, seq) AS source, arg_min(mode, seq) AS mode, min(ts) AS first_at, max(ts) AS last_at, max(seq) AS last_seq, CAST(sum(CASE WHEN applied THEN 1 ELSE 0 END) AS BIGINT) AS applied FROM tr GROUP BY ALL)"""
+_REWARD = sql_case("action", lx.REWARDS, 0.0)
+_W0 = "CASE mode " + " ".join(f"WHEN '{m}' THEN [" + ", ".join(f"{float(w.get(s, 0.0))}::DOUBLE" for s in lx.SIGNALS) + "]" for m, w in lx.MODE_WEIGHTS.items()) + " END"
+LMS = f""", stp0 AS (SELECT *, {_REWARD}::DOUBLE AS y, lag(mode) OVER (PARTITION BY user_id, persona_key ORDER BY seq) AS mb FROM tr WHERE applied AND len(signals) > 0),
+stp1 AS (SELECT s.* FROM stp0 s JOIN (SELECT user_id, persona_key, max(CASE WHEN mb <> mode THEN seq END) AS since FROM stp0 GROUP BY ALL) z USING (user_id, persona_key) WHERE since IS NULL OR seq >= since),
+stp AS (SELECT *, row_number() OVER (PARTITION BY user_id, persona_key ORDER BY seq) AS i, count(*) OVER (PARTITION BY user_id, persona_key) AS total FROM stp1),
+lms AS (SELECT user_id, persona_key, mode, CAST(0 AS BIGINT) AS n, total, {_W0} AS w FROM stp WHERE i = 1
+ UNION ALL SELECT user_id, persona_key, mode, n, total, list_transform(raw, lambda x: x / CASE WHEN list_sum(raw) = 0 THEN 1e0 ELSE list_sum(raw) END) FROM
+  (SELECT l.user_id, l.persona_key, l.mode, l.n + 1 AS n, l.total, list_transform(l.w, lambda x, j: greatest(0e0, x + 0.3e0 * (s.y - list_dot_product(l.w, s.signals)) * s.signals[j])) AS raw
+   FROM lms l JOIN stp s ON s.user_id = l.user_id AND s.persona_key = l.persona_key AND s.i = l.n + 1) q),
+fin AS (SELECT * FROM lms WHERE n = total)"""

@@ -49,11 +49,12 @@ def hackernews(payloads: DataFrame, since: int) -> DataFrame:
         c("x.num_comments").alias("num_comments"), F.lit("hackernews").alias("community")))
 
 
-def devto(payloads: DataFrame, limit: int) -> DataFrame:
-    """Articles of a tag, the first `limit` per domain in arrival order."""
+def devto(payloads: DataFrame, limit: int | None = None) -> DataFrame:
+    """Articles of a tag; with `limit` the first ones per domain in arrival order."""
     rows = _rows(payloads, DEVTO, None)
-    first = F.row_number().over(Window.partitionBy("domain").orderBy("seq", "pos"))
-    rows = rows.withColumn("_n", first).where(c("_n") <= limit)
+    if limit is not None:
+        first = F.row_number().over(Window.partitionBy("domain").orderBy("seq", "pos"))
+        rows = rows.withColumn("_n", first).where(c("_n") <= limit)
     return _finish(rows.select(
         "seq", "pos", "domain", F.lit("devto").alias("source"), c("x.id").cast("string").alias("source_native_id"), _or_empty(c("x.url")).alias("url"),
         _or_empty(c("x.title")).alias("title"), _or_empty(c("x.description")).alias("body"), F.lit("article").alias("opportunity_type"),
