@@ -13,4 +13,4 @@ def query(name, sql=None):
 
 
 from beaconlake.plans import (  # noqa: E402,F401
-    q_columns, q_profiles, q_trends, q_sources, q_sets, q_vectors, q_ranking, q_state)
+    q_columns, q_profiles, q_trends, q_sources, q_sets, q_vectors, q_ranking, q_state, q_rollups)
