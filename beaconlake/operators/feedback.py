@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from beaconlake import lexicon as lx
 from beaconlake.functions import numeric as nm, text as tx
-from beaconlake.operators import ordered
+from beaconlake.operators import ordered, skew
 
 c = F.col
 KEY = ["user_id", "persona_key", "opportunity_id"]
@@ -54,9 +54,9 @@ def last_mode_only(steps: DataFrame) -> DataFrame:
     keys = ["user_id", "persona_key"]
     marked = ordered.previous_value(steps, keys, ["seq"], "mode", "mode_before")
     restart = F.when(c("mode_before").isNotNull() & (c("mode_before") != c("mode")), c("seq"))
-    since = marked.groupBy(*keys).agg(F.max(restart).alias("since"))
-    # One row per (user, persona): smaller than the steps, joined by size.
-    return marked.join(since, keys).where(c("since").isNull() | (c("seq") >= c("since"))).drop("mode_before", "since")
+    since = marked.groupBy(*keys).agg(F.max(restart).alias("since"), F.count(F.lit(1)).alias("_n"))
+    got = skew.lookup_join(marked, since, keys, "_n", "seq").drop("_n")
+    return got.where(c("since").isNull() | (c("seq") >= c("since"))).drop("mode_before", "since")
 
 
 def _start(mode):
@@ -156,4 +156,4 @@ def without_deleted(rows: DataFrame, tombstones: DataFrame, keys: list[str]) ->
 def accounts(logins: DataFrame) -> DataFrame:
     """One account per name, whatever its case and spacing; the oldest id wins."""
     named = logins.withColumn("display", tx.display_name(c("name"))).withColumn("name_key", F.lower("display"))
-    return named.groupBy("name_key").agg(F.min_by("user_id", "created_at").alias("user_id"), F.first("display").alias("name"), F.max("created_at").alias("last_seen"))
+    return named.groupBy("name_key").agg(F.min_by("user_id", "created_at").alias("user_id"), F.max("display").alias("name"), F.max("created_at").alias("last_seen"))

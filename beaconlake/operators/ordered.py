@@ -77,7 +77,7 @@ def value_positions(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     ranked = running_sum(counts, keys, [value], "n", "below")
     if not keys:
         totals = ranked.agg(F.sum("n").alias("total"))
-        return ranked.join(F.broadcast(totals))     # a single row
+        return ranked.withColumn("total", totals.scalar())
     totals = ranked.groupBy(*keys).agg(F.sum("n").alias("total"))
     return ranked.join(totals, keys)
 

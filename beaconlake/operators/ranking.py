@@ -6,15 +6,16 @@ from pyspark.sql import DataFrame, Window, functions as F
 from beaconlake import lexicon as lx
 from beaconlake.functions import numeric as nm
 from beaconlake.operators import trends as tr
+from beaconlake.operators.skew import broadcast_if_small
 
 c = F.col
 POOL = 120              # fixed value: candidates that the pair scorer reads
 
 
 def persona_sources(personas: DataFrame) -> DataFrame:
-    """One row per persona and allowed source; a fixed persona table, so it is broadcast."""
-    return F.broadcast(personas.select(c("id").alias("persona"), F.explode("allowed").alias("source"), "mode", c("domains").alias("whitelist"),
-                                       "barred", "time_budget_hours"))
+    """One row per persona and allowed source, broadcast when there are few."""
+    return broadcast_if_small(personas.select(c("id").alias("persona"), F.explode("allowed").alias("source"), "mode", c("domains").alias("whitelist"),
+                                              "barred", "time_budget_hours"))
 
 
 def hard_filter(rows: DataFrame, personas: DataFrame) -> DataFrame:
@@ -158,7 +159,7 @@ def standout_lane(scored: DataFrame, n=3) -> DataFrame:
 def bucket_quota(ranked: DataFrame, split: DataFrame) -> DataFrame:
     """About pct/10 of every ten items from each bucket, at least one, bucket by bucket.
     ranked: persona, id, place, bucket. split: persona, bucket, bucket_pos, pct."""
-    rows = ranked.join(F.broadcast(split), ["persona", "bucket"]).where("pct > 0")
+    rows = ranked.join(split, ["persona", "bucket"]).where("pct > 0")
     n = F.row_number().over(Window.partitionBy("persona", "bucket").orderBy("place"))
     took = rows.withColumn("n", n).where(c("n") <= F.greatest(F.lit(1), F.bround(c("pct") / 10, 0)))
     return took.withColumn("rank", F.row_number().over(Window.partitionBy("persona").orderBy("bucket_pos", "place")))

@@ -15,7 +15,7 @@ def outside_related(related: DataFrame, scopes: DataFrame, n=4) -> DataFrame:
     """Nearest domains outside a scope: the best similarity to any domain inside. A scope
     that holds everything has none. related: domain, other, sim."""
     rows = tr.scoped(related, scopes.where(~c("breadth")))
-    inside = F.broadcast(scopes.select("scope", c("domain").alias("other")))
+    inside = scopes.select("scope", c("domain").alias("other"))
     far = rows.join(inside, ["scope", "other"], "left_anti")
     best = far.groupBy("scope", "other").agg(F.max("sim").alias("sim"))
     return tr.top_n(best, ["scope"], [F.desc("sim"), c("other")], n)

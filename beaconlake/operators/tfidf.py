@@ -2,8 +2,10 @@
 from pyspark.sql import DataFrame, functions as F
 
 from beaconlake import lexicon as lx
+from beaconlake.session import checkpointed
 
 c = F.col
+VOCABULARY = 40000      # fixed value: largest vocabulary
 
 
 def term_list(text):
@@ -19,10 +21,11 @@ def term_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def vocabulary(counts: DataFrame, n_docs: DataFrame, size: int) -> DataFrame:
-    """The most frequent terms of the corpus with ln((1 + n) / (1 + df)) + 1."""
+    """The `size` most frequent terms of the corpus with ln((1 + n) / (1 + df)) + 1. Stored
+    once: it is used for the queries and for the documents."""
     stats = counts.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
     kept = stats.orderBy(F.desc("total"), "term").limit(size).withColumn("n", n_docs.scalar())
-    return kept.select("term", (F.log((1 + c("n")) / (1 + c("df"))) + 1).alias("idf"))
+    return checkpointed(kept.select("term", (F.log((1 + c("n")) / (1 + c("df"))) + 1).alias("idf")))
 
 
 def unit_weights(counts: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
@@ -32,14 +35,17 @@ def unit_weights(counts: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
     return w.join(size, key).select(key, "term", (c("w") / c("size")).alias("w"))
 
 
-def search(docs: DataFrame, queries: DataFrame, size=40000) -> DataFrame:
+def search(docs: DataFrame, queries: DataFrame, size=VOCABULARY) -> DataFrame:
     """Cosine of every (query, document) pair that shares a term. docs: id, text;
-    queries: qid, text."""
-    counts = term_counts(docs, "id", "text")
-    vocab = vocabulary(counts, docs.agg(F.count(F.lit(1))), size)
-    asked = unit_weights(term_counts(queries, "qid", "text"), vocab, "qid").withColumnRenamed("w", "qw")
-    # Only documents' query terms travel on; lengths still count every vocabulary term.
-    weighted = counts.join(vocab, "term").select("id", "term", (c("tf") * c("idf")).alias("w"))
-    length = weighted.groupBy("id").agg(F.sqrt(F.sum(c("w") * c("w"))).alias("len"))
-    dots = weighted.join(asked, "term").groupBy("qid", "id").agg(F.sum(c("w") * c("qw")).alias("dot"))
-    return dots.join(length, "id").select("qid", "id", (c("dot") / c("len")).alias("sim"))
+    queries: qid, text.
+
+    The documents are shuffled once, as whole texts by id; counts, lengths and dots then stay
+    where they are. The vocabulary has a fixed largest size, so it is broadcast."""
+    counts = term_counts(docs.repartition("id"), "id", "text")
+    vocab = vocabulary(counts, docs.agg(F.count(F.lit(1))), min(size, VOCABULARY))
+    asked = checkpointed(unit_weights(term_counts(queries, "qid", "text"), F.broadcast(vocab), "qid").withColumnRenamed("w", "qw"))
+    marked = vocab.join(asked.select("term", F.lit(True).alias("asked")).distinct(), "term", "left")
+    weighted = counts.join(F.broadcast(marked), "term").select("id", "term", "asked", (c("tf") * c("idf")).alias("w"))
+    per_doc = weighted.groupBy("id").agg(F.sqrt(F.sum(c("w") * c("w"))).alias("len"), F.collect_list(F.when(c("asked"), F.struct("term", "w"))).alias("hits"))
+    hits = per_doc.select("id", "len", F.inline("hits")).join(asked, "term")
+    return hits.groupBy("qid", "id").agg((F.sum(c("w") * c("qw")) / F.max("len")).alias("sim"))

@@ -3,6 +3,8 @@ run only over those small counts."""
 from pyspark.sql import DataFrame, Window, functions as F
 
 from beaconlake.functions import dates, numeric as nm, text as tx
+from beaconlake.operators.skew import broadcast_if_small
+from beaconlake.session import checkpointed
 
 c = F.col
 
@@ -51,7 +53,9 @@ def week_axis(weekly):
 
 
 def share_grid(weekly):
-    """Every (domain, axis week) with count, week total and share; gaps are zeros."""
+    """Every (domain, axis week) with count, week total and share; gaps are zeros. The small
+    counts are stored first, so the rows behind them are read once."""
+    weekly = checkpointed(weekly)
     axis = week_axis(weekly)
     weeks = axis.agg(F.collect_list(F.struct("week", "total")))
     grid = weekly.select("domain").distinct().withColumn("axis", weeks.scalar())
@@ -88,6 +92,7 @@ def momentum(grid):
 
 def rolling_mean(weekly, since, domains=6, span=2):
     """Rolling mean volume of the largest domains on a zero-filled week grid."""
+    weekly = checkpointed(weekly)
     named = weekly.where("domain <> ''")
     size = named.groupBy("domain").agg(F.sum("n").alias("size")).orderBy(F.desc("size"), "domain").limit(domains)
     recent = named.join(size, "domain").where(c("week") >= F.lit(since).cast("date"))
@@ -119,16 +124,21 @@ def tag_counts(items):
     return per.join(everywhere, "tag").join(size, "domain")
 
 
-def distinctive_topics(tag_stats, n=6):
-    """Tags that are both common in a domain and concentrated there."""
+def topic_scores(tag_stats):
+    """Tags that can stand as subtopics, scored by share in the domain times concentration."""
     ok = (c("n") >= 4) & tx.valid_topic(c("tag")) & ~tx.names_domain(c("tag"), c("domain"))
     score = (c("n") / c("size")) * (c("n") / (c("anywhere") + 2))
-    return top_n(tag_stats.where(ok).withColumn("score", score), ["domain"], [F.desc("score"), c("tag")], n)
+    return tag_stats.where(ok).withColumn("score", score)
+
+
+def distinctive_topics(tag_stats, n=6):
+    """Tags that are both common in a domain and concentrated there."""
+    return top_n(topic_scores(tag_stats), ["domain"], [F.desc("score"), c("tag")], n)
 
 
 def scoped(rows, scopes):
-    """Rows once per scope that holds their domain. `scopes` is a fixed persona table."""
-    return rows.join(F.broadcast(scopes), "domain")
+    """Rows once per scope that holds their domain."""
+    return rows.join(broadcast_if_small(scopes), "domain")
 
 
 def fresh_inflow(rows, at, days=7):

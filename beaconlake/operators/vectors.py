@@ -16,7 +16,7 @@ from beaconlake.session import checkpointed
 
 QUERY_BOUND = 4096          # largest query set that is sent to every task
 BLOCK_ROWS = 4096           # rows per side of one comparison block
-MAX_ANCHORS = 1024
+MAX_ANCHORS = 2048
 c = F.col
 
 
@@ -236,17 +236,18 @@ def similar_pairs(reps: DataFrame, threshold: float) -> DataFrame:
     reps = reps.select("id", "vec")
     n = reps.count()
     wanted = max(1, min(MAX_ANCHORS, math.ceil(n / BLOCK_ROWS) * 4))
-    picked = reps.orderBy(F.md5(c("id").cast("string")), "id").limit(wanted).collect()      # at most 1024 rows
+    picked = reps.orderBy(F.md5(c("id").cast("string")), "id").limit(wanted).collect()      # at most 2048 rows
     anchors = np.array([r.vec for r in picked], dtype=np.float64)
     radius = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6
-    gap = np.sqrt(np.maximum(0.0, ((anchors[:, None, :] - anchors[None, :, :]) ** 2).sum(-1))) if len(anchors) else np.zeros((0, 0))
 
     def place(batches):
+        size = (anchors * anchors).sum(1) if len(anchors) else np.zeros(0)
+        gap = np.sqrt(np.maximum(0.0, size[:, None] + size[None, :] - 2 * anchors @ anchors.T)) if len(anchors) else np.zeros((0, 0))
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             m = _matrix(batch.column("vec"))
-            d2 = np.maximum(0.0, (m * m).sum(1)[:, None] + (anchors * anchors).sum(1)[None, :] - 2 * m @ anchors.T)
+            d2 = np.maximum(0.0, (m * m).sum(1)[:, None] + size[None, :] - 2 * m @ anchors.T)
             home = d2.argmin(axis=1)
             here = np.arange(len(home))
             with np.errstate(divide="ignore", invalid="ignore"):

@@ -272,8 +272,8 @@ def epoch_iso(spark, d):
                         " cts >= (SELECT max(cts) FROM opp) - INTERVAL 7 DAY AS fresh FROM opp WHERE cts IS NOT NULL"))
 def hours_ago(spark, d):
     o = tb.opportunities(spark, d).select("opportunity_id", dates.parsed(c("created_at")).alias("at")).where("at is not null")
-    newest = F.broadcast(o.agg(F.max("at").alias("newest")))          # one row
-    return o.join(newest).select("opportunity_id", dates.hours_before(c("newest"), c("at")).alias("ago_hours"),
+    newest = o.agg(F.max("at"))
+    return o.withColumn("newest", newest.scalar()).select("opportunity_id", dates.hours_before(c("newest"), c("at")).alias("ago_hours"),
                                  (c("at") >= c("newest") - F.expr("INTERVAL 7 DAYS")).alias("fresh"))
 
 

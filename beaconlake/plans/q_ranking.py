@@ -290,7 +290,7 @@ sim AS (SELECT item_id AS qid, doc_id AS id, dot / d.len / q.len AS sim FROM (SE
 
 @query("RNK-04", _TFIDF + f" SELECT qid, id, {Q6.format('sim')} AS sim_micro FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY floor(sim * 1e9 + 0.5) DESC, id) AS rn FROM sim) t WHERE rn <= 10")
 def keyword_search(spark, d):
-    docs = tb.table(spark, d, "documents").select(c("doc_id").alias("id"), "text")
+    docs = tb.documents(spark, d).select(c("doc_id").alias("id"), "text")
     asks = tb.table(spark, d, "benchmark").select(c("item_id").alias("qid"), "text")
     got = tfidf.search(docs, asks)
     return tr.top_n(got, ["qid"], [F.desc(F.floor(c("sim") * 1e9 + 0.5)), c("id")], 10).select("qid", "id", micro(c("sim")).alias("sim_micro"))

@@ -231,12 +231,11 @@ def verdicts(spark, d):
 
 
 def enrichment_files(spark, d):
-    """Repository facts of the github items' communities, as one JSON map per 200 names."""
+    """Repository facts of the github items' communities, as one JSON map per name."""
     g = tb.opportunities(spark, d).where("source = 'github' and community <> ''").groupBy("community").agg(F.sum(F.length("body")).alias("t"), N().alias("n"))
     g = g.where(c("n") % 5 != 0)
     facts = F.to_json(F.struct((c("t") % 9000).alias("stars"), F.when(c("t") % 2 == 0, "Zig").alias("language"), (c("t") % 50).alias("forks"), (c("t") % 6).alias("contributors"), (c("t") % 4 == 0).alias("archived")))
-    shard = F.pmod(F.crc32("community"), F.lit(4))
-    return g.groupBy(shard.cast("string").alias("file")).agg(F.concat(F.lit("{"), F.array_join(F.collect_list(F.concat(F.lit('"'), "community", F.lit('":'), facts)), ","), F.lit("}")).alias("value"))
+    return g.select(c("community").alias("file"), F.concat(F.lit('{"'), "community", F.lit('":'), facts, F.lit("}")).alias("value"))
 
 
 ENR = "enr AS (SELECT community AS repo, t % 9000 AS stars, CASE WHEN t % 2 = 0 THEN 'Zig' END AS language, t % 50 AS forks, t % 6 AS contributors, t % 4 = 0 AS archived FROM (SELECT community, CAST(sum(length(body)) AS BIGINT) AS t, count(*) AS n FROM opp WHERE source = 'github' AND community <> '' GROUP BY community) q WHERE n % 5 <> 0)"

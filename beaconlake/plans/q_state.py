@@ -2,14 +2,11 @@
 from pyspark.sql import functions as F
 
 from beaconlake import lexicon as lx
-from beaconlake.functions import numeric as nm, text as tx
-from beaconlake.operators import feedback as fb, personas as ps, splits, trends as tr
+from beaconlake.operators import feedback as fb, ordered
 from beaconlake.plans import testbed as tb
-from beaconlake.plans.q_columns import Q6, items, micro
-from beaconlake.plans.q_profiles import P, REC_SPLIT, hand_split, HAND
 from beaconlake.plans.q_trends import N
 from beaconlake.plans.registry import query
-from beaconlake.session import checkpointed, scratch_path
+from beaconlake.session import scratch_path
 from beaconlake.streaming import events as se
 
 c = F.col
@@ -150,7 +147,8 @@ def activity_view(spark, d):
 
 @query("TOP-18", W("SELECT user_id, persona_key, opportunity_id, row_number() OVER (PARTITION BY user_id, persona_key ORDER BY last_seq DESC) AS position FROM st"))
 def newest_first(spark, d):
-    return tr.top_n(states(spark, d), ["user_id", "persona_key"], [F.desc("last_seq")], 1 << 30).select(*fb.KEY, "position")
+    s = states(spark, d).select(*fb.KEY, (-c("last_seq")).alias("back"), F.lit(1).cast("bigint").alias("one"))
+    return ordered.running_sum(s, ["user_id", "persona_key"], ["back"], "one", "before").select(*fb.KEY, (c("before") + 1).alias("position"))
 
 
 # ---- keyed tables ------------------------------------------------------------------------

@@ -10,6 +10,7 @@ from beaconlake.plans.q_columns import Q6, TERMS, items, micro, prototypes
 from beaconlake.plans.q_profiles import P, personas
 from beaconlake.plans.registry import query
 from beaconlake.plans.testbed import oracle, r_sql
+from beaconlake.session import checkpointed
 
 c = F.col
 
@@ -170,7 +171,7 @@ _KPI = tb.scope_sql(True) + ", fs AS (SELECT f.*, scope FROM feat f JOIN scope U
   CAST(floor(list_sort(list(effort_min))[CAST(count(*) // 2 AS INTEGER) + 1]) AS BIGINT) AS middle_effort,
   CAST(sum(CASE WHEN source = 'github' AND standout >= 0.55e0 THEN 1 ELSE 0 END) AS BIGINT) AS standout FROM fs GROUP BY scope""", feat=True, extra=_KPI))
 def contribute_kpis(spark, d):
-    rows = in_scope(spark, d, featured(spark, d).select("domain", "source", "effort_min", "standout"))
+    rows = in_scope(spark, d, checkpointed(featured(spark, d).select("domain", "source", "effort_min", "standout")))
     github = c("source") == "github"
     k = rows.groupBy("scope").agg(F.count_if(github).alias("open_issues"),
                                   F.bround(100.0 * F.count_if(c("effort_min") < 60) / N(), 0).cast("bigint").alias("quick_pct"),
@@ -231,8 +232,8 @@ def text_week(df, name="week"):
    FROM (SELECT fs.*, newest FROM fs JOIN (SELECT scope, max(cts) AS newest FROM fs GROUP BY scope) nw USING (scope)) z GROUP BY scope) b USING (scope)""", feat=True, extra=_KPI + _GRID + MOM))
 def monitor_kpis(spark, d):
     up = tr.scoped(tr.momentum(tr.share_grid(doc_weekly(spark, d))), tb.scopes(spark)).groupBy("scope").agg(F.count_if(c("delta_pp") > 0.1).alias("up"))
-    rows = in_scope(spark, d, featured(spark, d).select("domain", "source", "velocity", dates.parsed(c("created_at")).alias("at"),
-                                                        nm.engagement(c("score"), c("num_comments")).alias("engagement")))
+    rows = in_scope(spark, d, checkpointed(featured(spark, d).select("domain", "source", "velocity", dates.parsed(c("created_at")).alias("at"),
+                                                                     nm.engagement(c("score"), c("num_comments")).alias("engagement"))))
     k = rows.groupBy("scope").agg(F.count_if((c("velocity") >= 0.6) & (c("engagement") >= 8)).alias("breakout"))
     fresh = tr.fresh_inflow(rows, "at").groupBy("scope").agg(F.sum("n").alias("fresh"))
     return up.join(k, "scope").join(fresh, "scope")
@@ -414,7 +415,7 @@ _TOPICS = f""", tps AS (SELECT domain, tag, n, size, anywhere, row_number() OVER
 
 @query("TXT-06", oracle(f"SELECT domain, tag, {Q6.format('(n::DOUBLE / size) * (n::DOUBLE / (anywhere + 2))')} AS score_micro FROM tps", extra=_TAGS + _TOPICS))
 def distinctive_score(spark, d):
-    t = tr.distinctive_topics(tr.tag_counts(items(spark, d)), 1 << 30)
+    t = tr.topic_scores(tr.tag_counts(items(spark, d)))
     return t.select("domain", "tag", micro(c("score")).alias("score_micro"))
 
 

@@ -11,6 +11,7 @@ from beaconlake.plans.q_columns import PROTO, Q6, micro, prototypes
 from beaconlake.plans.q_trends import N, stratified
 from beaconlake.plans.registry import query
 from beaconlake.plans.testbed import oracle
+from beaconlake.session import checkpointed
 
 c = F.col
 NEAR = 0.4          # the given vectors have no pair near 0.97, see the notes on the data
@@ -108,7 +109,7 @@ _PAIRS = f"SELECT a.vec_id AS a, b.vec_id AS b, list_dot_product(a.embedding::DO
 
 @query("JOI-09", f"SELECT a, b, {Q6.format('sim')} AS sim_micro FROM ({_PAIRS}) t WHERE sim >= {NEAR}")
 def similarity_join(spark, d):
-    reps = vx.distinct_vectors(corpus(spark, d))
+    reps = checkpointed(vx.distinct_vectors(corpus(spark, d)))
     exact = vx.copies(corpus(spark, d), reps).withColumn("sim", F.lit(1.0))
     pairs = vx.similar_pairs(reps, NEAR).unionByName(exact)
     return pairs.select("a", "b", micro(c("sim")).alias("sim_micro"))
@@ -118,9 +119,9 @@ def similarity_join(spark, d):
   (SELECT count(*) FROM embeddings WHERE vec_id NOT IN (SELECT a FROM p) AND vec_id NOT IN (SELECT b FROM p)) AS untouched""")
 def near_duplicates(spark, d):
     co = corpus(spark, d)
-    drops = vx.near_duplicate_drops(co, NEAR)
+    drops = checkpointed(vx.near_duplicate_drops(co, NEAR))
     kept = co.join(drops, "id", "left_anti")
-    pairs = vx.similar_pairs(vx.distinct_vectors(co), NEAR)
+    pairs = checkpointed(vx.similar_pairs(checkpointed(vx.distinct_vectors(co)), NEAR))
     ids = kept.select("id")
     conflicts = pairs.join(ids.withColumnRenamed("id", "a"), "a", "left_semi").join(ids.withColumnRenamed("id", "b"), "b", "left_semi").agg(N())
     touched = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()

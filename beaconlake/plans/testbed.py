@@ -7,6 +7,7 @@ a fixed function of the row, so the derived tables grow with the given ones.
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from beaconlake import lexicon as lx
+from beaconlake.operators.skew import spread
 
 AS_OF = "2026-03-20T00:00:00Z"
 AS_OF_SQL = "TIMESTAMP '2026-03-20 00:00:00'"
@@ -16,6 +17,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(table(spark, folder, "documents"), "doc_id")
+
+
 def as_of():
     return F.try_to_timestamp(F.lit(AS_OF))
 
@@ -34,7 +39,7 @@ def sql_case(expr, table_, default):
 
 
 def opportunities(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id", "left")
+    docs = documents(spark, folder).join(table(spark, folder, "labels"), "doc_id", "left")
     base = docs.selectExpr(
         "doc_id", "text", "lang", "n_chars", "quality", "toxic", "source as src",
         "coalesce(try_cast(substring(source, 4) as bigint), 0) as sn",

@@ -81,7 +81,7 @@ def reddit_listing(payloads: DataFrame, limit: int, subreddits_of: DataFrame) ->
     """Hot posts per subreddit; a domain's limit is shared evenly by its subreddits.
     subreddits_of: domain, n_subs."""
     rows = _rows(payloads, REDDIT, None).select("seq", c("x.domain").alias("domain"), c("x.subreddit").alias("subreddit"), F.posexplode("x.posts").alias("pos", "p"))
-    rows = rows.join(F.broadcast(subreddits_of), "domain")
+    rows = rows.join(subreddits_of, "domain")
     n = F.row_number().over(Window.partitionBy("domain", "subreddit").orderBy("seq", "pos"))
     rows = rows.withColumn("_n", n).where(c("_n") <= F.greatest(F.lit(1), F.floor(F.lit(limit) / c("n_subs"))))
     return _finish(_reddit(rows, c("p.title")))
