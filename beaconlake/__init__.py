@@ -1,0 +1,8 @@
+"""Engagement analytics on Spark.
+
+Functions that run in Python workers travel by value, so executors need no installed copy."""
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

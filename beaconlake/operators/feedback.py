@@ -59,7 +59,7 @@ def last_mode_only(steps: DataFrame) -> DataFrame:
     return got.where(c("since").isNull() | (c("seq") >= c("since"))).drop("mode_before", "since")
 
 
-def _start(mode):
+def start_weights(mode):
     return np.array([lx.MODE_WEIGHTS[mode].get(s, 0.0) for s in lx.SIGNALS], dtype=np.float64)
 
 
@@ -101,7 +101,7 @@ def learned_weights(steps: DataFrame) -> DataFrame:
                 if here != key or modes[i] != mode:
                     if key is not None and here != key:
                         done.append((key, mode, n, w))
-                    key, mode, n, w = here, modes[i], 0, _start(modes[i])
+                    key, mode, n, w = here, modes[i], 0, start_weights(modes[i])
                 w = lms_step(w, xs[i], ys[i])
                 n += 1
             if len(done) >= 5000:

@@ -7,15 +7,16 @@ partition, so the carried table never grows with the data.
 """
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from beaconlake.session import checkpointed, shuffle_partitions
+from beaconlake.session import checkpointed
 
 PART = "_part"
 
 
 def split_sorted(df: DataFrame, by: list[str], partitions: int | None = None) -> DataFrame:
-    """Range-partition by `by` and record each row's partition, made stable on storage."""
-    n = partitions or shuffle_partitions(df.sparkSession)
-    return checkpointed(df.repartitionByRange(n, *by).withColumn(PART, F.spark_partition_id()))
+    """Range-partition by `by` and record each row's partition, made stable on storage. With
+    no number given Spark starts from its shuffle partitions and merges small neighbours."""
+    ranged = df.repartitionByRange(partitions, *by) if partitions else df.repartitionByRange(*by)
+    return checkpointed(ranged.withColumn(PART, F.spark_partition_id()))
 
 
 def _order_struct(order):

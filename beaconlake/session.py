@@ -13,6 +13,7 @@ def local_session(app="beaconlake", cores="*", partitions="8"):
             .config("spark.sql.session.timeZone", "UTC")
             .config("spark.sql.execution.arrow.pyspark.enabled", "true")
             .config("spark.driver.memory", "12g")
+            .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
             .config("spark.ui.enabled", "false")
             .config("spark.ui.showConsoleProgress", "false")
             .getOrCreate())
@@ -46,7 +47,3 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(spark))
     return f"{context.getCheckpointDir()}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -1,9 +1,10 @@
 """Streaming twins of the event operators: append, dedup, context join, windows, state."""
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor
 
-from beaconlake import lexicon as lx
-from beaconlake.operators.feedback import ACTIONS, STATUS_OF
+from beaconlake.operators.feedback import ACTIONS, STATUS_OF, lms_step, start_weights
 from beaconlake.session import scratch_path
 
 c = F.col
@@ -76,7 +77,6 @@ class Disposition(StatefulProcessor):
         self.state = handle.getValueState("card", "status string, saved boolean, applied bigint")
 
     def handleInputRows(self, key, rows, timers):
-        import pandas as pd
         status, saved, applied = self.state.get() if self.state.exists() else ("none", False, 0)
         for pdf in rows:
             for action in pdf.sort_values("seq")["action"]:
@@ -107,9 +107,6 @@ class Learner(StatefulProcessor):
         self.state = handle.getValueState("learner", "mode string, n bigint, weights array<double>")
 
     def handleInputRows(self, key, rows, timers):
-        import numpy as np
-        import pandas as pd
-        from beaconlake.operators.feedback import _start, lms_step
         mode, n, w = (None, 0, None)
         if self.state.exists():
             mode, n, w = self.state.get()
@@ -118,7 +115,7 @@ class Learner(StatefulProcessor):
             pdf = pdf.sort_values("seq")
             for m, y, x in zip(pdf["mode"], pdf["reward"], pdf["signals"]):
                 if m != mode:
-                    mode, n, w = m, 0, _start(m)
+                    mode, n, w = m, 0, start_weights(m)
                 w = lms_step(w, np.asarray(x, dtype=np.float64), y)
                 n += 1
         self.state.update((mode, int(n), [float(v) for v in w]))
