@@ -140,8 +140,7 @@ def archive_scan(spark, d):
 
 @query("PRJ-17", f"WITH {GH} SELECT type, repo, CAST(weight AS BIGINT) AS weight, count(*) AS n FROM gw WHERE weight IS NOT NULL AND repo IS NOT NULL GROUP BY ALL")
 def weighted_events(spark, d):
-    parsed = event_lines(spark, d).select(F.from_json("value", ar.EVENT.replace(", _corrupt_record string", "")).alias("x")).where("x.type is not null").select("x.*")
-    return ar.weighted_events(parsed).groupBy("type", "repo", c("weight").cast("bigint").alias("weight")).agg(N().alias("n"))
+    return ar.weighted_events(ar.parse_event_lines(event_lines(spark, d))).groupBy("type", "repo", c("weight").cast("bigint").alias("weight")).agg(N().alias("n"))
 
 
 @query("AGG-12", f"WITH {GH} SELECT repo, activity FROM gs")

@@ -8,10 +8,16 @@ c = F.col
 EVENT = "type string, repo struct<name: string>, created_at string, _corrupt_record string"
 
 
+def parse_event_lines(lines: DataFrame) -> DataFrame:
+    """JSON event lines (`value`) as columns; lines that do not parse are left out."""
+    parsed = F.from_json("value", EVENT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    rows = lines.select(parsed.alias("x")).where("x._corrupt_record is null")
+    return rows.select("x.type", "x.repo", "x.created_at")
+
+
 def read_event_files(spark: SparkSession, paths) -> DataFrame:
-    """gzip JSON lines; lines that do not parse are left out."""
-    rows = spark.read.schema(EVENT).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(paths)
-    return rows.where(c("_corrupt_record").isNull()).drop("_corrupt_record")
+    """Hourly gzip files of JSON lines."""
+    return parse_event_lines(spark.read.text(paths))
 
 
 def weighted_events(events: DataFrame) -> DataFrame:
