@@ -52,8 +52,9 @@ def bloom_shape(n, p=0.01):
 
 
 def _bloom_bits(rows, key, bits, hashes):
-    a, b = F.xxhash64(F.col(key)), F.xxhash64(F.col(key), F.lit("second"))
-    spots = F.array(*[F.pmod(a + F.lit(i) * F.shiftrightunsigned(b, 16), F.lit(bits)) for i in range(hashes)])
+    size = F.lit(bits).cast("bigint")
+    a, b = F.pmod(F.xxhash64(F.col(key)), size), F.pmod(F.xxhash64(F.col(key), F.lit("second")), size)
+    spots = F.array(*[F.pmod(a + F.lit(i) * b, size) for i in range(hashes)])
     return rows.select("*", F.explode(spots).alias("bit"))
 
 

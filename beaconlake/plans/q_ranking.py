@@ -150,9 +150,9 @@ def standout_lane(spark, d):
 @query("PRJ-15", O(f"""SELECT persona, id, source, {tb.sql_case('domain_list[1]', lx.DOMAIN_LABELS, '')} AS domain_label, {tb.sql_case('source', lx.SOURCE_BUCKET, 'discuss')} AS bucket, {r_sql('impact', 3)} AS impact, {r_sql('roi', 1)} AS roi, {r_sql('relevance', 2)} AS relevance,
   CASE WHEN source = 'github' THEN COALESCE(community_size, 0) END AS stars, CASE WHEN source = 'github' THEN regexp_extract(url, 'github\\.com/([^/]+/[^/]+)', 1) ELSE '' END AS repo,
   array_to_string(list_transform(list_filter({_DRV}, lambda x: -x.k > 0.01), lambda x: ({_SIGS})[x.i]), ',') AS drivers,
-  velocity >= 0.6e0 AND engagement >= {tb.sql_case('source', lx.RISING_FLOORS, lx.DEFAULT_RISING_FLOOR)} AS rising FROM rkd WHERE place <= 40"""))
+  velocity >= 0.6e0 AND engagement >= {tb.sql_case('source', lx.RISING_FLOORS, lx.DEFAULT_RISING_FLOOR)} AS rising FROM rkd"""))
 def display_item(spark, d):
-    r = ranked(spark, d).where("place <= 40").withColumn("dr", rk.top_drivers(c("parts")))
+    r = ranked(spark, d).withColumn("dr", rk.top_drivers(c("parts")))
     github, eng = c("source") == "github", nm.engagement(c("score"), c("num_comments"))
     first = F.get("domain_list", F.lit(0))
     return r.select("persona", "id", "source", tx.domain_label(first).alias("domain_label"), nm.bucket_of(c("source")).alias("bucket"), nm.fixed_round(c("impact"), 3).alias("impact"),
@@ -263,11 +263,12 @@ def fusion(spark, d):
     return got.select("persona", "id", micro(c("fused")).alias("fused_micro"))
 
 
-@query("RNK-06", O("SELECT persona, id, row_number() OVER (PARTITION BY persona ORDER BY CASE WHEN place <= 20 AND id % 2 = 0 THEN 0 ELSE 1 END, CASE WHEN place <= 20 AND id % 2 = 0 THEN -id END, place) AS rank FROM rkd WHERE place <= 60"))
+@query("RNK-06", O("""SELECT persona, id, row_number() OVER (PARTITION BY persona ORDER BY CASE WHEN given <= 20 THEN given ELSE 1000000 END, place) AS rank FROM
+  (SELECT *, row_number() OVER (PARTITION BY persona ORDER BY roi DESC, id) AS given FROM rkd) t"""))
 def rerank(spark, d):
-    """An outside order for some of the rows; the rest follow as they were."""
-    r = checkpointed(ranked(spark, d).where("place <= 60").select("persona", "id", "place"))
-    given = r.where("place <= 20 and id % 2 = 0").select("persona", "id", (-c("id")).alias("given"))
+    """An outside order (here the best twenty per hour) for some rows; the rest follow."""
+    r = checkpointed(ranked(spark, d).select("persona", "id", "place", "roi"))
+    given = tr.top_n(r, ["persona"], [F.desc("roi"), c("id")], 20, "given").select("persona", "id", "given")
     return rk.external_order(r, given).select("persona", "id", "rank")
 
 

@@ -96,11 +96,13 @@ def intersections(spark, d):
                     F.arrays_overlap("domains", F.array(F.lit("machine_learning"), F.lit("devops_k8s"), F.lit("cloud_apis"))).alias("overlaps"))
 
 
-@query("SET-04", oracle("SELECT opportunity_id FROM opp WHERE doc_id NOT IN (SELECT doc_id FROM labels) EXCEPT SELECT opportunity_id FROM opp WHERE length(body) % 10 = 0"))
+@query("SET-04", oracle("SELECT doc_id FROM documents EXCEPT (SELECT doc_id FROM labels WHERE toxic = 1 UNION SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn FROM documents) t WHERE rn > 1)"))
 def survivors(spark, d):
-    o = tb.opportunities(spark, d)
-    ids = o.join(tb.table(spark, d, "labels").selectExpr("doc_id as ingest_seq"), "ingest_seq", "left_anti").select("opportunity_id")
-    return ids.subtract(o.where("length(body) % 10 = 0").select("opportunity_id"))
+    """All ids less the noise and the later copies."""
+    docs = tb.table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("key"))
+    first = si.first_arrivals(docs, "key", "doc_id").select("doc_id")
+    noise = tb.table(spark, d, "labels").where("toxic = 1").select("doc_id")
+    return first.subtract(noise)
 
 
 @query("SET-05", "SELECT doc_id, lang, source, md5(text) AS text_md5 FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn FROM documents) t WHERE rn = 1")
@@ -123,15 +125,15 @@ def bloom_membership(spark, d):
                    (F.count_if(~inside & c("maybe")) <= F.greatest(F.lit(3), F.count_if(~inside) * 0.05)).alias("few_false_positives"))
 
 
-_OLD = "SELECT doc_id, 'old' AS v FROM documents WHERE length(text) % 2 = 0"
-_NEW = "SELECT doc_id, 'new' AS v FROM documents WHERE length(text) % 3 = 0"
+_OLD = "SELECT doc_id, 'old' AS v FROM labels WHERE quality = 1"
+_NEW = "SELECT doc_id, 'new' AS v FROM labels WHERE toxic = 0"
 
 
 @query("SET-08", f"""SELECT doc_id, v, 'fill' AS rule FROM ({_OLD}) a UNION ALL SELECT doc_id, v, 'fill' FROM ({_NEW}) b WHERE doc_id NOT IN (SELECT doc_id FROM ({_OLD}) a)
   UNION ALL SELECT doc_id, v, 'replace' FROM ({_NEW}) b UNION ALL SELECT doc_id, v, 'replace' FROM ({_OLD}) a WHERE doc_id NOT IN (SELECT doc_id FROM ({_NEW}) b)""")
 def cache_merge(spark, d):
-    docs = tb.table(spark, d, "documents")
-    old = docs.where("length(text) % 2 = 0").select("doc_id", F.lit("old").alias("v"))
-    new = docs.where("length(text) % 3 = 0").select("doc_id", F.lit("new").alias("v"))
+    done = tb.table(spark, d, "labels")
+    old = done.where("quality = 1").select("doc_id", F.lit("old").alias("v"))
+    new = done.where("toxic = 0").select("doc_id", F.lit("new").alias("v"))
     fill = lb.merged_cache(old, new, "doc_id", False).withColumn("rule", F.lit("fill"))
     return fill.unionByName(lb.merged_cache(old, new, "doc_id", True).withColumn("rule", F.lit("replace")))

@@ -192,8 +192,8 @@ def chunk_files(spark, d):
     """Label files of up to 200 rows each; a second, later set overrides some of them."""
     o = items(spark, d)
     first = o.select("ingest_seq", F.to_json(F.concat(F.array(F.lit("bogus")), "domain_list")).alias("v"), F.lit("a").alias("wave"))
-    again = o.where("length(body) % 7 = 0").select("ingest_seq", F.lit('["cloud_apis","x","mobile_dev"]').alias("v"), F.lit("b").alias("wave"))
-    broken = o.where("length(body) % 11 = 0").select("ingest_seq", F.lit('"text"').alias("v"), F.lit("c").alias("wave"))
+    again = o.where("length(body) > 3000").select("ingest_seq", F.lit('["cloud_apis","x","mobile_dev"]').alias("v"), F.lit("b").alias("wave"))
+    broken = o.where("length(body) < 300").select("ingest_seq", F.lit('"text"').alias("v"), F.lit("c").alias("wave"))
     rows = first.unionByName(again).unionByName(broken)
     return rows.groupBy(F.concat("wave", F.format_string("%09d", F.floor(c("ingest_seq") / 200))).alias("file")).agg(
         F.concat(F.lit("{"), F.array_join(F.collect_list(F.concat(F.lit('"'), c("ingest_seq").cast("string"), F.lit('":'), "v")), ","), F.lit("}")).alias("value"))
@@ -206,7 +206,7 @@ def written_chunks(spark, d):
     return lb.whole_files(spark, path + "/file=*")
 
 
-LAB = f"""lab AS (SELECT doc_id, CASE WHEN n_chars % 7 = 0 THEN ['cloud_apis', 'mobile_dev'] WHEN len(k) = 0 THEN ['other'] ELSE list_slice(k, 1, 3) END AS labels FROM
+LAB = f"""lab AS (SELECT doc_id, CASE WHEN n_chars > 3000 THEN ['cloud_apis', 'mobile_dev'] WHEN len(k) = 0 THEN ['other'] ELSE list_slice(k, 1, 3) END AS labels FROM
   (SELECT *, list_filter(domain_list, lambda x: list_contains({tb.sql_list(VALID)}, x)) AS k FROM item) t)"""
 
 
@@ -216,7 +216,7 @@ def label_chunks(spark, d):
 
 
 @query("SRC-14", oracle(f"""SELECT source_native_id AS id, array_to_string(CASE WHEN late THEN ['b2b_saas'] ELSE k END, ',') AS labels, CASE WHEN late THEN false ELSE n_chars % 10 = 0 OR len(k) = 0 END AS noise FROM
-  (SELECT *, list_slice(list_filter(domain_list, lambda x: list_contains({tb.sql_list(lx.DOMAINS)}, x)), 1, 3) AS k, n_chars % 9 = 0 AS late FROM item) t"""))
+  (SELECT *, list_slice(list_filter(domain_list, lambda x: list_contains({tb.sql_list(lx.DOMAINS)}, x)), 1, 3) AS k, n_chars > 3000 AS late FROM item) t"""))
 def verdict_files(spark, d):
     return verdicts(spark, d).select("id", F.array_join("labels", ",").alias("labels"), "noise")
 
@@ -224,7 +224,7 @@ def verdict_files(spark, d):
 def verdicts(spark, d):
     o = items(spark, d)
     one = o.select("ingest_seq", F.struct(c("source_native_id").alias("id"), c("domain_list").alias("domains"), (F.length("body") % 10 == 0).alias("noise")).alias("v"), F.lit("a").alias("wave"))
-    two = o.where("length(body) % 9 = 0").select("ingest_seq", F.struct(c("source_native_id").alias("id"), F.array(F.lit("b2b_saas")).alias("domains"), F.lit(False).alias("noise")).alias("v"), F.lit("b").alias("wave"))
+    two = o.where("length(body) > 3000").select("ingest_seq", F.struct(c("source_native_id").alias("id"), F.array(F.lit("b2b_saas")).alias("domains"), F.lit(False).alias("noise")).alias("v"), F.lit("b").alias("wave"))
     files = one.unionByName(two).groupBy(F.concat("wave", F.format_string("%09d", F.floor(c("ingest_seq") / 200))).alias("file")).agg(F.to_json(F.collect_list("v")).alias("value"))
     return lb.verdicts(files, lx.DOMAINS)
 
@@ -232,12 +232,12 @@ def verdicts(spark, d):
 def enrichment_files(spark, d):
     """Repository facts of the github items' communities, as one JSON map per name."""
     g = tb.opportunities(spark, d).where("source = 'github' and community <> ''").groupBy("community").agg(F.sum(F.length("body")).alias("t"), N().alias("n"))
-    g = g.where(c("n") % 5 != 0)
+    g = g.where(c("n") > 6)
     facts = F.to_json(F.struct((c("t") % 9000).alias("stars"), F.when(c("t") % 2 == 0, "Zig").alias("language"), (c("t") % 50).alias("forks"), (c("t") % 6).alias("contributors"), (c("t") % 4 == 0).alias("archived")))
     return g.select(c("community").alias("file"), F.concat(F.lit('{"'), "community", F.lit('":'), facts, F.lit("}")).alias("value"))
 
 
-ENR = "enr AS (SELECT community AS repo, t % 9000 AS stars, CASE WHEN t % 2 = 0 THEN 'Zig' END AS language, t % 50 AS forks, t % 6 AS contributors, t % 4 = 0 AS archived FROM (SELECT community, CAST(sum(length(body)) AS BIGINT) AS t, count(*) AS n FROM opp WHERE source = 'github' AND community <> '' GROUP BY community) q WHERE n % 5 <> 0)"
+ENR = "enr AS (SELECT community AS repo, t % 9000 AS stars, CASE WHEN t % 2 = 0 THEN 'Zig' END AS language, t % 50 AS forks, t % 6 AS contributors, t % 4 = 0 AS archived FROM (SELECT community, CAST(sum(length(body)) AS BIGINT) AS t, count(*) AS n FROM opp WHERE source = 'github' AND community <> '' GROUP BY community) q WHERE n > 6)"
 
 
 @query("SRC-15", oracle("SELECT repo, stars, language, forks, contributors, archived FROM enr", extra="," + ENR))
@@ -316,10 +316,11 @@ def block_chunks(spark, d):
     return si.block_chunks(tb.opportunities(spark, d).select("opportunity_id"), ["opportunity_id"], 20)
 
 
-@query("SRC-24", oracle("SELECT source, CAST(sum(CASE WHEN n_chars % 10 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS archived, CAST(sum(CASE WHEN n_chars % 10 <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS kept FROM opp GROUP BY source"))
+@query("SRC-24", oracle("SELECT source, CAST(sum(CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN 1 ELSE 0 END) AS BIGINT) AS archived, CAST(sum(CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN 0 ELSE 1 END) AS BIGINT) AS kept FROM opp GROUP BY source"))
 def archive_noise(spark, d):
     o, path = tb.opportunities(spark, d), scratch_path(spark, "noise")
-    kept = si.archive_and_drop(o, o.where("length(body) % 10 = 0").select("opportunity_id"), "opportunity_id", path)
+    noise = tb.table(spark, d, "labels").where("toxic = 1").selectExpr("doc_id as ingest_seq")
+    kept = si.archive_and_drop(o, noise, "ingest_seq", path)
     gone = spark.read.schema("opportunity_id string, source string").json(path)
     both = kept.select("source", F.lit(0).alias("a")).unionByName(gone.select("source", F.lit(1).alias("a")))
     return both.groupBy("source").agg(F.count_if(c("a") == 1).alias("archived"), F.count_if(c("a") == 0).alias("kept"))

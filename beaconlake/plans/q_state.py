@@ -172,10 +172,10 @@ def upsert(spark, d):
     return fb.upserted(changes(spark, d), ["user_id", "profile_key"], "seq", "ts").select("user_id", "profile_key", "goal", "split", day("created_at"), day("updated_at"))
 
 
-@query("STR-07", f"WITH {_CH} SELECT user_id, profile_key, goal FROM up WHERE user_id NOT IN (SELECT 'u' || c_custkey FROM customer WHERE c_nationkey % 5 = 0)")
+@query("STR-07", f"WITH {_CH} SELECT user_id, profile_key, goal FROM up WHERE user_id NOT IN (SELECT 'u' || c_custkey FROM customer WHERE c_acctbal < 0)")
 def cascade_delete(spark, d):
     rows = fb.upserted(changes(spark, d), ["user_id", "profile_key"], "seq", "ts").select("user_id", "profile_key", "goal")
-    gone = tb.table(spark, d, "customer").where("c_nationkey % 5 = 0").selectExpr("concat('u', c_custkey) as user_id")
+    gone = tb.table(spark, d, "customer").where("c_acctbal < 0").selectExpr("concat('u', c_custkey) as user_id")
     return fb.without_deleted(rows, gone, ["user_id"])
 
 
