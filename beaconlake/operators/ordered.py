@@ -5,7 +5,7 @@ is cut over many partitions. The partitions are fixed by a reliable checkpoint.
 then worked on alone, and the only thing passed between partitions is one summary row per
 partition, so the carried table never grows with the data.
 """
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from beaconlake.session import checkpointed
 
@@ -19,8 +19,19 @@ def split_sorted(df: DataFrame, by: list[str], partitions: int | None = None) ->
     return checkpointed(ranged.withColumn(PART, F.spark_partition_id()))
 
 
-def _order_struct(order):
-    return F.struct(*[F.col(c) for c in order])
+def _order_struct(names):
+    return F.struct(*[F.col(x) for x in names])
+
+
+def _partition_ends(rows: DataFrame):
+    """The summary rows in partition order; there is one per partition."""
+    return sorted(rows.collect(), key=lambda r: r[PART])
+
+
+def _with_carry(here: DataFrame, carried, key_type, value_type) -> DataFrame:
+    """Join what each partition takes over from the ones before it."""
+    schema = T.StructType([T.StructField(PART, T.IntegerType()), T.StructField("_k", key_type), T.StructField("_v", value_type)])
+    return here.join(F.broadcast(here.sparkSession.createDataFrame(carried, schema)), PART, "left")
 
 
 def running_sum(df: DataFrame, keys: list[str], order: list[str], value: str, out: str,
@@ -30,34 +41,34 @@ def running_sum(df: DataFrame, keys: list[str], order: list[str], value: str, ou
     cut = split_sorted(df, keys + order, partitions)
     local = Window.partitionBy(PART, *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     here = cut.withColumn(out, F.coalesce(F.sum(value).over(local), F.lit(0)))
-    per_key = cut.groupBy(PART, *keys).agg(F.sum(value).alias("_total"))
-    key = F.struct(*[F.col(k) for k in keys]) if keys else F.lit(1)
+    key = _order_struct(keys) if keys else F.struct(F.lit(1).alias("one"))
+    per_key = cut.groupBy(PART, *keys).agg(F.sum(value).alias("_t"))
     # Only the last key of a partition can go on in the next one.
-    last = per_key.groupBy(PART).agg(F.max_by(F.struct(key.alias("k"), F.col("_total").alias("t")), key).alias("_last"))
-    by_part = Window.partitionBy("_k").orderBy(PART).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    carried = (last.select(PART, F.col("_last.k").alias("_k"), F.col("_last.t").alias("_t"))
-               .withColumn("_carry", F.sum("_t").over(by_part)))
-    nxt = Window.orderBy(PART)                      # one row per partition, nothing more
-    carried = carried.select(F.lead(PART).over(nxt).alias(PART), "_k", "_carry").where(F.col(PART).isNotNull())
-    joined = here.join(F.broadcast(carried), PART, "left")
-    same = key.eqNullSafe(F.col("_k"))
-    return (joined.withColumn(out, F.col(out) + F.when(same, F.col("_carry")).otherwise(F.lit(0)))
-            .drop(PART, "_k", "_carry"))
+    last = per_key.groupBy(PART).agg(F.max(key).alias("_k"), F.max_by("_t", key).alias("_t"))
+    carried, open_key, open_sum = [], None, None
+    for r in _partition_ends(last):
+        if open_key is not None:
+            carried.append((r[PART], open_key, open_sum))
+        open_sum = open_sum + r["_t"] if r["_k"] == open_key else r["_t"]
+        open_key = r["_k"]
+    types = {f.name: f.dataType for f in last.schema.fields}
+    joined = _with_carry(here, carried, types["_k"], types["_t"])
+    return (joined.withColumn(out, F.col(out) + F.when(key.eqNullSafe(F.col("_k")), F.col("_v")).otherwise(F.lit(0)))
+            .drop(PART, "_k", "_v"))
 
 
 def previous_value(df: DataFrame, keys: list[str], order: list[str], value: str, out: str,
                    partitions: int | None = None) -> DataFrame:
     """`out` = `value` of the row just before in the same key, like lag(1)."""
     cut = split_sorted(df, keys + order, partitions)
-    here = cut.withColumn(out, F.lag(value).over(Window.partitionBy(PART, *keys).orderBy(*order)))
-    here = here.withColumn("_first", F.row_number().over(Window.partitionBy(PART, *keys).orderBy(*order)) == 1)
-    key = F.struct(*[F.col(k) for k in keys])
-    last = cut.groupBy(PART).agg(F.max_by(F.struct(key.alias("k"), F.col(value).alias("v")),
-                                          _order_struct(keys + order)).alias("_last"))
-    nxt = Window.orderBy(PART)                      # one row per partition, nothing more
-    carried = (last.select(F.lead(PART).over(nxt).alias(PART), F.col("_last.k").alias("_k"),
-                           F.col("_last.v").alias("_v")).where(F.col(PART).isNotNull()))
-    joined = here.join(F.broadcast(carried), PART, "left")
+    local = Window.partitionBy(PART, *keys).orderBy(*order)
+    here = cut.withColumns({out: F.lag(value).over(local), "_first": F.row_number().over(local) == 1})
+    key, at = _order_struct(keys), _order_struct(keys + order)
+    last = cut.groupBy(PART).agg(F.max_by(key, at).alias("_k"), F.max_by(value, at).alias("_v"))
+    ends = _partition_ends(last)
+    carried = [(after[PART], before["_k"], before["_v"]) for before, after in zip(ends, ends[1:])]
+    types = {f.name: f.dataType for f in last.schema.fields}
+    joined = _with_carry(here, carried, types["_k"], types["_v"])
     take = F.col("_first") & key.eqNullSafe(F.col("_k"))
     return (joined.withColumn(out, F.when(take, F.col("_v")).otherwise(F.col(out)))
             .drop(PART, "_k", "_v", "_first"))

@@ -348,10 +348,8 @@ def latest_per_key(spark, d):
 def top_terms_query(spark, d):
     counts = tr.term_counts(items(spark, d))
     per = tr.top_n(counts, ["domain"], [F.desc("n"), c("term")], 30)
-    whole = counts.groupBy("term").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "term").limit(40)
-    ranked = whole.select(F.lit(None).cast("string").alias("domain"), "term", "n",
-                          F.row_number().over(Window.orderBy(F.desc("n"), "term")).alias("position"))      # 40 rows
-    return per.unionByName(ranked)
+    whole = counts.groupBy("term").agg(F.sum("n").alias("n")).withColumn("domain", F.lit(None).cast("string"))
+    return per.unionByName(tr.top_n(whole, ["domain"], [F.desc("n"), c("term")], 40))
 
 
 _TOPC = ", cm AS (" + _COMM.format("domain") + "), gm AS (" + _COMM.format("source") + "), ct AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY engagement DESC, volume DESC, community) AS position FROM cm) t WHERE position <= 8)"
@@ -366,10 +364,8 @@ def top_communities(spark, d, n=8):
 def top_communities_query(spark, d):
     per = top_communities(spark, d)
     order = [F.desc("engagement"), F.desc("volume"), c("community"), c("source")]
-    whole = tr.community_activity(act(spark, d), ["community", "source"]).orderBy(*order).limit(12)
-    ranked = whole.select(F.lit(None).cast("string").alias("domain"), "community", "volume", "engagement", "authors",
-                          F.row_number().over(Window.orderBy(*order)).alias("position"))                    # 12 rows
-    return per.unionByName(ranked.select(*per.columns))
+    whole = tr.community_activity(act(spark, d), ["community", "source"]).withColumn("domain", F.lit(None).cast("string"))
+    return per.unionByName(tr.top_n(whole, ["domain"], order, 12).select(*per.columns))
 
 
 @query("TOP-05", oracle("""SELECT scope, community, domain, engagement, rank AS position FROM (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY engagement DESC, community) AS rank FROM
