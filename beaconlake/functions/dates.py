@@ -24,11 +24,19 @@ def age_days(text, as_of):
     return F.greatest(F.lit(0.0), F.coalesce(micros / 86400e6, F.lit(9999.0)))
 
 
+def utc_instant(wall):
+    """A zone-less UTC wall clock as an instant, whatever the session's zone is."""
+    return F.convert_timezone(F.lit("UTC"), F.current_timezone(), wall).cast("timestamp")
+
+
+def utc_text(instant, pattern):
+    """An instant as UTC text, whatever the session's zone is."""
+    return F.date_format(F.convert_timezone(F.current_timezone(), F.lit("UTC"), instant.cast("timestamp_ntz")), pattern)
+
+
 def epoch_iso(seconds):
     """Epoch seconds to ISO text in UTC; missing or zero gives ''."""
-    moment = F.timestamp_seconds(seconds)
-    text = F.date_format(F.convert_timezone(F.current_timezone(), F.lit("UTC"), moment.cast("timestamp_ntz")),
-                         "yyyy-MM-dd'T'HH:mm:ss")
+    text = utc_text(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss")
     return F.when(seconds.isNull() | (seconds == 0), F.lit("")).otherwise(F.concat(text, F.lit("+00:00")))
 
 

@@ -264,7 +264,7 @@ def recency(spark, d):
 
 @query("DAT-04", "SELECT event_id, strftime(make_timestamp(s * 1000000), '%Y-%m-%dT%H:%M:%S') || '+00:00' AS iso FROM (SELECT event_id, epoch_us(ts) // 1000000 AS s FROM events) t")
 def epoch_iso(spark, d):
-    e = tb.table(spark, d, "events").withColumn("s", F.unix_seconds(F.convert_timezone(F.lit("UTC"), F.current_timezone(), c("ts")).cast("timestamp")))
+    e = tb.table(spark, d, "events").withColumn("s", F.unix_seconds(dates.utc_instant(c("ts"))))
     return e.select("event_id", dates.epoch_iso(c("s")).alias("iso"))
 
 

@@ -2,6 +2,7 @@
 from pyspark.sql import functions as F
 
 from beaconlake import lexicon as lx
+from beaconlake.functions import dates
 from beaconlake.operators import feedback as fb, ordered
 from beaconlake.plans import testbed as tb
 from beaconlake.plans.q_trends import N
@@ -220,7 +221,7 @@ def session_context(spark, d):
   WHERE week + 7 <= (SELECT max(ts) - INTERVAL 1 DAY FROM events) GROUP BY ALL""")
 def stream_weeks(spark, d):
     src = tb.table(spark, d, "events")
-    s = se.event_stream(spark, EVENTS.format(d), src.schema).select(c("ts").cast("timestamp").alias("ts"), c("event_type").alias("domain"), c("user_id").alias("author"))
+    s = se.event_stream(spark, EVENTS.format(d), src.schema).select(dates.utc_instant(c("ts")).alias("ts"), c("event_type").alias("domain"), c("user_id").alias("author"))
     out = se.run_to_table(se.weekly(s, ["domain"]), "weeks")
     exact = src.groupBy(F.date_format(F.trunc(F.to_date("ts"), "week"), "yyyy-MM-dd").alias("week"), c("event_type").alias("domain")).agg(F.countDistinct("user_id").alias("voices"))
     return out.join(exact, ["week", "domain"]).select("week", "domain", "n", (F.abs(c("reach") - c("voices")) <= F.greatest(c("voices") * 0.05, F.lit(2.0))).alias("within_bound"))
@@ -234,5 +235,5 @@ _WT = "CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 3 WHEN 'purchase' TH
 def stream_hours(spark, d):
     src = tb.table(spark, d, "events")
     weight = F.expr("case event_type when 'view' then 1 when 'click' then 3 when 'purchase' then 3 when 'error' then 2 else 0 end")
-    s = se.event_stream(spark, EVENTS.format(d), src.schema).select(c("ts").cast("timestamp").alias("ts"), "event_type", weight.alias("weight"))
+    s = se.event_stream(spark, EVENTS.format(d), src.schema).select(dates.utc_instant(c("ts")).alias("ts"), "event_type", weight.alias("weight"))
     return se.run_to_table(se.hourly_activity(s, ["event_type"]), "hours")

@@ -4,6 +4,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor
 
+from beaconlake.functions.dates import utc_text
 from beaconlake.operators.feedback import ACTIONS, STATUS_OF, lms_step, start_weights
 from beaconlake.session import scratch_path
 
@@ -60,14 +61,14 @@ def weekly(stream: DataFrame, keys, ts="ts", delay="1 day") -> DataFrame:
     """Monday weeks per key with volume and reach; a week is out once it can no longer change."""
     week = F.window(ts, "7 days", "7 days", "4 days")
     return (stream.withWatermark(ts, delay).groupBy(week, *keys).agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("author", 0.01).alias("reach"))
-            .select(F.date_format("window.start", "yyyy-MM-dd").alias("week"), *keys, "n", "reach"))
+            .select(utc_text(c("window.start"), "yyyy-MM-dd").alias("week"), *keys, "n", "reach"))
 
 
 def hourly_activity(stream: DataFrame, keys, weight="weight", span="6 hours", ts="ts", delay="1 hour") -> DataFrame:
     """Weighted activity over the trailing hours, one figure per hour."""
     w = F.window(ts, span, "1 hour")
     return (stream.withWatermark(ts, delay).groupBy(w, *keys).agg(F.sum(weight).alias("activity"))
-            .select(F.date_format("window.end", "yyyy-MM-dd HH:mm").alias("until"), *keys, "activity"))
+            .select(utc_text(c("window.end"), "yyyy-MM-dd HH:mm").alias("until"), *keys, "activity"))
 
 
 class Disposition(StatefulProcessor):
