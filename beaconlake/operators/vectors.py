@@ -125,6 +125,8 @@ def best_facet_top(corpus: DataFrame, facets: DataFrame, per_stratum: int) -> Da
     persona table and is checked to be small; a larger one is worked through in shards."""
     rows = facets.select("persona", "vec", "strata").limit(QUERY_BOUND + 1).collect()
     if len(rows) > QUERY_BOUND:
+        if len({r.persona for r in rows}) == 1:
+            raise ValueError(f"one persona has more than {QUERY_BOUND} facets")
         shards = math.ceil(facets.count() / (QUERY_BOUND // 2))
         mine = F.pmod(F.xxhash64("persona"), F.lit(shards)).cast("int")
         parts = [best_facet_top(corpus, facets.where(mine == s), per_stratum) for s in range(shards)]
