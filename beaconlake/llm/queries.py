@@ -13,4 +13,4 @@ def query(name, sql=None):
 
 
 
-from beaconlake.llm import q_lines, q_mixing, q_quality, q_shards, q_tokens, q_urls  # noqa: E402,F401
+from beaconlake.llm import q_lines, q_mixing, q_quality, q_rules, q_shards, q_tokens, q_urls  # noqa: E402,F401
