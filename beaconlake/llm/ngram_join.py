@@ -3,7 +3,7 @@
 1. Every document becomes a set of shingle numbers, and a signature: equal sets are one set from here.
 2. A filter over all sets finds those that can have a partner. In an order of all shingles (here: by
    number) two similar sets share the first L of their common members within their first
-   n - ceil(0.8 n) + L members. Each set sends that prefix, about a quarter of it, to the
+   n - ceil(0.8 n) + L members. Each set sends that prefix, three tenths of it, to the
    shingles; a set stays if enough members of its prefix are shared with any other set. Members
    common inside one batch of rows are folded there, so a line that a third of all documents
    holds costs one row a batch.
@@ -31,7 +31,7 @@ from beaconlake.session import checkpointed
 
 BLOCK = 1024            # sets a task joins at a time
 SMALL = 1_000_000       # ids that may be broadcast (16 MB); beyond, the ids join by shuffle
-MORE = 40               # a prefix is longer by a 40th of the set than one common member needs
+MORE = 10               # a prefix is longer by a tenth of the set than one common member needs
 
 
 def signed(docs: DataFrame, identity: str, text: str) -> DataFrame:
