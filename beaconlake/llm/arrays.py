@@ -1,6 +1,7 @@
-"""Array helpers that Python tasks share: bounded dictionaries and Arrow rows."""
+"""Helpers that the operators share: Arrow rows, and column names that cannot clash."""
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 
 def texts_of(batch, name="text") -> list[bytes]:
@@ -17,3 +18,9 @@ def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     ends = np.cumsum(sizes)
     total = int(ends[-1]) if len(ends) else 0
     return np.arange(total) - np.repeat(ends - sizes, sizes) + np.repeat(starts, sizes)
+
+
+def plain(docs: DataFrame) -> tuple[DataFrame, dict]:
+    """The table with its columns called c0, c1, ... and the new name of each, so that columns an
+    operator adds on the way cannot clash. `toDF(*names)` undoes it."""
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]), {c: f"c{i}" for i, c in enumerate(docs.columns)}

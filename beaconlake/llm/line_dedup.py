@@ -13,6 +13,7 @@ an empty text; an empty table gives an empty result. Input columns keep their na
 """
 from pyspark.sql import Column, DataFrame, functions as F
 
+from beaconlake.llm.arrays import plain
 from beaconlake.session import checkpointed
 
 RATIO = 0.1             # share of the host's pages above which a line is boilerplate
@@ -51,5 +52,6 @@ def split_pages(pages: DataFrame, host: Column, lines: Column, ratio: float = RA
 
 def drop_lines(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """The documents with their boilerplate lines cut out of the text; all columns as before."""
-    cut = split_pages(docs, F.col(host), F.split(F.col(text), "\n"), ratio, min_pages)
-    return cut.withColumn(text, F.array_join("_kept", "\n")).select(*docs.columns)
+    rows, at = plain(docs)
+    cut = split_pages(rows, F.col(at[host]), F.split(F.col(at[text]), "\n"), ratio, min_pages)
+    return cut.withColumn(at[text], F.array_join("_kept", "\n")).select(*rows.columns).toDF(*docs.columns)

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from beaconlake.llm.arrays import rows_of, texts_of
+from beaconlake.llm.arrays import plain, rows_of, texts_of
 from beaconlake.llm.components import components
 from beaconlake.llm.shingles import Hasher, shared_at_least, signature
 from beaconlake.llm.trie_join import links
@@ -191,7 +191,15 @@ def groups(docs: DataFrame, identity: str = "doc_id", text: str = "text", block:
 
 
 def one_of_each(docs: DataFrame, identity: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents with one row for each group: that of the least id. Rows with a null id stay."""
-    found = groups(docs, identity, text).select(F.col("id").alias("_id"), "component_id").where("_id = component_id").select("_id").distinct()
+    """The documents with one row for each group: that of the least id, once if it is repeated.
+    Rows with a null id stay."""
+    rows, at = plain(docs)
+    identity, text = at[identity], at[text]
+    found = checkpointed(groups(rows, identity, text).where("id = component_id").groupBy(F.col("id").alias("_id")).agg(F.count(F.lit(1)).alias("_rows")))
     few = found.limit(SMALL + 1).count() <= SMALL
-    return docs.join(F.broadcast(found) if few else found, docs[identity] == F.col("_id"), "left_semi").unionByName(docs.where(F.col(identity).isNull()))
+    kept = rows.join(F.broadcast(found.select("_id")) if few else found.select("_id"), F.col(identity) == F.col("_id"), "left_semi")
+    again = checkpointed(found.where("_rows > 1").select("_id"))
+    if again.limit(1).count():
+        same = F.col(identity) == F.col("_id")
+        kept = kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates([identity, text]))
+    return kept.unionByName(rows.where(F.col(identity).isNull())).toDF(*docs.columns)

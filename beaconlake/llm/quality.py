@@ -19,8 +19,9 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructType
 
-from beaconlake.llm.arrays import rows_of, texts_of
+from beaconlake.llm.arrays import plain, rows_of, texts_of
 
 BITS = 18
 MASK = (1 << BITS) - 1
@@ -164,11 +165,11 @@ def scored(docs: DataFrame, model, identity: str = "doc_id", text: str = "text")
                     known = {}
             p = 1 / (1 + np.exp(-np.clip(np.array(score)[:, None] - theta[None, :], -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p.sum(1)), pa.array(p[:, -1].copy())], names=[*names, "_expected", "_tail"])
-    from pyspark.sql.types import DoubleType, StructType
     schema = StructType(list(docs.schema.fields)).add("_expected", DoubleType()).add("_tail", DoubleType())
     return docs.mapInArrow(run, schema)
 
 def select(docs: DataFrame, labels: DataFrame, identity: str = "doc_id", text: str = "text", tail: float = TAIL) -> DataFrame:
     """The documents that are good and clean by the model."""
     model = train(docs, graded(labels), identity, text)
-    return scored(docs, model, identity, text).where(F.col("_tail") >= tail).drop("_expected", "_tail")
+    rows, at = plain(docs)
+    return scored(rows, model, at[identity], at[text]).where(F.col("_tail") >= tail).drop("_expected", "_tail").toDF(*docs.columns)
