@@ -16,19 +16,21 @@ def _star(links: DataFrame, near: DataFrame, keep) -> DataFrame:
     return moved.select(F.col("b").alias("a"), F.col("low").alias("b"))
 
 
+def _settled(links: DataFrame) -> bool:
+    """Whether all links are stars already: a node has one link down, or links up, not both."""
+    ends = links.select(F.col("a").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(links.select(F.col("b").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    both = ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down > 1 or down = 1 and up = 1")
+    return not both.limit(1).count()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """edges: (a, b) of one comparable type. Returns (node, component) for every linked node;
     a component is named by its smallest node. No edges give no rows."""
     links = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = None
-    while True:
-        mark = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1000000007)).first()
-        if mark == seen or not mark[0]:
-            break
-        seen = mark
+    while not _settled(links):
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = _star(both, both, F.col("b") > F.col("a")).where("a <> b").distinct()
-        large = checkpointed(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+        large = _star(both, both, F.col("b") > F.col("a")).where("a <> b")
+        large = checkpointed(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
         least = checkpointed(large.groupBy("a").agg(F.min("b").alias("low")).withColumnRenamed("a", "at"))
         small = large.join(least, F.col("a") == F.col("at")).select(F.col("b").alias("a"), F.col("low").alias("b"))
         own = least.select(F.col("at").alias("a"), F.col("low").alias("b"))

@@ -46,9 +46,9 @@ def signed(docs: DataFrame, identity: str, text: str) -> DataFrame:
 
 
 def prefixes(docs: DataFrame, text: str) -> DataFrame:
-    """(key, sig, found): the prefix members of every set. A row with a key is a member; `found`
-    1 says that the batch holds it in several sets. Those sets' shared members come counted in
-    rows without a key."""
+    """(key, sig, found): the prefix members of every set. `found` 1 says that the batch holds the
+    member in several sets; what those sets share comes counted in rows of its own, which have the
+    signature as key (it spreads them) and the count below zero."""
     def run(batches):
         hasher = Hasher()
         for batch in batches:
@@ -73,19 +73,16 @@ def prefixes(docs: DataFrame, text: str) -> DataFrame:
             sent = first                                 # one row for each member of the batch
             yield rows_of({"key": pa.array(key[sent]), "sig": pa.array(sig[sent]), "found": pa.array(shared[sent].astype(np.int32))})
             if len(names):
-                yield rows_of({"key": pa.nulls(len(names), pa.int64()), "sig": pa.array(names), "found": pa.array(count.astype(np.int32))})
+                yield rows_of({"key": pa.array(names), "sig": pa.array(names), "found": pa.array(-count.astype(np.int32))})
     return docs.select(F.col(text).alias("text")).mapInArrow(run, "key bigint, sig bigint, found int")
 
 
 def survivors(docs: DataFrame, text: str, signs: DataFrame) -> DataFrame:
     """(sig, n, id) of the sets that can have a partner; `id` is the least one with the set."""
-    sent = prefixes(docs, text)
     same = Window.partitionBy("key")
-    known = (sent.where("key is not null")
-             .withColumns({"low": F.min("sig").over(same), "high": F.max("sig").over(same), "any": F.max("found").over(same)})
-             .where("found = 0 and (low <> high or any = 1)").select("sig", F.lit(1).alias("found")))
-    counted = known.groupBy("sig").agg(F.sum("found").alias("found")).unionByName(sent.where("key is null").groupBy("sig").agg(F.sum("found").alias("found")))
-    total = counted.groupBy("sig").agg(F.sum("found").alias("found"))
+    seen = prefixes(docs, text).withColumns({"low": F.min("sig").over(same), "high": F.max("sig").over(same), "any": F.max("found").over(same)})
+    shared = F.when(F.col("found") < 0, -F.col("found")).otherwise(1)
+    total = seen.where("found < 0 or found = 0 and (low <> high or any = 1)").groupBy("sig").agg(F.sum(shared).alias("found"))
     sets = signs.where("sig is not null and id is not null").groupBy("sig").agg(F.min("id").alias("id"), F.max("n").alias("n"))
     return sets.join(total, "sig").where(F.col("found") >= F.expr(f"1 + (4 * n) div {5 * MORE}")).select("sig", "n", "id")
 
@@ -122,58 +119,65 @@ def candidates(sets: DataFrame) -> DataFrame:
     return kept.join(groups, F.col("sig") == F.col("_sig")).select("sig", "n", "members", "group")
 
 
-def _join_block(table: pa.Table) -> pa.Table:
-    """Links inside one block, or, where `side` tells two blocks apart, between them."""
+def _cluster_block(table: pa.Table) -> pa.Table:
+    """(sig, head): each set of a block and the least set that it is connected to inside the block."""
+    sets = [np.array(x, np.int64) for x in table.column("members").to_pylist()]
+    sig = table.column("sig").to_numpy()
+    head = np.arange(len(sig))
+    for a, b in links(sets, table.column("n").to_numpy(), np.arange(len(sig))):
+        head[head == head[b]] = head[a]
+    least = np.full(len(sig), np.iinfo(np.int64).max)
+    np.minimum.at(least, head, sig)
+    return pa.table({"sig": pa.array(sig), "head": pa.array(least[head])})
+
+
+def _compare_blocks(table: pa.Table) -> pa.Table:
+    """(sig, head): links between two blocks (`side`) of sets whose clusters differ."""
     sets = [np.array(x, np.int64) for x in table.column("members").to_pylist()]
     sig, side = table.column("sig").to_numpy(), table.column("side").to_numpy()
-    two = side.min() != side.max()
-    found = links(sets, table.column("n").to_numpy(), table.column("cluster").to_numpy(),
-                  np.flatnonzero(side == 1) if two else None, np.flatnonzero(side == 0) if two else None)
-    return pa.table({"a": pa.array([sig[a] for a, _ in found], pa.int64()), "b": pa.array([sig[b] for _, b in found], pa.int64())})
+    found = links(sets, table.column("n").to_numpy(), table.column("cluster").to_numpy(), np.flatnonzero(side == 1), np.flatnonzero(side == 0))
+    return pa.table({"sig": pa.array([sig[a] for a, _ in found], pa.int64()), "head": pa.array([sig[b] for _, b in found], pa.int64())})
 
 
-def _in_blocks(sets: DataFrame) -> DataFrame:
-    """Links inside each block of each group; the block of a set is a hash of its signature."""
-    return (sets.withColumns({"block": F.pmod(F.xxhash64("sig"), F.col("blocks")), "side": F.lit(0)})
-            .groupBy("group", "block").applyInArrow(_join_block, "a bigint, b bigint"))
+def _placed(sets: DataFrame, block: int) -> DataFrame:
+    """The sets with the number of blocks of their group and their own one, a hash of the signature."""
+    size = checkpointed(sets.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).alias("blocks")).withColumnRenamed("group", "_group"))
+    return (sets.join(size, F.col("group") == F.col("_group")).drop("_group")
+            .withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks"))))
+
+
+def _clusters(sets: DataFrame) -> DataFrame:
+    return sets.select("group", "block", "sig", "n", "members").groupBy("group", "block").applyInArrow(_cluster_block, "sig bigint, head bigint")
 
 
 def _across(sets: DataFrame) -> DataFrame:
     """Links between each two blocks of a group."""
-    block = F.pmod(F.xxhash64("sig"), F.col("blocks"))
     other = F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda b: b != F.col("block")))
-    return (sets.withColumn("block", block).withColumn("other", other)
-            .withColumns({"one": F.least("block", "other"), "two": F.greatest("block", "other"), "side": (F.col("block") > F.col("other")).cast("int")})
-            .groupBy("group", "one", "two").applyInArrow(_join_block, "a bigint, b bigint"))
-
-
-def _clustered(sets: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    found = checkpointed(components(edges).select(F.col("node").alias("_sig"), F.col("component").alias("_cluster")))
-    joined = sets.drop("cluster").join(found, F.col("sig") == F.col("_sig"), "left")
-    return joined.withColumn("cluster", F.coalesce("_cluster", "sig")).drop("_sig", "_cluster"), found
+    return (sets.withColumn("other", other)
+            .select("group", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"),
+                    (F.col("block") > F.col("other")).cast("int").alias("side"), "sig", "n", "members", "cluster")
+            .groupBy("group", "one", "two").applyInArrow(_compare_blocks, "sig bigint, head bigint"))
 
 
 def linked_sets(sets: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(sig, cluster) of all sets that link with another. sets: (sig, n, members, group)."""
-    size = checkpointed(sets.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).alias("blocks")).withColumnRenamed("group", "_group"))
-    sized = checkpointed(sets.join(size, F.col("group") == F.col("_group")).drop("_group").withColumn("cluster", F.col("sig")))
-    edges = checkpointed(_in_blocks(sized))
-    wide = sized.where("blocks > 1")
-    if not size.where("blocks > 1").limit(1).count():
-        return components(edges)
+    """(node, component) of the sets that link with another. sets: (sig, n, members, group)."""
+    placed = checkpointed(_placed(sets, block))
+    heads = checkpointed(_clusters(placed))
+    moved = heads.where("sig <> head").select("sig", F.col("head").alias("component"))
+    wide = placed.where("blocks > 1")
+    if not wide.limit(1).count():
+        return moved.select(F.col("sig").alias("node"), "component").unionByName(moved.select(F.col("component").alias("node"), "component").distinct())
     # One set for each cluster of a block: most clusters of a large group meet here.
-    clustered, _ = _clustered(wide, edges)
-    heads = clustered.groupBy("group", "cluster").agg(F.min_by(F.struct("sig", "n", "members"), "sig").alias("h"))
-    heads = heads.select("h.sig", "h.n", "h.members", "group", "cluster")
-    again = heads.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).alias("blocks")).withColumnRenamed("group", "_group")
-    heads = checkpointed(heads.join(checkpointed(again), F.col("group") == F.col("_group")).drop("_group"))
-    edges = checkpointed(edges.unionByName(_in_blocks(heads)))
+    least = wide.join(heads.where("sig = head").select(F.col("sig").alias("_sig")), F.col("sig") == F.col("_sig"), "left_semi")
+    upper = checkpointed(_clusters(_placed(least.select("group", "sig", "n", "members"), block)).select(F.col("sig").alias("_head"), F.col("head").alias("cluster")))
+    named = wide.join(heads.withColumnRenamed("sig", "_sig"), F.col("sig") == F.col("_sig")).drop("_sig")
+    named = checkpointed(named.join(upper, F.col("head") == F.col("_head")).drop("_head", "head"))
     # What is still apart is compared block against block.
-    clustered, _ = _clustered(wide, edges)
-    clustered = checkpointed(clustered)
-    apart = clustered.groupBy("group").agg(F.min("cluster").alias("x"), F.max("cluster").alias("y")).where("x <> y").select(F.col("group").alias("_group"))
-    rest = clustered.join(checkpointed(apart), F.col("group") == F.col("_group")).drop("_group")
-    return components(checkpointed(edges.unionByName(_across(rest))))
+    apart = checkpointed(named.groupBy("group").agg(F.min("cluster").alias("x"), F.max("cluster").alias("y")).where("x <> y").select(F.col("group").alias("_group")))
+    edges = heads.unionByName(upper.select(F.col("_head").alias("sig"), F.col("cluster").alias("head")))
+    if apart.limit(1).count():
+        edges = edges.unionByName(_across(named.join(apart, F.col("group") == F.col("_group"), "left_semi")))
+    return components(edges.select(F.col("sig").alias("a"), F.col("head").alias("b")))
 
 
 def groups(docs: DataFrame, identity: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:

@@ -103,12 +103,14 @@ def links(sets: list[np.ndarray], sizes: np.ndarray, group: np.ndarray, probes:
     own = ranked(sets)
     probes = np.arange(len(own)) if probes is None else probes
     stored = np.arange(len(own)) if stored is None else stored
+    if not len(probes) or not len(stored):
+        return []
     tree = Tree([own[i] for i in stored], sizes[stored])
     mask = np.zeros(1 + max((int(s[-1]) for s in own if len(s)), default=0), np.int8)
     label = np.unique(group, return_inverse=True)[1]
     out = []
     for i in probes:
-        if len(stored) and (label[stored] != label[i]).any():
+        if (label[stored] != label[i]).any():
             near = stored[tree.probe(own[i], int(sizes[i]), mask)]
             for other in np.unique(label[near]):
                 if other != label[i]:
