@@ -1,6 +1,6 @@
 """Vector operators: top-k search, best facet, similarity join, near copies, clusters.
 
-Vectors live in an array column next to their id. NumPy works on Arrow batches inside tasks;
+Vectors live in an array column next to their id, a number or a text. NumPy works on Arrow batches inside tasks;
 Spark partitions, cuts to the local best, and merges.
 """
 import math
@@ -49,156 +49,213 @@ class _LocalTop:
         self.kept[key] = (sims[at], ids[at])
 
 
+def _ids(column) -> np.ndarray:
+    """Ids as an array that sorts the way Spark sorts them; numbers and texts will do."""
+    if pa.types.is_integer(column.type):
+        return column.to_numpy(zero_copy_only=False)
+    return np.array(column.to_pylist(), dtype=str)
+
+
+def _types(df, **names):
+    """'name type, ...' with the types that the columns have in `df`."""
+    kinds = dict(df.dtypes)
+    return ", ".join(f"{out} {kinds[column]}" for out, column in names.items())
+
+
+def _arrow(df, column):
+    return pa.int64() if dict(df.dtypes)[column] in ("bigint", "int") else pa.string()
+
+
 def _small_queries(queries, columns):
     """The query rows, or None when there are more than every task should hold."""
     rows = queries.select(*columns).limit(QUERY_BOUND + 1).collect()
     return None if len(rows) > QUERY_BOUND else rows
 
 
+def _blockwise(corpus: DataFrame, asked: DataFrame, row: list[str], compare, schema: str) -> DataFrame:
+    """Every block of the corpus with every shard of a question table of any size, in tasks of
+    bounded size. `row` is what spreads the questions; `compare` gets two pandas frames."""
+    shards = max(1, math.ceil(asked.count() / QUERY_BOUND))
+    blocks = max(1, math.ceil(corpus.count() / (8 * BLOCK_ROWS)))
+    spread = lambda cols, m: F.pmod(F.xxhash64(*cols), F.lit(m)).cast("int")
+    left = (corpus.withColumn("_block", spread(["id"], blocks))
+            .withColumn("_shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))))
+    right = (asked.withColumn("_shard", spread(row, shards))
+             .withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))))
+    kinds = dict(x.split(" ") for x in schema.split(", "))
+
+    def safe(a, b):
+        import pandas as pd
+        parts = compare(a, b) if len(a) and len(b) else []
+        found = pd.concat(parts) if parts else pd.DataFrame({n: [] for n in kinds})
+        return found.astype({n: object for n, kind in kinds.items() if kind == "string"})
+    return left.groupBy("_shard", "_block").cogroup(right.groupBy("_shard", "_block")).applyInPandas(safe, schema)
+
+
+def _stack(series) -> np.ndarray:
+    return np.stack(series.to_list()).astype(np.float64)
+
+
 def top_k(corpus: DataFrame, queries: DataFrame, k: int, exclude_same=False) -> DataFrame:
     """Exact k best corpus rows (id, vec) per query (qid, qvec) by inner product.
 
     A small query set is sent to the tasks; a larger one is cut into shards that meet the
     corpus block by block. Each task hands on only its k best per query."""
     rows = _small_queries(queries, ["qid", "qvec"])
+    schema = _types(queries, qid="qid") + ", " + _types(corpus, id="id") + ", sim double"
     if rows is not None:
-        local = _scan_top_k(corpus, rows, k, exclude_same)
+        local = _scan_top_k(corpus, rows, k, exclude_same, schema, _arrow(queries, "qid"))
     else:
-        local = _blocked_top_k(corpus, queries, k, exclude_same)
+        local = _blocked_top_k(corpus, queries, k, exclude_same, schema)
     w = Window.partitionBy("qid").orderBy(F.desc("sim"), "id")
     return local.withColumn("rank", F.row_number().over(w)).where(c("rank") <= k)
 
 
-def _scan_top_k(corpus, rows, k, exclude_same):
+def _scan_top_k(corpus, rows, k, exclude_same, schema, kind):
     qids = [r.qid for r in rows]
     matrix = np.array([r.qvec for r in rows], dtype=np.float64)
 
     def scan(batches):
-        top = _LocalTop(k)
+        top, id_kind = _LocalTop(k), None
         for batch in batches:
             if batch.num_rows == 0 or not qids:
                 continue
-            ids = batch.column("id").to_numpy(zero_copy_only=False)
+            id_kind = batch.column("id").type
+            ids = _ids(batch.column("id"))
             sims = _matrix(batch.column("vec")) @ matrix.T
             for j, q in enumerate(qids):
                 keep = ids != q if exclude_same else slice(None)
                 top.offer(q, sims[keep, j], ids[keep])
         for q, (s, i) in top.kept.items():
-            yield pa.RecordBatch.from_arrays([pa.array([q] * len(s), pa.int64()), pa.array(i.astype(np.int64)), pa.array(s)], ["qid", "id", "sim"])
+            yield pa.RecordBatch.from_arrays([pa.array([q] * len(s), kind), pa.array(i.tolist(), id_kind), pa.array(s)], ["qid", "id", "sim"])
 
-    return corpus.select("id", "vec").mapInArrow(scan, "qid bigint, id bigint, sim double")
+    return corpus.select("id", "vec").mapInArrow(scan, schema)
 
 
-def _blocked_top_k(corpus, queries, k, exclude_same):
-    spark = corpus.sparkSession
-    n = corpus.count()
-    shards = max(1, math.ceil(queries.count() / QUERY_BOUND))
-    blocks = max(1, math.ceil(n / (8 * BLOCK_ROWS)))
-    spread = lambda col, m: F.pmod(F.xxhash64(col), F.lit(m)).cast("int")
-    left = (corpus.select("id", "vec", spread("id", blocks).alias("block"))
-            .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))))
-    right = (queries.select("qid", "qvec", spread("qid", shards).alias("shard"))
-             .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))))
-
+def _blocked_top_k(corpus, queries, k, exclude_same, schema):
     def compare(a, b):
         import pandas as pd
-        if len(a) == 0 or len(b) == 0:
-            return pd.DataFrame({"qid": [], "id": [], "sim": []}).astype({"qid": "int64", "id": "int64", "sim": "float64"})
         ids = a["id"].to_numpy()
-        sims = np.stack(a["vec"].to_list()).astype(np.float64) @ np.stack(b["qvec"].to_list()).astype(np.float64).T
-        out = []
+        order = ids if ids.dtype != object else ids.astype(str)
+        sims = _stack(a["vec"]) @ _stack(b["qvec"]).T
         for j, q in enumerate(b["qid"]):
             keep = np.flatnonzero(ids != q) if exclude_same else np.arange(len(ids))
-            at = keep[_best(sims[keep, j], ids[keep], k)]
-            out.append(pd.DataFrame({"qid": q, "id": ids[at], "sim": sims[at, j]}))
-        return pd.concat(out)
+            at = keep[_best(sims[keep, j], order[keep], k)]
+            yield pd.DataFrame({"qid": q, "id": ids[at], "sim": sims[at, j]})
+
+    return _blockwise(corpus.select("id", "vec"), queries.select("qid", "qvec"), ["qid"], lambda a, b: list(compare(a, b)), schema)
+
 
-    return (left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block"))
-            .applyInPandas(compare, "qid bigint, id bigint, sim double"))
+def _by_persona(names, vectors):
+    """Persona to the rows of its facets."""
+    names = np.array(names, dtype=object)
+    return {p: np.flatnonzero(names == p) for p in sorted(set(names.tolist()))}, np.array(vectors, dtype=np.float64)
 
 
 def best_facet_top(corpus: DataFrame, facets: DataFrame, per_stratum: int) -> DataFrame:
     """For each persona, the `per_stratum` best rows in each of its strata, where a row's
     similarity is the best over the persona's facets.
 
-    corpus: id, vec, stratum. facets: persona, vec, strata (allowed). The facet set is a
-    persona table and is checked to be small; a larger one is worked through in shards."""
-    rows = facets.select("persona", "vec", "strata").limit(QUERY_BOUND + 1).collect()
-    if len(rows) > QUERY_BOUND:
-        if len({r.persona for r in rows}) == 1:
-            raise ValueError(f"one persona has more than {QUERY_BOUND} facets")
-        shards = math.ceil(facets.count() / (QUERY_BOUND // 2))
-        mine = F.pmod(F.xxhash64("persona"), F.lit(shards)).cast("int")
-        parts = [best_facet_top(corpus, facets.where(mine == s), per_stratum) for s in range(shards)]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
-    names = sorted({r.persona for r in rows})
-    vectors = {p: np.array([r.vec for r in rows if r.persona == p], dtype=np.float64) for p in names}
-    allowed = {p: set().union(*[r.strata for r in rows if r.persona == p]) for p in names}
+    corpus: id, vec, stratum. facets: persona, vec, strata (allowed; a persona's facets share
+    them). A small facet set is sent to every task. A larger one, also one persona with very many
+    facets, is cut into shards that meet the corpus block by block: a row among the best of
+    a persona is among the best of the shard that holds its closest facet."""
+    rows = _small_queries(facets, ["persona", "vec", "strata"])
+    schema = "persona string, stratum string, " + _types(corpus, id="id") + ", sim double"
 
-    def scan(batches):
-        top = _LocalTop(per_stratum)
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            ids = batch.column("id").to_numpy(zero_copy_only=False)
-            strata = batch.column("stratum").to_numpy(zero_copy_only=False)
-            matrix = _matrix(batch.column("vec"))
-            for p in names:
-                sims = (matrix @ vectors[p].T).max(axis=1)
-                for s in set(strata) & allowed[p]:
-                    at = strata == s
-                    top.offer((p, s), sims[at], ids[at])
-        for (p, s), (sims, ids) in top.kept.items():
-            n = len(ids)
-            yield pa.RecordBatch.from_arrays([pa.array([p] * n), pa.array([s] * n), pa.array(ids.astype(np.int64)), pa.array(sims)],
-                                             ["persona", "stratum", "id", "sim"])
-
-    local = corpus.select("id", "vec", "stratum").mapInArrow(scan, "persona string, stratum string, id bigint, sim double")
+    def offer_all(top, groups, vectors, allowed, ids, strata, matrix):
+        for p, at in groups.items():
+            sims = (matrix @ vectors[at].T).max(axis=1)
+            for s in set(strata.tolist()) & allowed[p]:
+                here = strata == s
+                top.offer((p, s), sims[here], ids[here])
+
+    if rows is not None:
+        groups, vectors = _by_persona([r.persona for r in rows], [r.vec for r in rows])
+        allowed = {p: set().union(*[rows[i].strata for i in at]) for p, at in groups.items()}
+
+        def scan(batches):
+            top, kind = _LocalTop(per_stratum), None
+            for batch in batches:
+                if batch.num_rows:
+                    kind = batch.column("id").type
+                    offer_all(top, groups, vectors, allowed, _ids(batch.column("id")), np.array(batch.column("stratum").to_pylist(), dtype=object), _matrix(batch.column("vec")))
+            for (p, s), (sims, ids) in top.kept.items():
+                yield pa.RecordBatch.from_arrays([pa.array([p] * len(ids)), pa.array([s] * len(ids)), pa.array(ids.tolist(), kind), pa.array(sims)],
+                                                 ["persona", "stratum", "id", "sim"])
+        local = corpus.select("id", "vec", "stratum").mapInArrow(scan, schema)
+    else:
+        def compare(a, b):
+            import pandas as pd
+            groups, vectors = _by_persona(b["persona"], b["vec"].to_list())
+            allowed = {p: set(b["strata"].iloc[at[0]]) for p, at in groups.items()}
+            top, ids = _LocalTop(per_stratum), a["id"].to_numpy()
+            offer_all(top, groups, vectors, allowed, ids if ids.dtype != object else ids.astype(str), a["stratum"].to_numpy(), _stack(a["vec"]))
+            return [pd.DataFrame({"persona": p, "stratum": s, "id": kept, "sim": sims}) for (p, s), (sims, kept) in top.kept.items()]
+        strata = facets.groupBy("persona").agg(F.array_distinct(F.flatten(F.collect_set("strata"))).alias("strata"))
+        asked = facets.select("persona", "vec").join(strata, "persona")
+        parts = _blockwise(corpus.select("id", "vec", "stratum"), asked, ["persona", "vec"], compare, schema)
+        local = parts.groupBy("persona", "stratum", "id").agg(F.max("sim").alias("sim"))
     w = Window.partitionBy("persona", "stratum").orderBy(F.desc("sim"), "id")
     return local.withColumn("place", F.row_number().over(w)).where(c("place") <= per_stratum)
 
 
 def facet_similarity(corpus: DataFrame, facets: DataFrame) -> DataFrame:
-    """Every row's best similarity over each persona's facets, row by row as batches pass."""
+    """Every row's best similarity over each persona's facets, row by row as batches pass, or
+    block by block where the facets are many."""
     rows = _small_queries(facets, ["persona", "vec"])
+    schema = "persona string, " + _types(corpus, id="id") + ", sim double"
     if rows is None:
-        raise ValueError(f"more than {QUERY_BOUND} facets; use best_facet_top")
-    names = sorted({r.persona for r in rows})
-    vectors = {p: np.array([r.vec for r in rows if r.persona == p], dtype=np.float64) for p in names}
+        def compare(a, b):
+            import pandas as pd
+            groups, vectors = _by_persona(b["persona"], b["vec"].to_list())
+            matrix = _stack(a["vec"])
+            return [pd.DataFrame({"persona": p, "id": a["id"].to_numpy(), "sim": (matrix @ vectors[at].T).max(axis=1)}) for p, at in groups.items()]
+        parts = _blockwise(corpus.select("id", "vec"), facets.select("persona", "vec"), ["persona", "vec"], compare, schema)
+        return parts.groupBy("persona", "id").agg(F.max("sim").alias("sim"))
+    groups, vectors = _by_persona([r.persona for r in rows], [r.vec for r in rows])
 
     def scan(batches):
         for batch in batches:
             if batch.num_rows:
                 matrix = _matrix(batch.column("vec"))
-                for p in names:
-                    yield pa.RecordBatch.from_arrays([pa.array([p] * batch.num_rows), batch.column("id"), pa.array((matrix @ vectors[p].T).max(axis=1))],
+                for p, at in groups.items():
+                    yield pa.RecordBatch.from_arrays([pa.array([p] * batch.num_rows), batch.column("id"), pa.array((matrix @ vectors[at].T).max(axis=1))],
                                                      ["persona", "id", "sim"])
 
-    return corpus.select("id", "vec").mapInArrow(scan, "persona string, id bigint, sim double")
+    return corpus.select("id", "vec").mapInArrow(scan, schema)
 
 
 def best_prototype(corpus: DataFrame, prototypes: DataFrame) -> DataFrame:
-    """Per row the closest prototype (first one wins ties) and its similarity. Prototypes
-    (name, vec) are one per domain; their number is checked."""
+    """Per row the closest prototype (name, vec) and its similarity; the first name wins ties.
+    Many prototypes are worked through block by block."""
     rows = _small_queries(prototypes, ["name", "vec"])
+    schema = _types(corpus, id="id") + ", name string, sim double"
+
+    def closest(names, vectors, matrix):
+        order = np.argsort(np.array(names, dtype=str), kind="stable")
+        sims = matrix @ vectors[order].T
+        at = sims.argmax(axis=1)
+        return np.array(names, dtype=object)[order][at], sims[np.arange(len(at)), at]
+
     if rows is None:
-        raise ValueError(f"more than {QUERY_BOUND} prototypes; use top_k with k=1")
-    rows = sorted(rows, key=lambda r: r.name)
-    names = np.array([r.name for r in rows], dtype=object)
-    matrix = np.array([r.vec for r in rows], dtype=np.float64)
+        def compare(a, b):
+            import pandas as pd
+            names, sims = closest(b["name"].to_list(), _stack(b["vec"]), _stack(a["vec"]))
+            return [pd.DataFrame({"id": a["id"].to_numpy(), "name": names, "sim": sims})]
+        parts = _blockwise(corpus.select("id", "vec"), prototypes.select("name", "vec"), ["name"], compare, schema)
+        best = parts.groupBy("id").agg(F.min(F.struct((-c("sim")).alias("s"), "name")).alias("b"))
+        return best.select("id", "b.name", (-c("b.s")).alias("sim"))
+    names = [r.name for r in rows]
+    vectors = np.array([r.vec for r in rows], dtype=np.float64)
 
     def scan(batches):
         for batch in batches:
             if batch.num_rows:
-                sims = _matrix(batch.column("vec")) @ matrix.T
-                at = sims.argmax(axis=1)
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(list(names[at]), pa.string()), pa.array(sims[np.arange(len(at)), at])],
-                                                 ["id", "name", "sim"])
+                found, sims = closest(names, vectors, _matrix(batch.column("vec")))
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(list(found), pa.string()), pa.array(sims)], ["id", "name", "sim"])
 
-    return corpus.select("id", "vec").mapInArrow(scan, "id bigint, name string, sim double")
+    return corpus.select("id", "vec").mapInArrow(scan, schema)
 
 
 def centroids(df: DataFrame, key: str, vec: str) -> DataFrame:
@@ -261,7 +318,7 @@ def similar_pairs(reps: DataFrame, threshold: float) -> DataFrame:
                 [pa.array(np.concatenate([home, cell]).astype(np.int32)), pa.array(np.concatenate([np.ones(len(home), bool), np.zeros(len(r), bool)])),
                  batch.column("id").take(pa.array(rows)), batch.column("vec").take(pa.array(rows))], ["cell", "home", "id", "vec"])
 
-    placed = reps.mapInArrow(place, "cell int, home boolean, id bigint, vec array<float>")
+    placed = reps.mapInArrow(place, "cell int, home boolean, " + _types(reps, id="id", vec="vec"))
     sizes = placed.groupBy("cell").agg(F.count_if("home").alias("homes"), F.count_if(~c("home")).alias("guests"))
     placed = placed.join(F.broadcast(sizes), "cell")                                        # one row per anchor
     parts = lambda size: F.greatest(F.lit(1), F.ceil(c(size) / BLOCK_ROWS)).cast("int")
@@ -282,7 +339,7 @@ def similar_pairs(reps: DataFrame, threshold: float) -> DataFrame:
 
     def compare(pdf):
         import pandas as pd
-        empty = pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"), "sim": pd.Series(dtype="float64")})
+        empty = pd.DataFrame({"a": [], "b": [], "sim": []})
         same = pdf["kind"].iat[0] == "h" and pdf["p"].iat[0] == pdf["q"].iat[0]
         left = pdf[pdf["side"] == "L"]
         right = left if same else pdf[pdf["side"] == "R"]
@@ -299,7 +356,7 @@ def similar_pairs(reps: DataFrame, threshold: float) -> DataFrame:
             found.append(pd.DataFrame({"a": np.minimum(x, y)[keep], "b": np.maximum(x, y)[keep], "sim": sims[i, j][keep]}))
         return pd.concat(found) if found else empty
 
-    return work.groupBy("cell", "kind", "p", "q").applyInPandas(compare, "a bigint, b bigint, sim double")
+    return work.groupBy("cell", "kind", "p", "q").applyInPandas(compare, _types(reps, a="id", b="id") + ", sim double")
 
 
 def greedy_drops(pairs: DataFrame) -> DataFrame:
