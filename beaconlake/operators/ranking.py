@@ -87,8 +87,8 @@ def why(drivers, mode, effort_min):
     return F.concat(F.when(text == "", "weak match").otherwise(text), tail)
 
 
-def by_impact(scored: DataFrame, n=1 << 30) -> DataFrame:
-    return tr.top_n(scored, ["persona"], [F.desc("impact"), F.desc("sim"), c("id")], n, "place")
+def by_impact(scored: DataFrame) -> DataFrame:
+    return tr.numbered(scored, ["persona"], [F.desc("impact"), F.desc("sim"), c("id")], "place")
 
 
 def diversified(ranked: DataFrame, k: int, lam: float) -> DataFrame:

@@ -21,10 +21,10 @@ def outside_related(related: DataFrame, scopes: DataFrame, n=4) -> DataFrame:
     return tr.top_n(best, ["scope"], [F.desc("sim"), c("other")], n)
 
 
-def merged_terms(top_terms: DataFrame, scopes: DataFrame) -> DataFrame:
-    """Per scope and term, the sum over the domains' own top lists (as those lists are cut,
-    a rare term may come out lower than its full count)."""
-    return tr.scoped(top_terms, scopes).groupBy("scope", "term").agg(F.sum("n").alias("n"))
+def merged_terms(counts: DataFrame, scopes: DataFrame) -> DataFrame:
+    """Per scope and term, the sum over the domains' counts. counts: domain, term, n, one row for
+    each term of a domain; give it cut lists to sum only those."""
+    return tr.scoped(counts, scopes).groupBy("scope", "term").agg(F.sum("n").alias("n"))
 
 
 def merged_communities(top: DataFrame, scopes: DataFrame, n=6) -> DataFrame:

@@ -5,7 +5,7 @@ from beaconlake import lexicon as lx
 from beaconlake.session import checkpointed
 
 c = F.col
-VOCABULARY = 40000      # fixed value: largest vocabulary
+VOCABULARY = 40000      # fixed value: default size; a vocabulary up to it is sent to every task
 
 
 def term_list(text):
@@ -39,13 +39,15 @@ def search(docs: DataFrame, queries: DataFrame, size=VOCABULARY) -> DataFrame:
     """Cosine of every (query, document) pair that shares a term. docs: id, text;
     queries: qid, text.
 
-    The documents are shuffled once, as whole texts by id; counts, lengths and dots then stay
-    where they are. The vocabulary has a fixed largest size, so it is broadcast."""
-    counts = term_counts(docs.repartition("id"), "id", "text")
-    vocab = vocabulary(counts, docs.agg(F.count(F.lit(1))), min(size, VOCABULARY))
-    asked = checkpointed(unit_weights(term_counts(queries, "qid", "text"), F.broadcast(vocab), "qid").withColumnRenamed("w", "qw"))
+    The documents are shuffled and cut into terms once: the counts are stored, and used for the
+    vocabulary and for the weights. A vocabulary of up to 40,000 terms is broadcast, a larger one
+    joined as Spark sees fit."""
+    counts = checkpointed(term_counts(docs.repartition("id"), "id", "text"))
+    vocab = vocabulary(counts, docs.agg(F.count(F.lit(1))), size)
+    sent = F.broadcast if size <= VOCABULARY else (lambda df: df)
+    asked = checkpointed(unit_weights(term_counts(queries, "qid", "text"), sent(vocab), "qid").withColumnRenamed("w", "qw"))
     marked = vocab.join(asked.select("term", F.lit(True).alias("asked")).distinct(), "term", "left")
-    weighted = counts.join(F.broadcast(marked), "term").select("id", "term", "asked", (c("tf") * c("idf")).alias("w"))
+    weighted = counts.join(sent(marked), "term").select("id", "term", "asked", (c("tf") * c("idf")).alias("w"))
     per_doc = weighted.groupBy("id").agg(F.sqrt(F.sum(c("w") * c("w"))).alias("len"), F.collect_list(F.when(c("asked"), F.struct("term", "w"))).alias("hits"))
     hits = per_doc.select("id", "len", F.inline("hits")).join(asked, "term")
     return hits.groupBy("qid", "id").agg((F.sum(c("w") * c("qw")) / F.max("len")).alias("sim"))

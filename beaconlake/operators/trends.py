@@ -103,9 +103,14 @@ def rolling_mean(weekly, since, domains=6, span=2):
     return full.select("domain", "week", "n", F.avg("n").over(w).alias("smooth"))
 
 
+def numbered(df, keys, order, out="position"):
+    """Every row with its place in its key."""
+    return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
+
 def top_n(df, keys, order, n, out="position"):
     """First n rows per key; Spark cuts each task's rows to n before the shuffle."""
-    return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(c(out) <= n)
+    return numbered(df, keys, order, out).where(c(out) <= n)
 
 
 def term_counts(items):

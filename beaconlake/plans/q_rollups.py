@@ -37,15 +37,15 @@ def view(spark, d):
     # One pass each over rows and terms; everything after works on per-domain summaries.
     weekly = checkpointed(tr.weekly_counts(a))
     sizes = a.where("domain <> ''").groupBy("domain").agg(qt.N().alias("n"))
-    terms = checkpointed(ru.merged_terms(qt.top_terms(spark, d), scopes))
+    terms = checkpointed(ru.merged_terms(tr.term_counts(items(spark, d)), scopes))
     cards = tr.scoped(tr.momentum(tr.share_grid(weekly)), scopes)
     cards = checkpointed(cards.withColumns({"label": qt.tx.domain_label(c("domain")), "direction": qt.nm.direction(c("delta_pp"))}))
     places = ru.merged_communities(qt.top_communities(spark, d).drop("position"), scopes)
     return ru.scope_view(cards, tr.scoped(sizes, scopes), terms, places, tr.narrative(cards))
 
 
-_VIEW = qt._GRID + qt.MOM + tb.scope_sql() + qt._MOVE + qt._WORDS + qt._TOPT + qt._TOPC + f""", nar AS ({qt.NARR}),
-tsum AS (SELECT scope, term, CAST(sum(n) AS BIGINT) AS n, row_number() OVER (PARTITION BY scope ORDER BY sum(n) DESC, term) AS p FROM top JOIN scope USING (domain) GROUP BY scope, term),
+_VIEW = qt._GRID + qt.MOM + tb.scope_sql() + qt._MOVE + qt._WORDS + qt._TOPC + f""", nar AS ({qt.NARR}),
+tsum AS (SELECT scope, term, CAST(sum(n) AS BIGINT) AS n, row_number() OVER (PARTITION BY scope ORDER BY sum(n) DESC, term) AS p FROM tc JOIN scope USING (domain) GROUP BY scope, term),
 dirs AS (SELECT *, CASE WHEN delta_pp > 0.1e0 THEN 'up' WHEN delta_pp < -0.1e0 THEN 'down' ELSE 'flat' END AS direction, row_number() OVER (PARTITION BY scope ORDER BY delta_pp DESC, domain) AS p FROM cards),
 pls AS (SELECT scope, community, row_number() OVER (PARTITION BY scope ORDER BY engagement DESC, community) AS p FROM (SELECT scope, community, engagement, row_number() OVER (PARTITION BY scope, community ORDER BY engagement DESC, domain) AS again FROM ct JOIN scope USING (domain)) q WHERE again = 1)"""
 _LISTS = """(SELECT scope, string_agg(domain || ':' || printf('%.2f', delta_pp) || ':' || direction, ' ' ORDER BY p) AS cards FROM dirs WHERE p <= {n} GROUP BY scope)"""

@@ -3,7 +3,7 @@ from pyspark.sql import Window, functions as F
 
 from beaconlake import lexicon as lx
 from beaconlake.functions import dates, numeric as nm, text as tx
-from beaconlake.operators import features as ft, ordered, sketches as sk, trends as tr
+from beaconlake.operators import rollup as ru, features as ft, ordered, sketches as sk, trends as tr
 from beaconlake.operators import personas as ps
 from beaconlake.plans import testbed as tb
 from beaconlake.plans.q_columns import Q6, TERMS, items, micro, prototypes
@@ -145,9 +145,11 @@ def top_terms(spark, d, n=30):
     return tr.top_n(tr.term_counts(items(spark, d)), ["domain"], [F.desc("n"), c("term")], n)
 
 
-@query("AGG-15", oracle("SELECT scope, term, CAST(sum(n) AS BIGINT) AS n FROM top JOIN scope USING (domain) GROUP BY scope, term", extra=_WORDS + _TOPT + tb.scope_sql()))
+@query("AGG-15", oracle("""SELECT scope, term, n, position FROM (SELECT scope, term, CAST(sum(n) AS BIGINT) AS n, row_number() OVER (PARTITION BY scope ORDER BY sum(n) DESC, term) AS position
+  FROM tc JOIN scope USING (domain) GROUP BY scope, term) t WHERE position <= 30""", extra=_WORDS + tb.scope_sql()))
 def scope_terms(spark, d):
-    return tr.scoped(top_terms(spark, d), tb.scopes(spark)).groupBy("scope", "term").agg(F.sum("n").alias("n"))
+    whole = ru.merged_terms(tr.term_counts(items(spark, d)), tb.scopes(spark))
+    return tr.top_n(whole, ["scope"], [F.desc("n"), c("term")], 30).select("scope", "term", "n", "position")
 
 
 _FRESH = tb.scope_sql(True) + ", ins AS (SELECT i.*, scope, breadth FROM item i JOIN scope USING (domain)), newest AS (SELECT scope, max(cts) AS newest FROM ins GROUP BY scope)"
@@ -445,7 +447,7 @@ def sample_per_domain(spark, d):
 @query("TOP-19", oracle("SELECT scope, domain, delta_pp, row_number() OVER (PARTITION BY scope ORDER BY delta_pp DESC, domain) AS position FROM mom JOIN scope USING (domain)", extra=_GRID + MOM + tb.scope_sql()))
 def top_movers(spark, d):
     m = tr.scoped(tr.momentum(tr.share_grid(doc_weekly(spark, d))), tb.scopes(spark))
-    return tr.top_n(m, ["scope"], [F.desc("delta_pp"), c("domain")], 1 << 30).select("scope", "domain", "delta_pp", "position")
+    return tr.numbered(m, ["scope"], [F.desc("delta_pp"), c("domain")]).select("scope", "domain", "delta_pp", "position")
 
 
 @query("TRD-02", oracle("SELECT domain, CASE WHEN delta_pp > 0.1e0 THEN 'up' WHEN delta_pp < -0.1e0 THEN 'down' ELSE 'flat' END AS direction FROM mom", extra=_GRID + MOM))

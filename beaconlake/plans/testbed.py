@@ -55,7 +55,7 @@ def opportunities(spark: SparkSession, folder: str) -> DataFrame:
         "cast(doc_id as string) as source_native_id",
         "case when source = 'github' then concat('https://github.com/org', sn, '/repo', n_chars % 7, '/issues/', doc_id)"
         " else concat('https://example.org/', source, '/', doc_id) end as url",
-        "case when source = 'bluesky' then '' else substring(split_part(text, '\\n', 1), 1, 120) end as title",
+        "case when source = 'bluesky' then '' else split_part(text, '\\n', 1) end as title",
         "text as body",
         "case source when 'github' then if(n_chars % 4 = 0, 'pull_request', 'issue') when 'devto' then 'article'"
         " when 'hackernews' then 'story' else 'post' end as opportunity_type",
@@ -99,7 +99,7 @@ src2 AS (SELECT *, CASE WHEN di = 15 THEN '' ELSE ({_DOM})[di + 1] END AS domain
 opp AS (SELECT sha1(source || ':' || doc_id) AS opportunity_id, source, CAST(doc_id AS VARCHAR) AS source_native_id,
   CASE WHEN source = 'github' THEN 'https://github.com/org' || sn || '/repo' || (n_chars % 7) || '/issues/' || doc_id
     ELSE 'https://example.org/' || source || '/' || doc_id END AS url,
-  CASE WHEN source = 'bluesky' THEN '' ELSE substr(split_part(text, chr(10), 1), 1, 120) END AS title,
+  CASE WHEN source = 'bluesky' THEN '' ELSE split_part(text, chr(10), 1) END AS title,
   text AS body,
   CASE source WHEN 'github' THEN CASE WHEN n_chars % 4 = 0 THEN 'pull_request' ELSE 'issue' END WHEN 'devto' THEN 'article'
     WHEN 'hackernews' THEN 'story' ELSE 'post' END AS opportunity_type,
