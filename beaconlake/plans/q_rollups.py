@@ -71,7 +71,7 @@ SESSIONS = [("nova", "u0", "p0"), ("otto", "u1", "p1"), ("iris", "u3", "p0"), ("
 _SES = ", ses AS (SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{u}', '{k}')" for p, u, k in SESSIONS) + ") t(scope, user_id, persona_key))"
 
 
-@query("TRD-03", ("WITH RECURSIVE " + tb.OPP + tb.FEAT + qr.CAND + qr._SPL + _VIEW + ", " + tb.FB + tb.LMS + _SES + f""", qt AS ({qr._QUOTA}), sm AS (SELECT user_id, persona_key, CASE WHEN up = '' AND dn = '' THEN 'Still learning what you respond to.'
+@query("TRD-03", ("WITH RECURSIVE " + tb.OPP + tb.FEAT + qr.CAND + qr._SPL + qr._PRIOR + qr._MMR30 + _VIEW + ", " + tb.FB + tb.LMS + _SES + f""", qt AS ({qr._QUOTA}), sm AS (SELECT user_id, persona_key, CASE WHEN up = '' AND dn = '' THEN 'Still learning what you respond to.'
     ELSE concat_ws('. ', CASE WHEN up <> '' THEN 'Priority: ' || up END, CASE WHEN dn <> '' THEN 'Non-priority: ' || dn END) || '.' END AS summary FROM
   (SELECT *, array_to_string(list_transform(list_slice(list_filter(list_reverse_sort(dl), lambda r: r.d > 0.02), 1, 2), lambda r: ({qs._LAB})[r.i]), ', ') AS up,
    array_to_string(list_transform(list_slice(list_filter(list_sort(dl), lambda r: r.d < -0.02), 1, 2), lambda r: ({qs._LAB})[r.i]), ', ') AS dn FROM (SELECT *, {qs._DEL} AS dl FROM fin) q) t)
