@@ -48,12 +48,18 @@ def append_stream(spark, d):
     return out.groupBy("event_type").agg(N().alias("n"), F.count_if(c("value") > 20).alias("large"))
 
 
+def shuffled(spark, events):
+    """The log in files that do not follow the order of clicks."""
+    path = scratch_path(spark, "clicks")
+    events.repartition(24, F.xxhash64("event_id")).sortWithinPartitions(F.xxhash64("event_id", F.lit("any order"))).write.parquet(path)
+    return path
+
+
 @query("STR-02-stream", W("SELECT user_id, persona_key, opportunity_id, status, saved, applied FROM st"))
 def disposition_stream(spark, d):
     src = tb.table(spark, d, "events")
-    s = tb.clicks(se.event_stream(spark, EVENTS.format(d), src.schema))
-    out = se.run_to_table(se.dispositions(s), "cards", fb.KEY, with_state=True)
-    return out
+    s = tb.clicks(se.event_stream(spark, shuffled(spark, src), src.schema, files=None))
+    return se.run_to_table(se.dispositions(s), "cards", fb.KEY, with_state=True)
 
 
 _WTS = "array_to_string(list_transform(w, lambda x: CAST(floor(x * 1e6 + 0.5) AS BIGINT)), ',')"
@@ -74,11 +80,10 @@ def learner(spark, d):
 
 @query("STR-03-stream", W(f"SELECT user_id, persona_key, mode, n, {_WTS} AS weights FROM fin", tb.LMS, True))
 def learner_stream(spark, d):
-    """Training steps written to a table and learned from as a stream."""
-    path = scratch_path(spark, "steps")
-    steps = fb.training_steps(log(spark, d))
-    steps.coalesce(1).write.parquet(path)
-    out = se.run_to_table(se.learners(se.event_stream(spark, path, steps.schema)), "learners", ["user_id", "persona_key"], with_state=True)
+    """Clicks streamed: dispositions first, then the learner, in one keyed state."""
+    src = tb.table(spark, d, "events")
+    s = tb.clicks(se.event_stream(spark, shuffled(spark, src), src.schema, files=None))
+    out = se.run_to_table(se.learners(s), "learners", ["user_id", "persona_key"], with_state=True)
     return out.withColumn("weights", shown(c("weights")))
 
 
@@ -207,14 +212,15 @@ def stream_dedup(spark, d):
     return out.groupBy("user_id", "event_type").agg(N().alias("n"))
 
 
-@query("STR-10", W("SELECT f.seq, CAST(len(COALESCE(s.signals, CAST([] AS DOUBLE[]))) AS INTEGER) AS known FROM fb f LEFT JOIN (SELECT user_id, persona_key, opportunity_id, arg_max(signals, seq) AS signals FROM fb WHERE action = 'open_detail' GROUP BY ALL) s USING (user_id, persona_key, opportunity_id)"))
+@query("STR-10", W("""SELECT f.seq, CAST(len(COALESCE(s.signals, CAST([] AS DOUBLE[]))) AS INTEGER) AS known, array_to_string(list_transform(COALESCE(s.signals, CAST([] AS DOUBLE[])), lambda x: CAST(floor(x * 1e6 + 0.5) AS BIGINT)), ',') AS signals
+  FROM fb f ASOF LEFT JOIN (SELECT user_id, persona_key, opportunity_id, seq, signals FROM fb WHERE action = 'open_detail') s
+  ON f.user_id = s.user_id AND f.persona_key = s.persona_key AND f.opportunity_id = s.opportunity_id AND f.seq > s.seq"""))
 def session_context(spark, d):
-    """A stream of clicks joined to the stored snapshot of what was shown."""
+    """A stream of clicks joined to the snapshot that was shown last before each."""
     src = tb.table(spark, d, "events")
-    shown_ = log(spark, d).where("action = 'open_detail'").groupBy(*fb.KEY).agg(F.max_by("signals", "seq").alias("signals"))
     s = tb.clicks(se.event_stream(spark, EVENTS.format(d), src.schema)).drop("signals")
-    out = se.with_context(s, shown_, fb.KEY).select("seq", F.size("signals").alias("known"))
-    return se.run_to_table(out, "context")
+    out = se.with_context(s, se.snapshots(log(spark, d), fb.KEY), fb.KEY)
+    return se.run_to_table(out.select("seq", F.size("signals").alias("known"), shown(c("signals")).alias("signals")), "context")
 
 
 @query("STR-11", """SELECT strftime(week, '%Y-%m-%d') AS week, event_type AS domain, count(*) AS n, true AS within_bound FROM (SELECT *, date_trunc('week', ts)::DATE AS week FROM events) t

@@ -3,6 +3,7 @@ import random
 from datetime import datetime, timedelta
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from beaconlake import lexicon as lx
@@ -85,17 +86,58 @@ def test_stream_in_many_batches_equals_batch(spark):
     assert {(r.user_id, r.persona_key, r.opportunity_id): (r.status, r.saved, r.applied) for r in got} == {k: (v["status"], v["saved"], v["applied"]) for k, v in state.items()}
 
 
-def test_learner_stream_equals_batch(spark):
-    df = spark.createDataFrame(log(500, 5), SCHEMA)
-    path = scratch_path(spark, "steps")
-    steps = fb.training_steps(df)
-    steps.orderBy("seq").coalesce(1).write.parquet(path)
-    got = se.run_to_table(se.learners(spark.readStream.schema(steps.schema).parquet(path)), "l", ["user_id", "persona_key"], with_state=True)
-    a = {r.user_id: (r.mode, r.n, r.weights) for r in got.collect()}
-    b = {r.user_id: (r.mode, r.n, r.weights) for r in fb.learned_weights(steps).collect()}
+@pytest.fixture
+def small_batches(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "10")
+    yield
+    spark.conf.set(name, before)
+
+
+def as_files(spark, rows, files):
+    path = scratch_path(spark, "clicks")
+    rows = list(rows)
+    random.Random(5).shuffle(rows)
+    for i in range(files):
+        spark.createDataFrame(rows[i::files], SCHEMA).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def test_streams_do_not_depend_on_the_order_of_files(spark, small_batches):
+    rows = log(600, 5)
+    rows += [(1000 + i, rows[i][1], "u0", "p", "hot", ["engage", "dismiss", "undo", "save", "unsave"][i * 7 % 5], *rows[i][6:]) for i in range(200)]
+    path = as_files(spark, rows, 6)
+    df = spark.createDataFrame(rows, SCHEMA)
+    stream = lambda: se.event_stream(spark, path, df.schema, files=None)
+    state, _ = simulate(rows)
+    cards = se.run_to_table(se.dispositions(stream()), "c", fb.KEY, with_state=True).collect()
+    assert {(r.user_id, r.persona_key, r.opportunity_id): (r.status, r.saved, r.applied) for r in cards} == {k: (v["status"], v["saved"], v["applied"]) for k, v in state.items()}
+    got = se.run_to_table(se.learners(stream()), "l", ["user_id", "persona_key"], with_state=True)
+    a = {(r.user_id, r.persona_key): (r.mode, r.n, r.weights) for r in got.collect()}
+    b = {(r.user_id, r.persona_key): (r.mode, r.n, r.weights) for r in fb.learned_weights(fb.training_steps(df)).collect()}
     assert a.keys() == b.keys() and all(a[k][:2] == b[k][:2] and np.allclose(a[k][2], b[k][2]) for k in a)
 
 
+def test_triggers_in_order_equal_one_and_late_clicks_are_left_out(spark, small_batches):
+    rows = log(400, 7)
+    late = [(-1 - i, *r[1:5], "dismiss", *r[6:]) for i, r in enumerate(rows[:5])]
+    path = scratch_path(spark, "clicks")
+    for part in (rows[:150], rows[150:300], rows[300:], late):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(path)
+    got = se.run_to_table(se.learners(se.event_stream(spark, path, spark.createDataFrame(rows, SCHEMA).schema, files=1)), "l", ["user_id", "persona_key"], with_state=True)
+    want = {(r.user_id, r.persona_key): (r.mode, r.n) for r in fb.learned_weights(fb.training_steps(spark.createDataFrame(rows, SCHEMA))).collect()}
+    assert {(r.user_id, r.persona_key): (r.mode, r.n) for r in got.collect()} == want
+
+
+def test_context_is_what_was_shown_before_the_click(spark):
+    keys = ["user_id"]
+    log_ = spark.createDataFrame([("u", "open_detail", 2, [0.1]), ("u", "open_detail", 6, [0.2]), ("v", "open_detail", 9, [0.3])], "user_id string, action string, seq long, signals array<double>")
+    clicks = spark.createDataFrame([("u", s) for s in (1, 2, 3, 6, 7, 50)] + [("v", 9), ("v", 10), ("w", 1)], "user_id string, seq long")
+    got = {(r.user_id, r.seq): r.signals for r in se.with_context(clicks, se.snapshots(log_, keys), keys).collect()}
+    assert got == {("u", 1): [], ("u", 2): [], ("u", 3): [0.1], ("u", 6): [0.1], ("u", 7): [0.2], ("u", 50): [0.2], ("v", 9): [], ("v", 10): [0.3], ("w", 1): []}
+
+
 def test_accounts_ignore_case_and_space(spark):
     df = spark.createDataFrame([("a", "Ada  Lovelace", 1.0), ("b", "ada lovelace ", 2.0), ("c", "Bo", 3.0)], "user_id string, name string, created_at double")
     assert {(r.user_id, r.name) for r in fb.accounts(df).collect()} == {("a", "Ada Lovelace"), ("c", "Bo")}
