@@ -1,9 +1,8 @@
 """Mergeable approximate aggregates, all combined on the map side."""
-import math
-
 from pyspark.sql import DataFrame, functions as F
 
 LG_K = 14
+TRACKED = 16384         # items a frequency sketch holds: estimates stay within 3.5 / 16384 of the stream
 
 
 def reach_sketches(rows: DataFrame, keys, value="author") -> DataFrame:
@@ -17,61 +16,13 @@ def merged_reach(sketches: DataFrame, keys) -> DataFrame:
     return sketches.groupBy(*keys).agg(whole) if keys else sketches.agg(whole)
 
 
-def cms_shape(eps=5e-4, delta=0.01):
-    return math.ceil(math.e / eps), math.ceil(math.log(1 / delta))
-
-
-def _cells(rows, item, width, depth):
-    spots = F.array(*[F.struct(F.lit(i).alias("row"), F.pmod(F.xxhash64(F.col(item), F.lit(i)), F.lit(width)).alias("cell"))
-                      for i in range(depth)])
-    return rows.select("*", F.inline(spots))
-
-
-def count_min_table(rows: DataFrame, item: str, eps=5e-4, delta=0.01) -> DataFrame:
-    """Count-min sketch as a (row, cell, total) table: at most width x depth rows, merged by
-    adding totals."""
-    width, depth = cms_shape(eps, delta)
-    return _cells(rows.select(item), item, width, depth).groupBy("row", "cell").agg(F.count(F.lit(1)).alias("total"))
-
-
-def merge_count_min(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.unionByName(b).groupBy("row", "cell").agg(F.sum("total").alias("total"))
-
-
-def count_min_estimates(sketch: DataFrame, items: DataFrame, item: str, eps=5e-4, delta=0.01) -> DataFrame:
-    """Estimated count of each asked item: the smallest of its cells, never too low."""
-    width, depth = cms_shape(eps, delta)
-    asked = _cells(items, item, width, depth).join(sketch, ["row", "cell"], "left")
-    keep = [x for x in items.columns]
-    return asked.groupBy(*keep).agg(F.min(F.coalesce("total", F.lit(0))).alias("estimate"))
-
-
-def bloom_shape(n, p=0.01):
-    bits = max(8, math.ceil(-n * math.log(p) / math.log(2) ** 2))
-    return bits, max(1, round(bits / n * math.log(2)))
-
-
-def _bloom_bits(rows, key, bits, hashes):
-    size = F.lit(bits).cast("bigint")
-    a, b = F.pmod(F.xxhash64(F.col(key)), size), F.pmod(F.xxhash64(F.col(key), F.lit("second")), size)
-    spots = F.array(*[F.pmod(a + F.lit(i) * b, size) for i in range(hashes)])
-    return rows.select("*", F.explode(spots).alias("bit"))
-
-
-def bloom_table(rows: DataFrame, key: str, expected: int, p=0.01) -> DataFrame:
-    """Membership filter as the distinct set bits, packed into 32 KiB bitmaps."""
-    bits, hashes = bloom_shape(expected, p)
-    spots = _bloom_bits(rows.select(key), key, bits, hashes)
-    return spots.groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bitmap"))
+def frequency_sketches(rows: DataFrame, keys, item: str, tracked=TRACKED) -> DataFrame:
+    """One sketch of the frequent items per key; sketches of parts combine."""
+    sketch = F.expr(f"approx_top_k_accumulate({item}, {tracked})").alias("sketch")
+    return rows.groupBy(*keys).agg(sketch) if keys else rows.agg(sketch)
 
 
-def might_contain(filter_table: DataFrame, rows: DataFrame, key: str, expected: int, p=0.01) -> DataFrame:
-    """Adds `maybe`: False only for keys that were surely not added."""
-    bits, hashes = bloom_shape(expected, p)
-    asked = _bloom_bits(rows, key, bits, hashes).withColumn("bucket", F.bitmap_bucket_number("bit"))
-    got = asked.join(filter_table, "bucket", "left")
-    at = F.bitmap_bit_position("bit")
-    byte = F.conv(F.hex(F.substring(F.col("bitmap"), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    hit = F.when(F.col("bitmap").isNull(), False).otherwise(F.pmod(F.floor(byte / F.pow(F.lit(2), at % 8)), F.lit(2)) == 1)
-    return got.groupBy(*rows.columns).agg(F.min(hit).alias("maybe"))
+def frequent(sketches: DataFrame, k: int, item: str) -> DataFrame:
+    """(item, estimate) of the k most frequent items over all sketches together."""
+    top = F.expr(f"approx_top_k_estimate(approx_top_k_combine(sketch), {k})")
+    return sketches.agg(top.alias("top")).select(F.inline("top")).select(F.col("item").alias(item), F.col("count").alias("estimate"))

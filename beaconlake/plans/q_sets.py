@@ -2,7 +2,7 @@
 from pyspark.sql import functions as F
 
 from beaconlake import lexicon as lx
-from beaconlake.operators import features as ft, sketches as sk, trends as tr
+from beaconlake.operators import features as ft, trends as tr
 from beaconlake.plans import testbed as tb
 from beaconlake.plans.q_columns import items
 from beaconlake.plans.q_sources import LAB, chunk_files, VALID, labelled, verdicts
@@ -113,16 +113,14 @@ def exact_dedup(spark, d):
     return si.first_arrivals(docs, "key", "doc_id").drop("key")
 
 
-@query("SET-06", oracle("SELECT count(*) AS asked, (SELECT count(*) FROM opp WHERE doc_id IN (SELECT doc_id FROM labels)) AS members, true AS no_false_negative, true AS few_false_positives FROM opp"))
-def bloom_membership(spark, d):
-    members = labelled(spark, d).select("opportunity_id")
-    expected = max(1, members.count())
-    table = sk.bloom_table(members, "opportunity_id", expected)
-    asked = tb.opportunities(spark, d).select("opportunity_id").join(members.withColumn("inside", F.lit(True)), "opportunity_id", "left")
-    got = sk.might_contain(table, asked, "opportunity_id", expected)
-    inside = F.coalesce("inside", F.lit(False))
-    return got.agg(N().alias("asked"), F.count_if(inside).alias("members"), (F.count_if(inside & ~c("maybe")) == 0).alias("no_false_negative"),
-                   (F.count_if(~inside & c("maybe")) <= F.greatest(F.lit(3), F.count_if(~inside) * 0.05)).alias("few_false_positives"))
+@query("SET-06", oracle("SELECT source, count(*) AS asked, count(*) FILTER (doc_id IN (SELECT doc_id FROM labels)) AS members, count(*) FILTER (doc_id NOT IN (SELECT doc_id FROM labels)) AS others FROM opp GROUP BY source"))
+def membership(spark, d):
+    """Which rows are in a given set: plain semi and anti joins, which Spark filters at run time."""
+    members = labelled(spark, d).select("opportunity_id").distinct()
+    asked = tb.opportunities(spark, d).select("opportunity_id", "source")
+    inside = asked.join(members, "opportunity_id", "left_semi").withColumn("member", F.lit(1))
+    rows = inside.unionByName(asked.join(members, "opportunity_id", "left_anti").withColumn("member", F.lit(0)))
+    return rows.groupBy("source").agg(N().alias("asked"), F.sum("member").cast("bigint").alias("members"), F.sum(1 - c("member")).cast("bigint").alias("others"))
 
 
 _OLD = "SELECT doc_id, 'old' AS v FROM labels WHERE quality = 1"
