@@ -38,18 +38,20 @@ def encoder(dims=64, encode_fn=None):
     return encode
 
 
-def overlap_scores(queries, texts):
-    """Share of a query's words that the text holds: the offline default pair scorer."""
-    out = np.zeros(len(texts))
-    for i, (q, t) in enumerate(zip(queries, texts)):
-        words = set(_WORD.findall((q or "").lower()))
-        out[i] = len(words & set(_WORD.findall((t or "").lower()))) / len(words) if words else 0.0
-    return out
+def overlap_score(query, text):
+    """Share of a query's different words that the text holds: the offline default pair scorer."""
+    words = lambda x: F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(x, F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
+    asked = words(query)
+    return F.when(F.size(asked) > 0, F.size(F.array_intersect(asked, words(text))) / F.size(asked)).otherwise(0.0)
 
 
 def pair_scorer(score_fn=None):
-    """Column function (query, text) -> relevance. `score_fn` replaces the default."""
+    """Column function (query, text) -> relevance. `score_fn(queries, texts) -> array` replaces the
+    default, which runs inside Spark."""
+    if score_fn is None:
+        return overlap_score
+
     @F.pandas_udf(DoubleType())
     def score(queries: pd.Series, texts: pd.Series) -> pd.Series:
-        return pd.Series((score_fn or overlap_scores)(queries.tolist(), texts.tolist()), dtype="float64")
+        return pd.Series(score_fn(queries.tolist(), texts.tolist()), dtype="float64")
     return score

@@ -123,7 +123,10 @@ _DISP = (f"CASE WHEN {_TRIM.format('title')} <> '' THEN {_TRIM.format('title')}
          f"ELSE substr({_ONE.format('body')}, 1, 90) END")
 
 
-@query("PRJ-12", oracle(f"SELECT opportunity_id, {_DISP} AS display, substr({_TRIM.format(_TRIM.format('title') + chr(32) + '|| chr(32) || body')}, 1, 400) AS pair,"
+PAIR_TEXT = f"substr({_TRIM.format(_TRIM.format('title') + chr(32) + '|| chr(32) || body')}, 1, 400)"
+
+
+@query("PRJ-12", oracle(f"SELECT opportunity_id, {_DISP} AS display, {PAIR_TEXT} AS pair,"
                         " length(substr(body, 1, 1600)) AS shown FROM opp"))
 def display_title(spark, d):
     return tb.opportunities(spark, d).select(

@@ -5,7 +5,7 @@ from beaconlake import lexicon as lx
 from beaconlake.functions import dates, numeric as nm, text as tx
 from beaconlake.operators import encode as en, evaluation as ev, features as ft, ordered, personas as ps, ranking as rk, sketches as sk, splits, tfidf, trends as tr, vectors as vx
 from beaconlake.plans import testbed as tb
-from beaconlake.plans.q_columns import PROTO, Q6, items, micro
+from beaconlake.plans.q_columns import PAIR_TEXT, PROTO, Q6, items, micro
 from beaconlake.plans.q_trends import N, act, near
 from beaconlake.plans.q_vectors import DOT, _FAC, corpus, facet_rows
 from beaconlake.plans.registry import query
@@ -221,18 +221,31 @@ def rank_in_bucket_order(spark, d):
     return quota(spark, d).select("persona", "id", "bucket", "rank")
 
 
-@query("TOP-17")
+# What a persona asks the pair scorer, and its score: the share of the asked words in the text.
+_ASK = ", ask AS (SELECT * FROM (VALUES " + ", ".join(
+    "('{}', '{}')".format(p[0], f"{p[3]}. Interests: {', '.join(p[2])}. {p[8]}".replace("'", "''")) for p in tb.PERSONAS) + ") t(persona, ask))"
+_WORDSET = "list_distinct(regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}_]+'))"
+_OVERLAP = f"len(list_intersect({_WORDSET.format('ask')}, {_WORDSET.format(PAIR_TEXT)})) / len({_WORDSET.format('ask')})::DOUBLE"
+_POOL = f""", pooled AS (SELECT * FROM (SELECT filt.*, ask, row_number() OVER (PARTITION BY persona ORDER BY sim DESC, id) AS d FROM filt JOIN ask USING (persona)) t WHERE d <= 120),
+pscore AS (SELECT persona, id, {_OVERLAP} AS rel FROM pooled)"""
+
+
+def asked(spark):
+    return people(spark).select(c("id").alias("persona"), ps.profile_text(c("goal"), c("interests"), c("skills")).alias("ask"))
+
+
+@query("TOP-17", O(f"""SELECT persona, id, {Q6.format(tb.clamp_sql('(rel - lo) / CASE WHEN hi = lo THEN 1e0 ELSE hi - lo END'))} AS relevance_micro FROM
+  (SELECT *, min(rel) OVER (PARTITION BY persona) AS lo, max(rel) OVER (PARTITION BY persona) AS hi FROM pscore) t""", _ASK + _POOL))
 def scorer_pool(spark, d):
     """Pair scorer on the best 120 candidates only."""
-    f = filtered(spark, d).join(F.broadcast(people(spark).select(c("id").alias("persona"), ps.profile_text(c("goal"), c("interests"), c("skills")).alias("ask"))), "persona")
-    got = rk.with_relevance(f, en.pair_scorer()(c("ask"), tx.pair_text(c("title"), c("body"))))
-    return rk.normalized_relevance(got).select("persona", "id", F.round("relevance", 6).alias("relevance"))
+    got = rk.with_relevance(filtered(spark, d).join(asked(spark), "persona"), en.pair_scorer()(c("ask"), tx.pair_text(c("title"), c("body"))))
+    return rk.normalized_relevance(got).select("persona", "id", micro(c("relevance")).alias("relevance_micro"))
 
 
-@query("UDF-02")
+@query("UDF-02", O(f"SELECT persona, id, {Q6.format(_OVERLAP)} AS score_micro FROM filt JOIN ask USING (persona)", _ASK))
 def pair_score(spark, d):
-    f = filtered(spark, d).join(F.broadcast(people(spark).select(c("id").alias("persona"), ps.profile_text(c("goal"), c("interests"), c("skills")).alias("ask"))), "persona")
-    return f.select("persona", "id", en.pair_scorer()(c("ask"), tx.pair_text(c("title"), c("body"))).alias("score"))
+    f = filtered(spark, d).join(asked(spark), "persona")
+    return f.select("persona", "id", micro(en.pair_scorer()(c("ask"), tx.pair_text(c("title"), c("body")))).alias("score_micro"))
 
 
 def mmr_sql(lam):
