@@ -156,6 +156,21 @@ def standout_lane(scored: DataFrame, n=3) -> DataFrame:
     return tr.top_n(rows, ["persona"], [F.desc("lane"), F.desc("sim"), c("id")], n, "position")
 
 
+def recommended(scored: DataFrame, vectors: DataFrame, k=10, lam=0.75) -> DataFrame:
+    """The end of the funnel: one row per persona with its size, the k picks in order (id, impact,
+    roi, why), the basket for the week and the standout lane. scored: from `with_scores`;
+    vectors: id, vec."""
+    ranked = by_impact(scored)
+    lists = lambda rows, place, value, out: rows.groupBy("persona").agg(F.transform(F.array_sort(F.collect_list(F.struct(place.alias("p"), value.alias("v")))), lambda x: x.v).alias(out))
+    picks = diversified(ranked.join(vectors, "id"), k, lam)
+    told = ranked.select("persona", "id", "impact", "roi", why(top_drivers(c("parts")), c("mode"), c("effort_min")).alias("why"))
+    items = lists(picks.join(told, ["persona", "id"]), c("rank"), F.struct("id", "impact", "roi", "why"), "items")
+    basket = lists(packed(ranked).join(ranked.select("persona", "id", "place"), ["persona", "id"]), c("place"), c("id"), "basket")
+    lane = lists(standout_lane(scored), c("position"), c("id"), "lane")
+    sizes = scored.groupBy("persona", "mode").agg(F.count(F.lit(1)).alias("n_candidates"))
+    return sizes.join(items, "persona").join(basket, "persona", "left").join(lane, "persona", "left")
+
+
 def bucket_quota(ranked: DataFrame, split: DataFrame) -> DataFrame:
     """About pct/10 of every ten items from each bucket, at least one, bucket by bucket.
     ranked: persona, id, place, bucket. split: persona, bucket, bucket_pos, pct."""

@@ -190,14 +190,18 @@ def split_rows(spark):
     return p.select(c("id").alias("persona"), F.posexplode("split").alias("bucket_pos", "pct"), names.alias("names")).withColumn("bucket", F.get("names", c("bucket_pos"))).drop("names")
 
 
+def priors(spark):
+    """(persona, bucket, prior) of the buckets a persona gives time to."""
+    p = people(spark).withColumn("prior", splits.bucket_prior(splits.recommended_split(c("mode"), F.lit("mid"))))
+    names = F.array(*[F.lit(b) for b in lx.BUCKETS])
+    return p.select(c("id").alias("persona"), F.inline(F.arrays_zip(names.alias("bucket"), c("prior")))).where("prior is not null")
+
+
 def prior_ranked(spark, d):
     """The ranked candidates with the prior of their bucket in impact and roi; a bucket set to
     zero has no candidates."""
-    p = people(spark).withColumn("prior", splits.bucket_prior(splits.recommended_split(c("mode"), F.lit("mid"))))
-    names = F.array(*[F.lit(b) for b in lx.BUCKETS])
-    each = p.select(c("id").alias("persona"), F.inline(F.arrays_zip(names.alias("bucket"), c("prior")))).where("prior is not null")
     rows = rk.normalized_relevance(rk.with_relevance(filtered(spark, d))).withColumn("bucket", nm.bucket_of(c("source")))
-    return rk.by_impact(rk.with_scores(rows.join(each, ["persona", "bucket"]), prior=c("prior")))
+    return rk.by_impact(rk.with_scores(rows.join(priors(spark), ["persona", "bucket"]), prior=c("prior")))
 
 
 def recommended(spark, d, k=30):
@@ -287,16 +291,6 @@ def weekly_basket(spark, d):
                                       F.sum(F.rint(c("impact") * 1000)).cast("bigint").alias("value"), F.array_join(chosen, " ").alias("ids"))
 
 
-@query("RNK-01", O(f"""SELECT m.persona, p.mode, m.rank, m.id, s.impact, s.roi, n.n_candidates FROM (SELECT persona, step AS rank, ids[pick] AS id FROM mmr WHERE step > 0) m
-  JOIN sc s ON s.persona = m.persona AND s.id = m.id JOIN pz p ON p.persona = m.persona JOIN (SELECT persona, count(*) AS n_candidates FROM sc GROUP BY persona) n ON n.persona = m.persona""", MMR.replace("{lam}", "0.75e0")).replace("WITH ", "WITH RECURSIVE ", 1))
-def recommend(spark, d):
-    """The whole funnel for every persona in one job."""
-    r = ranked_once(spark, d)
-    picked = rk.diversified(with_vectors(spark, d, r), 10, 0.75)
-    sizes = r.groupBy("persona").agg(N().alias("n_candidates"))
-    return picked.join(r.select("persona", "id", "mode", "impact", "roi"), ["persona", "id"]).join(sizes, "persona")
-
-
 @query("RNK-05", O(f"""SELECT persona, id, {Q6.format('1e0 / (60 + ra) + 1e0 / (60 + rb)')} AS fused_micro FROM (SELECT persona, id, row_number() OVER (PARTITION BY persona ORDER BY sim DESC, id) - 1 AS ra,
   row_number() OVER (PARTITION BY persona ORDER BY impact DESC, id) - 1 AS rb FROM sc) t"""))
 def fusion(spark, d):

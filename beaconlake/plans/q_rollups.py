@@ -2,7 +2,7 @@
 from pyspark.sql import functions as F
 
 from beaconlake import lexicon as lx
-from beaconlake.operators import feedback as fb, ranking as rk, rollup as ru, trends as tr, vectors as vx
+from beaconlake.operators import encode as en, feedback as fb, ranking as rk, rollup as ru, trends as tr, vectors as vx
 from beaconlake.plans import q_ranking as qr, q_state as qs, q_trends as qt, testbed as tb
 from beaconlake.plans.q_columns import items
 from beaconlake.plans.q_vectors import corpus
@@ -71,6 +71,38 @@ SESSIONS = [("nova", "u0", "p0"), ("otto", "u1", "p1"), ("iris", "u3", "p0"), ("
 _SES = ", ses AS (SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{u}', '{k}')" for p, u, k in SESSIONS) + ") t(scope, user_id, persona_key))"
 
 
+_FUNNEL = qr._ASK + qr._POOL + _SES + f""", lw AS (SELECT s.scope AS persona, f.mode AS learned_mode, f.w AS learned FROM ses s JOIN fin f ON f.user_id = s.user_id AND f.persona_key = s.persona_key WHERE f.n > 0),
+fx AS (SELECT q.*, {tb.clamp_sql('(rel - min(rel) OVER (PARTITION BY persona)) / CASE WHEN max(rel) OVER (PARTITION BY persona) = min(rel) OVER (PARTITION BY persona) THEN 1e0 ELSE max(rel) OVER (PARTITION BY persona) - min(rel) OVER (PARTITION BY persona) END')} AS relevance,
+  {qr._FIT} AS platform_fit, 1e0 - {tb.clamp_sql('effort_min / 240e0')} AS effort_fit, {tb.sql_case('source', lx.SOURCE_BUCKET, 'discuss')} AS bucket, CASE WHEN learned_mode = mode THEN learned ELSE {qr._W} END AS w
+  FROM (SELECT pooled.*, pscore.rel FROM pooled JOIN pscore USING (persona, id)) q LEFT JOIN lw USING (persona)),
+f0 AS (SELECT *, {qr._TOTAL} AS total, {qr._PARTS} AS parts FROM fx JOIN pri USING (persona, bucket)),
+f1 AS (SELECT *, total * CASE WHEN mode = 'contribute' THEN 0.45e0 + 0.55e0 * COALESCE(NULLIF(contribution_worth, 0), 0.5e0) ELSE 1e0 END AS imp FROM f0),
+f2 AS (SELECT * REPLACE ({tb.r_sql('impact * prior', 4)} AS impact, {tb.r_sql('roi * prior', 4)} AS roi) FROM (SELECT *, {tb.r_sql('imp', 4)} AS impact, {tb.r_sql(f"CASE WHEN {qr._AWARE} THEN imp / greatest(COALESCE(NULLIF(effort_min, 0), 30e0) / 60e0, 0.1e0) ELSE imp END", 4)} AS roi FROM f1) t),
+fk AS (SELECT *, row_number() OVER (PARTITION BY persona ORDER BY impact DESC, sim DESC, id) AS place, CASE WHEN y = '' THEN 'weak match' ELSE y END || CASE WHEN {qr._AWARE} THEN ' · ~' || printf('%.1f', {tb.r_sql('effort_min / 60e0', 1)}) || 'h to engage' ELSE ' · monitor only' END AS why
+  FROM (SELECT *, {qr._WHY} AS y FROM f2) t)""" + (qr.MMR.replace("{lam}", "0.75e0") + qr._PACK).replace("FROM rkd", "FROM fk") + """,
+fl AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY persona ORDER BY 0.6e0 * standout + 0.4e0 * relevance DESC, sim DESC, id) AS position FROM f2 WHERE source = 'github' AND mode IN ('contribute', 'discuss')) t WHERE position <= 3)"""
+
+
+@query("RNK-01", "WITH RECURSIVE " + tb.OPP + tb.FEAT + qr.CAND + qr._SPL + qr._PRIOR + ", " + tb.FB + tb.LMS + _FUNNEL + """ SELECT n.persona, n.mode, n_candidates, items, basket, lane FROM (SELECT persona, mode, count(*) AS n_candidates FROM fk GROUP BY persona, mode) n
+  JOIN (SELECT m.persona, string_agg(f.id || ':' || CAST(floor(f.impact * 1e4 + 0.5) AS BIGINT) || ':' || CAST(floor(f.roi * 1e4 + 0.5) AS BIGINT) || ':' || f.why, ' | ' ORDER BY step) AS items FROM mmr m JOIN fk f ON f.persona = m.persona AND f.id = m.ids[m.pick] WHERE step > 0 GROUP BY m.persona) i USING (persona)
+  LEFT JOIN (SELECT persona, string_agg(CAST(id AS VARCHAR), ' ' ORDER BY place) AS basket FROM basket GROUP BY persona) b USING (persona)
+  LEFT JOIN (SELECT persona, string_agg(CAST(id AS VARCHAR), ' ' ORDER BY position) AS lane FROM fl GROUP BY persona) l USING (persona)""")
+def recommend(spark, d):
+    """The whole funnel for every persona in one job: pair scorer on the pool, learned weights where
+    they fit the mode, the buckets' prior, picks, basket and lane."""
+    rows = qr.filtered(spark, d).join(qr.asked(spark), "persona")
+    rows = rk.normalized_relevance(rk.with_relevance(rows, en.pair_scorer()(c("ask"), qr.tx.pair_text(c("title"), c("body")))))
+    who = spark.createDataFrame(SESSIONS, "persona string, user_id string, persona_key string")
+    learned = who.join(qs.learned(spark, d).where("n > 0"), ["user_id", "persona_key"]).select("persona", c("mode").alias("learned_mode"), c("weights").alias("learned"))
+    rows = rows.withColumn("bucket", qt.nm.bucket_of(c("source"))).join(qr.priors(spark), ["persona", "bucket"]).join(learned, "persona", "left")
+    scored = rk.with_scores(rows, learned=F.when(c("learned_mode") == c("mode"), c("learned")), prior=c("prior"))
+    got = rk.recommended(checkpointed(scored), corpus(spark, d).select("id", "vec"))
+    whole = lambda x: F.floor(x * 1e4 + 0.5).cast("string")
+    shown = F.transform("items", lambda x: F.concat_ws(":", x.id.cast("string"), whole(x.impact), whole(x.roi), x.why))
+    ids = lambda name: F.when(c(name).isNotNull(), F.array_join(F.transform(name, lambda x: x.cast("string")), " ")).alias(name)
+    return got.select("persona", "mode", "n_candidates", F.array_join(shown, " | ").alias("items"), ids("basket"), ids("lane"))
+
+
 @query("TRD-03", ("WITH RECURSIVE " + tb.OPP + tb.FEAT + qr.CAND + qr._SPL + qr._PRIOR + qr._MMR30 + _VIEW + ", " + tb.FB + tb.LMS + _SES + f""", qt AS ({qr._QUOTA}), sm AS (SELECT user_id, persona_key, CASE WHEN up = '' AND dn = '' THEN 'Still learning what you respond to.'
     ELSE concat_ws('. ', CASE WHEN up <> '' THEN 'Priority: ' || up END, CASE WHEN dn <> '' THEN 'Non-priority: ' || dn END) || '.' END AS summary FROM
   (SELECT *, array_to_string(list_transform(list_slice(list_filter(list_reverse_sort(dl), lambda r: r.d > 0.02), 1, 2), lambda r: ({qs._LAB})[r.i]), ', ') AS up,
