@@ -65,6 +65,12 @@ def share_grid(weekly):
     return got.select("domain", "week", n.alias("n"), "total", (n / c("total")).alias("share"))
 
 
+def share_changes(grid):
+    """Every week of the grid with the change of its share against the week before, in points."""
+    before = F.lag("share", 1, 0.0).over(Window.partitionBy("domain").orderBy("week"))
+    return grid.withColumn("change_pp", (c("share") - before) * 100)
+
+
 def simple_momentum(weekly):
     """Share change against the domain's previous active week, in points."""
     total = F.sum("n").over(Window.partitionBy("week"))

@@ -6,8 +6,8 @@ from beaconlake import lexicon as lx, schema
 from beaconlake.functions import dates, jsontext
 from beaconlake.operators import encode as en, features as ft, profiling as pf, sketches as sk, trends as tr
 from beaconlake.plans import testbed as tb
-from beaconlake.plans.q_columns import items
-from beaconlake.plans.q_trends import N, act, near
+from beaconlake.plans.q_columns import items, micro
+from beaconlake.plans.q_trends import _GRID, N, act, near
 from beaconlake.plans.registry import query
 from beaconlake.plans.testbed import oracle
 from beaconlake.session import scratch_path
@@ -273,14 +273,25 @@ def feature_sink(spark, d):
     return si.overwrite(table, scratch_path(spark, "features")).select("opportunity_id", "popularity", "effort_min")
 
 
-@query("SRC-18", oracle("""SELECT 'distribution' AS result, domain, count(*) AS volume FROM item WHERE domain <> '' GROUP BY domain UNION ALL
-  SELECT 'communities', domain, count(*) FROM item WHERE spot IS NOT NULL AND domain <> '' GROUP BY domain UNION ALL SELECT 'weekly', domain, count(*) FROM item WHERE week IS NOT NULL AND domain <> '' GROUP BY domain"""))
+_WEEKS = """SELECT 'momentum' AS result, domain, strftime(week, '%Y-%m-%d') AS name, n AS volume, CAST(floor(share * 1e6 + 0.5) AS BIGINT) AS share_micro,
+  CAST(floor((share - lag(share, 1, 0e0) OVER (PARTITION BY domain ORDER BY week)) * 1e8 + 0.5) AS BIGINT) AS change_micro FROM grid WHERE domain <> ''"""
+
+
+@query("SRC-18", oracle(f"""SELECT 'distribution' AS result, domain, NULL AS name, count(*) AS volume, count(DISTINCT voice) AS share_micro, CAST(NULL AS BIGINT) AS change_micro FROM item WHERE domain <> '' GROUP BY domain UNION ALL
+  SELECT 'communities', domain, spot, count(*), count(DISTINCT voice), CAST(sum(engagement) AS BIGINT) FROM item WHERE spot IS NOT NULL AND domain <> '' GROUP BY domain, spot UNION ALL {_WEEKS}""",
+  extra=_GRID.replace("WHERE week IS NOT NULL GROUP", "WHERE week IS NOT NULL AND domain <> '' GROUP")))
 def result_tables(spark, d):
+    """Three stored tables, read back whole: distribution (with authors), communities (authors,
+    engagement) and the share of every week with its change in points."""
     a, path = act(spark, d).where("domain <> ''"), scratch_path(spark, "results")
-    one = si.overwrite(tr.category_distribution(a), path + "/distribution", ["domain"]).select(F.lit("distribution").alias("result"), "domain", "volume")
-    two = si.overwrite(tr.community_activity(a, ["domain", "community"]), path + "/communities", ["domain"]).groupBy("domain").agg(F.sum("volume").alias("volume"))
-    three = si.overwrite(tr.weekly_counts(a), path + "/weekly", ["domain"]).groupBy("domain").agg(F.sum("n").alias("volume"))
-    return one.unionByName(two.select(F.lit("communities").alias("result"), "domain", "volume")).unionByName(three.select(F.lit("weekly").alias("result"), "domain", "volume"))
+    none = F.lit(None).cast("bigint")
+    one = si.overwrite(tr.category_distribution(a), path + "/distribution", ["domain"])
+    two = si.overwrite(tr.community_activity(a, ["domain", "community"]), path + "/communities", ["domain"])
+    three = si.overwrite(tr.share_changes(tr.share_grid(tr.weekly_counts(a))), path + "/momentum", ["domain"])
+    row = lambda df, name, *cols: df.select(F.lit(name).alias("result"), "domain", *[x.alias(n) for x, n in zip(cols, ("name", "volume", "share_micro", "change_micro"))])
+    return (row(one, "distribution", F.lit(None).cast("string"), c("volume"), c("authors"), none)
+            .unionByName(row(two, "communities", c("community"), c("volume"), c("authors"), c("engagement").cast("bigint")))
+            .unionByName(row(three, "momentum", F.date_format("week", "yyyy-MM-dd"), c("n"), micro(c("share")), micro(c("change_pp")))))
 
 
 @query("SRC-19", oracle("""SELECT domain, '{"domain":"' || domain || '","volume":' || count(*) || ',"authors":' || count(DISTINCT voice) || '}' AS document FROM item GROUP BY domain"""))
@@ -289,12 +300,16 @@ def trend_document(spark, d):
     return t.select("domain", F.to_json(F.struct("domain", "volume", "authors")).alias("document"))
 
 
-@query("SRC-20", oracle("SELECT domain, count(DISTINCT voice) AS authors, true AS within_bound FROM item GROUP BY domain"))
+@query("SRC-20", oracle("SELECT domain, count(DISTINCT voice) AS authors, true AS within_bound FROM item GROUP BY domain UNION ALL SELECT NULL, count(DISTINCT voice), true FROM item"))
 def sketch_sink(spark, d):
-    a = act(spark, d)
-    stored = si.overwrite(sk.reach_sketches(a, ["domain"]), scratch_path(spark, "sketches"))
-    exact = a.groupBy("domain").agg(F.countDistinct("author").alias("authors"))
-    return exact.join(stored, "domain").select("domain", "authors", near(F.hll_sketch_estimate("sketch"), c("authors")).alias("within_bound"))
+    """One stored sketch per domain and one of the whole, merged from them."""
+    a, path = act(spark, d), scratch_path(spark, "sketches")
+    per = si.overwrite(sk.reach_sketches(a, ["domain"]), path + "/domains")
+    whole = si.overwrite(per.agg(F.hll_union_agg("sketch").alias("sketch")), path + "/global")
+    stored = per.select("domain", "sketch").unionByName(whole.select(F.lit(None).cast("string").alias("domain"), "sketch"))
+    exact = a.groupBy("domain").agg(F.countDistinct("author").alias("authors")).unionByName(a.agg(F.countDistinct("author").alias("authors")).select(F.lit(None).cast("string").alias("domain"), "authors"))
+    got = exact.join(stored.withColumnRenamed("domain", "of"), c("domain").eqNullSafe(c("of")))
+    return got.select("domain", "authors", near(F.hll_sketch_estimate("sketch"), c("authors")).alias("within_bound"))
 
 
 @query("SRC-21", "SELECT event_type, 2 * count(*) AS n FROM events GROUP BY event_type")
@@ -308,12 +323,14 @@ def event_sink(spark, d):
 
 @query("SRC-22", oracle("SELECT opportunity_id, (row_number() OVER (ORDER BY opportunity_id) - 1) % greatest(1, least(16, CAST(ceil((SELECT count(*) FROM opp) / 100e0) AS BIGINT))) AS chunk FROM opp"))
 def dealt_chunks(spark, d):
-    return si.round_robin_chunks(tb.opportunities(spark, d).select("opportunity_id"), ["opportunity_id"], 100)
+    chunks = si.round_robin_chunks(tb.opportunities(spark, d).select("opportunity_id"), ["opportunity_id"], 100)
+    return si.overwrite(chunks, scratch_path(spark, "dealt"), ["chunk"]).withColumn("chunk", c("chunk").cast("bigint"))
 
 
 @query("SRC-23", oracle("SELECT opportunity_id, (row_number() OVER (ORDER BY opportunity_id) - 1) // 20 AS chunk FROM opp"))
 def block_chunks(spark, d):
-    return si.block_chunks(tb.opportunities(spark, d).select("opportunity_id"), ["opportunity_id"], 20)
+    chunks = si.block_chunks(tb.opportunities(spark, d).select("opportunity_id"), ["opportunity_id"], 20)
+    return si.overwrite(chunks.repartition("chunk"), scratch_path(spark, "blocks"), ["chunk"]).withColumn("chunk", c("chunk").cast("bigint"))
 
 
 @query("SRC-24", oracle("SELECT source, CAST(sum(CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN 1 ELSE 0 END) AS BIGINT) AS archived, CAST(sum(CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN 0 ELSE 1 END) AS BIGINT) AS kept FROM opp GROUP BY source"))
