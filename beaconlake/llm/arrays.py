@@ -9,6 +9,13 @@ def texts_of(batch, name="text") -> list[bytes]:
     return [b"" if t is None else t for t in batch.column(name).cast(pa.binary()).to_pylist()]
 
 
+def parts(batches, rows=1024):
+    """The batches in pieces of bounded size: what Python holds of the texts at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def rows_of(columns: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 

@@ -24,14 +24,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from beaconlake.llm.arrays import parts
+
 # Symbols of the automaton: what a character can do, look ahead included.
 LETTER, NUMBER, OTHER, SHORT, LONG, GLUE, SPACES, LONE = range(8)
 # States: nothing yet, a run of one class, a space that waits for a run, white space, one finished
 # white space, a contraction that lacks one or two letters, a finished contraction.
 (START, IN_LETTER, IN_NUMBER, IN_OTHER, WAITING, IN_SPACES, DONE, LACKS_ONE, LACKS_TWO, CONTRACTED) = range(10)
 STATES, SYMBOLS = 10, 8
-CACHE = 300_000         # pieces a task keeps
-SLICE = 1 << 21         # characters scanned at a time (whole texts)
+CACHE = 150_000         # pieces a task keeps
+SLICE = 1 << 20         # characters scanned at a time (whole texts)
 ARRAY_LENGTH = 40       # pieces of more bytes are merged by a heap
 
 
@@ -356,7 +358,7 @@ def encode(docs: DataFrame, path: str, identity: str = "doc_id", text: str = "te
 
     def run(batches):
         merger = Merger(shared.value)
-        for batch in batches:
+        for batch in parts(batches):
             texts = ["" if t is None else t for t in batch.column("text").to_pylist()]
             ids = [[i for got in one for i in got[0]] for some in text_pieces(texts, shared.value) for one in merger.encode(some)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(ids, pa.list_(pa.int32())), pa.array([offsets(x, shared.value) for x in ids], pa.list_(pa.int64()))],
@@ -385,7 +387,7 @@ def round_trip(docs: DataFrame, path: str, identity: str = "doc_id", text: str =
     def run(batches):
         v = shared.value
         merger, tokens = Merger(v), v["texts"]
-        for batch in batches:
+        for batch in parts(batches):
             texts = ["" if t is None else t for t in batch.column("text").to_pylist()]
             count, ids_hash, text_hash = [], [], []
             for got in (one for some in text_pieces(texts, v) for one in merger.encode(some)):

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from beaconlake.llm.arrays import plain, rows_of, texts_of
+from beaconlake.llm.arrays import parts, plain, rows_of, texts_of
 from beaconlake.llm.components import components
 from beaconlake.llm.shingles import Hasher, shared_at_least, signature
 from beaconlake.llm.trie_join import links
@@ -38,7 +38,7 @@ def signed(docs: DataFrame, identity: str, text: str) -> DataFrame:
     """(id, sig, n): each document's signature and number of shingles; sig is null for none."""
     def run(batches):
         hasher = Hasher()
-        for batch in batches:
+        for batch in parts(batches):
             sets = [(signature(s), len(s)) if len(s) else (None, 0) for s in hasher.sets(texts_of(batch))]
             yield rows_of({"id": batch.column("id"), "sig": pa.array([s for s, _ in sets], pa.int64()), "n": pa.array([n for _, n in sets], pa.int64())})
     rows = docs.select(F.col(identity).alias("id"), F.col(text).alias("text"))
@@ -51,7 +51,7 @@ def prefixes(docs: DataFrame, text: str) -> DataFrame:
     signature as key (it spreads them) and the count below zero."""
     def run(batches):
         hasher = Hasher()
-        for batch in batches:
+        for batch in parts(batches, 4096):
             own = {}
             for s in hasher.sets(texts_of(batch)):
                 n = len(s)
@@ -95,7 +95,7 @@ def whole_sets(docs: DataFrame, identity: str, text: str, chosen: DataFrame) ->
 
     def run(batches):
         hasher = Hasher()
-        for batch in batches:
+        for batch in parts(batches):
             got = [(g, s) for g, s in zip(batch.column("sig").to_pylist(), hasher.sets(texts_of(batch))) if len(s) and signature(s) == g]
             yield rows_of({"sig": pa.array([g for g, _ in got], pa.int64()), "n": pa.array([len(s) for _, s in got], pa.int64()),
                            "members": pa.array([s.view(np.int64) for _, s in got], pa.list_(pa.int64()))})

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from beaconlake.llm.arrays import rows_of
+from beaconlake.llm.arrays import parts, rows_of
 
 KINDS = ["email", "ip", "card", "phone"]
 LABELS = 1 + len(KINDS)             # 0: plain
@@ -249,7 +249,7 @@ def train(docs: DataFrame, identity: str = "doc_id", text: str = "text"):
 
     def features(batches):
         t = _tools()
-        for batch in batches:
+        for batch in parts(batches):
             got = []
             for name, x in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
                 w = Words(x, t) if x else None
@@ -283,7 +283,7 @@ def found(docs: DataFrame, model, identity: str = "doc_id", text: str = "text")
 
     def run(batches):
         t, model = _tools(), shared.value
-        for batch in batches:
+        for batch in parts(batches):
             base, more, asked = [], [], []
             for x in batch.column("text").to_pylist():
                 hit = bool(x) and t["any"].search(x) is not None

@@ -21,14 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from beaconlake.llm.arrays import plain, rows_of, texts_of
+from beaconlake.llm.arrays import parts, plain, rows_of, texts_of
 
 BITS = 18
 MASK = (1 << BITS) - 1
 STEMS = (3, 5, 7)        # beginnings of a word that count like words
 SAMPLE = 8_000
 TAIL = 0.5              # documents are kept from this chance of the top grade on
-CACHE = 400_000         # words a task remembers
+CACHE = 150_000         # words a task remembers
 STEPS, PENALTY, LONG_STEP, RARE = 300, 1e-3, 20.0, 3
 _STRIP = b" .,;:!?\"'()[]{}*%$#&|<>-_"
 _KIND = np.zeros(256, np.uint8)
@@ -80,15 +80,15 @@ def _pace(row, at, weight, n, m):
     return 2 / size
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, levels: int, steps: int = STEPS, penalty: float = PENALTY):
+def fit(at: np.ndarray, row: np.ndarray, grades: np.ndarray, levels: int, steps: int = STEPS, penalty: float = PENALTY):
     """Weights and ordered thresholds, by accelerated proximal steps with a 1-norm on the weights.
-    Steps start long and shorten when the loss rises. A grade weighs as the root of its count."""
-    n = len(rows)
-    at = np.concatenate(rows) if n else np.zeros(0, np.int32)
-    row = np.repeat(np.arange(n), [len(r) for r in rows])
+    Document `row[i]` has slot `at[i]`. Steps start long and shorten when the loss rises. A grade
+    weighs as the root of its count."""
+    n = len(grades)
     used, at, docs = np.unique(at, return_inverse=True, return_counts=True)
     often = docs >= RARE                            # a slot of one or two documents says nothing
-    at, row = (np.cumsum(often) - 1)[at[often[at]]], row[often[at]]
+    stay = often[at]
+    at, row = (np.cumsum(often) - 1)[at[stay]], row[stay]
     used = used[often]
     weight = (1 / np.sqrt(np.maximum(1, np.bincount(grades, minlength=levels))))[grades]
     weight /= weight.sum()
@@ -128,15 +128,17 @@ def train(docs: DataFrame, grades: DataFrame, identity: str = "doc_id", text: st
     rows = docs.select(F.col(identity).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id")
 
     def features(batches):
-        for batch in batches:
+        for batch in parts(batches):
             yield rows_of({"id": batch.column("id"), "grade": batch.column("grade"),
                            "slots": pa.array([slots(t) for t in texts_of(batch)], pa.list_(pa.int32()))})
     got = rows.mapInArrow(features, f"id {dict(rows.dtypes)['id']}, grade int, slots array<int>").dropDuplicates(["id"]).toArrow()
     if not got.num_rows:
         return None
-    order = np.argsort(got.column("id").to_numpy())          # the same sums on every run
-    found = got.column("slots").to_pylist()
-    return fit([np.array(found[i], np.int32) for i in order], got.column("grade").to_numpy()[order], levels)
+    got = got.sort_by("id").combine_chunks()                # the same sums on every run
+    found = got.column("slots").combine_chunks()
+    row = np.repeat(np.arange(got.num_rows, dtype=np.int32), np.diff(found.offsets.to_numpy()))
+    return fit(found.flatten().to_numpy(), row, got.column("grade").to_numpy(), levels)
+
 
 def scored(docs: DataFrame, model, identity: str = "doc_id", text: str = "text") -> DataFrame:
     """Every column of `docs` and its score by the model: `_expected` grade and `_tail`, the
@@ -150,14 +152,14 @@ def scored(docs: DataFrame, model, identity: str = "doc_id", text: str = "text")
     def run(batches):
         weights, theta = shared.value
         known = {}
-        for batch in batches:
+        for batch in parts(batches):
             batch = batch.rename_columns([*names])
             score = []
             for t in texts_of(batch, text):
                 words = t.split()
                 own = set(words)
                 for w in own.difference(known):
-                    known[w] = [x for x in word_slots(w) if weights[x]]
+                    known[w] = tuple([x for x in word_slots(w) if weights[x]])
                 found = {x for some in map(known.__getitem__, own) if some for x in some}
                 found.update(style_slots(t, len(words), len(own)))
                 score.append(weights[np.sort(np.fromiter(found, np.int64, len(found)))].sum())

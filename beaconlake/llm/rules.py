@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from beaconlake.llm.arrays import rows_of, texts_of
+from beaconlake.llm.arrays import parts, rows_of, texts_of
 from beaconlake.session import checkpointed
 
 TREES, ROWS, SAMPLE = 128, 64, 8192
@@ -74,7 +74,7 @@ def statistics(text: bytes) -> tuple:
 def measured(docs: DataFrame, identity: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, the counts, rates): one pass over the whole texts."""
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches):
             got = [statistics(t) for t in texts_of(batch)]
             columns = {"id": batch.column("id")} | {c: pa.array([g[i] for g in got], pa.int64()) for i, c in enumerate(COUNTS)}
             yield rows_of(columns | {"rates": pa.array([list(g[len(COUNTS):]) for g in got], pa.list_(pa.float64()))})

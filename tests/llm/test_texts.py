@@ -109,7 +109,7 @@ def test_thresholds_are_ordered_and_grades_found():
     luck = np.random.RandomState(0)
     rows = [np.array([g, *luck.randint(10, 60, 5)], np.int32) for g in luck.randint(0, 4, 800)]
     grades = np.array([r[0] for r in rows])
-    weights, theta = quality.fit(rows, grades, 4)
+    weights, theta = quality.fit(np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows]), grades, 4)
     score = np.array([weights[r].sum() for r in rows])
     assert (np.diff(theta) >= 0).all() and ((score[:, None] > theta).sum(1) == grades).mean() > 0.95
 
