@@ -80,12 +80,13 @@ def numbered(df: DataFrame, order: list[str], out: str = "position") -> DataFram
     return running_sum(ones, [], order, "_one", out).drop("_one")
 
 
-def value_positions(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+def value_positions(df: DataFrame, keys: list[str], value: str, copies: str | None = None) -> DataFrame:
     """Distinct values per key with `n` copies, `below` (rows of the key that are strictly
     smaller) and `total` (non-null rows of the key). Equal values are counted before the
-    shuffle, so a value that fills a third of the table costs one row."""
+    shuffle, so a value that fills a third of the table costs one row. With `copies`, a row
+    stands for that many."""
     counts = (df.where(F.col(value).isNotNull()).groupBy(*keys, value)
-              .agg(F.count(F.lit(1)).alias("n")))
+              .agg(F.sum(copies).alias("n") if copies else F.count(F.lit(1)).alias("n")))
     ranked = running_sum(counts, keys, [value], "n", "below")
     if not keys:
         totals = ranked.agg(F.sum("n").alias("total"))

@@ -152,17 +152,28 @@ def scoped(rows, scopes):
     return rows.join(broadcast_if_small(scopes), "domain")
 
 
-def fresh_inflow(rows, at, days=7):
-    """Per scope and source, rows of the last days before the scope's newest row."""
-    newest = rows.groupBy("scope").agg(F.max(at).alias("newest"))
-    recent = rows.join(newest, "scope").where(c(at) >= c("newest") - F.make_dt_interval(days=F.lit(days)))
+def newest_in_scope(rows, scopes, at):
+    """(scope, newest): from the newest row of each domain."""
+    per = rows.groupBy("domain").agg(F.max(at).alias("newest"))
+    return scoped(per, scopes).groupBy("scope").agg(F.max("newest").alias("newest"))
+
+
+def fresh_inflow(rows, scopes, at, days=7):
+    """Per scope and source, rows of the last days before the scope's newest row. Only rows that
+    are fresh in a scope meet it."""
+    newest = newest_in_scope(rows, scopes, at).select("scope", (c("newest") - F.make_dt_interval(days=F.lit(days))).alias("since"))
+    cuts = scopes.select("scope", "domain").join(newest, "scope")
+    recent = rows.join(broadcast_if_small(cuts), (rows["domain"] == cuts["domain"]) & (c(at) >= c("since")))
     return recent.groupBy("scope", "source").agg(F.count(F.lit(1)).alias("n"))
 
 
-def limit_filter_limit(rows, keys, order, first, keep, n):
-    """First `first` rows per key, then the filter, then the first n: in that order."""
-    head = top_n(rows, keys, order, first, "_cut")
-    return top_n(head.where(keep), keys, [c("_cut")], n).drop("_cut")
+def limit_filter_limit(rows, scopes, order, first, keep, n):
+    """Per scope the first `first` rows, then the filter, then the first n: in that order. A row
+    among the first of a scope is among the first of its domain, so domains are cut before
+    their rows are given to the scopes."""
+    near = top_n(rows, ["domain"], order, first, "_own").drop("_own")
+    head = top_n(scoped(near, scopes), ["scope"], order, first, "_cut")
+    return top_n(head.where(keep), ["scope"], [c("_cut")], n).drop("_cut")
 
 
 def narrative(cards):

@@ -74,14 +74,9 @@ def near(estimate, exact):
 
 @query("AGG-06", oracle("SELECT domain, count(DISTINCT voice) AS authors, true AS within_bound FROM item GROUP BY domain UNION ALL SELECT NULL, count(DISTINCT voice), true FROM item"))
 def distinct_reach(spark, d):
-    a = act(spark, d)
-    per = sk.reach_sketches(a, ["domain"])
-    est = per.select("domain", F.hll_sketch_estimate("sketch").alias("reach")).unionByName(
-        sk.merged_reach(per, []).select(F.lit(None).cast("string").alias("domain"), "reach"))
-    voices = a.groupBy("domain").agg(F.countDistinct("author").alias("authors"))
-    both = voices.unionByName(a.agg(F.countDistinct("author").alias("authors")).select(F.lit(None).cast("string").alias("domain"), "authors"))
-    return both.alias("x").join(est.alias("e"), c("x.domain").eqNullSafe(c("e.domain"))).select(
-        "x.domain", "authors", near(c("reach"), c("authors")).alias("within_bound"))
+    """Exact and estimated reach of every domain and of all, in one pass."""
+    both = act(spark, d).rollup("domain").agg(F.countDistinct("author").alias("authors"), F.hll_sketch_estimate(F.hll_sketch_agg("author", sk.LG_K)).alias("reach"))
+    return both.select("domain", "authors", near(c("reach"), c("authors")).alias("within_bound"))
 
 
 @query("AGG-07", oracle("SELECT scope, count(DISTINCT voice) AS authors, true AS within_bound FROM item JOIN scope USING (domain) GROUP BY scope", extra=tb.scope_sql(True)))
@@ -157,14 +152,14 @@ def scope_terms(spark, d):
 _FRESH = tb.scope_sql(True) + ", ins AS (SELECT i.*, scope, breadth FROM item i JOIN scope USING (domain)), newest AS (SELECT scope, max(cts) AS newest FROM ins GROUP BY scope)"
 
 
-def in_scope(spark, d, rows):
-    return tr.scoped(rows, tb.scopes(spark, True))
+def every_scope(spark):
+    return tb.scopes(spark, True)
 
 
 @query("AGG-16", oracle("SELECT scope, source, count(*) AS n FROM ins JOIN newest USING (scope) WHERE cts >= newest - INTERVAL 7 DAY GROUP BY ALL", extra=_FRESH))
 def fresh_inflow(spark, d):
     rows = tb.opportunities(spark, d).select("domain", "source", dates.parsed(c("created_at")).alias("at")).where("at is not null")
-    return tr.fresh_inflow(in_scope(spark, d, rows), "at")
+    return tr.fresh_inflow(rows, every_scope(spark), "at")
 
 
 _KPI = tb.scope_sql(True) + ", fs AS (SELECT f.*, scope FROM feat f JOIN scope USING (domain))"
@@ -175,13 +170,13 @@ _KPI = tb.scope_sql(True) + ", fs AS (SELECT f.*, scope FROM feat f JOIN scope U
   CAST(floor(list_sort(list(effort_min))[CAST(count(*) // 2 AS INTEGER) + 1]) AS BIGINT) AS middle_effort,
   CAST(sum(CASE WHEN source = 'github' AND standout >= 0.55e0 THEN 1 ELSE 0 END) AS BIGINT) AS standout FROM fs GROUP BY scope""", feat=True, extra=_KPI))
 def contribute_kpis(spark, d):
-    rows = in_scope(spark, d, checkpointed(featured(spark, d).select("domain", "source", "effort_min", "standout")))
-    github = c("source") == "github"
-    k = rows.groupBy("scope").agg(F.count_if(github).alias("open_issues"),
-                                  F.bround(100.0 * F.count_if(c("effort_min") < 60) / N(), 0).cast("bigint").alias("quick_pct"),
-                                  F.count_if(github & (c("standout") >= 0.55)).alias("standout"))
-    middle = ordered.value_at(ordered.value_positions(rows.select("scope", "effort_min"), ["scope"], "effort_min"),
-                              ["scope"], "effort_min", F.floor(c("total") / 2), "middle")
+    rows, github = featured(spark, d), c("source") == "github"
+    # Counted per domain and effort first; scopes only meet these counts.
+    per = checkpointed(rows.groupBy("domain", "effort_min").agg(N().alias("n"), F.count_if(github).alias("open"), F.count_if(github & (c("standout") >= 0.55)).alias("good")))
+    in_scopes = tr.scoped(per, every_scope(spark))
+    k = in_scopes.groupBy("scope").agg(F.sum("open").alias("open_issues"), F.bround(100.0 * F.sum(F.when(c("effort_min") < 60, c("n")).otherwise(0)) / F.sum("n"), 0).cast("bigint").alias("quick_pct"),
+                                       F.sum("good").alias("standout"))
+    middle = ordered.value_at(ordered.value_positions(in_scopes, ["scope"], "effort_min", "n"), ["scope"], "effort_min", F.floor(c("total") / 2), "middle")
     return k.join(middle, "scope").select("scope", "open_issues", "quick_pct", F.floor("middle").alias("middle_effort"), "standout")
 
 
@@ -191,11 +186,11 @@ def contribute_kpis(spark, d):
   (SELECT scope, spot, row_number() OVER (PARTITION BY scope ORDER BY sum(engagement) DESC, count(*) DESC, spot) AS rn FROM ins WHERE spot IS NOT NULL GROUP BY scope, spot) t
   ON k.scope = t.scope AND rn = 1""", extra=_FRESH))
 def discuss_kpis(spark, d):
-    rows = in_scope(spark, d, act(spark, d))
-    k = rows.groupBy("scope").agg(
-        F.count_if(c("source").isin("reddit", "bluesky", "hackernews") & (c("engagement") >= 10)).alias("conversations"),
-        F.sum("engagement").alias("total_engagement"))
-    places = rows.where("community is not null").groupBy("scope", "community").agg(F.sum("engagement").alias("e"), N().alias("v"))
+    talk = c("source").isin("reddit", "bluesky", "hackernews") & (c("engagement") >= 10)
+    per = checkpointed(act(spark, d).groupBy("domain", "community").agg(F.count_if(talk).alias("talks"), F.sum("engagement").alias("e"), N().alias("v")))
+    in_scopes = tr.scoped(per, every_scope(spark))
+    k = in_scopes.groupBy("scope").agg(F.sum("talks").alias("conversations"), F.sum("e").alias("total_engagement"))
+    places = in_scopes.where("community is not null").groupBy("scope", "community").agg(F.sum("e").alias("e"), F.sum("v").alias("v"))
     best = tr.top_n(places, ["scope"], [F.desc("e"), F.desc("v"), c("community")], 1)
     return k.join(best, "scope").select("scope", "conversations", "total_engagement", c("community").alias("top_community"))
 
@@ -236,10 +231,10 @@ def text_week(df, name="week"):
    FROM (SELECT fs.*, newest FROM fs JOIN (SELECT scope, max(cts) AS newest FROM fs GROUP BY scope) nw USING (scope)) z GROUP BY scope) b USING (scope)""", feat=True, extra=_KPI + _GRID + MOM))
 def monitor_kpis(spark, d):
     up = tr.scoped(tr.momentum(tr.share_grid(doc_weekly(spark, d))), tb.scopes(spark)).groupBy("scope").agg(F.count_if(c("delta_pp") > 0.1).alias("up"))
-    rows = in_scope(spark, d, checkpointed(featured(spark, d).select("domain", "source", "velocity", dates.parsed(c("created_at")).alias("at"),
-                                                                     nm.engagement(c("score"), c("num_comments")).alias("engagement"))))
-    k = rows.groupBy("scope").agg(F.count_if((c("velocity") >= 0.6) & (c("engagement") >= 8)).alias("breakout"))
-    fresh = tr.fresh_inflow(rows, "at").groupBy("scope").agg(F.sum("n").alias("fresh"))
+    rows = checkpointed(featured(spark, d).select("domain", "source", "velocity", dates.parsed(c("created_at")).alias("at"), nm.engagement(c("score"), c("num_comments")).alias("engagement")))
+    per = rows.groupBy("domain").agg(F.count_if((c("velocity") >= 0.6) & (c("engagement") >= 8)).alias("breakout"))
+    k = tr.scoped(per, every_scope(spark)).groupBy("scope").agg(F.sum("breakout").alias("breakout"))
+    fresh = tr.fresh_inflow(rows, every_scope(spark), "at").groupBy("scope").agg(F.sum("n").alias("fresh"))
     return up.join(k, "scope").join(fresh, "scope")
 
 
@@ -390,7 +385,7 @@ _FLOOR = tb.sql_case("source", lx.RISING_FLOORS, lx.DEFAULT_RISING_FLOOR)
 def breakout_items(spark, d):
     rows = featured(spark, d).select("opportunity_id", "title", "source", "domain", "velocity", nm.engagement(c("score"), c("num_comments")).alias("engagement"))
     keep = (c("engagement") >= nm.rising_floor(c("source"))) & (F.trim("title") != "")
-    got = tr.limit_filter_limit(in_scope(spark, d, rows), ["scope"], [F.desc("velocity"), c("opportunity_id")], 120, keep, 4)
+    got = tr.limit_filter_limit(rows, every_scope(spark), [F.desc("velocity"), c("opportunity_id")], 120, keep, 4)
     return got.select("scope", "opportunity_id", F.substring(F.trim("title"), 1, 140).alias("title"), "engagement", "velocity", "position")
 
 
@@ -399,9 +394,8 @@ def breakout_items(spark, d):
    (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY cts DESC, opportunity_id) AS cut FROM ins WHERE cts IS NOT NULL) t JOIN newest USING (scope) WHERE cut <= 60 AND trim(title) <> '') z WHERE position <= 6""", extra=_FRESH))
 def freshest_items(spark, d):
     rows = tb.opportunities(spark, d).select("opportunity_id", "title", "domain", dates.parsed(c("created_at")).alias("at")).where("at is not null")
-    rows = in_scope(spark, d, rows)
-    newest = rows.groupBy("scope").agg(F.max("at").alias("newest"))
-    got = tr.limit_filter_limit(rows, ["scope"], [F.desc("at"), c("opportunity_id")], 60, F.trim("title") != "", 6)
+    newest = tr.newest_in_scope(rows, every_scope(spark), "at")
+    got = tr.limit_filter_limit(rows, every_scope(spark), [F.desc("at"), c("opportunity_id")], 60, F.trim("title") != "", 6)
     return got.join(newest, "scope").select("scope", "opportunity_id", F.substring(F.trim("title"), 1, 130).alias("title"),
                                             dates.hours_before(c("newest"), c("at")).alias("ago_hours"), "position")
 
