@@ -3,6 +3,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from beaconlake.functions import dates, jsontext, numeric as nm, text as tx
 from beaconlake.operators import ordered, skew
+from beaconlake.session import checkpointed
 from beaconlake.schema import FEATURES
 
 RAW = ["pop", "disc", "vel", "standout"]
@@ -31,19 +32,31 @@ def with_raw_signals(items: DataFrame, as_of) -> DataFrame:
 
 def _long(items: DataFrame) -> DataFrame:
     fields = F.array(*[F.struct(F.lit(name).alias("field"), F.col(col).alias("v"))
-                       for name, col in zip(RAW, ["pop", "disc", "vel", "standout_raw"])])
+                       for name, col in zip(RAW, RAW_COLUMNS)])
     return items.select("opportunity_id", "source", F.inline(fields))
 
 
+RAW_COLUMNS = ["pop", "disc", "vel", "standout_raw"]
+
+
+def with_percentiles(items: DataFrame) -> DataFrame:
+    """The rows with, per raw signal, the share of their source's non-null values they strictly
+    beat. A missing value beats nobody. The shares come from a table of different values, which
+    each row looks up four times; rows are never multiplied or grouped again."""
+    table = checkpointed(ordered.value_positions(_long(items), ["source", "field"], "v")
+                         .select("source", "field", "v", "n", (F.col("below") / F.col("total")).alias("share")))
+    out = items
+    for name, col in zip(RAW, RAW_COLUMNS):
+        known = table.where(F.col("field") == name).select("source", F.col("v").alias(col), "n", F.col("share").alias(f"{name}_pct"))
+        out = skew.lookup_join(out, known, ["source", col], "n", "opportunity_id").drop("n")
+        out = out.withColumn(f"{name}_pct", F.coalesce(f"{name}_pct", F.lit(0.0)))
+    return out
+
+
 def source_percentiles(items: DataFrame) -> DataFrame:
-    """Per item, the share of its source's non-null values it strictly beats, per raw signal.
-    A missing value beats nobody. Output: opportunity_id and one column per raw signal."""
-    rows = _long(items)
-    table = ordered.value_positions(rows, ["source", "field"], "v")
-    table = table.select("source", "field", "v", "n", (F.col("below") / F.col("total")).alias("share"))
-    placed = skew.lookup_join(rows, table, ["source", "field", "v"], "n", "opportunity_id")
-    return placed.groupBy("opportunity_id").agg(*[
-        F.max(F.when(F.col("field") == f, F.coalesce(F.col("share"), F.lit(0.0)))).alias(f"{f}_pct") for f in RAW])
+    """opportunity_id and one share per raw signal."""
+    slim = items.select("opportunity_id", "source", *RAW_COLUMNS)
+    return with_percentiles(slim).select("opportunity_id", *[f"{f}_pct" for f in RAW])
 
 
 def openness(items_source="source"):
@@ -69,12 +82,12 @@ def feature_table(opps: DataFrame, as_of) -> DataFrame:
     source = F.col("source")
     github = source == "github"
     flat = items.select(
-        "opportunity_id", "source", nm.recency_decay(F.col("age")).alias("rec"), openness().alias("open_flag"),
+        "opportunity_id", "source", *RAW_COLUMNS, nm.recency_decay(F.col("age")).alias("rec"), openness().alias("open_flag"),
         F.when(github, nm.repo_reputation(F.col("community_size"))).otherwise(0.5).alias("rep"),
         tx.issue_quality(source, F.col("body")).alias("qual"), F.col("standout_raw").isNull().alias("no_standout"),
         nm.effort_minutes(source, F.col("opportunity_type"), F.col("body"), tx.good_first(F.col("tag_list")),
                           F.col("sig.reading_time_min")).alias("minutes"))
-    f = flat.join(source_percentiles(items), "opportunity_id")
+    f = with_percentiles(flat)
     f = f.withColumn("health", health(F.col("disc_pct"), F.col("rec"), F.col("vel_pct"), F.col("open_flag")))
     r4 = lambda c: nm.fixed_round(c, 4)
     return f.select(

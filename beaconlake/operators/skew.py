@@ -37,8 +37,3 @@ def lookup_join(rows: DataFrame, table: DataFrame, keys: list[str], count: str,
         got = got.withColumn(c, F.coalesce(F.col(f"_hot.{c}"), F.col(c)))
     return got.drop("_hot", "_salt")
 
-
-def salted_count_distinct(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
-    """Exact distinct count: one row per (key, value) first, then a count per key."""
-    pairs = df.where(F.col(value).isNotNull()).select(*keys, value).distinct()
-    return pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias(out))

@@ -37,7 +37,7 @@ def candidates(spark, d, per_source=150):
     """Best rows per persona and source, by the best facet."""
     src = items(spark, d).select(c("ingest_seq").alias("id"), c("source").alias("stratum"))
     rows = corpus(spark, d).join(src, "id")
-    f = facet_rows(spark, d).drop("strata").join(F.broadcast(people(spark).select(c("id").alias("persona"), c("allowed").alias("strata"))), "persona")
+    f = facet_rows(spark, d).drop("strata").join(people(spark).select(c("id").alias("persona"), c("allowed").alias("strata")), "persona")
     return vx.best_facet_top(rows, f, per_source).select("persona", "id", c("stratum").alias("source"), "sim")
 
 
@@ -338,12 +338,15 @@ _GRADE = """CASE WHEN source = 'github' AND list_contains(barred, lower(COALESCE
 _GR = f", gr AS (SELECT persona, doc_id AS id, {_GRADE} AS grade, source, domain_list, language, whitelist, barred FROM (SELECT *, len(list_filter(kws, lambda k: contains(lower(title || ' ' || body), k))) > 0 AS hit, list_has_any(domain_list, whitelist) AS same FROM item, pz WHERE list_contains(allowed, source)) t)"
 
 
-def keyword_graded(spark, d):
-    """Every item a persona may see, with its keyword grade."""
+def keyword_graded(spark, d, pool=None):
+    """Every item a persona may see, with its keyword grade; with a pool (persona, id) only its items."""
     p = people(spark).withColumn("kws", _keywords())
     who = p.select(c("id").alias("persona"), F.explode("allowed").alias("source"), c("domains").alias("whitelist"), "barred", "kws")
     rows = items(spark, d).select(c("ingest_seq").alias("id"), "source", "language", "domain_list", F.concat_ws(" ", "title", "body").alias("text"))
-    got = rows.join(F.broadcast(who), "source")
+    if pool is None:
+        got = rows.join(who, "source")
+    else:
+        got = rows.join(pool, "id").join(who, ["persona", "source"])
     return got.select("persona", "id", "source", "language", "domain_list", "whitelist", "barred",
                       tx.keyword_grade(c("source"), c("language"), c("barred"), c("domain_list"), c("whitelist"), c("text"), c("kws")).alias("grade"))
 
@@ -381,7 +384,7 @@ def judged_lists(spark, d):
     l = tb.table(spark, d, "labels")
     grade = F.when(c("toxic") == 1, 0).when(c("quality") == 1, 2 + c("doc_id") % 2).otherwise(1)
     judgments = l.select(c("doc_id").alias("id"), grade.cast("int").alias("judged"))
-    pool = both.select("persona", "id").distinct().join(keyword_graded(spark, d).select("persona", "id", c("grade").alias("words")), ["persona", "id"])
+    pool = keyword_graded(spark, d, checkpointed(both.select("persona", "id").distinct())).select("persona", "id", c("grade").alias("words"))
     graded = pool.join(judgments, "id", "left").select("persona", "id", F.coalesce("judged", "words").alias("grade"))
     return both, graded
 

@@ -10,7 +10,7 @@ from beaconlake.plans.q_columns import items, micro
 from beaconlake.plans.q_trends import _GRID, N, act, near
 from beaconlake.plans.registry import query
 from beaconlake.plans.testbed import oracle
-from beaconlake.session import scratch_path
+from beaconlake.session import checkpointed, scratch_path
 from beaconlake.sources import archive as ar, labels as lb, platforms as pl, sinks as si
 
 c = F.col
@@ -351,14 +351,16 @@ _RANGE = " UNION ALL ".join(f"""SELECT source, '{f}' AS field, min({f})::DOUBLE
 
 
 @query("AGG-22", oracle(f"""SELECT source, 'coverage ' || field AS item, CAST(present AS DOUBLE) AS a, CAST(rows AS DOUBLE) AS b, NULL AS c, NULL AS d FROM ({_COVER}) t
-  UNION ALL SELECT source, 'range ' || field, "min", p50, p90, "max" FROM ({_RANGE}) t UNION ALL SELECT source, 'type ' || opportunity_type, count(*), NULL, NULL, NULL FROM opp GROUP BY source, opportunity_type"""))
+  UNION ALL SELECT source, 'range ' || field, "min", p50, p90, "max" FROM ({_RANGE}) t UNION ALL SELECT source, 'type ' || opportunity_type, count(*), NULL, NULL, NULL FROM opp GROUP BY source, opportunity_type
+  UNION ALL SELECT source, 'dates ' || min(substr(created_at, 1, 10)) || ' ' || max(substr(created_at, 1, 10)), NULL, NULL, NULL, NULL FROM opp WHERE created_at <> '' GROUP BY source"""))
 def data_profile(spark, d):
     o = tb.opportunities(spark, d)
     num = lambda *names: [c(n).cast("double").alias(a) if n else F.lit(None).cast("double").alias(a) for n, a in zip(names, "abcd")]
     cover = pf.field_coverage(o).select("source", F.concat(F.lit("coverage "), "field").alias("item"), *num("present", "rows", None, None))
     span = pf.numeric_ranges(o).select("source", F.concat(F.lit("range "), "field").alias("item"), *num("min", "p50", "p90", "max"))
     kinds = pf.type_counts(o).select("source", F.concat(F.lit("type "), "opportunity_type").alias("item"), *num("n", None, None, None))
-    return cover.unionByName(span).unionByName(kinds)
+    days = pf.date_range(o).select("source", F.concat_ws(" ", F.lit("dates"), "first_day", "last_day").alias("item"), *num(None, None, None, None))
+    return cover.unionByName(span).unionByName(kinds).unionByName(days)
 
 
 _P = "FROM (SELECT * FROM opp WHERE source = 'reddit') t"
@@ -366,15 +368,21 @@ _P = "FROM (SELECT * FROM opp WHERE source = 'reddit') t"
 
 @query("AGG-23", oracle(f"""SELECT 'all' AS part, count(*)::DOUBLE AS a, round_even(100e0 * sum(CASE WHEN num_comments > 10 THEN 1 ELSE 0 END) / count(*), 0) AS b, median(num_comments)::DOUBLE AS c,
   list_sort(list(num_comments))[CAST(least(count(*) - 1, floor(count(*) * 0.9e0)) AS INTEGER) + 1]::DOUBLE AS d {_P}
+  UNION ALL SELECT 'shares', floor(avg(num_comments) * 1e6 + 0.5) / 1e6, round_even(100e0 * sum(CASE WHEN num_comments > 50 THEN 1 ELSE 0 END) / count(*), 0), round_even(100e0 * sum(CASE WHEN body <> '' THEN 1 ELSE 0 END) / count(*), 0), NULL {_P}
+  UNION ALL SELECT 'year ' || substr(created_at, 1, 4), count(*)::DOUBLE, NULL, NULL, NULL {_P} WHERE regexp_matches(created_at, '^[0-9]{{4}}-') GROUP BY substr(created_at, 1, 4)
   UNION ALL SELECT community, count(*)::DOUBLE, NULL, median(COALESCE(num_comments, 0))::DOUBLE, NULL {_P} GROUP BY community"""))
 def thread_profile(spark, d):
     posts = tb.opportunities(spark, d).where("source = 'reddit'")
     head = pf.thread_profile(posts).select(F.lit("reddit").alias("source"), "posts", "over_10_pct")
-    span = pf.numeric_ranges(posts, fields=["num_comments"], p90_of_n=True).select("source", "p50", "p90")
+    span = checkpointed(pf.numeric_ranges(posts, fields=["num_comments"], p90_of_n=True).select("source", "p50", "p90", "mean"))
+    none = F.lit(None).cast("double")
+    shares = pf.thread_profile(posts).withColumn("mean", span.select("mean").scalar()).select(
+        F.lit("shares").alias("part"), (F.floor(c("mean") * 1e6 + 0.5) / 1e6).alias("a"), c("over_50_pct").cast("double").alias("b"), c("self_pct").cast("double").alias("c"), none.alias("d"))
+    years = pf.posts_by_year(posts).select(F.concat(F.lit("year "), c("year").cast("string")).alias("part"), c("n").cast("double").alias("a"), none.alias("b"), none.alias("c"), none.alias("d"))
     whole = head.join(span, "source").select(F.lit("all").alias("part"), c("posts").cast("double").alias("a"), c("over_10_pct").cast("double").alias("b"), c("p50").alias("c"), c("p90").alias("d"))
     per = pf.median_comments(posts, ["community"]).select(c("community").alias("part"), c("posts").cast("double").alias("a"), F.lit(None).cast("double").alias("b"),
                                                           c("median_comments").cast("double").alias("c"), F.lit(None).cast("double").alias("d"))
-    return whole.unionByName(per)
+    return whole.unionByName(per).unionByName(shares).unionByName(years)
 
 
 @query("UDF-06", oracle("SELECT domain, count(*) AS items, CAST(sum(length(title)) AS BIGINT) AS title_chars FROM item WHERE domain <> '' GROUP BY domain"))

@@ -24,7 +24,7 @@ def corpus(spark, d):
 def facet_rows(spark, d):
     """Persona facets: the first vector of each label a persona looks for."""
     p = tb.personas(spark).select(c("id").alias("persona"), F.explode("facet_labels").alias("label"), c("platforms").alias("strata"))
-    return prototypes(spark, d).select("label", c("pv").alias("vec")).join(F.broadcast(p), "label")
+    return prototypes(spark, d).select("label", c("pv").alias("vec")).join(p, "label")
 
 
 _FAC = "facet AS (SELECT persona, pv FROM (VALUES " + ", ".join(f"('{p[0]}', {l})" for p in tb.PERSONAS for l in p[9]) + ") t(persona, label) JOIN proto USING (label))"
