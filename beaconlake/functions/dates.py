@@ -14,9 +14,6 @@ def week_monday(text):
     return F.trunc(day, "week")
 
 
-def day_week_monday(day):
-    return F.trunc(day, "week")
-
 
 def age_days(text, as_of):
     """Days before `as_of`, never negative; 9999 when the text has no valid moment."""

@@ -1,6 +1,5 @@
 """Row-level arithmetic as Column functions."""
-from functools import reduce
-from operator import add
+
 import math
 
 from pyspark.sql import functions as F
@@ -71,10 +70,6 @@ def star_velocity(stars, age_days):
     return F.when(age_days > 0, fixed_round(stars / age_days, 3))
 
 
-def weighted_sum(weights, values):
-    """Left-to-right sum of products; keeps one order so doubles are reproducible."""
-    return reduce(add, [w * F.coalesce(v, F.lit(0.0)) for w, v in zip(weights, values)])
-
 
 def dot(a, b):
     products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))

@@ -36,10 +36,6 @@ def numeric_ranges(opps: DataFrame, key="source", fields=NUMBERS, p90_of_n=False
     return out.select(key, "field", "min", ((c("_a") + c("_b")) / 2).alias("p50"), "p90", "max", "mean")
 
 
-def signal_keys(opps: DataFrame) -> DataFrame:
-    keys = opps.select("source", F.explode(jsontext.key_list(c("signals"))).alias("key"))
-    return keys.groupBy("source", "key").agg(F.count(F.lit(1)).alias("present"))
-
 
 def type_counts(opps: DataFrame) -> DataFrame:
     return opps.groupBy("source", "opportunity_type").agg(F.count(F.lit(1)).alias("n"))

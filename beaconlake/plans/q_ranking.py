@@ -101,6 +101,17 @@ def stratified_candidates(spark, d):
     return got.select("persona", "source", "id", F.row_number().over(w).alias("place"))
 
 
+@query("TOP-02-text")
+def encoded_candidates(spark, d):
+    """The best rows per persona and source by encoded texts: documents against a persona's goal
+    and interests."""
+    encode = en.encoder(64)
+    rows = items(spark, d).select(c("ingest_seq").alias("id"), encode(en.embedding_text(c("title"), c("body"))).alias("vec"), c("source").alias("stratum"))
+    p = people(spark)
+    f = ps.facets(p).join(p.select("id", "allowed"), "id").select(c("id").alias("persona"), encode("facet").alias("vec"), c("allowed").alias("strata"))
+    return vx.best_facet_top(rows, f, 20).select("persona", c("stratum").alias("source"), "id", "place", micro(c("sim")).alias("sim_micro"))
+
+
 @query("WIN-06", O(f"SELECT persona, id, {Q6.format('relevance')} AS relevance_micro FROM rel"))
 def relevance(spark, d):
     got = rk.normalized_relevance(rk.with_relevance(filtered(spark, d)))

@@ -73,3 +73,24 @@ def test_outside_order_puts_unlisted_rows_last(spark):
     df = spark.createDataFrame([("p", i, i) for i in range(1, 6)], "persona string, id long, place int")
     given = spark.createDataFrame([("p", 4, 0), ("p", 2, 1)], "persona string, id long, given int")
     assert [r.id for r in rk.external_order(df, given).orderBy("rank").collect()] == [4, 2, 1, 3, 5]
+
+
+def test_encoded_candidates_equal_brute_force(spark):
+    from beaconlake.operators import encode as en, personas as ps
+    from beaconlake.plans import registry  # noqa: F401
+    from beaconlake.plans import q_ranking as qr
+    from beaconlake.plans.q_columns import items
+    folder = "/root/testdata/sf0.001"
+    rows = items(spark, folder).selectExpr("ingest_seq as id", "source", "title", "body").collect()
+    text = [f"{r.title or ''}\n{r.body or ''}".strip() for r in rows]
+    docs = en.hashed_words(text, 64).astype(float)
+    got = {}
+    for r in qr.encoded_candidates(spark, folder).collect():
+        got.setdefault((r.persona, r.source), []).append((r.place, r.id, r.sim_micro))
+    people = qr.people(spark).collect()
+    for p in people:
+        facets = en.hashed_words([f for f in [p.goal, *p.interests] if f], 64).astype(float)
+        sims = (docs @ facets.T).max(1)
+        for s in p.allowed:
+            best = sorted((-sims[i], r.id) for i, r in enumerate(rows) if r.source == s)[:20]
+            assert [x[2] for x in sorted(got.get((p.id, s), []))] == [int(np.floor(-v * 1e6 + 0.5)) for v, _ in best]
