@@ -15,6 +15,7 @@ input keep their names; the ones added must not clash with them (`mix` works on
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from beaconlake.llm.prefix import running
+from beaconlake.operators.skew import broadcast_if_small
 from beaconlake.session import checkpointed
 
 WORDS = "[^\\x20\\x09-\\x0D]+"
@@ -65,7 +66,7 @@ def cuts(rows: DataFrame, cap: int = CAP) -> DataFrame:
                         .withColumn("budget", F.floor(F.col("target") + 0.5).cast("long"))
                         .withColumn("epochs", F.expr("case when source_size > 0 then budget div source_size else 0 end"))
                         .withColumn("rest", F.expr("budget - epochs * source_size")))
-    named = plan.select(F.col("source").alias("_s"), "ranges", "rest")
+    named = broadcast_if_small(plan.select(F.col("source").alias("_s"), "ranges", "rest"))
     place = F.floor(F.col("key") / F.lit(float(KEY_SPACE)) * F.col("ranges")).cast("long")
     ranged = units.join(named, F.col("source").eqNullSafe(F.col("_s"))).withColumn("part", place)
     sums = ranged.groupBy("source", "part").agg(F.sum("words").alias("words"), F.first("rest").alias("rest"))
@@ -77,13 +78,13 @@ def cuts(rows: DataFrame, cap: int = CAP) -> DataFrame:
     at = (near.withColumn("before", F.col("before") + F.coalesce(F.sum("words").over(inside), F.lit(0)))
           .where("before <= rest and rest < before + words")
           .selectExpr("source as _t", "struct(key, id, size) as cut", "(rest - before) div copies as cut_words"))
-    return (plan.join(at, F.col("source").eqNullSafe(F.col("_t")), "left")
-            .select("source", "source_size", "target", "epochs", "cut", "cut_words"))
+    return checkpointed(plan.join(at, F.col("source").eqNullSafe(F.col("_t")), "left")
+                        .select("source", "source_size", "target", "epochs", "cut", "cut_words"))
 
 
 def taken(plan: DataFrame, rows: DataFrame) -> DataFrame:
     """rows: (id, source, size, key, ...) with source_size, target and the words taken."""
-    named = plan.withColumnRenamed("source", "_s")
+    named = broadcast_if_small(plan.withColumnRenamed("source", "_s"))
     at = F.struct("key", "id", "size")
     part = F.when(F.col("cut").isNull(), F.lit(0)).when(at < F.col("cut"), F.col("size")).when(at == F.col("cut"), F.col("cut_words")).otherwise(F.lit(0))
     return (rows.join(named, F.col("source").eqNullSafe(F.col("_s")))
@@ -107,7 +108,7 @@ def mixed_rows(docs: DataFrame, identity: str = "doc_id", source: str = "source"
     with only the words that still fit, joined by single spaces; other texts are unchanged."""
     columns = docs.columns
     rows = checkpointed(sized(docs, identity, source, text))
-    plan = checkpointed(cuts(rows, cap)).withColumnRenamed("source", "_s")
+    plan = broadcast_if_small(cuts(rows, cap).withColumnRenamed("source", "_s"))
     base = docs.select(F.struct(*columns).alias("row"), F.col(identity).alias("id"), F.col(source).alias("_source"),
                        word_count(F.col(text)).alias("size"), random_key(F.col(identity)).alias("key"))
     at = F.struct("key", "id", "size")
