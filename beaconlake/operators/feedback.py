@@ -44,8 +44,8 @@ def transitions(log: DataFrame) -> DataFrame:
 
 
 def training_steps(log: DataFrame) -> DataFrame:
-    """Clicks the learner trains on: a new disposition with a known signal vector."""
-    steps = transitions(log).where(c("applied") & (F.size("signals") > 0))
+    """Clicks the learner trains on: a new disposition with a known, whole signal vector."""
+    steps = transitions(log).where(c("applied") & (F.size("signals") == len(lx.SIGNALS)))
     return steps.select("user_id", "persona_key", "seq", "mode", nm.lookup(c("action"), lx.REWARDS).alias("reward"), "signals")
 
 

@@ -115,18 +115,13 @@ def similarity_join(spark, d):
     return pairs.select("a", "b", micro(c("sim")).alias("sim_micro"))
 
 
-@query("SET-07", f"""WITH p AS (SELECT * FROM ({_PAIRS}) t WHERE sim >= {NEAR}) SELECT (SELECT count(*) FROM embeddings) AS rows, true AS some_dropped, CAST(0 AS BIGINT) AS conflicts,
-  (SELECT count(*) FROM embeddings WHERE vec_id NOT IN (SELECT a FROM p) AND vec_id NOT IN (SELECT b FROM p)) AS untouched""")
+@query("SET-07", f"""WITH RECURSIVE p AS (SELECT a, b, row_number() OVER (ORDER BY sim DESC, a, b) AS i FROM ({_PAIRS}) t WHERE sim >= {NEAR}),
+  pass AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS gone UNION ALL
+   SELECT p.i, CASE WHEN list_contains(gone, p.a) OR list_contains(gone, p.b) THEN gone ELSE list_append(gone, p.b) END FROM pass JOIN p ON p.i = pass.i + 1)
+  SELECT unnest(gone) AS id FROM pass WHERE i = (SELECT max(i) FROM p)""")
 def near_duplicates(spark, d):
-    co = corpus(spark, d)
-    drops = checkpointed(vx.near_duplicate_drops(co, NEAR))
-    kept = co.join(drops, "id", "left_anti")
-    pairs = checkpointed(vx.similar_pairs(checkpointed(vx.distinct_vectors(co)), NEAR))
-    ids = kept.select("id")
-    conflicts = pairs.join(ids.withColumnRenamed("id", "a"), "a", "left_semi").join(ids.withColumnRenamed("id", "b"), "b", "left_semi").agg(N())
-    touched = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    free = co.join(touched, "id", "left_anti").agg(N())
-    return co.agg(N().alias("rows")).select("rows", (c("rows") > kept.agg(N()).scalar()).alias("some_dropped"), conflicts.scalar().alias("conflicts"), free.scalar().alias("untouched"))
+    """The ids that the pass over all near pairs drops."""
+    return vx.near_duplicate_drops(corpus(spark, d), NEAR)
 
 
 @query("EVL-04", f"""WITH n AS (SELECT e.vec_id AS id, e.label, [x / sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) FOR x IN e.embedding::DOUBLE[]] AS v FROM embeddings e),

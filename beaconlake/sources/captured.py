@@ -1,4 +1,4 @@
-"""Captured payloads as a Spark data source: one partition per domain folder.
+"""Captured payloads as a Spark data source: one partition per file of a domain folder.
 
 spark.dataSource.register(CapturedPayloads)
 spark.read.format("captured_payloads").option("path", folder).load()
@@ -6,9 +6,11 @@ spark.read.format("captured_payloads").option("path", folder).load()
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
-class _Domain(InputPartition):
-    def __init__(self, domain):
-        self.domain = domain
+class _Files(InputPartition):
+    """Files of a domain, with the place of the first one among them."""
+
+    def __init__(self, domain, names, first):
+        self.domain, self.names, self.first = domain, names, first
 
 
 class _Reader(DataSourceReader):
@@ -25,30 +27,42 @@ class _Reader(DataSourceReader):
         return sorted(f.base_name.removeprefix("domain=") for f in found if f.type == pf.FileType.Directory)
 
     def partitions(self):
-        return [_Domain(x) for x in (self.domains or self.available())]
+        """One per file; with a limit, which counts over the files of a domain, one per domain."""
+        import pyarrow.fs as pf
+        fs, root = pf.FileSystem.from_uri(self.folder)
+        out = []
+        for domain in self.domains or self.available():
+            files = fs.get_file_info(pf.FileSelector(f"{root}/domain={domain}", allow_not_found=True))
+            names = sorted(f.path for f in files if f.base_name[0] not in "._")
+            out += [_Files(domain, names, 0)] if self.limit >= 0 else [_Files(domain, [n], i) for i, n in enumerate(names)]
+        return out or [_Files("", [], 0)]
 
     def read(self, partition):
-        """Lines of the domain's files, in file order, as they are read."""
+        """Lines in file order as Arrow batches; `seq` is the file's place and the line's in it."""
+        import pyarrow as pa
         import pyarrow.fs as pf
-        fs, root = pf.FileSystem.from_uri(self.folder)
-        files = fs.get_file_info(pf.FileSelector(f"{root}/domain={partition.domain}", allow_not_found=True))
-        seq = 0
-        for name in sorted(f.path for f in files if f.base_name[0] not in "._"):
+        fs, _ = pf.FileSystem.from_uri(self.folder)
+        left = self.limit if self.limit >= 0 else 1 << 62
+        for place, name in enumerate(partition.names, partition.first):
             with fs.open_input_stream(name) as stream:
-                for line in _lines(stream):
-                    if 0 <= self.limit <= seq:
+                seq = place << 32
+                for lines in _blocks(stream):
+                    lines = lines[:left]
+                    if lines:
+                        yield pa.RecordBatch.from_arrays([pa.array([partition.domain] * len(lines)), pa.array(range(seq, seq + len(lines)), pa.int64()), pa.array(lines, pa.string())],
+                                                         names=["domain", "seq", "value"])
+                    seq, left = seq + len(lines), left - len(lines)
+                    if left <= 0:
                         return
-                    yield (partition.domain, seq, line)
-                    seq += 1
 
 
-def _lines(stream):
+def _blocks(stream):
     rest = b""
     while block := stream.read(1 << 20):
         *whole, rest = (rest + block).split(b"\n")
-        yield from (x.decode() for x in whole)
+        yield [x.decode() for x in whole]
     if rest:
-        yield rest.decode()
+        yield [rest.decode()]
 
 
 class CapturedPayloads(DataSource):

@@ -83,7 +83,8 @@ def reddit_listing(payloads: DataFrame, limit: int, subreddits_of: DataFrame) ->
     rows = _rows(payloads, REDDIT, None).select("seq", c("x.domain").alias("domain"), c("x.subreddit").alias("subreddit"), F.posexplode("x.posts").alias("pos", "p"))
     rows = rows.join(subreddits_of, "domain")
     n = F.row_number().over(Window.partitionBy("domain", "subreddit").orderBy("seq", "pos"))
-    rows = rows.withColumn("_n", n).where(c("_n") <= F.greatest(F.lit(1), F.floor(F.lit(limit) / c("n_subs"))))
+    # The plain limit holds for every row and lets Spark cut each task's rows before the shuffle.
+    rows = rows.withColumn("_n", n).where(c("_n") <= max(1, limit)).where(c("_n") <= F.greatest(F.lit(1), F.floor(F.lit(limit) / c("n_subs"))))
     return _finish(_reddit(rows, c("p.title")))
 
 

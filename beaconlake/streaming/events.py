@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor
 
 from beaconlake.functions.dates import utc_text
-from beaconlake.lexicon import REWARDS
+from beaconlake.lexicon import REWARDS, SIGNALS
 from beaconlake.operators import ordered
 from beaconlake.operators.feedback import ACTIONS, STATUS_OF, lms_step, start_weights
 from beaconlake.session import scratch_path
@@ -130,7 +130,7 @@ def dispositions(stream: DataFrame) -> DataFrame:
 
 class Learner(StatefulProcessor):
     """Per (user, persona): the dispositions of its cards, and mode, step count and weights. A click
-    that changes a disposition and carries signals is a step."""
+    that changes a disposition and carries all signals is a step."""
 
     def init(self, handle):
         self.cards = handle.getMapState("cards", "opportunity_id string", "status string, saved boolean")
@@ -145,7 +145,7 @@ class Learner(StatefulProcessor):
                 known = (r.opportunity_id,)
                 touched[r.opportunity_id] = Card(*self.cards.getValue(known)) if self.cards.containsKey(known) else Card()
             last = r.seq
-            if touched[r.opportunity_id].apply(r.action) and r.signals is not None and len(r.signals):
+            if touched[r.opportunity_id].apply(r.action) and r.signals is not None and len(r.signals) == len(SIGNALS):
                 if r.mode != mode:
                     mode, n, w = r.mode, 0, start_weights(r.mode)
                 w = lms_step(w, np.asarray(r.signals, dtype=np.float64), REWARDS.get(r.action, 0.0))
