@@ -8,7 +8,7 @@ from beaconlake.plans.q_columns import items
 from beaconlake.plans.q_vectors import corpus
 from beaconlake.plans.registry import query
 from beaconlake.plans.testbed import oracle
-from beaconlake.session import checkpointed
+from beaconlake.session import checkpointed, scratch_path
 
 c = F.col
 _DC = """, dv AS (SELECT o.domain, generate_subscripts(e.embedding, 1) AS pos, unnest(e.embedding::DOUBLE[]) AS x FROM embeddings e JOIN opp o ON o.doc_id = e.vec_id WHERE o.domain <> ''),
@@ -66,6 +66,45 @@ def persona_trends(spark, d):
                     F.array_join("communities", " ").alias("communities"), "narrative")
 
 
+_DOC = qt._GRID + qt.MOM + qt._WORDS + qt._TOPT + qt._TOPC + _DC + f""",
+dist AS (SELECT domain, count(*) AS volume, count(DISTINCT voice) AS authors, {tb.r_sql('sum(engagement)::DOUBLE / count(*)', 1)} AS avg_engagement FROM item GROUP BY domain),
+ser AS (SELECT domain, string_agg(strftime(week, '%Y-%m-%d') || ':' || n || ':' || CAST(floor(share * 1e6 + 0.5) AS BIGINT), ' ' ORDER BY week) AS weeks FROM grid GROUP BY domain),
+wrd AS (SELECT domain, string_agg(term || ':' || n, ' ' ORDER BY position) AS terms FROM top WHERE position <= 10 GROUP BY domain),
+plc AS (SELECT domain, string_agg(community || ':' || volume || ':' || engagement, ' ' ORDER BY position) AS communities FROM ct GROUP BY domain),
+kin AS (SELECT domain, string_agg(other || ':' || CAST(floor(sim * 1e5 + 0.5) AS BIGINT), ' ' ORDER BY p) AS related FROM dr GROUP BY domain)"""
+
+
+@query("SRC-19", oracle("""SELECT domain, volume, authors, avg_engagement, delta_pp, momentum, rising_score, weeks, terms, communities, related
+  FROM dist LEFT JOIN mom USING (domain) LEFT JOIN ser USING (domain) LEFT JOIN wrd USING (domain) LEFT JOIN plc USING (domain) LEFT JOIN kin USING (domain)
+  UNION ALL SELECT NULL, count(*), count(DISTINCT voice), """ + tb.r_sql('sum(engagement)::DOUBLE / count(*)', 1) + """, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM item""", extra=_DOC))
+def trend_document(spark, d):
+    """The trends document: one nested JSON line per domain and one for the whole corpus, written
+    and read back; here its fields side by side."""
+    a = qt.act(spark, d)
+    grid = checkpointed(tr.share_grid(tr.weekly_counts(a)))
+    lists = lambda rows, order, value, name: rows.groupBy("domain").agg(ru.ordered_list(value, order).alias(name))
+    parts = [
+        tr.momentum(grid).select("domain", F.struct("delta_pp", "momentum", "rising_score").alias("change")),
+        lists(grid, c("week"), F.struct(F.date_format("week", "yyyy-MM-dd").alias("week"), "n", "share"), "weeks"),
+        lists(qt.top_terms(spark, d, 10), c("position"), F.struct("term", "n"), "terms"),
+        lists(qt.top_communities(spark, d), c("position"), F.struct("community", "volume", "engagement"), "communities"),
+        lists(related(spark, d), -F.floor(c("sim") * 1e9), F.struct("other", "sim"), "related")]
+    doc = tr.category_distribution(a)
+    for part in parts:
+        doc = doc.join(part, "domain", "left")
+    whole = tr.category_distribution(a.withColumn("domain", F.lit(None).cast("string")))
+    path = scratch_path(spark, "trends")
+    doc = doc.unionByName(whole, allowMissingColumns=True)
+    doc.write.option("ignoreNullFields", "false").json(path)
+    got = spark.read.schema(doc.schema).json(path)
+    micro = lambda x, scale: F.floor(x * scale + 0.5).cast("string")
+    text = lambda name, *cells: F.when(c(name).isNotNull(), F.array_join(F.transform(name, lambda x: F.concat_ws(":", *[f(x) for f in cells])), " ")).alias(name)
+    plain = lambda field: lambda x: x[field].cast("string")
+    return got.select("domain", "volume", "authors", "avg_engagement", "change.delta_pp", "change.momentum", "change.rising_score",
+                      text("weeks", plain("week"), plain("n"), lambda x: micro(x.share, 1e6)), text("terms", plain("term"), plain("n")),
+                      text("communities", plain("community"), plain("volume"), plain("engagement")), text("related", plain("other"), lambda x: micro(x.sim, 1e5)))
+
+
 # The account under which each persona is read.
 SESSIONS = [("nova", "u0", "p0"), ("otto", "u1", "p1"), ("iris", "u3", "p0"), ("remy", "u2", "p1")]
 _SES = ", ses AS (SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{u}', '{k}')" for p, u, k in SESSIONS) + ") t(scope, user_id, persona_key))"

@@ -294,12 +294,6 @@ def result_tables(spark, d):
             .unionByName(row(three, "momentum", F.date_format("week", "yyyy-MM-dd"), c("n"), micro(c("share")), micro(c("change_pp")))))
 
 
-@query("SRC-19", oracle("""SELECT domain, '{"domain":"' || domain || '","volume":' || count(*) || ',"authors":' || count(DISTINCT voice) || '}' AS document FROM item GROUP BY domain"""))
-def trend_document(spark, d):
-    t = tr.category_distribution(act(spark, d))
-    return t.select("domain", F.to_json(F.struct("domain", "volume", "authors")).alias("document"))
-
-
 @query("SRC-20", oracle("SELECT domain, count(DISTINCT voice) AS authors, true AS within_bound FROM item GROUP BY domain UNION ALL SELECT NULL, count(DISTINCT voice), true FROM item"))
 def sketch_sink(spark, d):
     """One stored sketch per domain and one of the whole, merged from them."""
