@@ -32,8 +32,8 @@ LETTER, NUMBER, OTHER, SHORT, LONG, GLUE, SPACES, LONE = range(8)
 # white space, a contraction that lacks one or two letters, a finished contraction.
 (START, IN_LETTER, IN_NUMBER, IN_OTHER, WAITING, IN_SPACES, DONE, LACKS_ONE, LACKS_TWO, CONTRACTED) = range(10)
 STATES, SYMBOLS = 10, 8
-CACHE = 150_000         # pieces a task keeps
-SLICE = 1 << 20         # characters scanned at a time (whole texts)
+CACHE = 100_000         # pieces a task keeps
+SLICE = 1 << 18         # characters scanned at a time (whole texts)
 ARRAY_LENGTH = 40       # pieces of more bytes are merged by a heap
 
 
@@ -290,11 +290,11 @@ class Merger:
                     self._keep(p, ids)
 
     def _keep(self, piece, ids):
-        self.known[piece] = (ids, ",".join(map(str, ids)).encode(), len(ids))
+        self.known[piece] = (np.array(ids, np.int32).tobytes(), ",".join(map(str, ids)).encode())
 
     def encode(self, texts: list[list[bytes]]) -> list[list[tuple]]:
-        """(ids, decimal ids, number of ids) of each piece of each text. New pieces of all the
-        texts are merged together."""
+        """(ids as packed 32-bit numbers, ids in decimal) of each piece of each text. New pieces of
+        all the texts are merged together."""
         known = self.known
         new = {p for pieces in texts for p in pieces if p not in known}
         if new:
@@ -337,6 +337,11 @@ def text_pieces(texts: list[str], v: dict):
         at = end
 
 
+def unpacked(pieces: list[tuple]) -> list[int]:
+    """The ids of a text from those of its pieces."""
+    return np.frombuffer(b"".join([p[0] for p in pieces]), np.int32).tolist()
+
+
 def decode_bytes(ids, v: dict) -> bytes:
     texts = v["texts"]
     return b"".join([texts[i] for i in ids])
@@ -360,7 +365,7 @@ def encode(docs: DataFrame, path: str, identity: str = "doc_id", text: str = "te
         merger = Merger(shared.value)
         for batch in parts(batches):
             texts = ["" if t is None else t for t in batch.column("text").to_pylist()]
-            ids = [[i for got in one for i in got[0]] for some in text_pieces(texts, shared.value) for one in merger.encode(some)]
+            ids = [unpacked(one) for some in text_pieces(texts, shared.value) for one in merger.encode(some)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(ids, pa.list_(pa.int32())), pa.array([offsets(x, shared.value) for x in ids], pa.list_(pa.int64()))],
                                              names=["id", "ids", "offsets"])
     rows = docs.select(F.col(identity).alias("id"), F.col(text).alias("text"))
@@ -386,14 +391,15 @@ def round_trip(docs: DataFrame, path: str, identity: str = "doc_id", text: str =
 
     def run(batches):
         v = shared.value
-        merger, tokens = Merger(v), v["texts"]
+        merger = Merger(v)
         for batch in parts(batches):
             texts = ["" if t is None else t for t in batch.column("text").to_pylist()]
             count, ids_hash, text_hash = [], [], []
             for got in (one for some in text_pieces(texts, v) for one in merger.encode(some)):
-                count.append(sum([g[2] for g in got]))
+                ids = unpacked(got)
+                count.append(len(ids))
                 ids_hash.append(hashlib.sha256(b",".join([g[1] for g in got])).hexdigest())
-                text_hash.append(hashlib.sha256(b"".join([tokens[i] for g in got for i in g[0]])).hexdigest())
+                text_hash.append(hashlib.sha256(decode_bytes(ids, v)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(count, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())],
                                              names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
     rows = docs.select(F.col(identity).alias("id"), F.col(text).alias("text"))

@@ -6,7 +6,7 @@ words: two different shingles share one with a chance of 2 ** -64 a pair."""
 import numpy as np
 
 WORDS = 5
-SLICE = 1 << 20         # bytes hashed at a time; longer texts are cut at white space
+SLICE = 1 << 18         # bytes hashed at a time; longer texts are cut at white space
 _U = np.uint64
 
 

@@ -32,7 +32,7 @@ def library():
 
 def ids_of(texts, v, merger=None):
     merger = merger or bpe.Merger(v)
-    return [[i for g in one for i in g[0]] for some in bpe.text_pieces(texts, v) for one in merger.encode(some)]
+    return [bpe.unpacked(one) for some in bpe.text_pieces(texts, v) for one in merger.encode(some)]
 
 
 def test_ids_equal_the_library(vocabulary, library):
