@@ -191,5 +191,9 @@ def projection(spark, d):
     """Two principal components of a per-label sample, fitted by Spark over the sample."""
     s = stratified(corpus(spark, d), "label", "id", 170)
     rows = s.select("id", "label", array_to_vector(F.transform("vec", lambda x: x.cast("double"))).alias("features"))
-    xy = PCA(k=2, inputCol="features", outputCol="p").fit(rows).transform(rows).withColumn("a", vector_to_array("p"))
-    return xy.select("id", "label", F.round(c("a")[0], 6).alias("x"), F.round(c("a")[1], 6).alias("y"))
+    model = PCA(k=2, inputCol="features", outputCol="p").fit(rows)
+    axes = model.pc.toArray()
+    # An axis may point either way; its largest loading points up.
+    up = [1.0 if axis[abs(axis).argmax()] > 0 else -1.0 for axis in axes.T]
+    xy = model.transform(rows).withColumn("a", vector_to_array("p"))
+    return xy.select("id", "label", F.round(c("a")[0] * up[0], 6).alias("x"), F.round(c("a")[1] * up[1], 6).alias("y"))
