@@ -9,6 +9,19 @@ def texts_of(batch, name="text") -> list[bytes]:
     return [b"" if t is None else t for t in batch.column(name).cast(pa.binary()).to_pylist()]
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def whole_texts(df: DataFrame, rows=1024) -> DataFrame:
+    """The table, in a session whose Arrow batches hold at most `rows` rows. Rows carry whole texts
+    here, and the usual 10,000 of them fill both sides of the pipe to Python. Results don't
+    depend on it, and a smaller setting stays."""
+    conf = df.sparkSession.conf
+    if int(conf.get(BATCH, "10000")) > rows:
+        conf.set(BATCH, str(rows))
+    return df
+
+
 def parts(batches, rows=1024):
     """The batches in pieces of bounded size: what Python holds of the texts at a time."""
     for batch in batches:

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from beaconlake.llm.arrays import parts
+from beaconlake.llm.arrays import parts, whole_texts
 
 # Symbols of the automaton: what a character can do, look ahead included.
 LETTER, NUMBER, OTHER, SHORT, LONG, GLUE, SPACES, LONE = range(8)
@@ -32,7 +32,7 @@ LETTER, NUMBER, OTHER, SHORT, LONG, GLUE, SPACES, LONE = range(8)
 # white space, a contraction that lacks one or two letters, a finished contraction.
 (START, IN_LETTER, IN_NUMBER, IN_OTHER, WAITING, IN_SPACES, DONE, LACKS_ONE, LACKS_TWO, CONTRACTED) = range(10)
 STATES, SYMBOLS = 10, 8
-CACHE = 100_000         # pieces a task keeps
+CACHE = 80_000         # pieces a task keeps
 SLICE = 1 << 18         # characters scanned at a time (whole texts)
 ARRAY_LENGTH = 40       # pieces of more bytes are merged by a heap
 
@@ -354,7 +354,7 @@ def offsets(ids, v: dict) -> list[int]:
 
 
 def _broadcast(df: DataFrame, path: str):
-    return df.sparkSession.sparkContext.broadcast(vocabulary(path))
+    return whole_texts(df).sparkSession.sparkContext.broadcast(vocabulary(path))
 
 
 def encode(docs: DataFrame, path: str, identity: str = "doc_id", text: str = "text") -> DataFrame:

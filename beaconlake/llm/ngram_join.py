@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from beaconlake.llm.arrays import parts, plain, rows_of, texts_of
+from beaconlake.llm.arrays import parts, plain, rows_of, texts_of, whole_texts
 from beaconlake.llm.components import components
 from beaconlake.llm.shingles import Hasher, shared_at_least, signature
 from beaconlake.llm.trie_join import links
@@ -31,6 +31,7 @@ from beaconlake.session import checkpointed
 
 BLOCK = 1024            # sets a task joins at a time
 SMALL = 1_000_000       # ids that may be broadcast (16 MB); beyond, the ids join by shuffle
+FOLD = 4096             # documents whose common members are folded together in a task
 MORE = 10               # a prefix is longer by a tenth of the set than one common member needs
 
 
@@ -49,32 +50,35 @@ def prefixes(docs: DataFrame, text: str) -> DataFrame:
     """(key, sig, found): the prefix members of every set. `found` 1 says that the batch holds the
     member in several sets; what those sets share comes counted in rows of its own, which have the
     signature as key (it spreads them) and the count below zero."""
+    def folded(own):
+        sigs = np.fromiter(own, np.int64, len(own))
+        size = np.array([len(s) for s in own.values()])
+        key = np.concatenate(list(own.values())).view(np.int64)
+        sig = np.repeat(sigs, size)
+        order = np.argsort(key)
+        key, sig = key[order], sig[order]
+        first = np.concatenate([[True], key[1:] != key[:-1]])      # one row for each member goes on
+        shared = ~first
+        shared[:-1] |= ~first[1:]
+        names, count = np.unique(sig[shared], return_counts=True)
+        yield rows_of({"key": pa.array(key[first]), "sig": pa.array(sig[first]), "found": pa.array(shared[first].astype(np.int32))})
+        if len(names):
+            yield rows_of({"key": pa.array(names), "sig": pa.array(names), "found": pa.array(-count.astype(np.int32))})
+
     def run(batches):
-        hasher = Hasher()
-        for batch in parts(batches, 4096):
-            own = {}
+        hasher, own, seen = Hasher(), {}, 0
+        for batch in parts(batches):
             for s in hasher.sets(texts_of(batch)):
                 n = len(s)
                 if n:
-                    own.setdefault(signature(s), s[:n - shared_at_least(n) + 1 + n // MORE])
-            if not own:
-                continue
-            sigs = np.fromiter(own, np.int64, len(own))
-            size = np.array([len(s) for s in own.values()])
-            key = np.concatenate(list(own.values())).view(np.int64)
-            sig = np.repeat(sigs, size)
-            order = np.argsort(key)
-            key, sig = key[order], sig[order]
-            first = np.concatenate([[True], key[1:] != key[:-1]])
-            again = np.zeros(len(key), bool)
-            again[:-1] = ~first[1:]
-            shared = again | ~first
-            names, count = np.unique(sig[shared], return_counts=True)
-            sent = first                                 # one row for each member of the batch
-            yield rows_of({"key": pa.array(key[sent]), "sig": pa.array(sig[sent]), "found": pa.array(shared[sent].astype(np.int32))})
-            if len(names):
-                yield rows_of({"key": pa.array(names), "sig": pa.array(names), "found": pa.array(-count.astype(np.int32))})
-    return docs.select(F.col(text).alias("text")).mapInArrow(run, "key bigint, sig bigint, found int")
+                    own.setdefault(signature(s), s[:n - shared_at_least(n) + 1 + n // MORE].copy())
+            seen += batch.num_rows
+            if seen >= FOLD and own:
+                yield from parts(folded(own), 1 << 16)
+                own, seen = {}, 0
+        if own:
+            yield from parts(folded(own), 1 << 16)
+    return whole_texts(docs).select(F.col(text).alias("text")).mapInArrow(run, "key bigint, sig bigint, found int")
 
 
 def survivors(docs: DataFrame, text: str, signs: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from beaconlake.llm.arrays import parts, rows_of
+from beaconlake.llm.arrays import parts, rows_of, whole_texts
 
 KINDS = ["email", "ip", "card", "phone"]
 LABELS = 1 + len(KINDS)             # 0: plain
@@ -279,7 +279,7 @@ def _by_hash():
 
 def found(docs: DataFrame, model, identity: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: id, the counts of base spans by kind, base_sha256, spans."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = whole_texts(docs).sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         t, model = _tools(), shared.value

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from beaconlake.llm.arrays import parts, plain, rows_of, texts_of
+from beaconlake.llm.arrays import parts, plain, rows_of, texts_of, whole_texts
 
 BITS = 18
 MASK = (1 << BITS) - 1
@@ -125,7 +125,7 @@ def graded(labels: DataFrame, identity: str = "doc_id") -> DataFrame:
 def train(docs: DataFrame, grades: DataFrame, identity: str = "doc_id", text: str = "text", levels: int = 3, sample: int = SAMPLE):
     """Weights and thresholds, or None without labelled documents."""
     chosen = grades.orderBy(F.xxhash64("id", F.lit("fit")), "id").limit(sample)              # a bounded sample
-    rows = docs.select(F.col(identity).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id")
+    rows = whole_texts(docs).select(F.col(identity).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id")
 
     def features(batches):
         for batch in parts(batches):
@@ -146,7 +146,7 @@ def scored(docs: DataFrame, model, identity: str = "doc_id", text: str = "text")
     if model is None:
         return docs.withColumns({"_expected": F.lit(None).cast("double"), "_tail": F.lit(1.0)})
     weights, theta = model
-    shared = docs.sparkSession.sparkContext.broadcast((weights, theta))
+    shared = whole_texts(docs).sparkSession.sparkContext.broadcast((weights, theta))
     names = docs.columns
 
     def run(batches):

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from beaconlake.llm.arrays import parts, rows_of, texts_of
+from beaconlake.llm.arrays import parts, rows_of, texts_of, whole_texts
 from beaconlake.session import checkpointed
 
 TREES, ROWS, SAMPLE = 128, 64, 8192
@@ -78,7 +78,7 @@ def measured(docs: DataFrame, identity: str = "doc_id", text: str = "text") -> D
             got = [statistics(t) for t in texts_of(batch)]
             columns = {"id": batch.column("id")} | {c: pa.array([g[i] for g in got], pa.int64()) for i, c in enumerate(COUNTS)}
             yield rows_of(columns | {"rates": pa.array([list(g[len(COUNTS):]) for g in got], pa.list_(pa.float64()))})
-    rows = docs.select(F.col(identity).alias("id"), F.col(text).alias("text"))
+    rows = whole_texts(docs).select(F.col(identity).alias("id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, " + ", ".join(f"{c} bigint" for c in COUNTS) + ", rates array<double>")
 
 
