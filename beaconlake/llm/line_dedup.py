@@ -8,27 +8,35 @@ lines of a page, per host) travel back to the pages.
 
 Defined results: lines are compared without the white space around them; blank lines and lines
 on fewer than `min_pages` pages of the host stay; a null host is a host of its own; a null text
-stays null and counts as a page; repeated pages count each; a page that is all boilerplate keeps
-an empty text; an empty table gives an empty result. Input columns keep their names and order.
+stays null and counts as a page; repeated pages count each in `split_pages`, while `drop_lines`
+counts equal texts of a source, and documents of one given group, as one page, so that copies
+don't make their own text boilerplate;
+a page that is all boilerplate keeps an empty text; an empty table gives an empty result. Input
+columns keep their names and order.
 """
 from pyspark.sql import Column, DataFrame, functions as F
 
 from beaconlake.llm.arrays import plain
+from beaconlake.operators.skew import broadcast_if_small
 from beaconlake.session import checkpointed
 
 RATIO = 0.1             # share of the host's pages above which a line is boilerplate
 MIN_PAGES = 10          # pages that must hold it
 SMALL = 100_000         # boilerplate lines that may be broadcast; beyond, Spark joins by shuffle
+IDS = 1_000_000         # ids of copies that may be broadcast (16 MB)
 
 
 def line_key(line: Column) -> Column:
     return F.xxhash64(F.trim(line, F.lit(" \t\n\r\x0b\x0c")))
 
 
-def boilerplate(pages: DataFrame, host: Column, lines: Column, ratio: float, min_pages: int) -> DataFrame:
-    """(host, lines): for each host that has any, the keys of the lines above the ratio."""
+def boilerplate(pages: DataFrame, host: Column, lines: Column, ratio: float, min_pages: int, same: Column | None = None) -> DataFrame:
+    """(host, lines): for each host that has any, the keys of the lines above the ratio. Pages of
+    a host with equal `same` count as one."""
     keys = F.array_distinct(F.transform(F.filter(lines, lambda x: F.trim(x, F.lit(" \t\n\r\x0b\x0c")) != ""), line_key))
     own = pages.select(host.alias("host"), keys.alias("keys"))
+    if same is not None:
+        own = pages.select(host.alias("host"), same.alias("same"), keys.alias("keys")).dropDuplicates(["host", "same"])
     total = checkpointed(own.groupBy("host").agg(F.count(F.lit(1)).alias("pages")))
     seen = (own.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count(F.lit(1)).alias("on"))
             .where(F.col("on") >= min_pages).withColumnRenamed("host", "_host"))
@@ -36,9 +44,11 @@ def boilerplate(pages: DataFrame, host: Column, lines: Column, ratio: float, min
     return above.select("host", "key")
 
 
-def split_pages(pages: DataFrame, host: Column, lines: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """The pages with two columns more: `_kept`, the lines that stay, and `_lines`, all of them."""
-    above = checkpointed(boilerplate(pages, host, lines, ratio, min_pages))
+def split_pages(pages: DataFrame, host: Column, lines: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES,
+                same: Column | None = None, counted: DataFrame | None = None) -> DataFrame:
+    """The pages with two columns more: `_kept`, the lines that stay, and `_lines`, all of them.
+    `counted` is the same pages with what `same` reads."""
+    above = checkpointed(boilerplate(pages if counted is None else counted, host, lines, ratio, min_pages, same))
     known = above.groupBy(F.col("host").alias("_host")).agg(F.collect_list("key").alias("_bad"))
     if above.count() <= SMALL:
         known = F.broadcast(known)
@@ -50,8 +60,14 @@ def split_pages(pages: DataFrame, host: Column, lines: Column, ratio: float = RA
     return cut.withColumn("_kept", stays).drop("_at", "_host", "_bad")
 
 
-def drop_lines(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """The documents with their boilerplate lines cut out of the text; all columns as before."""
+def drop_lines(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES,
+               groups: DataFrame | None = None, identity: str = "doc_id") -> DataFrame:
+    """The documents with their boilerplate lines cut out of the text; all columns as before.
+    `groups` has (_id, _group) of the documents that are copies of each other."""
     rows, at = plain(docs)
-    cut = split_pages(rows, F.col(at[host]), F.split(F.col(at[text]), "\n"), ratio, min_pages)
+    same, known = F.md5(F.col(at[text]).cast("binary")), rows
+    if groups is not None:
+        known = rows.join(broadcast_if_small(groups, IDS), F.col(at[identity]) == F.col("_id"), "left")
+        same = F.coalesce(F.col("_group").cast("string"), same)
+    cut = split_pages(rows, F.col(at[host]), F.split(F.col(at[text]), "\n"), ratio, min_pages, same, known)
     return cut.withColumn(at[text], F.array_join("_kept", "\n")).select(*rows.columns).toDF(*docs.columns)

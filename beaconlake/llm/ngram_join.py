@@ -198,6 +198,13 @@ def groups(docs: DataFrame, identity: str = "doc_id", text: str = "text", block:
     return out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
 
 
+def copies(docs: DataFrame, identity: str = "doc_id", text: str = "text") -> DataFrame:
+    """(_id, _group): the ids in groups of two or more, once each, with the least id of the group."""
+    rows, at = plain(docs)
+    others = checkpointed(groups(rows, at[identity], at[text]).where("id <> component_id").select(F.col("id").alias("_id"), F.col("component_id").alias("_group")))
+    return checkpointed(others.unionByName(others.select(F.col("_group").alias("_id"), "_group")).groupBy("_id").agg(F.min("_group").alias("_group")))
+
+
 def one_of_each(docs: DataFrame, identity: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents with one row for each group: that of the least id, once if it is repeated.
     Rows with a null id stay."""

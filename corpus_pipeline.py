@@ -17,8 +17,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that a tenth of a source's documents hold go."""
-    return line_dedup.drop_lines(docs)
+    """Lines that a tenth of a source's documents hold go; near copies count as one document."""
+    return line_dedup.drop_lines(docs, groups=ngram_join.copies(docs))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -205,6 +205,24 @@ def test_pipeline_stages_against_plain_versions(spark):
     assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, FOLDER).collect()) == [ids[k] for k, g in group.items() if k == g]
 
 
+def test_a_third_of_a_source_equal_keeps_one_whole_document(spark):
+    text = lambda i: "\n".join(" ".join(f"w{i}x{j}y{k}" for k in range(12)) for j in range(8))
+    rows = [(i, text(0 if i % 3 == 0 else i), "en", "a", 0) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    for stage in (corpus_pipeline.drop_boilerplate, corpus_pipeline.drop_near_copies, corpus_pipeline.mix_sources):
+        docs = stage(spark, docs, FOLDER)
+    assert sorted((r["doc_id"], r["text"]) for r in docs.collect()) == [(i, t) for i, t, *_ in rows if i == 0 or i % 3]
+
+
+def test_near_copies_of_a_source_keep_their_shared_lines(spark):
+    text = lambda i: "\n".join(" ".join(f"w{i}x{j}y{k}" for k in range(12)) for j in range(8))
+    rows = [(i, text(0) + f"\nseen {i}" if i % 3 == 0 else text(i), "en", "a", 0) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    for stage in (corpus_pipeline.drop_boilerplate, corpus_pipeline.drop_near_copies, corpus_pipeline.mix_sources):
+        docs = stage(spark, docs, FOLDER)
+    assert sorted((r["doc_id"], r["text"]) for r in docs.collect()) == [(i, t) for i, t, *_ in rows if i == 0 or i % 3]
+
+
 def test_pipeline_runs_whole(spark):
     out = corpus_pipeline.run(spark, FOLDER)
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() > 50
