@@ -17,11 +17,13 @@ columns keep their names and order.
 from pyspark.sql import Column, DataFrame, functions as F
 
 from beaconlake.llm.arrays import plain
+from beaconlake.llm.mixing import word_count
 from beaconlake.operators.skew import broadcast_if_small
 from beaconlake.session import checkpointed
 
 RATIO = 0.1             # share of the host's pages above which a line is boilerplate
 MIN_PAGES = 10          # pages that must hold it
+LONG = 5                # words of a line that does not recur by chance
 SMALL = 100_000         # boilerplate lines that may be broadcast; beyond, Spark joins by shuffle
 IDS = 1_000_000         # ids of copies that may be broadcast (16 MB)
 
@@ -30,25 +32,31 @@ def line_key(line: Column) -> Column:
     return F.xxhash64(F.trim(line, F.lit(" \t\n\r\x0b\x0c")))
 
 
-def boilerplate(pages: DataFrame, host: Column, lines: Column, ratio: float, min_pages: int, same: Column | None = None) -> DataFrame:
+def boilerplate(pages: DataFrame, host: Column, lines: Column, ratio: float, min_pages: int, same: Column | None = None,
+                long_ratio: float | None = None) -> DataFrame:
     """(host, lines): for each host that has any, the keys of the lines above the ratio. Pages of
-    a host with equal `same` count as one."""
-    keys = F.array_distinct(F.transform(F.filter(lines, lambda x: F.trim(x, F.lit(" \t\n\r\x0b\x0c")) != ""), line_key))
+    a host with equal `same` count as one. With `long_ratio` that is the ratio of lines of LONG
+    words or more."""
+    one, limit, key = line_key, F.lit(ratio), F.col("key")
+    if long_ratio is not None:
+        one = lambda x: F.struct(line_key(x).alias("line"), (word_count(x) >= LONG).alias("long"))
+        limit, key = F.when(F.col("key.long"), F.lit(long_ratio)).otherwise(F.lit(ratio)), F.col("key.line")
+    keys = F.array_distinct(F.transform(F.filter(lines, lambda x: F.trim(x, F.lit(" \t\n\r\x0b\x0c")) != ""), one))
     own = pages.select(host.alias("host"), keys.alias("keys"))
     if same is not None:
         own = pages.select(host.alias("host"), same.alias("same"), keys.alias("keys")).dropDuplicates(["host", "same"])
     total = checkpointed(own.groupBy("host").agg(F.count(F.lit(1)).alias("pages")))
     seen = (own.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count(F.lit(1)).alias("on"))
             .where(F.col("on") >= min_pages).withColumnRenamed("host", "_host"))
-    above = seen.join(total, F.col("_host").eqNullSafe(F.col("host"))).where(F.col("on") > F.col("pages") * F.lit(ratio))
-    return above.select("host", "key")
+    above = seen.join(total, F.col("_host").eqNullSafe(F.col("host"))).where(F.col("on") > F.col("pages") * limit)
+    return above.select("host", key.alias("key"))
 
 
 def split_pages(pages: DataFrame, host: Column, lines: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES,
-                same: Column | None = None, counted: DataFrame | None = None) -> DataFrame:
+                same: Column | None = None, counted: DataFrame | None = None, long_ratio: float | None = None) -> DataFrame:
     """The pages with two columns more: `_kept`, the lines that stay, and `_lines`, all of them.
     `counted` is the same pages with what `same` reads."""
-    above = checkpointed(boilerplate(pages if counted is None else counted, host, lines, ratio, min_pages, same))
+    above = checkpointed(boilerplate(pages if counted is None else counted, host, lines, ratio, min_pages, same, long_ratio))
     known = above.groupBy(F.col("host").alias("_host")).agg(F.collect_list("key").alias("_bad"))
     if above.count() <= SMALL:
         known = F.broadcast(known)
@@ -61,7 +69,7 @@ def split_pages(pages: DataFrame, host: Column, lines: Column, ratio: float = RA
 
 
 def drop_lines(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES,
-               groups: DataFrame | None = None, identity: str = "doc_id") -> DataFrame:
+               groups: DataFrame | None = None, identity: str = "doc_id", long_ratio: float | None = None) -> DataFrame:
     """The documents with their boilerplate lines cut out of the text; all columns as before.
     `groups` has (_id, _group) of the documents that are copies of each other."""
     rows, at = plain(docs)
@@ -69,5 +77,5 @@ def drop_lines(docs: DataFrame, host: str = "source", text: str = "text", ratio:
     if groups is not None:
         known = rows.join(broadcast_if_small(groups, IDS), F.col(at[identity]) == F.col("_id"), "left")
         same = F.coalesce(F.col("_group").cast("string"), same)
-    cut = split_pages(rows, F.col(at[host]), F.split(F.col(at[text]), "\n"), ratio, min_pages, same, known)
+    cut = split_pages(rows, F.col(at[host]), F.split(F.col(at[text]), "\n"), ratio, min_pages, same, known, long_ratio)
     return cut.withColumn(at[text], F.array_join("_kept", "\n")).select(*rows.columns).toDF(*docs.columns)

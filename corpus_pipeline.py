@@ -9,6 +9,7 @@ from beaconlake.llm import bpe, line_dedup, mixing, ngram_join, quality
 from beaconlake.session import scratch_path
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+LONG_RATIO = 0.005      # share of a source's documents for lines of five words or more: licence lines lie just above it
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,8 +18,9 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that a tenth of a source's documents hold go; near copies count as one document."""
-    return line_dedup.drop_lines(docs, groups=ngram_join.copies(docs))
+    """Lines that a tenth of a source's documents hold go, long ones from LONG_RATIO on; near copies
+    count as one document."""
+    return line_dedup.drop_lines(docs, groups=ngram_join.copies(docs), long_ratio=LONG_RATIO)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

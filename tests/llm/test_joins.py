@@ -223,6 +223,14 @@ def test_near_copies_of_a_source_keep_their_shared_lines(spark):
     assert sorted((r["doc_id"], r["text"]) for r in docs.collect()) == [(i, t) for i, t, *_ in rows if i == 0 or i % 3]
 
 
+def test_long_lines_of_a_hundredth_of_a_source_go(spark):
+    own = lambda i: " ".join(f"w{i}x{k}" for k in range(12))
+    rows = [(i, own(i) + ("\nReleased under the usual public terms.\nOf." if i % 80 == 0 else ""), "a") for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_boilerplate(spark, docs, FOLDER).collect()}
+    assert got == {i: own(i) + ("\nOf." if i % 80 == 0 else "") for i in range(1000)}
+
+
 def test_pipeline_runs_whole(spark):
     out = corpus_pipeline.run(spark, FOLDER)
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() > 50
