@@ -29,6 +29,7 @@ from beaconlake.llm.arrays import parts, rows_of, whole_texts
 KINDS = ["email", "ip", "card", "phone"]
 LABELS = 1 + len(KINDS)             # 0: plain
 SAMPLE, WORDS = 3000, 60_000
+PIECE = 2000            # words of one document that the fit reads, from a place given by a hash of the id
 SLOTS = 1 << 13
 STEPS, PACE, DECAY = 400, 0.5, 1e-4
 ROUNDS = 8                          # of message passing
@@ -242,6 +243,17 @@ def written(spans) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in sorted(spans))
 
 
+def piece(name, slots, left, hub, label):
+    """At most PIECE words in a row of one document's graph, so that a long one can't fill the sample."""
+    n = len(label)
+    if n <= PIECE:
+        return slots, left, hub, label
+    start = zlib.crc32(str(name).encode()) % (n - PIECE + 1)
+    end = start + PIECE
+    _, number, count = np.unique(hub[start:end], return_inverse=True, return_counts=True)
+    return slots[start:end], np.maximum(left[start:end] - start, -1), np.where((hub[start:end] >= 0) & (count[number] > 1), number, -1), label[start:end]
+
+
 def train(docs: DataFrame, identity: str = "doc_id", text: str = "text"):
     """The model, or None where no document has a word to learn from."""
     rows = docs.select(F.col(identity).alias("id"), F.col(text).alias("text"))
@@ -254,8 +266,8 @@ def train(docs: DataFrame, identity: str = "doc_id", text: str = "text"):
             for name, x in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
                 w = Words(x, t) if x else None
                 if w is not None and len(w):
-                    slots, left, hub = graph([w])
-                    got.append((name, slots.ravel().tolist(), left.tolist(), hub.tolist(), w.labels(base_spans(x, t)).tolist()))
+                    slots, left, hub, label = piece(name, *graph([w]), w.labels(base_spans(x, t)))
+                    got.append((name, slots.ravel().tolist(), left.tolist(), hub.tolist(), label.tolist()))
             yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], batch.column("id").type)] + [pa.array([g[i] for g in got], pa.list_(pa.int64())) for i in range(1, 5)],
                                              names=["id", "slots", "near", "hub", "label"])
     kind = dict(rows.dtypes)["id"]

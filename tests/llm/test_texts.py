@@ -241,3 +241,10 @@ def test_personal_data_of_odd_rows(odd, empty):
     rows = personal.found(odd, personal.train(odd)).collect()
     assert len(rows) == odd.count() and all(r["base_sha256"] == hashlib.sha256(b"").hexdigest() for r in rows if r["id"] in (1, 2, 3))
     assert personal.train(empty) is None and personal.found(empty, None).count() == 0
+
+
+def test_one_long_document_leaves_the_sample_whole(spark, monkeypatch):
+    monkeypatch.setattr(personal, "WORDS", 3000)
+    long = " ".join(f"call {i}-555-0100 or a{i}@b.org" for i in range(4000))
+    docs = spark.createDataFrame([(1, long)], "doc_id long, text string")
+    assert personal.train(docs) is not None
