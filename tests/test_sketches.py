@@ -3,6 +3,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from beaconlake.operators import sketches as sk
+from beaconlake.plans import registry, q_trends  # noqa: F401 (the registry has to come first)
 
 
 def test_frequency_sketches_combine_and_stay_in_bounds(spark):
@@ -15,6 +16,16 @@ def test_frequency_sketches_combine_and_stay_in_bounds(spark):
         assert len(got) == 50 and all(exact[r.term] <= r.estimate <= exact[r.term] + 5e-4 * len(words) + 1 for r in got)
 
 
+def test_accuracy_looks_at_rare_terms_too(spark, monkeypatch):
+    folder, frequent = "/root/testdata/sf0.001", sk.frequent
+    assert q_trends.sketch_accuracy(spark, folder).first().frequency_ok
+    rare = q_trends.all_terms(spark, folder).groupBy("term").count().orderBy("count", "term").first().term
+    for wrong in (lambda s, k, item: frequent(s, k, item).withColumn("estimate", F.when(F.col(item) == rare, 10 ** 9).otherwise(F.col("estimate"))),
+                  lambda s, k, item: frequent(s, k, item).where("estimate < 0")):
+        monkeypatch.setattr(sk, "frequent", wrong)
+        assert not q_trends.sketch_accuracy(spark, folder).first().frequency_ok
+
+
 def test_distinct_sketches_union(spark):
     a = spark.range(6000).selectExpr("'a' as g", "concat('u', id) as author")
     b = spark.range(4000, 11000).selectExpr("'b' as g", "concat('u', id) as author")
