@@ -13,4 +13,4 @@ def query(name, sql=None):
 
 
 
-from beaconlake.llm import q_lines, q_mixing, q_ngrams, q_passages, q_personal, q_quality, q_rules, q_shards, q_tokens, q_turns, q_urls, q_vectors  # noqa: E402,F401
+from beaconlake.llm import q_alignment, q_lines, q_mixing, q_ngrams, q_passages, q_personal, q_quality, q_rules, q_shards, q_tokens, q_turns, q_urls, q_vectors  # noqa: E402,F401

@@ -20,12 +20,9 @@ ordered by number, null first, then role, then digest; a repeated row is a turn
 empty table has no nodes; other columns are not read. Names are hashes: two different prefixes share
 one with a chance of 2 ** -128 a pair.
 """
-import hashlib
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from beaconlake.llm.arrays import rows_of
+from beaconlake.llm.hashes import of_pieces
 from beaconlake.operators.ordered import running_sum
 from beaconlake.operators.skew import broadcast_if_small, lookup_join
 from beaconlake.session import checkpointed
@@ -186,27 +183,7 @@ def end_hashes(blocks: DataFrame) -> DataFrame:
     last = blocks.where(F.expr(f"block = turns div {BLOCK}")).select("conv", F.col("turns").alias("depth"), F.element_at("names", -1).alias("name"))
     pieces = (last.groupBy("depth", "name.a", "name.b", F.shiftright("conv", PIECE).alias("piece"))
               .agg(F.array_join(F.sort_array(F.collect_list("conv")).cast("array<string>"), ",").alias("ids")))
-
-    def digests(batches):
-        node, running = None, None
-        for batch in batches:
-            done = []
-            for *key, ids in zip(*[batch.column(c).to_pylist() for c in ("depth", "a", "b", "ids")]):
-                if key != node:
-                    if node is not None:
-                        done.append((*node, running.hexdigest()))
-                    node, running = key, hashlib.sha256(ids.encode())
-                else:
-                    running.update(b"," + ids.encode())
-            yield table(done)
-        if node is not None:
-            yield table([(*node, running.hexdigest())])
-
-    def table(done):
-        columns = list(zip(*done)) or [[]] * 4
-        return rows_of({name: pa.array(list(c), kind) for name, c, kind in zip(("_depth", "_a", "_b", "ends"), columns, (pa.int64(), pa.int64(), pa.int64(), pa.string()))})
-    return (pieces.repartition("depth", "a", "b").sortWithinPartitions("depth", "a", "b", "piece")
-            .mapInArrow(digests, "_depth bigint, _a bigint, _b bigint, ends string"))
+    return of_pieces(pieces, ["depth", "a", "b"], ["piece"], "ids", b",", "ends")
 
 
 def trie(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
