@@ -27,7 +27,7 @@ from beaconlake.llm.arrays import parts, plain, rows_of, texts_of, whole_texts
 from beaconlake.llm.components import components
 from beaconlake.llm.shingles import Hasher, shared_at_least, signature
 from beaconlake.llm.trie_join import links
-from beaconlake.session import checkpointed
+from beaconlake.session import checkpointed, stored
 
 BLOCK = 1024            # sets a task joins at a time
 SMALL = 1_000_000       # ids that may be broadcast (16 MB); beyond, the ids join by shuffle
@@ -42,7 +42,7 @@ def signed(docs: DataFrame, identity: str, text: str) -> DataFrame:
         for batch in parts(batches):
             sets = [(signature(s), len(s)) if len(s) else (None, 0) for s in hasher.sets(texts_of(batch))]
             yield rows_of({"id": batch.column("id"), "sig": pa.array([s for s, _ in sets], pa.int64()), "n": pa.array([n for _, n in sets], pa.int64())})
-    rows = docs.select(F.col(identity).alias("id"), F.col(text).alias("text"))
+    rows = whole_texts(docs).select(F.col(identity).alias("id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, sig bigint, n bigint")
 
 
@@ -94,7 +94,7 @@ def survivors(docs: DataFrame, text: str, signs: DataFrame) -> DataFrame:
 def whole_sets(docs: DataFrame, identity: str, text: str, chosen: DataFrame) -> DataFrame:
     """(sig, n, members) of the chosen (sig, n, id)."""
     few = chosen.limit(SMALL + 1).count() <= SMALL
-    rows = docs.select(F.col(identity).alias("id"), F.col(text).alias("text"))
+    rows = whole_texts(docs).select(F.col(identity).alias("id"), F.col(text).alias("text"))
     rows = rows.join(F.broadcast(chosen) if few else chosen, "id").select("sig", "n", "text")
 
     def run(batches):
@@ -165,7 +165,7 @@ def _across(sets: DataFrame) -> DataFrame:
 
 def linked_sets(sets: DataFrame, block: int = BLOCK) -> DataFrame:
     """(node, component) of the sets that link with another. sets: (sig, n, members, group)."""
-    placed = checkpointed(_placed(sets, block))
+    placed = _placed(sets, block)
     heads = checkpointed(_clusters(placed))
     moved = heads.where("sig <> head").select("sig", F.col("head").alias("component"))
     wide = placed.where("blocks > 1")
@@ -184,25 +184,23 @@ def linked_sets(sets: DataFrame, block: int = BLOCK) -> DataFrame:
     return components(edges.select(F.col("sig").alias("a"), F.col("head").alias("b")))
 
 
-def groups(docs: DataFrame, identity: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
-    """Per document: id, n_shingles and component_id, the least id reachable by links."""
-    signs = checkpointed(signed(docs, identity, text))
-    chosen = checkpointed(survivors(docs, text, signs))
-    sets = checkpointed(whole_sets(docs, identity, text, chosen))
-    cluster = linked_sets(candidates(sets), block).select(F.col("node").alias("sig"), "component")
+def _named(signs: DataFrame, linked: DataFrame) -> DataFrame:
+    """(_sig, component_id): the least id of each set's group."""
+    cluster = linked.select(F.col("node").alias("sig"), "component")
     least = signs.where("sig is not null and id is not null").groupBy("sig").agg(F.min("id").alias("id"))
     named = least.join(cluster, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     names = checkpointed(named.groupBy("component").agg(F.min("id").alias("component_id")).withColumnRenamed("component", "_c"))
-    of = checkpointed(named.join(names, F.col("component") == F.col("_c")).select(F.col("sig").alias("_sig"), "component_id"))
-    out = signs.join(of, F.col("sig") == F.col("_sig"), "left")
-    return out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
+    return named.join(names, F.col("component") == F.col("_c")).select(F.col("sig").alias("_sig"), "component_id")
 
 
-def copies(docs: DataFrame, identity: str = "doc_id", text: str = "text") -> DataFrame:
-    """(_id, _group): the ids in groups of two or more, once each, with the least id of the group."""
-    rows, at = plain(docs)
-    others = checkpointed(groups(rows, at[identity], at[text]).where("id <> component_id").select(F.col("id").alias("_id"), F.col("component_id").alias("_group")))
-    return checkpointed(others.unionByName(others.select(F.col("_group").alias("_id"), "_group")).groupBy("_id").agg(F.min("_group").alias("_group")))
+def groups(docs: DataFrame, identity: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
+    """Per document: id, n_shingles and component_id, the least id reachable by links."""
+    signs = checkpointed(signed(docs, identity, text))
+    chosen = stored(lambda: survivors(docs, text, signs))
+    near = stored(lambda: candidates(checkpointed(whole_sets(docs, identity, text, chosen))))
+    of = stored(lambda: _named(signs, linked_sets(near, block)))
+    out = signs.join(of, F.col("sig") == F.col("_sig"), "left")
+    return out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, identity: str = "doc_id", text: str = "text") -> DataFrame:

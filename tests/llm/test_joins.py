@@ -1,4 +1,5 @@
 """Near copies of texts and vectors, components, and the whole pipeline against plain versions."""
+import collections
 import random
 import re
 
@@ -7,7 +8,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 
 import corpus_pipeline
-from beaconlake.llm import ngram_join, shingles, trie_join, vector_join
+from beaconlake.llm import line_dedup, ngram_join, shingles, trie_join, vector_join
 from beaconlake.llm.components import components
 from beaconlake.llm.queries import ORACLE, QUERIES
 from tests.test_registry import norm
@@ -190,21 +191,55 @@ def test_pipeline_stages_against_plain_versions(spark):
     stay = {r["doc_id"] for r in good.collect()}
     clean = [i for i, l in label.items() if l["quality"] == 1 and l["toxic"] == 0]
     assert sum(i in stay for i in clean) >= 0.97 * len(clean)
-    lines = corpus_pipeline.drop_boilerplate(spark, docs, FOLDER)
-    seen, pages = {}, {}
-    trim = lambda x: x.strip(" \t\n\r\x0b\x0c")
-    for r in rows.values():
-        pages[r["source"]] = pages.get(r["source"], 0) + 1
-        for x in {trim(x) for x in r["text"].split("\n")}:
-            seen[r["source"], x] = seen.get((r["source"], x), 0) + 1
-    bad = {k for k, n in seen.items() if k[1] and n >= 10 and n > 0.1 * pages[k[0]]}
-    assert {r["doc_id"]: r["text"] for r in lines.collect()} == {
-        i: "\n".join(x for x in r["text"].split("\n") if (r["source"], trim(x)) not in bad) for i, r in rows.items()}
     ids = sorted(rows)
     _, group = plain_groups([rows[i]["text"] for i in ids])
     assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, FOLDER).collect()) == [ids[k] for k, g in group.items() if k == g]
 
 
+def plain_lines(rows, ratio, long_ratio, least):
+    """{id: text} of rows (id, text, source) without boilerplate lines."""
+    trim = lambda x: x.strip(" \t\n\r\x0b\x0c")
+    count = lambda x: len(x.encode().split())
+    pages = {}
+    for _, text, source in rows:
+        pages.setdefault(source, {})[text] = {trim(x) for x in text.split("\n")} - {""}
+    bad = set()
+    for source, own in pages.items():
+        above = lambda x, n: n >= least and n > (long_ratio if count(x) >= 5 else ratio) * len(own)
+        seen = collections.Counter(x for lines in own.values() for x in lines)
+        first = {x for x, n in seen.items() if above(x, n)}
+        copied = {t for t, lines in own.items() if lines & first and sum(map(count, lines & first)) >= 0.5 * sum(map(count, lines))}
+        for x in first:
+            holds = {t for t, lines in own.items() if x in lines}
+            if above(x, len(holds - copied) + bool(holds & copied)):
+                bad.add((source, x))
+    return {i: "\n".join(x for x in text.split("\n") if (source, trim(x)) not in bad) for i, text, source in rows}
+
+
+def test_line_stage_equals_plain_version(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r["doc_id"], r["text"], r["source"]) for r in docs.collect()]
+    want = plain_lines(rows, 0.1, 0.005, 3)
+    assert sum(want[i] != t for i, t, _ in rows) > 20
+    for some in (docs, docs.repartition(7, "lang")):
+        assert {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_boilerplate(spark, some, FOLDER).collect()} == want
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_lines_of_copies_and_of_others(spark, seed):
+    random.seed(seed)
+    line = lambda: " ".join(f"w{random.randint(0, 30)}" for _ in range(random.randint(1, 9)))
+    stock, rows = [line() for _ in range(30)], []
+    for i in range(200):
+        base = random.choice([[line() for _ in range(6)], stock[:8], stock[8:15]])
+        own = [x for x in base if random.random() < 0.9] + random.sample(stock[15:], random.randint(0, 2)) + [line() for _ in range(random.randint(0, 6))]
+        rows.append((i, random.choice(["\n", "\n \n"]).join(own), random.choice("aab")))
+    rows += [(500 + i, t, s) for i, (_, t, s) in enumerate(rows[:40])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = {r["doc_id"]: r["text"] for r in line_dedup.drop_lines(df, ratio=0.1, long_ratio=0.05, min_pages=3).collect()}
+    assert got == plain_lines(rows, 0.1, 0.05, 3)
+
+
 def test_a_third_of_a_source_equal_keeps_one_whole_document(spark):
     text = lambda i: "\n".join(" ".join(f"w{i}x{j}y{k}" for k in range(12)) for j in range(8))
     rows = [(i, text(0 if i % 3 == 0 else i), "en", "a", 0) for i in range(90)]
