@@ -10,6 +10,7 @@ from beaconlake.session import scratch_path
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 LONG_RATIO = 0.005      # share of a source's documents for lines of five words or more: licence lines lie just above it
+DIFFERENT = 3           # documents of a source that must hold a line
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,9 +19,9 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that a tenth of a source's documents hold go, long ones from LONG_RATIO on; near copies
+    """Lines that a tenth of a source's documents hold go, long ones from LONG_RATIO on; copies
     count as one document."""
-    return line_dedup.drop_lines(docs, groups=ngram_join.copies(docs), long_ratio=LONG_RATIO)
+    return line_dedup.drop_lines(docs, min_pages=DIFFERENT, long_ratio=LONG_RATIO)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
