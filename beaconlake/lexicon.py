@@ -141,6 +141,3 @@ TOPIC_STOP = [
     "beginners", "news", "release", "update", "personal project showcase", "alternatives", "opensource",
     "open source", "productivity", "other", "enhancement", "career", "needs help", "general", "bug",
     "feature", "wip", "todo", "misc", "meta", "off topic", "advice", "resources", "learning"]
-ENGLISH_STOP = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "he", "in",
-                "is", "it", "its", "of", "on", "or", "that", "the", "this", "to", "was", "were",
-                "will", "with", "you", "your", "not", "but", "they", "we", "our", "their"]

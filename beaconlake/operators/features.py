@@ -30,27 +30,36 @@ def with_raw_signals(items: DataFrame, as_of) -> DataFrame:
             .withColumn("standout_raw", F.when(github & (people != 0), room)))
 
 
-def _long(items: DataFrame) -> DataFrame:
-    fields = F.array(*[F.struct(F.lit(name).alias("field"), F.col(col).alias("v"))
-                       for name, col in zip(RAW, RAW_COLUMNS)])
-    return items.select("opportunity_id", "source", F.inline(fields))
+RAW_COLUMNS = ["pop", "disc", "vel", "standout_raw"]
 
 
-RAW_COLUMNS = ["pop", "disc", "vel", "standout_raw"]
+def _values(fields):
+    return [(name, col) for name, col in zip(RAW, RAW_COLUMNS) if name in fields]
+
+
+def value_shares(items: DataFrame, fields=RAW) -> DataFrame:
+    """(source, field, v, n, share): per raw signal and source the different values, and the share of the
+    source's non-null values that each strictly beats."""
+    each = F.array(*[F.struct(F.lit(name).alias("field"), F.col(col).alias("v")) for name, col in _values(fields)])
+    positions = ordered.value_positions(items.select("source", F.inline(each)), ["source", "field"], "v")
+    return checkpointed(positions.select("source", "field", "v", "n", (F.col("below") / F.col("total")).alias("share")))
 
 
-def with_percentiles(items: DataFrame) -> DataFrame:
+def with_percentiles(items: DataFrame, fields=RAW, corpus: DataFrame | None = None) -> DataFrame:
     """The rows with, per raw signal, the share of their source's non-null values they strictly
-    beat. A missing value beats nobody. The shares come from a table of different values, which
-    each row looks up four times; rows are never multiplied or grouped again."""
-    table = checkpointed(ordered.value_positions(_long(items), ["source", "field"], "v")
-                         .select("source", "field", "v", "n", (F.col("below") / F.col("total")).alias("share")))
-    out = items
-    for name, col in zip(RAW, RAW_COLUMNS):
-        known = table.where(F.col("field") == name).select("source", F.col("v").alias(col), "n", F.col("share").alias(f"{name}_pct"))
-        out = skew.lookup_join(out, known, ["source", col], "n", "opportunity_id").drop("n")
-        out = out.withColumn(f"{name}_pct", F.coalesce(f"{name}_pct", F.lit(0.0)))
-    return out
+    beat. A missing value beats nobody. `corpus` has the rows to compare with, where they are not the
+    rows themselves. opportunity_id is unique.
+
+    A row becomes one slim row per signal, which looks its value up, and is put together again by its
+    id; the other columns travel with the first."""
+    table = value_shares(items if corpus is None else corpus, fields)
+    whole = F.struct(*items.columns)
+    none = F.lit(None).cast(items.select(whole.alias("row")).schema["row"].dataType)
+    each = F.array(*[F.struct(F.lit(name).alias("field"), F.col(col).alias("v"), (none if i else whole).alias("row")) for i, (name, col) in enumerate(_values(fields))])
+    found = skew.lookup_join(items.select("opportunity_id", "source", F.inline(each)), table, ["source", "field", "v"], "n", "opportunity_id")
+    shares = [F.coalesce(F.max(F.when(F.col("field") == name, F.col("share"))), F.lit(0.0)).alias(f"{name}_pct") for name, _ in _values(fields)]
+    again = found.groupBy("opportunity_id").agg(F.first("row", ignorenulls=True).alias("row"), *shares)
+    return again.select("row.*", *[f"{name}_pct" for name, _ in _values(fields)])
 
 
 def source_percentiles(items: DataFrame) -> DataFrame:
@@ -59,6 +68,13 @@ def source_percentiles(items: DataFrame) -> DataFrame:
     return with_percentiles(slim).select("opportunity_id", *[f"{f}_pct" for f in RAW])
 
 
+def with_velocity(opps: DataFrame, as_of) -> DataFrame:
+    """The rows with the velocity feature alone."""
+    raw = with_raw_signals(decoded(opps), as_of).select(*opps.columns, "vel")
+    got = with_percentiles(raw, ["vel"])
+    return got.select(*opps.columns, nm.fixed_round(F.col("vel_pct"), 4).alias("velocity"))
+
+
 def openness(items_source="source"):
     return nm.is_open(F.col(items_source), F.col("sig.archived"), F.col("sig.state"))
 
@@ -76,9 +92,12 @@ def contribution_worth(source, reputation, quality, health_value, open_flag):
     return F.when(source == "github", worth).otherwise(0.5)
 
 
-def feature_table(opps: DataFrame, as_of) -> DataFrame:
-    """The 13 rounded feature columns per item."""
+def feature_table(opps: DataFrame, as_of, corpus: DataFrame | None = None) -> DataFrame:
+    """The 13 rounded feature columns per item. `corpus` has all items where `opps` are some of them:
+    values are compared with all, the rest is computed for the few."""
     items = with_raw_signals(decoded(opps), as_of)
+    slim = lambda rows: rows.select("opportunity_id", "source", *RAW_COLUMNS)
+    corpus = None if corpus is None else slim(with_raw_signals(decoded(corpus), as_of))
     source = F.col("source")
     github = source == "github"
     flat = items.select(
@@ -87,7 +106,7 @@ def feature_table(opps: DataFrame, as_of) -> DataFrame:
         tx.issue_quality(source, F.col("body")).alias("qual"), F.col("standout_raw").isNull().alias("no_standout"),
         nm.effort_minutes(source, F.col("opportunity_type"), F.col("body"), tx.good_first(F.col("tag_list")),
                           F.col("sig.reading_time_min")).alias("minutes"))
-    f = with_percentiles(flat)
+    f = with_percentiles(flat, corpus=corpus)
     f = f.withColumn("health", health(F.col("disc_pct"), F.col("rec"), F.col("vel_pct"), F.col("open_flag")))
     r4 = lambda c: nm.fixed_round(c, 4)
     return f.select(

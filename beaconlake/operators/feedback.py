@@ -32,20 +32,38 @@ def interactions(log: DataFrame) -> DataFrame:
                       F.coalesce(c("_saved") == "save", F.lit(False)).alias("saved"), "reason", "_first.*", "first_at", "last_at", "last_seq")
 
 
-def transitions(log: DataFrame) -> DataFrame:
+def transitions(log: DataFrame, cards: DataFrame | None = None) -> DataFrame:
     """Every disposition click with `applied`: whether it changed anything. Status clicks and
     save clicks are two tracks that do not touch each other, so the row before in the same
-    track decides."""
+    track decides. `cards` is the state before the log: the clicks that lead to it go first."""
     track = F.when(c("action").isin(*STATUS_OF), "status").when(c("action").isin("save", "unsave"), "saved")
     rows = log.withColumn("track", track).where("track is not null")
+    if cards is not None:
+        back = {v: k for k, v in STATUS_OF.items()}
+        stood = F.array(nm.lookup(c("status"), back), F.when(c("saved"), "save").otherwise("unsave"))
+        known = cards.select(*KEY, c("last_seq").alias("seq"), F.explode(stood).alias("action")).withColumn("track", track)
+        rows = rows.withColumn("_known", F.lit(False)).unionByName(known.withColumn("_known", F.lit(True)), allowMissingColumns=True)
     rows = ordered.previous_value(rows, KEY + ["track"], ["seq"], "action", "before")
+    if cards is not None:
+        rows = rows.where(~c("_known")).drop("_known")
     trains = c("action").isin("engage", "dismiss", "save")
     return rows.withColumn("applied", trains & ~c("action").eqNullSafe(c("before")))
 
 
-def training_steps(log: DataFrame) -> DataFrame:
+def cards_after(moves: DataFrame, cards: DataFrame) -> DataFrame:
+    """The state of every card that `moves` (transitions from `cards` on) touch: status, saved flag, number
+    of clicks that changed anything, last click."""
+    last = lambda track: F.max_by(F.when(c("track") == track, c("action")), F.when(c("track") == track, c("seq")))
+    got = moves.groupBy(*KEY).agg(last("status").alias("_status"), last("saved").alias("_saved"), F.count_if(c("applied")).alias("_n"), F.max("seq").alias("_seq"))
+    old = cards.select(*[c(k).alias("_" + k) for k in KEY], "status", "saved", "applied")
+    got = got.join(old, [c(k).eqNullSafe(c("_" + k)) for k in KEY], "left")
+    return got.select(*KEY, F.coalesce(nm.lookup(c("_status"), STATUS_OF), "status", F.lit("none")).alias("status"),
+                      F.coalesce(c("_saved") == "save", "saved", F.lit(False)).alias("saved"), (F.coalesce("applied", F.lit(0)) + c("_n")).alias("applied"), c("_seq").alias("last_seq"))
+
+
+def training_steps(log: DataFrame, moves: DataFrame | None = None) -> DataFrame:
     """Clicks the learner trains on: a new disposition with a known, whole signal vector."""
-    steps = transitions(log).where(c("applied") & (F.size("signals") == len(lx.SIGNALS)))
+    steps = (transitions(log) if moves is None else moves).where(c("applied") & (F.size("signals") == len(lx.SIGNALS)))
     return steps.select("user_id", "persona_key", "seq", "mode", nm.lookup(c("action"), lx.REWARDS).alias("reward"), "signals")
 
 
@@ -70,14 +88,16 @@ def lms_step(w, x, y, rate=lx.LEARNING_RATE):
     return w / total if total > 0 else w
 
 
-def learned_weights(steps: DataFrame) -> DataFrame:
-    """Weights per (user, persona) after all steps in order.
+def learned_weights(steps: DataFrame, start: DataFrame | None = None) -> DataFrame:
+    """Weights per (user, persona) after all steps in order, from none or from those of `start` on.
 
     The fold depends on its order, so a key's steps run in sequence: rows are spread by key,
     sorted inside each partition (which spills), and folded while batches stream by. A task
     holds one weight vector, never a key's rows."""
-    steps = last_mode_only(steps)
-    steps = steps.select("user_id", "persona_key", "seq", "mode", "reward", "signals")
+    steps = last_mode_only(steps) if start is None else steps
+    steps = steps.select("user_id", "persona_key", "seq", "mode", "reward", "signals", F.lit(None).cast("bigint").alias("n"))
+    if start is not None:         # a row without a step number: it sorts first, and its signals are the weights
+        steps = steps.unionByName(start.select("user_id", "persona_key", F.lit(None).cast("bigint").alias("seq"), "mode", F.lit(None).cast("double").alias("reward"), c("weights").alias("signals"), "n"))
     steps = steps.repartition("user_id", "persona_key").sortWithinPartitions("user_id", "persona_key", "seq")
     names = ["user_id", "persona_key", "mode", "n", "weights"]
 
@@ -93,7 +113,7 @@ def learned_weights(steps: DataFrame) -> DataFrame:
             return batch
 
         for batch in batches:
-            users, keys, modes, ys = (batch.column(i).to_pylist() for i in ("user_id", "persona_key", "mode", "reward"))
+            users, keys, modes, ys, known = (batch.column(i).to_pylist() for i in ("user_id", "persona_key", "mode", "reward", "n"))
             xs = batch.column("signals")
             xs = xs.flatten().to_numpy(zero_copy_only=False).reshape(len(users), -1) if len(users) else np.zeros((0, len(lx.SIGNALS)))
             for i in range(len(users)):
@@ -102,6 +122,9 @@ def learned_weights(steps: DataFrame) -> DataFrame:
                     if key is not None and here != key:
                         done.append((key, mode, n, w))
                     key, mode, n, w = here, modes[i], 0, start_weights(modes[i])
+                if known[i] is not None:
+                    n, w = known[i], xs[i].copy()
+                    continue
                 w = lms_step(w, xs[i], ys[i])
                 n += 1
             if len(done) >= 5000:

@@ -1,16 +1,35 @@
 """TF-IDF search over word and word-pair terms, as joins and sums."""
-from pyspark.sql import DataFrame, functions as F
+import functools
+import os
+import zipfile
+from pathlib import Path
 
-from beaconlake import lexicon as lx
+import pyspark
+from pyspark.sql import DataFrame, Window, functions as F
+
+from beaconlake.operators import trends as tr
+from beaconlake.operators.skew import broadcast_if_small
 from beaconlake.session import checkpointed
 
 c = F.col
 VOCABULARY = 40000      # fixed value: default size; a vocabulary up to it is sent to every task
+HEADS = 3               # strongest terms of a query that set its first threshold
+SLACK = 1e-8            # sums in another order may differ by less
+
 
+@functools.cache
+def stop_words(language="english") -> tuple[str, ...]:
+    """Spark's own list of a language: the one StopWordsRemover.loadDefaultStopWords gives, read without a session."""
+    homes = [Path(pyspark.__file__).parent / "jars", Path(os.environ.get("SPARK_HOME", "/")) / "jars"]
+    jar = next(j for home in homes for j in sorted(home.glob("spark-mllib_*.jar")))
+    with zipfile.ZipFile(jar) as parts:
+        return tuple(w for w in parts.read(f"org/apache/spark/ml/feature/stopwords/{language}.txt").decode().split("\n") if w)
 
-def term_list(text):
+
+def term_list(text, stop=None):
     """Words of two characters or more without stop words, then neighbouring pairs."""
-    words = F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)), lambda w: ~w.isin(*lx.ENGLISH_STOP))
+    left_out = stop_words() if stop is None else stop
+    words = F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)), lambda w: ~w.isin(*left_out))
     pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words), F.lit(1))),
                        lambda a, b: F.concat_ws(" ", a, b))
     return F.concat(words, F.filter(pairs, lambda p: p.isNotNull()))
@@ -35,9 +54,9 @@ def unit_weights(counts: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
     return w.join(size, key).select(key, "term", (c("w") / c("size")).alias("w"))
 
 
-def search(docs: DataFrame, queries: DataFrame, size=VOCABULARY) -> DataFrame:
-    """Cosine of every (query, document) pair that shares a term. docs: id, text;
-    queries: qid, text.
+def postings(docs: DataFrame, queries: DataFrame, size=VOCABULARY) -> tuple[DataFrame, DataFrame]:
+    """(id, term, w) of the documents for the terms that any query asks for, and (qid, term, qw) of the
+    queries; all weights are of unit length. docs: id, text; queries: qid, text.
 
     The documents are shuffled and cut into terms once: the counts are stored, and used for the
     vocabulary and for the weights. A vocabulary of up to 40,000 terms is broadcast, a larger one
@@ -49,5 +68,48 @@ def search(docs: DataFrame, queries: DataFrame, size=VOCABULARY) -> DataFrame:
     marked = vocab.join(asked.select("term", F.lit(True).alias("asked")).distinct(), "term", "left")
     weighted = counts.join(sent(marked), "term").select("id", "term", "asked", (c("tf") * c("idf")).alias("w"))
     per_doc = weighted.groupBy("id").agg(F.sqrt(F.sum(c("w") * c("w"))).alias("len"), F.collect_list(F.when(c("asked"), F.struct("term", "w"))).alias("hits"))
-    hits = per_doc.select("id", "len", F.inline("hits")).join(asked, "term")
-    return hits.groupBy("qid", "id").agg((F.sum(c("w") * c("qw")) / F.max("len")).alias("sim"))
+    return per_doc.select("id", "len", F.inline("hits")).select("id", "term", (c("w") / c("len")).alias("w")), asked
+
+
+def search(docs: DataFrame, queries: DataFrame, size=VOCABULARY) -> DataFrame:
+    """Cosine of every (query, document) pair that shares a term."""
+    held, asked = postings(docs, queries, size)
+    return held.join(broadcast_if_small(asked), "term").groupBy("qid", "id").agg(F.sum(c("w") * c("qw")).alias("sim"))
+
+
+def bounds(held: DataFrame, asked: DataFrame) -> DataFrame:
+    """(qid, term, qw, at, rest): a query's terms, the strongest first; `rest` is the most that this term and
+    all behind it can add to a score: sums of each term's largest document weight."""
+    most = held.groupBy("term").agg(F.max("w").alias("most"))
+    strong = asked.join(most, "term").withColumn("reach", c("qw") * c("most"))
+    order = Window.partitionBy("qid").orderBy(F.desc("reach"), "term")
+    return strong.select("qid", "term", "qw", F.row_number().over(order).alias("at"), F.sum("reach").over(order.rowsBetween(0, Window.unboundedFollowing)).alias("rest"))
+
+
+def kth_best(scores: DataFrame, k: int) -> DataFrame:
+    """(qid, floor): the k-th best score of each query that has as many."""
+    best = tr.top_n(scores, ["qid"], [F.desc("sim")], k, "place")
+    return best.where(c("place") == k).select("qid", (c("sim") - SLACK).alias("floor"))
+
+
+def search_top(docs: DataFrame, queries: DataFrame, k: int, size=VOCABULARY) -> tuple[DataFrame, DataFrame]:
+    """The pairs (qid, id, sim) that can be among a query's best k, ties included; and which they are
+    (qid, id), to compare with all pairs that share a term.
+
+    A query's strongest terms give a first floor: the k-th best score so far. Terms that together can't reach
+    it are not worth a look of their own, so only documents with one of the others are scored. Those whose score
+    by these terms plus the most that the rest can add stays below the next floor go; the rest is summed for
+    what is left."""
+    held, asked = postings(docs, queries, size)
+    held = checkpointed(held)
+    terms = checkpointed(bounds(held, asked))
+    scored = lambda pairs: pairs.groupBy("qid", "id").agg(F.sum("part").alias("sim"))
+    with_terms = lambda some: held.join(broadcast_if_small(some), "term").withColumn("part", c("w") * c("qw"))
+    first = checkpointed(kth_best(scored(with_terms(terms.where(c("at") <= HEADS))), k))
+    essential = checkpointed(terms.join(broadcast_if_small(first), "qid", "left").where((c("at") <= HEADS) | (c("rest") >= F.coalesce("floor", F.lit(0.0)))).drop("floor"))
+    behind = terms.join(essential.groupBy("qid").agg(F.max("at").alias("last")), "qid").groupBy("qid").agg(F.coalesce(F.max(F.when(c("at") == c("last") + 1, c("rest"))), F.lit(0.0)).alias("behind"))
+    partly = checkpointed(scored(with_terms(essential)))
+    floor = kth_best(partly, k).join(behind, "qid", "right").fillna(0.0, ["floor"])
+    left = checkpointed(partly.join(broadcast_if_small(floor), "qid").where(c("sim") + c("behind") >= c("floor")).select("qid", "id"))
+    near = held.join(broadcast_if_small(left), "id").join(broadcast_if_small(terms.select("qid", "term", "qw")), ["qid", "term"])
+    return scored(near.withColumn("part", c("w") * c("qw"))), left

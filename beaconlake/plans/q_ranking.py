@@ -4,9 +4,10 @@ from pyspark.sql import Window, functions as F
 from beaconlake import lexicon as lx
 from beaconlake.functions import dates, numeric as nm, text as tx
 from beaconlake.operators import encode as en, evaluation as ev, features as ft, ordered, personas as ps, ranking as rk, sketches as sk, splits, tfidf, trends as tr, vectors as vx
+from beaconlake.operators.skew import broadcast_if_small
 from beaconlake.plans import testbed as tb
 from beaconlake.plans.q_columns import PAIR_TEXT, PROTO, Q6, items, micro
-from beaconlake.plans.q_trends import N, act, near
+from beaconlake.plans.q_trends import CM_DEPTH, CM_WIDTH, N, WORDS, act, cells_sql, near
 from beaconlake.plans.q_vectors import DOT, _FAC, corpus, facet_rows
 from beaconlake.plans.registry import query
 from beaconlake.plans.testbed import oracle, r_sql
@@ -27,10 +28,12 @@ def _keywords():
         nm.lookup(c("id"), {k: "|".join(v) for k, v in KEYWORDS.items()}, ""), r"\|")))
 
 
-def meta(spark, d):
-    """Items with decoded columns and features, keyed by their arrival id."""
+def meta(spark, d, ids):
+    """The items of these arrival ids with decoded columns and features; their signals are compared
+    with those of all items."""
     o = items(spark, d).withColumnRenamed("ingest_seq", "id")
-    return o.join(ft.feature_table(o, tb.as_of()), "opportunity_id")
+    few = checkpointed(o.join(broadcast_if_small(ids.select("id").distinct()), "id", "left_semi"))
+    return few.join(ft.feature_table(few, tb.as_of(), corpus=o), "opportunity_id")
 
 
 def candidates(spark, d, per_source=150):
@@ -42,7 +45,8 @@ def candidates(spark, d, per_source=150):
 
 
 def filtered(spark, d):
-    got = candidates(spark, d).join(meta(spark, d).drop("source"), "id")
+    found = checkpointed(candidates(spark, d))
+    got = found.join(meta(spark, d, found).drop("source"), "id")
     return rk.hard_filter(got, people(spark))
 
 
@@ -319,7 +323,7 @@ def rerank(spark, d):
 
 
 # ---- keyword search ----------------------------------------------------------------------
-_ST = tb.sql_list(lx.ENGLISH_STOP)
+_ST = tb.sql_list(list(tfidf.stop_words()))
 
 
 def _terms_sql(rel, key, text):
@@ -339,7 +343,7 @@ sim AS (SELECT item_id AS qid, doc_id AS id, dot / d.len / q.len AS sim FROM (SE
 def keyword_search(spark, d):
     docs = tb.documents(spark, d).select(c("doc_id").alias("id"), "text")
     asks = tb.table(spark, d, "benchmark").select(c("item_id").alias("qid"), "text")
-    got = tfidf.search(docs, asks)
+    got, _ = tfidf.search_top(docs, asks, 10)
     return tr.top_n(got, ["qid"], [F.desc(F.floor(c("sim") * 1e9 + 0.5)), c("id")], 10).select("qid", "id", micro(c("sim")).alias("sim_micro"))
 
 
@@ -450,10 +454,18 @@ def acceptance_checks(spark, d):
     return ev.acceptance(s.where("place <= 10"), rk.packed(s), rk.standout_lane(s), middle.scalar())
 
 
-@query("UDF-05", oracle("SELECT domain, count(*) AS rows, count(DISTINCT voice) AS authors, true AS union_equals_whole FROM item GROUP BY domain"))
+@query("UDF-05", oracle(f"""SELECT domain, rows, authors, true AS union_equals_whole, cells, cell_sum, true AS tables_add_up
+  FROM (SELECT domain, count(*) AS rows, count(DISTINCT voice) AS authors FROM item GROUP BY domain) JOIN
+  (SELECT domain, count(*) AS cells, sum(n)::BIGINT AS cell_sum FROM {cells_sql('tc', 'domain')} GROUP BY domain) USING (domain)""", extra=WORDS))
 def mergeable_sketches(spark, d):
-    """Sketches per (domain, source), merged per domain, equal the sketch of the whole."""
+    """Sketches and count-min tables per (domain, source), merged per domain, equal those of the whole."""
     a = act(spark, d)
     merged = sk.merged_reach(sk.reach_sketches(a, ["domain", "source"]), ["domain"])
     whole = a.groupBy("domain").agg(N().alias("rows"), F.countDistinct("author").alias("authors"), F.hll_sketch_estimate(F.hll_sketch_agg("author", sk.LG_K)).alias("direct"))
-    return whole.join(merged, "domain").select("domain", "rows", "authors", (near(c("reach"), c("direct")) & near(c("reach"), c("authors"))).alias("union_equals_whole"))
+    words = items(spark, d).select("domain", "source", F.explode(tx.terms(c("title"), c("tag_list"))).alias("term"))
+    table = lambda keys: sk.count_min(words, keys, "term", CM_WIDTH, CM_DEPTH)
+    both = sk.merged_count_min(table(["domain", "source"]), ["domain"]).withColumn("side", F.lit(1)).unionByName(table(["domain"]).withColumn("side", F.lit(-1)))
+    cells = (both.groupBy("domain", "row", "bucket").agg(F.sum(c("n") * c("side")).alias("off"), F.max("n").alias("n"))
+             .groupBy("domain").agg(N().alias("cells"), F.sum("n").alias("cell_sum"), (F.max(F.abs("off")) == 0).alias("tables_add_up")))
+    got = whole.join(merged, "domain").join(cells, "domain")
+    return got.select("domain", "rows", "authors", (near(c("reach"), c("direct")) & near(c("reach"), c("authors"))).alias("union_equals_whole"), "cells", "cell_sum", "tables_add_up")

@@ -2,7 +2,9 @@
 from pyspark.sql import functions as F
 
 from beaconlake import lexicon as lx
-from beaconlake.operators import encode as en, feedback as fb, ranking as rk, rollup as ru, trends as tr, vectors as vx
+from beaconlake.functions import dates
+from beaconlake.operators import encode as en, features as ft, feedback as fb, ranking as rk, rollup as ru, sketches as sk, trends as tr, vectors as vx
+from beaconlake.operators.skew import broadcast_if_small
 from beaconlake.plans import q_ranking as qr, q_state as qs, q_trends as qt, testbed as tb
 from beaconlake.plans.q_columns import items
 from beaconlake.plans.q_vectors import corpus
@@ -31,23 +33,117 @@ def outside_related(spark, d):
     return ru.outside_related(r, tb.scopes(spark)).select("scope", "other", "position")
 
 
+def facts(spark, d):
+    """What the view needs of every item, stored once: no texts."""
+    o = tb.opportunities(spark, d)
+    f = ft.feature_table(o, tb.as_of()).select("opportunity_id", "velocity", "effort_min", "standout")
+    rows = tr.activity(o).join(f, "opportunity_id")
+    more = o.select("opportunity_id", (F.trim("title") != "").alias("titled"), dates.parsed(c("created_at")).alias("at"))
+    return checkpointed(rows.join(more, "opportunity_id"))
+
+
 def view(spark, d):
-    scopes = tb.scopes(spark)
-    a = qt.act(spark, d)
+    """The whole trend view of every scope as one row."""
+    scopes, every = tb.scopes(spark), tb.scopes(spark, True)
+    rows = facts(spark, d)
     # One pass each over rows and terms; everything after works on per-domain summaries.
-    weekly = checkpointed(tr.weekly_counts(a))
-    sizes = a.where("domain <> ''").groupBy("domain").agg(qt.N().alias("n"))
-    terms = checkpointed(ru.merged_terms(tr.term_counts(items(spark, d)), scopes))
-    cards = tr.scoped(tr.momentum(tr.share_grid(weekly)), scopes)
-    cards = checkpointed(cards.withColumns({"label": qt.tx.domain_label(c("domain")), "direction": qt.nm.direction(c("delta_pp"))}))
-    places = ru.merged_communities(qt.top_communities(spark, d).drop("position"), scopes)
-    return ru.scope_view(cards, tr.scoped(sizes, scopes), terms, places, tr.narrative(cards))
+    grid = checkpointed(tr.share_grid(tr.weekly_counts(rows)))
+    sizes = checkpointed(rows.groupBy("domain").agg(qt.N().alias("cnt"), F.countDistinct("author").alias("authors")))
+    counts = checkpointed(tr.term_counts(items(spark, d)))
+    near = checkpointed(related(spark, d))
+    topics = tr.distinctive_topics(tr.tag_counts(items(spark, d)))
+    topics = checkpointed(topics.groupBy("domain").agg(ru.ordered_list(c("tag"), c("position")).alias("topics")))
+    words = tr.top_n(counts, ["domain"], [F.desc("n"), c("term")], 6).groupBy("domain").agg(ru.ordered_list(c("term"), c("position")).alias("top_terms"))
+    cards = tr.scoped(tr.momentum(grid), scopes).withColumns({"label": qt.tx.domain_label(c("domain")), "direction": qt.nm.direction(c("delta_pp"))})
+    inside = tr.scoped(near, scopes).join(scopes.select("scope", c("domain").alias("other")), ["scope", "other"])
+    links = inside.groupBy("scope", "domain").agg(ru.ordered_list(F.struct("other", "sim"), -F.floor(c("sim") * 1e9), c("other")).alias("links"))
+    cards = checkpointed(cards.join(sizes, "domain", "left").join(words, "domain", "left").join(topics, "domain", "left").join(links, ["scope", "domain"], "left"))
+    mover = cards.groupBy("scope").agg(F.max_by(F.struct("domain", "label", "delta_pp", "direction"), F.struct("delta_pp", F.transform(F.split("domain", ""), lambda x: -F.ascii(x)))).alias("mover"))
+    terms = ru.merged_terms(counts, scopes)
+    best_terms = tr.top_n(terms, ["scope"], [F.desc("n"), c("term")], 14)
+    places = checkpointed(ru.merged_communities(qt.top_of_communities(rows).drop("position"), scopes).withColumn("label", qt.tx.domain_label(c("domain"))))
+    series = checkpointed(qt.share_series(grid, sizes, scopes))
+    weeks = tr.scoped(grid.select("domain", "week", "n"), scopes).groupBy("scope", "week").agg(F.sum("n").alias("total"))
+    lines = series.groupBy("scope", "domain", "rk").agg(ru.ordered_list(F.struct("week", "n", "share"), c("week")).alias("points"))
+    outside = ru.outside_related(near, scopes).join(topics.withColumnRenamed("domain", "other"), "other", "left")
+    risers = qt.rising(rows.select("opportunity_id", "source", "domain", "velocity", "engagement", "titled"), every)
+    dated = rows.where("at is not null").select("opportunity_id", "source", "domain", "titled", "at", "engagement")
+    newest = tr.newest_in_scope(dated, every, "at")
+    freshest = tr.limit_filter_limit(dated, every, [F.desc("at"), c("opportunity_id")], 60, c("titled"), 6).join(newest, "scope")
+    named = checkpointed(risers.select("opportunity_id").unionByName(freshest.select("opportunity_id")).distinct())
+    titles = tb.opportunities(spark, d).join(broadcast_if_small(named), "opportunity_id", "left_semi").select("opportunity_id", F.trim("title").alias("title"), "url")
+    titles = checkpointed(titles.withColumn("title", F.substring("title", 1, 140)))
+    risers, freshest = (x.join(titles, "opportunity_id") for x in (risers, freshest))
+    inflow = checkpointed(tr.fresh_inflow(dated, every, "at"))
+    voices = rows.where("author is not null").select("domain", "author").distinct()
+    reach = tr.scoped(voices, every).groupBy("scope").agg(F.countDistinct("author").alias("reach"))
+    guess = sk.merged_reach(tr.scoped(sk.reach_sketches(rows, ["domain"]), every), ["scope"]).select("scope", c("reach").alias("reach_estimate"))
+    modes = spark.createDataFrame(list(tb.PERSONA_MODES.items()), "scope string, mode string")
+    numbers = (modes.join(scopes.groupBy("scope", "breadth").agg(qt.N().alias("n_domains")), "scope")
+               .join(tr.scoped(sizes.select("domain", "cnt"), scopes).groupBy("scope").agg(F.sum("cnt").alias("opportunities"), qt.N().alias("domains_active")), "scope")
+               .join(reach, "scope").join(guess, "scope").join(mover, "scope", "left")
+               .join(cards.groupBy("scope").agg(qt.N().alias("n_cards"), F.count_if(c("direction") == "up").alias("up")), "scope", "left")
+               .join(terms.groupBy("scope").agg(qt.N().alias("trending_terms")), "scope", "left")
+               .join(places.where("position = 1").select("scope", F.struct("community", "engagement", "authors").alias("best")), "scope", "left")
+               .join(qt.contribute_numbers(rows, every), "scope", "left").join(qt.discuss_numbers(rows, every).drop("top_community"), "scope", "left")
+               .join(qt.breakouts(rows, every), "scope", "left").join(inflow.groupBy("scope").agg(F.sum("n").alias("fresh")), "scope", "left"))
+    numbers = checkpointed(numbers)
+    lists = ru.assembled({
+        "cards": (cards, F.struct("domain", "label", "cnt", "authors", "share_last", "delta_pp", "momentum", "rising_score", "direction", "top_terms", "topics", "links"), [-c("delta_pp"), c("domain")]),
+        "terms": (best_terms, F.struct("term", "n"), [c("position")]),
+        "communities": (places, F.struct("community", "label", "volume", "engagement", "authors"), [c("position")]),
+        "weeks": (weeks, F.struct("week", "total"), [c("week")]),
+        "series": (lines, F.struct("domain", "points"), [c("rk")]),
+        "related": (outside, F.struct(c("other").alias("domain"), "sim", "topics"), [c("position")]),
+        "rising": (risers, F.struct("opportunity_id", "title", "url", "source", "engagement", "velocity"), [c("position")]),
+        "fresh_sources": (inflow, F.struct("source", "n"), [-c("n"), c("source")]),
+        "fresh_items": (freshest, F.struct("opportunity_id", "title", "url", "source", dates.hours_before(c("newest"), c("at")).alias("ago_hours")), [c("position")]),
+        "kpi_cards": (ru.kpi_cards(numbers), c("card"), [c("place")])})
+    return numbers.join(lists, "scope", "left").join(tr.narrative(cards), "scope", "left")
 
 
-_VIEW = qt._GRID + qt.MOM + tb.scope_sql() + qt._MOVE + qt._WORDS + qt._TOPC + f""", nar AS ({qt.NARR}),
+_VIEW = qt._GRID + qt.MOM + tb.scope_sql() + tb.scope_sql(True).replace("scope AS", "scopeb AS", 1) + qt._MOVE + qt._WORDS + qt._TOPC + qt._TOPT + qt._TAGS + qt._TOPICS + qt._SERIES + _DC + f""", nar AS ({qt.NARR}),
 tsum AS (SELECT scope, term, CAST(sum(n) AS BIGINT) AS n, row_number() OVER (PARTITION BY scope ORDER BY sum(n) DESC, term) AS p FROM tc JOIN scope USING (domain) GROUP BY scope, term),
-dirs AS (SELECT *, CASE WHEN delta_pp > 0.1e0 THEN 'up' WHEN delta_pp < -0.1e0 THEN 'down' ELSE 'flat' END AS direction, row_number() OVER (PARTITION BY scope ORDER BY delta_pp DESC, domain) AS p FROM cards),
-pls AS (SELECT scope, community, row_number() OVER (PARTITION BY scope ORDER BY engagement DESC, community) AS p FROM (SELECT scope, community, engagement, row_number() OVER (PARTITION BY scope, community ORDER BY engagement DESC, domain) AS again FROM ct JOIN scope USING (domain)) q WHERE again = 1)"""
+dsz AS (SELECT domain, count(*) AS cnt, count(DISTINCT voice) AS authors FROM item GROUP BY domain),
+t6 AS (SELECT domain, string_agg(term, ',' ORDER BY position) AS words FROM top WHERE position <= 6 GROUP BY domain),
+tpc AS (SELECT domain, string_agg(tag, ',' ORDER BY position) AS topics FROM tps WHERE position <= 6 GROUP BY domain),
+lk AS (SELECT s.scope, dr.domain, string_agg(dr.other || '~' || CAST(floor(sim * 1e3 + 0.5) AS BIGINT), ',' ORDER BY p) AS links FROM dr JOIN scope s USING (domain) JOIN scope z ON z.scope = s.scope AND z.domain = dr.other GROUP BY ALL),
+dirs AS (SELECT c.*, share_last, momentum, rising_score, cnt, authors, words, topics, links, CASE WHEN c.delta_pp > 0.1e0 THEN 'up' WHEN c.delta_pp < -0.1e0 THEN 'down' ELSE 'flat' END AS direction,
+  row_number() OVER (PARTITION BY c.scope ORDER BY c.delta_pp DESC, c.domain) AS p FROM cards c JOIN mom m USING (domain) LEFT JOIN dsz USING (domain) LEFT JOIN t6 USING (domain) LEFT JOIN tpc USING (domain) LEFT JOIN lk ON lk.scope = c.scope AND lk.domain = c.domain),
+pls AS (SELECT *, {tb.sql_case('domain', lx.DOMAIN_LABELS, '')} AS label, row_number() OVER (PARTITION BY scope ORDER BY engagement DESC, community) AS p FROM
+  (SELECT scope, ct.domain, community, engagement, volume, authors, row_number() OVER (PARTITION BY scope, community ORDER BY engagement DESC, domain) AS again FROM ct JOIN scope USING (domain)) q WHERE again = 1),
+wks AS (SELECT scope, string_agg(strftime(week, '%Y-%m-%d') || ':' || n, ' ' ORDER BY week) AS weeks FROM (SELECT scope, week, CAST(sum(n) AS BIGINT) AS n FROM sc GROUP BY ALL) q GROUP BY scope),
+srs AS (SELECT scope, string_agg(line, ' ' ORDER BY rk) AS series FROM (SELECT scope, rk, domain || '=' || string_agg(n || ':' || printf('%.1f', CASE WHEN total = 0 THEN 0e0 ELSE {tb.r_sql('n::DOUBLE / total * 100', 1)} END), ',' ORDER BY week) AS line
+  FROM sc JOIN big USING (scope, domain) WHERE rk <= 5 GROUP BY scope, rk, domain) q GROUP BY scope),
+fs AS (SELECT f.*, scope FROM feat f JOIN scopeb USING (domain)), nws AS (SELECT scope, max(cts) AS newest FROM fs GROUP BY scope),
+rel AS (SELECT scope, string_agg(other || ':' || CAST(floor(s * 1e3 + 0.5) AS BIGINT) || ':' || COALESCE(topics, ''), ' ' ORDER BY position) AS related FROM
+  (SELECT scope, other, max(sim) AS s, row_number() OVER (PARTITION BY scope ORDER BY floor(max(sim) * 1e9) DESC, other) AS position FROM dr JOIN scope s USING (domain)
+   WHERE NOT breadth AND NOT EXISTS (SELECT 1 FROM scope z WHERE z.scope = s.scope AND z.domain = dr.other) GROUP BY scope, other) q LEFT JOIN tpc ON tpc.domain = other WHERE position <= 4 GROUP BY scope),
+rsn AS (SELECT scope, string_agg(opportunity_id || ':' || engagement || ':' || substr(trim(title), 1, 140), ' | ' ORDER BY position) AS rising FROM (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY cut) AS position FROM
+  (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY velocity DESC, opportunity_id) AS cut FROM fs) t WHERE cut <= 120 AND engagement >= {qt._FLOOR} AND trim(title) <> '') z WHERE position <= 4 GROUP BY scope),
+fsr AS (SELECT scope, CAST(sum(n) AS BIGINT) AS fresh, string_agg(source || ':' || n, ' ' ORDER BY n DESC, source) AS fresh_sources FROM (SELECT scope, source, count(*) AS n FROM fs JOIN nws USING (scope) WHERE cts >= newest - INTERVAL 7 DAY GROUP BY ALL) q GROUP BY scope),
+fit AS (SELECT scope, string_agg(opportunity_id || ':' || CAST(floor((epoch_us(newest) - epoch_us(cts)) / 3600e6) AS BIGINT) || ':' || substr(trim(title), 1, 140), ' | ' ORDER BY position) AS fresh_items FROM
+  (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY cut) AS position FROM (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY cts DESC, opportunity_id) AS cut FROM fs WHERE cts IS NOT NULL) t JOIN nws USING (scope)
+   WHERE cut <= 60 AND trim(title) <> '') z WHERE position <= 6 GROUP BY scope),
+num AS (SELECT scope, count(DISTINCT voice) AS reach, CAST(sum(CASE WHEN source = 'github' THEN 1 ELSE 0 END) AS BIGINT) AS open_issues,
+  CAST(round_even(100e0 * sum(CASE WHEN effort_min < 60 THEN 1 ELSE 0 END) / count(*), 0) AS BIGINT) AS quick_pct, CAST(floor(list_sort(list(effort_min))[CAST(count(*) // 2 AS INTEGER) + 1]) AS BIGINT) AS middle_effort,
+  CAST(sum(CASE WHEN source = 'github' AND standout >= 0.55e0 THEN 1 ELSE 0 END) AS BIGINT) AS standout,
+  CAST(sum(CASE WHEN source IN ('reddit', 'bluesky', 'hackernews') AND engagement >= 10 THEN 1 ELSE 0 END) AS BIGINT) AS conversations, CAST(sum(engagement) AS BIGINT) AS total_engagement,
+  CAST(sum(CASE WHEN velocity >= 0.6e0 AND engagement >= 8 THEN 1 ELSE 0 END) AS BIGINT) AS breakout FROM fs GROUP BY scope),
+crd AS (SELECT scope, count(*) AS n_cards, count(*) FILTER (direction = 'up') AS up FROM dirs GROUP BY scope),
+sco AS (SELECT scope, breadth, count(*) AS n_domains FROM scope GROUP BY ALL),
+md AS (SELECT * FROM (VALUES {', '.join(f"('{s}', '{m}')" for s, m in tb.PERSONA_MODES.items())}) t(scope, mode)),
+kp AS (SELECT *, format('{{:,}}', reach) AS reach_text FROM md JOIN sco USING (scope) JOIN num USING (scope) JOIN crd USING (scope) LEFT JOIN fsr USING (scope)
+  LEFT JOIN (SELECT scope, label AS m_label, delta_pp AS m_delta, direction AS m_direction, domain AS m_domain FROM dirs WHERE p = 1) USING (scope)
+  LEFT JOIN (SELECT scope, community AS b_name, engagement AS b_eng, authors AS b_authors FROM pls WHERE p = 1) USING (scope)),
+kpc AS (SELECT scope, concat_ws(' ; ', reach_text || '|People active in your space|' || CASE WHEN breadth THEN 'across all topics' ELSE 'across your ' || n_domains || ' domains' END || '|',
+  m_label || '|' || CASE WHEN m_direction = 'up' THEN 'Heating up fastest' ELSE 'Biggest mover this week' END || '|' || CASE WHEN m_delta > 0 THEN '+' ELSE '' END || printf('%.1f', {tb.r_sql('m_delta', 1)}) || ' share points this week|' || m_direction,
+  CASE WHEN mode = 'contribute' THEN format('{{:,}}', open_issues) || '|Open issues you could take|the directly contributable work| ; ' || quick_pct || '%|Are quick wins, under an hour|median effort about ' || middle_effort || ' min| ; '
+    || format('{{:,}}', standout) || '|Repos with room to be seen|high activity, few contributors|'
+   WHEN mode IN ('discuss', 'promote') THEN format('{{:,}}', conversations) || '|Conversations you could join|live threads with real traction| ; ' || format('{{:,}}', total_engagement) || '|Total engagement in your space|comments + score, all sources| ; '
+    || COALESCE(b_name, '-') || '|Most active community|' || COALESCE(format('{{:,}}', b_eng) || ' engagement, ' || format('{{:,}}', b_authors) || ' voices', 'no community signal') || '|'
+   ELSE up || '|Topics gaining steam|of your ' || CASE WHEN breadth THEN n_cards ELSE n_domains END || ' domains| ; ' || format('{{:,}}', breakout) || '|Breakout items right now|accelerating fastest| ; ' || format('{{:,}}', fresh) || '|New this week|in the last 7 days|' END) AS kpi_cards FROM kp)"""
+_CARD = "concat_ws(':', domain, cnt, authors, printf('%.1f', share_last), printf('%.2f', delta_pp), printf('%.2f', momentum), printf('%.2f', rising_score), direction, COALESCE(words, ''), COALESCE(topics, ''), COALESCE(links, ''))"
 _LISTS = """(SELECT scope, string_agg(domain || ':' || printf('%.2f', delta_pp) || ':' || direction, ' ' ORDER BY p) AS cards FROM dirs WHERE p <= {n} GROUP BY scope)"""
 
 
@@ -55,15 +151,39 @@ def card_text(cards):
     return F.array_join(F.transform(cards, lambda x: F.concat_ws(":", x.domain, F.format_string("%.2f", x.delta_pp), x.direction)), " ")
 
 
-@query("TRD-01", oracle(f"""SELECT s.scope, opportunities, domains_active, trending_terms, cards, terms, communities, narrative FROM
-  (SELECT scope, count(*) AS opportunities, count(DISTINCT domain) AS domains_active FROM opp JOIN scope USING (domain) GROUP BY scope) s JOIN {_LISTS.format(n=99)} c USING (scope)
+def lines(name, text, between=" "):
+    """A list of structs as one text."""
+    return F.array_join(F.transform(name, text), between)
+
+
+def whole_card(x):
+    two, several = (lambda v: F.format_string("%.2f", v)), (lambda v: F.coalesce(F.array_join(v, ","), F.lit("")))
+    links = F.coalesce(F.array_join(F.transform(x.links, lambda y: F.concat(y.other, F.lit("~"), F.floor(y.sim * 1e3 + 0.5).cast("string"))), ","), F.lit(""))
+    return F.concat_ws(":", x.domain, x.cnt.cast("string"), x.authors.cast("string"), F.format_string("%.1f", x.share_last), two(x.delta_pp), two(x.momentum), two(x.rising_score),
+                       x.direction, several(x.top_terms), several(x.topics), links)
+
+
+@query("TRD-01", oracle(f"""SELECT s.scope, opportunities, domains_active, reach, true AS reach_ok, trending_terms, m_domain AS top_mover, cards, terms, communities, weeks, series, related, rising, fresh, fresh_sources, fresh_items, kpi_cards, narrative FROM
+  (SELECT scope, count(*) AS opportunities, count(DISTINCT domain) AS domains_active FROM opp JOIN scope USING (domain) GROUP BY scope) s JOIN kp USING (scope)
+  JOIN (SELECT scope, string_agg({_CARD}, ' ' ORDER BY p) AS cards FROM dirs GROUP BY scope) c USING (scope)
   JOIN (SELECT scope, count(*) AS trending_terms, string_agg(term || ':' || n, ' ' ORDER BY p) FILTER (p <= 14) AS terms FROM tsum GROUP BY scope) t USING (scope)
-  JOIN (SELECT scope, string_agg(community, ' ' ORDER BY p) AS communities FROM pls WHERE p <= 6 GROUP BY scope) k USING (scope) JOIN nar USING (scope)""", extra=_VIEW))
+  JOIN (SELECT scope, string_agg(concat_ws(':', community, label, volume, engagement, authors), ' ' ORDER BY p) AS communities FROM pls WHERE p <= 6 GROUP BY scope) k USING (scope)
+  LEFT JOIN wks USING (scope) LEFT JOIN srs USING (scope) LEFT JOIN rel USING (scope) LEFT JOIN rsn USING (scope) LEFT JOIN fit USING (scope) JOIN kpc USING (scope) JOIN nar USING (scope)""", feat=True, extra=_VIEW))
 def persona_trends(spark, d):
     v = view(spark, d)
-    return v.select("scope", "opportunities", "domains_active", "trending_terms", card_text(c("cards")).alias("cards"),
-                    F.array_join(F.transform("terms", lambda x: F.concat(x.term, F.lit(":"), x.n.cast("string"))), " ").alias("terms"),
-                    F.array_join("communities", " ").alias("communities"), "narrative")
+    words = lambda x: F.coalesce(F.array_join(x, ","), F.lit(""))
+    none = lambda name, text: F.when(F.size(name) > 0, text).alias(name)
+    return v.select(
+        "scope", "opportunities", "domains_active", "reach", qt.near(c("reach_estimate"), c("reach")).alias("reach_ok"), "trending_terms", c("mover.domain").alias("top_mover"),
+        lines("cards", whole_card).alias("cards"), lines("terms", lambda x: F.concat(x.term, F.lit(":"), x.n.cast("string"))).alias("terms"),
+        lines("communities", lambda x: F.concat_ws(":", x.community, x.label, x.volume.cast("string"), x.engagement.cast("string"), x.authors.cast("string"))).alias("communities"),
+        lines("weeks", lambda x: F.concat_ws(":", F.date_format(x.week, "yyyy-MM-dd"), x.total.cast("string"))).alias("weeks"),
+        lines("series", lambda x: F.concat(x.domain, F.lit("="), F.array_join(F.transform(x.points, lambda y: F.concat_ws(":", y.n.cast("string"), F.format_string("%.1f", y.share))), ","))).alias("series"),
+        none("related", lines("related", lambda x: F.concat_ws(":", x.domain, F.floor(x.sim * 1e3 + 0.5).cast("string"), words(x.topics)))),
+        none("rising", lines("rising", lambda x: F.concat_ws(":", x.opportunity_id, x.engagement.cast("string"), x.title), " | ")), "fresh",
+        none("fresh_sources", lines("fresh_sources", lambda x: F.concat_ws(":", x.source, x.n.cast("string")))),
+        none("fresh_items", lines("fresh_items", lambda x: F.concat_ws(":", x.opportunity_id, x.ago_hours.cast("string"), x.title), " | ")),
+        lines("kpi_cards", lambda x: F.concat_ws("|", x.value, x.label, x.hint, x.tone), " ; ").alias("kpi_cards"), "narrative")
 
 
 _DOC = qt._GRID + qt.MOM + qt._WORDS + qt._TOPT + qt._TOPC + _DC + f""",

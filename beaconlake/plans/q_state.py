@@ -8,9 +8,10 @@ from beaconlake.plans import testbed as tb
 from beaconlake.plans.q_trends import N
 from beaconlake.plans.registry import query
 from beaconlake.session import scratch_path
-from beaconlake.streaming import events as se
+from beaconlake.streaming import events as se, folds
 
 c = F.col
+HOLD = 200                             # clicks behind the newest that are held back
 EVENTS = "{}/events.parque[t]"        # a pattern, so that one file and a folder both stream
 
 
@@ -58,8 +59,9 @@ def shuffled(spark, events):
 @query("STR-02-stream", W("SELECT user_id, persona_key, opportunity_id, status, saved, applied FROM st"))
 def disposition_stream(spark, d):
     src = tb.table(spark, d, "events")
-    s = tb.clicks(se.event_stream(spark, shuffled(spark, src), src.schema, files=None))
-    return se.run_to_table(se.dispositions(s), "cards", fb.KEY, with_state=True)
+    s = tb.clicks(se.event_stream(spark, shuffled(spark, src), src.schema, files=6))
+    state, last = folds.run_folded(s, "cards", folds.dispositions(hold=HOLD))
+    return state.current("cards", last).drop("last_seq")
 
 
 _WTS = "array_to_string(list_transform(w, lambda x: CAST(floor(x * 1e6 + 0.5) AS BIGINT)), ',')"
@@ -80,11 +82,11 @@ def learner(spark, d):
 
 @query("STR-03-stream", W(f"SELECT user_id, persona_key, mode, n, {_WTS} AS weights FROM fin", tb.LMS, True))
 def learner_stream(spark, d):
-    """Clicks streamed: dispositions first, then the learner, in one keyed state."""
+    """Clicks streamed over several triggers: dispositions first, then the learner, in one stored state."""
     src = tb.table(spark, d, "events")
-    s = tb.clicks(se.event_stream(spark, shuffled(spark, src), src.schema, files=None))
-    out = se.run_to_table(se.learners(s), "learners", ["user_id", "persona_key"], with_state=True)
-    return out.withColumn("weights", shown(c("weights")))
+    s = tb.clicks(se.event_stream(spark, shuffled(spark, src), src.schema, files=6))
+    state, last = folds.run_folded(s, "learners", folds.learners(hold=HOLD))
+    return state.current("weights", last).withColumn("weights", shown(c("weights")))
 
 
 _CUR = ", cur AS (SELECT user_id, persona_key, arg_max(mode, seq) AS mode FROM fb GROUP BY ALL)"

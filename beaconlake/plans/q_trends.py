@@ -88,7 +88,7 @@ def merged_reach(spark, d):
     return exact.join(est, "scope").select("scope", "authors", near(c("reach"), c("authors")).alias("within_bound"))
 
 
-_WORDS = f", words AS (SELECT domain, unnest({TERMS}) AS term FROM opp), tc AS (SELECT domain, term, count(*) AS n FROM words GROUP BY ALL)"
+WORDS = _WORDS = f", words AS (SELECT domain, unnest({TERMS}) AS term FROM opp), tc AS (SELECT domain, term, count(*) AS n FROM words GROUP BY ALL)"
 
 
 @query("AGG-08", oracle("SELECT domain, term, n FROM tc UNION ALL SELECT NULL, term, CAST(sum(n) AS BIGINT) FROM tc GROUP BY term", extra=_WORDS))
@@ -102,33 +102,71 @@ def all_terms(spark, d):
     return items(spark, d).select(F.explode(tx.terms(c("title"), c("tag_list"))).alias("term"))
 
 
-@query("AGG-09", oracle("SELECT term, CAST(sum(n) AS BIGINT) AS exact, true AS never_under, true AS within_bound FROM tc GROUP BY term ORDER BY exact DESC, term LIMIT 40", extra=_WORDS))
-def count_min(spark, d):
-    """Frequent terms from one sketch per domain, next to their exact counts."""
-    counts = tr.term_counts(items(spark, d)).groupBy("term").agg(F.sum("n").alias("exact"))
-    top = counts.orderBy(F.desc("exact"), "term").limit(40)
-    words = items(spark, d).select("domain", F.explode(tx.terms(c("title"), c("tag_list"))).alias("term"))
-    found = sk.frequent(sk.frequency_sketches(words, ["domain"], "term"), 400, "term")
-    est = top.join(found, "term").withColumn("size", counts.agg(F.sum("exact")).scalar())
-    return est.select("term", "exact", (c("estimate") >= c("exact")).alias("never_under"),
-                      (c("estimate") - c("exact") <= c("size") * 5e-4 + 1).alias("within_bound"))
+CM_EPS, CM_DELTA = 5e-4, 0.01
+CM_WIDTH, CM_DEPTH = sk.count_min_size(CM_EPS, CM_DELTA)
+
+
+def cells_sql(rows, keys="", weight="n"):
+    """The count-min table of `rows` (term, weight) per key, and the estimate of each term from it."""
+    number = lambda at: f"('0x' || substr(md5(term), {at}, 8))::BIGINT"
+    return f"""(SELECT {keys}, r, b, sum(w)::BIGINT AS n FROM (SELECT {keys}, {weight} AS w, unnest(range({CM_DEPTH})) AS r,
+      ({number(1)} + unnest(range({CM_DEPTH})) * ({number(9)} | 1)) % {CM_WIDTH} AS b FROM {rows}) GROUP BY ALL)""".replace("SELECT , ", "SELECT ")
+
+
+_CM = f""", exact AS (SELECT term, CAST(sum(n) AS BIGINT) AS n FROM tc GROUP BY term), cells AS {cells_sql('tc')},
+  asked AS (SELECT term, n AS exact, unnest(range({CM_DEPTH})) AS r, (('0x' || substr(md5(term), 1, 8))::BIGINT
+    + unnest(range({CM_DEPTH})) * (('0x' || substr(md5(term), 9, 8))::BIGINT | 1)) % {CM_WIDTH} AS b FROM exact),
+  guessed AS (SELECT term, any_value(exact) AS exact, min(n) AS estimate FROM asked JOIN cells USING (r, b) GROUP BY term),
+  size AS (SELECT sum(n) AS all_n FROM exact)"""
+
 
+def domain_tables(spark, d):
+    """One count-min table per domain."""
+    return sk.count_min(tr.term_counts(items(spark, d)), ["domain"], "term", CM_WIDTH, CM_DEPTH, "n")
 
-@query("AGG-10", oracle("SELECT (SELECT CAST(sum(n) AS BIGINT) FROM tc) AS stream_size, (SELECT count(DISTINCT term) FROM tc) AS distinct_terms, (SELECT count(DISTINCT voice) FROM item) AS authors, true AS frequency_ok, true AS reach_ok, CAST(224076 AS BIGINT) AS table_bytes", extra=_WORDS))
+
+def exact_terms(spark, d):
+    return tr.term_counts(items(spark, d)).groupBy("term").agg(F.sum("n").alias("exact"))
+
+
+@query("AGG-09", oracle(f"SELECT term, exact, estimate, estimate >= exact AS never_under, estimate - exact <= {CM_EPS}::DOUBLE * all_n + 1 AS within_bound FROM guessed, size ORDER BY exact DESC, term LIMIT 40", extra=_WORDS + _CM))
+def count_min(spark, d):
+    """The most frequent terms, asked of the merged count-min tables of the domains, next to their exact counts."""
+    counts = exact_terms(spark, d)
+    top = counts.orderBy(F.desc("exact"), "term").limit(40)
+    got = sk.count_min_estimates(sk.merged_count_min(domain_tables(spark, d)), top, "term", CM_WIDTH, CM_DEPTH)
+    got = got.withColumn("size", counts.agg(F.sum("exact")).scalar())
+    return got.select("term", "exact", "estimate", (c("estimate") >= c("exact")).alias("never_under"),
+                      (c("estimate") - c("exact") <= c("size") * CM_EPS + 1).alias("within_bound"))
+
+
+@query("AGG-10", oracle(f"""SELECT all_n::BIGINT AS stream_size, (SELECT count(*) FROM exact) AS distinct_terms, {CM_WIDTH} AS width, {CM_DEPTH} AS depth, q.*,
+  {CM_WIDTH * CM_DEPTH * 8}::BIGINT AS table_bytes, x.bytes AS exact_bytes, {r_sql('x.bytes::DOUBLE / ' + str(CM_WIDTH * CM_DEPTH * 8), 4)} AS compression,
+  (SELECT count(DISTINCT voice) FROM item) AS authors, true AS reach_ok FROM size,
+  (SELECT CAST(sum(strlen(term) + 8) AS BIGINT) AS bytes FROM exact) x,
+  (SELECT {r_sql('avg(estimate - exact)', 4)} AS mean_abs_err, max(estimate - exact) AS max_abs_err, {r_sql('max((estimate - exact)::DOUBLE / exact)', 4)} AS max_rel_err,
+    {r_sql('avg(estimate - exact) FILTER (WHERE p <= 20)', 4)} AS top_mean_abs_err, max(estimate - exact) FILTER (WHERE p <= 20) AS top_max_abs_err,
+    {r_sql('max((estimate - exact)::DOUBLE / exact) FILTER (WHERE p <= 20)', 4)} AS top_max_rel_err, min(estimate - exact) >= 0 AS never_under
+   FROM (SELECT *, row_number() OVER (ORDER BY exact DESC, term) AS p FROM guessed)) q""", extra=_WORDS + _CM))
 def sketch_accuracy(spark, d):
-    """Sketches against the exact figures of every term, and the bytes of a count-min table of 4000 x 7."""
-    counts = all_terms(spark, d).groupBy("term").agg(N().alias("exact"))
-    found = sk.frequent(sk.frequency_sketches(all_terms(spark, d), [], "term"), sk.TRACKED, "term")
-    off = F.coalesce(c("estimate") - c("exact"), c("exact"))            # a term the sketch doesn't hold counts as 0
-    near_all = counts.join(found, "term", "left").agg(F.min(off).alias("low"), F.max(off).alias("worst"))
+    """The count-min table against the exact counts of all terms and of the 20 most frequent, its bytes
+    against those of the exact table, and reach against the exact number of authors."""
+    counts = exact_terms(spark, d)
+    got = sk.count_min_estimates(sk.merged_count_min(domain_tables(spark, d)), counts, "term", CM_WIDTH, CM_DEPTH)
+    first = counts.orderBy(F.desc("exact"), "term").limit(20).select(c("term").alias("_term"))
+    got = got.join(F.broadcast(first), c("term") == c("_term"), "left")
+    off = c("estimate") - c("exact")
+    at_top = lambda x: F.when(c("_term").isNotNull(), x)
+    r4 = lambda x: nm.fixed_round(x, 4)
+    out = got.agg(F.sum("exact").alias("stream_size"), N().alias("distinct_terms"), F.lit(CM_WIDTH).alias("width"), F.lit(CM_DEPTH).alias("depth"),
+                  r4(F.avg(off)).alias("mean_abs_err"), F.max(off).alias("max_abs_err"), r4(F.max(off / c("exact"))).alias("max_rel_err"),
+                  r4(F.avg(at_top(off))).alias("top_mean_abs_err"), F.max(at_top(off)).alias("top_max_abs_err"), r4(F.max(at_top(off / c("exact")))).alias("top_max_rel_err"),
+                  (F.min(off) >= 0).alias("never_under"), F.lit(CM_WIDTH * CM_DEPTH * 8).cast("bigint").alias("table_bytes"),
+                  F.sum(F.octet_length("term") + 8).alias("exact_bytes"))
     voices = act(spark, d)
     reach = sk.merged_reach(sk.reach_sketches(voices, ["source"]), [])
-    blob = all_terms(spark, d).agg(F.length(F.count_min_sketch("term", F.lit(0.0005), F.lit(0.99), F.lit(7))))
-    out = counts.agg(F.sum("exact").alias("stream_size"), N().alias("distinct_terms")).select(
-        "*", near_all.select("low").scalar().alias("low"), near_all.select("worst").scalar().alias("worst"),
-        voices.agg(F.countDistinct("author")).scalar().alias("authors"), reach.scalar().alias("reach"), blob.scalar().cast("bigint").alias("table_bytes"))
-    return out.select("stream_size", "distinct_terms", "authors", ((c("low") >= 0) & (c("worst") <= c("stream_size") * 5e-4 + 1)).alias("frequency_ok"),
-                      near(c("reach"), c("authors")).alias("reach_ok"), "table_bytes")
+    out = out.select("*", r4(c("exact_bytes") / c("table_bytes")).alias("compression"), voices.agg(F.countDistinct("author")).scalar().alias("authors"), reach.scalar().alias("reach"))
+    return out.withColumn("reach_ok", near(c("reach"), c("authors"))).drop("reach")
 
 
 @query("AGG-13", oracle("SELECT source, count(*) AS n FROM opp GROUP BY source"))
@@ -171,10 +209,14 @@ _KPI = tb.scope_sql(True) + ", fs AS (SELECT f.*, scope FROM feat f JOIN scope U
   CAST(floor(list_sort(list(effort_min))[CAST(count(*) // 2 AS INTEGER) + 1]) AS BIGINT) AS middle_effort,
   CAST(sum(CASE WHEN source = 'github' AND standout >= 0.55e0 THEN 1 ELSE 0 END) AS BIGINT) AS standout FROM fs GROUP BY scope""", feat=True, extra=_KPI))
 def contribute_kpis(spark, d):
-    rows, github = featured(spark, d), c("source") == "github"
+    return contribute_numbers(featured(spark, d), every_scope(spark))
+
+
+def contribute_numbers(rows, scopes):
+    github = c("source") == "github"
     # Counted per domain and effort first; scopes only meet these counts.
     per = checkpointed(rows.groupBy("domain", "effort_min").agg(N().alias("n"), F.count_if(github).alias("open"), F.count_if(github & (c("standout") >= 0.55)).alias("good")))
-    in_scopes = tr.scoped(per, every_scope(spark))
+    in_scopes = tr.scoped(per, scopes)
     k = in_scopes.groupBy("scope").agg(F.sum("open").alias("open_issues"), F.bround(100.0 * F.sum(F.when(c("effort_min") < 60, c("n")).otherwise(0)) / F.sum("n"), 0).cast("bigint").alias("quick_pct"),
                                        F.sum("good").alias("standout"))
     middle = ordered.value_at(ordered.value_positions(in_scopes, ["scope"], "effort_min", "n"), ["scope"], "effort_min", F.floor(c("total") / 2), "middle")
@@ -187,9 +229,13 @@ def contribute_kpis(spark, d):
   (SELECT scope, spot, row_number() OVER (PARTITION BY scope ORDER BY sum(engagement) DESC, count(*) DESC, spot) AS rn FROM ins WHERE spot IS NOT NULL GROUP BY scope, spot) t
   ON k.scope = t.scope AND rn = 1""", extra=_FRESH))
 def discuss_kpis(spark, d):
+    return discuss_numbers(act(spark, d), every_scope(spark))
+
+
+def discuss_numbers(rows, scopes):
     talk = c("source").isin("reddit", "bluesky", "hackernews") & (c("engagement") >= 10)
-    per = checkpointed(act(spark, d).groupBy("domain", "community").agg(F.count_if(talk).alias("talks"), F.sum("engagement").alias("e"), N().alias("v")))
-    in_scopes = tr.scoped(per, every_scope(spark))
+    per = checkpointed(rows.groupBy("domain", "community").agg(F.count_if(talk).alias("talks"), F.sum("engagement").alias("e"), N().alias("v")))
+    in_scopes = tr.scoped(per, scopes)
     k = in_scopes.groupBy("scope").agg(F.sum("talks").alias("conversations"), F.sum("e").alias("total_engagement"))
     places = in_scopes.where("community is not null").groupBy("scope", "community").agg(F.sum("e").alias("e"), F.sum("v").alias("v"))
     best = tr.top_n(places, ["scope"], [F.desc("e"), F.desc("v"), c("community")], 1)
@@ -233,12 +279,16 @@ def text_week(df, name="week"):
 def monitor_kpis(spark, d):
     up = tr.scoped(tr.momentum(tr.share_grid(doc_weekly(spark, d))), tb.scopes(spark)).groupBy("scope").agg(F.count_if(c("delta_pp") > 0.1).alias("up"))
     rows = checkpointed(featured(spark, d).select("domain", "source", "velocity", dates.parsed(c("created_at")).alias("at"), nm.engagement(c("score"), c("num_comments")).alias("engagement")))
-    per = rows.groupBy("domain").agg(F.count_if((c("velocity") >= 0.6) & (c("engagement") >= 8)).alias("breakout"))
-    k = tr.scoped(per, every_scope(spark)).groupBy("scope").agg(F.sum("breakout").alias("breakout"))
+    k = breakouts(rows, every_scope(spark))
     fresh = tr.fresh_inflow(rows, every_scope(spark), "at").groupBy("scope").agg(F.sum("n").alias("fresh"))
     return up.join(k, "scope").join(fresh, "scope")
 
 
+def breakouts(rows, scopes):
+    per = rows.groupBy("domain").agg(F.count_if((c("velocity") >= 0.6) & (c("engagement") >= 8)).alias("breakout"))
+    return tr.scoped(per, scopes).groupBy("scope").agg(F.sum("breakout").alias("breakout"))
+
+
 @query("AGG-20", oracle("SELECT source, " + ", ".join(f"CAST(floor(avg({x}) * 1e8 + 0.5) AS BIGINT) AS {x}" for x in
                         ("popularity", "discussion", "velocity", "recency", "community_health", "visibility", "effort_min")) + " FROM feat GROUP BY source", feat=True))
 def mean_signals(spark, d):
@@ -326,13 +376,17 @@ def scope_series(spark, d):
 
 
 def scope_share_series(spark, d, n=5):
-    a, s = act(spark, d), tb.scopes(spark)
-    grid = tr.scoped(tr.share_grid(tr.weekly_counts(a)).drop("total"), s)
+    a = act(spark, d)
+    return share_series(tr.share_grid(tr.weekly_counts(a)), a.groupBy("domain").agg(N().alias("cnt")), tb.scopes(spark), n).drop("rk", "total")
+
+
+def share_series(grid, sizes, scopes, n=5):
+    """The shares of a scope's largest domains in the scope's weeks."""
+    grid = tr.scoped(grid.drop("total"), scopes)
     grid = grid.withColumn("total", F.sum("n").over(Window.partitionBy("scope", "week")))
-    size = tr.scoped(a.groupBy("domain").agg(N().alias("cnt")), s)
-    big = tr.top_n(size, ["scope"], [F.desc("cnt"), c("domain")], n).select("scope", "domain")
+    big = tr.top_n(tr.scoped(sizes, scopes), ["scope"], [F.desc("cnt"), c("domain")], n, "rk").select("scope", "domain", "rk")
     share = F.when(c("total") == 0, 0.0).otherwise(nm.fixed_round(F.try_divide(c("n"), c("total")) * 100, 1))
-    return grid.join(big, ["scope", "domain"]).select("scope", "domain", "week", "n", share.alias("share"))
+    return grid.join(big, ["scope", "domain"]).select("scope", "domain", "week", "n", share.alias("share"), "rk", "total")
 
 
 @query("WIN-10", """SELECT conv_id, arg_max(turn, turn) AS last_turn, arg_max(role, turn) AS last_role, arg_max(length(text), turn) AS last_length,
@@ -356,7 +410,11 @@ _TOPC = ", cm AS (" + _COMM.format("domain") + "), gm AS (" + _COMM.format("sour
 
 
 def top_communities(spark, d, n=8):
-    per = tr.community_activity(act(spark, d), ["domain", "community"])
+    return top_of_communities(act(spark, d), n)
+
+
+def top_of_communities(rows, n=8):
+    per = tr.community_activity(rows, ["domain", "community"])
     return tr.top_n(per, ["domain"], [F.desc("engagement"), F.desc("volume"), c("community")], n)
 
 
@@ -384,12 +442,17 @@ _FLOOR = tb.sql_case("source", lx.RISING_FLOORS, lx.DEFAULT_RISING_FLOOR)
   (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY velocity DESC, opportunity_id) AS cut FROM fs) t
   WHERE cut <= 120 AND engagement >= {_FLOOR} AND trim(title) <> '') z WHERE position <= 4""", feat=True, extra=_KPI))
 def breakout_items(spark, d):
-    rows = featured(spark, d).select("opportunity_id", "title", "source", "domain", "velocity", nm.engagement(c("score"), c("num_comments")).alias("engagement"))
-    keep = (c("engagement") >= nm.rising_floor(c("source"))) & (F.trim("title") != "")
-    got = tr.limit_filter_limit(rows, every_scope(spark), [F.desc("velocity"), c("opportunity_id")], 120, keep, 4)
+    o = tb.opportunities(spark, d).drop("body")
+    rows = ft.with_velocity(o, tb.as_of()).select("opportunity_id", "title", "source", "domain", "velocity", nm.engagement(c("score"), c("num_comments")).alias("engagement"))
+    got = rising(rows.withColumn("titled", F.trim("title") != ""), every_scope(spark))
     return got.select("scope", "opportunity_id", F.substring(F.trim("title"), 1, 140).alias("title"), "engagement", "velocity", "position")
 
 
+def rising(rows, scopes):
+    keep = (c("engagement") >= nm.rising_floor(c("source"))) & c("titled")
+    return tr.limit_filter_limit(rows, scopes, [F.desc("velocity"), c("opportunity_id")], 120, keep, 4)
+
+
 @query("TOP-09", oracle("""SELECT scope, opportunity_id, substr(trim(title), 1, 130) AS title, CAST(floor((epoch_us(newest) - epoch_us(cts)) / 3600e6) AS BIGINT) AS ago_hours, position FROM
   (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY cut) AS position FROM
    (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY cts DESC, opportunity_id) AS cut FROM ins WHERE cts IS NOT NULL) t JOIN newest USING (scope) WHERE cut <= 60 AND trim(title) <> '') z WHERE position <= 6""", extra=_FRESH))

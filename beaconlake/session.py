@@ -1,6 +1,7 @@
 """Session settings and shared scratch space."""
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,12 +34,43 @@ def shared_dir(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="run-", dir="/tmp")
 
 
+_passing = []           # what was stored inside each open `stored` call
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: fixes the rows (and their partitions) and cuts the lineage."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    got = df.checkpoint(eager=True)
+    if _passing:
+        _passing[-1].append(got._jdf.logicalPlan().rdd().getCheckpointFile().get())
+    return got
+
+
+def stored(make: Callable[[], DataFrame]) -> DataFrame:
+    """What `make` returns, stored by a checkpoint. What it stored on the way is deleted then, as nothing
+    reads it any more. Shuffle files go when the driver's collector meets their handles, so it is asked to run."""
+    _passing.append([])
+    try:
+        got = checkpointed(make())
+    except BaseException:
+        _passing.pop()
+        raise
+    *passed, own = _passing.pop()
+    if _passing:
+        _passing[-1].append(own)
+    removed(got.sparkSession, passed)
+    return got
+
+
+def removed(spark: SparkSession, paths: list[str]):
+    """Delete stored tables that nothing reads any more."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+    jvm.System.gc()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

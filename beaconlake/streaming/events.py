@@ -1,48 +1,26 @@
 """Streaming twins of the event operators: append, dedup, context join, windows, state."""
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from beaconlake.functions.dates import utc_text
-from beaconlake.lexicon import REWARDS, SIGNALS
 from beaconlake.operators import ordered
-from beaconlake.operators.feedback import ACTIONS, STATUS_OF, lms_step, start_weights
 from beaconlake.session import scratch_path
 
 c = F.col
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def event_stream(spark: SparkSession, path: str, schema, files=64) -> DataFrame:
-    """Files that arrive under `path` as a stream, a bounded number per batch; None takes all that
-    are there in one, for state that depends on the order of clicks."""
-    reader = spark.readStream.schema(schema)
-    return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(path)
+    """Files that arrive under `path` as a stream, a bounded number per batch."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
-def run_to_table(stream: DataFrame, name: str, keys=(), with_state=False) -> DataFrame:
-    """Work off everything that is there now and return the written rows. With `keys` the
-    stream updates keyed rows: every batch is stored under its number (a retried batch
-    replaces itself) and the newest row per key is read back. Offsets and state go to the
-    shared folder, so a restart goes on where the last run ended."""
+def run_to_table(stream: DataFrame, name: str) -> DataFrame:
+    """Work off everything that is there now and return the written rows. Offsets go to the shared
+    folder, so a restart goes on where the last run ended."""
     spark = stream.sparkSession
     path, marks = scratch_path(spark, name), scratch_path(spark, name + "-marks")
-    if with_state and spark.conf.get(PROVIDER, None) != ROCKSDB:
-        spark.conf.set(PROVIDER, ROCKSDB)           # once for the session; keyed state needs it
-
-    def store(batch, number):
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
-
     writer = stream.writeStream.option("checkpointLocation", marks).trigger(availableNow=True)
-    query = (writer.foreachBatch(store).outputMode("update") if keys else writer.format("parquet").option("path", path)).start()
-    query.awaitTermination()
-    if not keys:
-        return spark.read.schema(stream.schema).parquet(path)
-    rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(path)
-    other = [x for x in stream.columns if x not in keys]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*other), "batch").alias("_v")).select(*keys, "_v.*")
+    writer.format("parquet").option("path", path).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
 
 
 def first_arrivals(stream: DataFrame, key: str, ts: str | None = None, delay="7 days") -> DataFrame:
@@ -79,90 +57,3 @@ def hourly_activity(stream: DataFrame, keys, weight="weight", span="6 hours", ts
     w = F.window(ts, span, "1 hour")
     return (stream.withWatermark(ts, delay).groupBy(w, *keys).agg(F.sum(weight).alias("activity"))
             .select(utc_text(c("window.end"), "yyyy-MM-dd HH:mm").alias("until"), *keys, "activity"))
-
-
-def in_order(rows, last) -> pd.DataFrame:
-    """The rows that one trigger brings for a key, in click order, whatever files and batches they
-    came in. A click at or before the last one of an earlier trigger is late and left out: what
-    it would have changed has been answered."""
-    got = pd.concat(list(rows), ignore_index=True).sort_values("seq", kind="stable")
-    return got if last is None else got[got["seq"] > last]
-
-
-class Card:
-    """Status and saved flag of one card. `apply` says whether a click changed anything to learn from."""
-
-    def __init__(self, status="none", saved=False):
-        self.status, self.saved = status, saved
-
-    def apply(self, action) -> bool:
-        fresh = action in ("engage", "dismiss") and self.status != STATUS_OF[action] or action == "save" and not self.saved
-        self.status = STATUS_OF.get(action, self.status)
-        self.saved = {"save": True, "unsave": False}.get(action, self.saved)
-        return fresh
-
-
-class Disposition(StatefulProcessor):
-    """Per card: status and saved flag, changed by each click in order."""
-
-    def init(self, handle):
-        self.state = handle.getValueState("card", "status string, saved boolean, applied bigint, last bigint")
-
-    def handleInputRows(self, key, rows, timers):
-        status, saved, applied, last = self.state.get() if self.state.exists() else ("none", False, 0, None)
-        card = Card(status, saved)
-        for seq, action in in_order(rows, last)[["seq", "action"]].itertuples(index=False):
-            applied += card.apply(action)
-            last = seq
-        self.state.update((card.status, bool(card.saved), int(applied), None if last is None else int(last)))
-        yield pd.DataFrame({"user_id": [key[0]], "persona_key": [key[1]], "opportunity_id": [key[2]], "status": [card.status], "saved": [bool(card.saved)], "applied": [int(applied)]})
-
-    def close(self):
-        pass
-
-
-def dispositions(stream: DataFrame) -> DataFrame:
-    """The newest state of every card a batch touched."""
-    acts = stream.where(c("action").isin(*ACTIONS)).select("user_id", "persona_key", "opportunity_id", "seq", "action")
-    return acts.groupBy("user_id", "persona_key", "opportunity_id").transformWithStateInPandas(
-        Disposition(), "user_id string, persona_key string, opportunity_id string, status string, saved boolean, applied bigint", "update", "none")
-
-
-class Learner(StatefulProcessor):
-    """Per (user, persona): the dispositions of its cards, and mode, step count and weights. A click
-    that changes a disposition and carries all signals is a step."""
-
-    def init(self, handle):
-        self.cards = handle.getMapState("cards", "opportunity_id string", "status string, saved boolean")
-        self.state = handle.getValueState("learner", "mode string, n bigint, weights array<double>, last bigint")
-
-    def handleInputRows(self, key, rows, timers):
-        mode, n, w, last = self.state.get() if self.state.exists() else (None, 0, None, None)
-        w = None if w is None else np.array(w, dtype=np.float64)
-        touched = {}
-        for r in in_order(rows, last).itertuples(index=False):
-            if r.opportunity_id not in touched:
-                known = (r.opportunity_id,)
-                touched[r.opportunity_id] = Card(*self.cards.getValue(known)) if self.cards.containsKey(known) else Card()
-            last = r.seq
-            if touched[r.opportunity_id].apply(r.action) and r.signals is not None and len(r.signals) == len(SIGNALS):
-                if r.mode != mode:
-                    mode, n, w = r.mode, 0, start_weights(r.mode)
-                w = lms_step(w, np.asarray(r.signals, dtype=np.float64), REWARDS.get(r.action, 0.0))
-                n += 1
-        for name, card in touched.items():
-            self.cards.updateValue((name,), (card.status, bool(card.saved)))
-        weights = None if w is None else [float(v) for v in w]
-        self.state.update((mode, int(n), weights, None if last is None else int(last)))
-        if n:
-            yield pd.DataFrame({"user_id": [key[0]], "persona_key": [key[1]], "mode": [mode], "n": [int(n)], "weights": [weights]})
-
-    def close(self):
-        pass
-
-
-def learners(clicks: DataFrame) -> DataFrame:
-    """The newest weights of every (user, persona) a batch trained."""
-    acts = clicks.where(c("action").isin(*ACTIONS)).select("user_id", "persona_key", "opportunity_id", "seq", "action", "mode", "signals")
-    return acts.groupBy("user_id", "persona_key").transformWithStateInPandas(
-        Learner(), "user_id string, persona_key string, mode string, n bigint, weights array<double>", "update", "none")

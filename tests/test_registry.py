@@ -1,6 +1,9 @@
 """The registered queries against their SQL on the smallest tables, and plan shapes."""
 import os
 import re
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -60,3 +63,28 @@ def test_top_n_is_cut_before_the_shuffle(spark):
 
 def test_entry_runs(spark):
     assert entry.entry(spark).count() == 5
+
+
+def test_imports_without_the_training_operators(tmp_path):
+    """Both folders gone: the entry still imports and offers everything else."""
+    home = os.path.dirname(os.path.abspath(entry.__file__))
+    shutil.copytree(home, tmp_path / "copy", ignore=lambda folder, names: [n for n in names if n in ("llm", ".git", "__pycache__", "tests")])
+    code = "import __spark_entry__ as e; assert not [q for q in e.queries() if q.startswith('op') or q == 'pipeline']; assert len(e.queries()) > 200 and e.oracle_sql()"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "copy", check=True)
+
+
+def test_stored_results_replace_what_led_to_them(spark):
+    from beaconlake import session
+    made = []
+
+    def build():
+        made.append(session.checkpointed(spark.range(100)))
+        return made[0].where("id < 10")
+    place = lambda df: df._jdf.logicalPlan().rdd().getCheckpointFile().get().removeprefix("file:")
+    got = session.stored(build)
+    assert got.count() == 10 and os.path.isdir(place(got)) and not os.path.isdir(place(made[0]))
+    outer = session.stored(lambda: session.stored(lambda: spark.range(5)).where("id > 1"))
+    assert outer.count() == 3
+    with pytest.raises(ValueError):
+        session.stored(lambda: int("x"))
+    assert session._passing == []

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from beaconlake import lexicon as lx
 from beaconlake.operators import feedback as fb
 from beaconlake.session import scratch_path
-from beaconlake.streaming import events as se
+from beaconlake.streaming import events as se, folds
 
 SCHEMA = ("seq long, ts timestamp, user_id string, persona_key string, opportunity_id string, action string, reason string, rank int, page int, bucket string, source string, "
           "mode string, signals array<double>")
@@ -75,59 +75,57 @@ def test_dispositions_transitions_and_weights(spark):
         assert min(weights[k].weights) >= 0 and abs(sum(weights[k].weights) - 1) < 1e-9
 
 
-def test_stream_in_many_batches_equals_batch(spark):
-    rows = log(600, 11)
+def as_files(spark, parts):
     path = scratch_path(spark, "clicks")
-    for i in range(3):
-        spark.createDataFrame(rows[i * 200:(i + 1) * 200], SCHEMA).coalesce(1).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(path)
-    got = se.run_to_table(se.dispositions(stream), "t", fb.KEY, with_state=True).collect()
-    state, _ = simulate(rows)
-    assert {(r.user_id, r.persona_key, r.opportunity_id): (r.status, r.saved, r.applied) for r in got} == {k: (v["status"], v["saved"], v["applied"]) for k, v in state.items()}
-
-
-@pytest.fixture
-def small_batches(spark):
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "10")
-    yield
-    spark.conf.set(name, before)
-
-
-def as_files(spark, rows, files):
-    path = scratch_path(spark, "clicks")
-    rows = list(rows)
-    random.Random(5).shuffle(rows)
-    for i in range(files):
-        spark.createDataFrame(rows[i::files], SCHEMA).coalesce(1).write.mode("append").parquet(path)
+    for part in parts:
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(path)
     return path
 
 
-def test_streams_do_not_depend_on_the_order_of_files(spark, small_batches):
-    rows = log(600, 5)
-    rows += [(1000 + i, rows[i][1], "u0", "p", "hot", ["engage", "dismiss", "undo", "save", "unsave"][i * 7 % 5], *rows[i][6:]) for i in range(200)]
-    path = as_files(spark, rows, 6)
-    df = spark.createDataFrame(rows, SCHEMA)
-    stream = lambda: se.event_stream(spark, path, df.schema, files=None)
-    state, _ = simulate(rows)
-    cards = se.run_to_table(se.dispositions(stream()), "c", fb.KEY, with_state=True).collect()
-    assert {(r.user_id, r.persona_key, r.opportunity_id): (r.status, r.saved, r.applied) for r in cards} == {k: (v["status"], v["saved"], v["applied"]) for k, v in state.items()}
-    got = se.run_to_table(se.learners(stream()), "l", ["user_id", "persona_key"], with_state=True)
-    a = {(r.user_id, r.persona_key): (r.mode, r.n, r.weights) for r in got.collect()}
-    b = {(r.user_id, r.persona_key): (r.mode, r.n, r.weights) for r in fb.learned_weights(fb.training_steps(df)).collect()}
-    assert a.keys() == b.keys() and all(a[k][:2] == b[k][:2] and np.allclose(a[k][2], b[k][2]) for k in a)
-
-
-def test_triggers_in_order_equal_one_and_late_clicks_are_left_out(spark, small_batches):
-    rows = log(400, 7)
-    late = [(-1 - i, *r[1:5], "dismiss", *r[6:]) for i, r in enumerate(rows[:5])]
-    path = scratch_path(spark, "clicks")
-    for part in (rows[:150], rows[150:300], rows[300:], late):
-        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(path)
-    got = se.run_to_table(se.learners(se.event_stream(spark, path, spark.createDataFrame(rows, SCHEMA).schema, files=1)), "l", ["user_id", "persona_key"], with_state=True)
-    want = {(r.user_id, r.persona_key): (r.mode, r.n) for r in fb.learned_weights(fb.training_steps(spark.createDataFrame(rows, SCHEMA))).collect()}
-    assert {(r.user_id, r.persona_key): (r.mode, r.n) for r in got.collect()} == want
+def check_folds(spark, path, rows, hold):
+    """Both states after all triggers equal the simulation of the clicks in order."""
+    state, learner = simulate(sorted(rows))
+    acts = lambda: se.event_stream(spark, path, spark.createDataFrame(rows, SCHEMA).schema, files=1)
+    cards, last = folds.run_folded(acts(), "c", folds.dispositions(hold))
+    got = {(r.user_id, r.persona_key, r.opportunity_id): (r.status, r.saved, r.applied) for r in cards.current("cards", last).collect()}
+    assert got == {k: (v["status"], v["saved"], v["applied"]) for k, v in state.items()}
+    weights, last = folds.run_folded(acts(), "l", folds.learners(hold))
+    got = {(r.user_id, r.persona_key): r for r in weights.current("weights", last).collect()}
+    assert got.keys() == learner.keys()
+    for k, (mode, n, w) in learner.items():
+        assert (got[k].mode, got[k].n) == (mode, n) and np.allclose(got[k].weights, w)
+    return last
+
+
+def test_triggers_in_order_with_late_clicks(spark, monkeypatch):
+    """Some clicks come a trigger late within the hold, some far later; the state is written anew on the way."""
+    monkeypatch.setattr(folds, "COMPACT", 3)
+    rows = log(500, 11)
+    late = {i: 1 + i % 3 for i in range(0, 400, 29)}
+    parts = [[r for i, r in enumerate(rows) if min(i // 100 + late.get(i, 0), 4) == n] for n in range(5)]
+    assert check_folds(spark, as_files(spark, parts), rows, 60) == 4
+
+
+def test_any_order_of_arrival_gives_the_same_state(spark):
+    rows = log(400, 5)
+    rows += [(1000 + i, rows[i][1], "u0", "p", "hot", ["engage", "dismiss", "undo", "save", "unsave"][i * 7 % 5], *rows[i][6:]) for i in range(150)]
+    mixed = list(rows)
+    random.Random(5).shuffle(mixed)
+    assert check_folds(spark, as_files(spark, [mixed[i::4] for i in range(4)]), rows, 0) == 3
+
+
+def test_a_run_goes_on_and_a_retried_trigger_changes_nothing(spark):
+    rows = log(300, 3)
+    path, where = as_files(spark, [rows[:150]]), scratch_path(spark, "state")
+    stream = lambda: se.event_stream(spark, path, spark.createDataFrame(rows, SCHEMA).schema, files=1)
+    folds.run_folded(stream(), "l", folds.learners(20), where)
+    spark.createDataFrame(rows[150:], SCHEMA).coalesce(1).write.mode("append").parquet(path)
+    state, last = folds.run_folded(stream(), "l", folds.learners(20), where)
+    state.trigger(spark.createDataFrame(rows[150:], SCHEMA), last)            # once more
+    assert last == 1 and folds.run_folded(stream(), "l", folds.learners(20), where)[1] == 1
+    want = simulate(rows)[1]
+    got = {(r.user_id, r.persona_key): (r.mode, r.n) for r in state.current("weights", last).collect()}
+    assert got == {k: v[:2] for k, v in want.items()}
 
 
 def test_context_is_what_was_shown_before_the_click(spark):
