@@ -67,7 +67,7 @@ def boilerplate(own: DataFrame, ratio: float, min_pages: int, long_ratio: float
     if not copies:
         return above.select("host", "line")
     held = own.join(listed(above), F.col("host").eqNullSafe(F.col("_host"))).withColumn("held", F.filter("keys", lambda x: F.array_contains("_bad", x["line"])))
-    words = lambda keys: F.aggregate(keys, F.lit(0), lambda n, x: n + x["words"])
+    words = lambda keys: F.aggregate(keys, F.lit(0).cast("long"), lambda n, x: n + x["words"])
     held = held.select("host", "held", (words("held") >= F.lit(COPIED) * words("keys")).alias("copied"))
     on = F.sum(F.when(F.col("copied"), 0).otherwise(1)) + F.max(F.col("copied").cast("int"))
     again = held.select("host", "copied", F.explode("held").alias("key")).groupBy("host", "key.line", "key.long").agg(on.alias("on"))
