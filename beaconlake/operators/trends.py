@@ -180,11 +180,11 @@ def narrative(cards):
     """One sentence per scope on what gains and what cools. `cards` has scope, breadth,
     label, delta_pp and direction; the first riser and the last cooler are named."""
     said = cards.groupBy("scope", "breadth").agg(
-        F.max_by(F.when(c("direction") == "up", F.concat("label", F.lit(" is gaining momentum (+"), F.format_string("%.1f", "delta_pp"),
+        F.max_by(F.when(c("direction") == "up", F.concat("label", F.lit(" is gaining momentum (+"), F.format_string("%.1f", nm.fixed_round(c("delta_pp"), 1)),
                                                          F.lit(" share points in the latest week)"))),
-                 F.when(c("direction") == "up", c("delta_pp"))).alias("riser"),
-        F.min_by(F.when(c("direction") == "down", F.concat("label", F.lit(" is cooling"))),
-                 F.when(c("direction") == "down", c("delta_pp"))).alias("cooler"))
+                 F.when(c("direction") == "up", F.struct("delta_pp", "label"))).alias("riser"),
+        F.max_by(F.when(c("direction") == "down", F.concat("label", F.lit(" is cooling"))),
+                 F.when(c("direction") == "down", F.struct(-c("delta_pp"), c("label")))).alias("cooler"))
     where = F.when(c("breadth"), "across all topics").otherwise("in your space")
     parts = F.concat_ws(", while ", "riser", "cooler")
     return said.select("scope", F.when(parts == "", F.concat(F.lit("Activity "), where, F.lit(" is steady week over week.")))

@@ -516,9 +516,9 @@ def direction(spark, d):
 
 
 _MOVE = ", cards AS (SELECT scope, breadth, m.domain, " + tb.sql_case('m.domain', lx.DOMAIN_LABELS, '') + " AS label, delta_pp FROM mom m JOIN scope USING (domain))"
-NARR = """SELECT scope, CASE WHEN riser IS NULL AND cooler IS NULL THEN 'Activity ' || w || ' is steady week over week.' ELSE 'This week ' || w || ', ' || concat_ws(', while ', riser, cooler) || '.' END AS narrative FROM
+NARR = f"""SELECT scope, CASE WHEN riser IS NULL AND cooler IS NULL THEN 'Activity ' || w || ' is steady week over week.' ELSE 'This week ' || w || ', ' || concat_ws(', while ', riser, cooler) || '.' END AS narrative FROM
   (SELECT scope, CASE WHEN breadth THEN 'across all topics' ELSE 'in your space' END AS w,
-   max(CASE WHEN delta_pp = hi AND hi > 0.1e0 THEN label || ' is gaining momentum (+' || printf('%.1f', delta_pp) || ' share points in the latest week)' END) AS riser,
+   max(CASE WHEN delta_pp = hi AND hi > 0.1e0 THEN label || ' is gaining momentum (+' || printf('%.1f', {r_sql('delta_pp', 1)}) || ' share points in the latest week)' END) AS riser,
    max(CASE WHEN delta_pp = lo AND lo < -0.1e0 THEN label || ' is cooling' END) AS cooler FROM
    (SELECT *, max(delta_pp) OVER (PARTITION BY scope) AS hi, min(delta_pp) OVER (PARTITION BY scope) AS lo FROM cards) t GROUP BY scope, breadth) z"""
 
