@@ -1,4 +1,6 @@
 """Persona trend views and briefs."""
+import re
+
 from pyspark.sql import functions as F
 
 from beaconlake import lexicon as lx
@@ -19,11 +21,15 @@ ds AS (SELECT a.domain, b.domain AS other, sum(a.v * b.v) AS sim FROM dc a JOIN
 dr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY floor(sim * 1e9) DESC, other) AS p FROM ds) t WHERE p <= 3)"""
 
 
-def related(spark, d):
-    """The three nearest domains of each domain, from the centroids of their items."""
+def domain_similarity(spark, d):
+    """(domain, other, sim) from the centroids of the domains' items."""
     o = tb.opportunities(spark, d).where("domain <> ''").select(c("ingest_seq").alias("id"), "domain")
-    sims = vx.centroid_similarity(vx.centroids(corpus(spark, d).join(o, "id"), "domain", "vec"), "domain")
-    return tr.top_n(sims, ["domain"], [F.desc(F.floor(c("sim") * 1e9)), c("other")], 3).drop("position")
+    return vx.centroid_similarity(vx.centroids(corpus(spark, d).join(o, "id"), "domain", "vec"), "domain")
+
+
+def related(spark, d):
+    """The three nearest domains of each domain."""
+    return tr.top_n(domain_similarity(spark, d), ["domain"], [F.desc(F.floor(c("sim") * 1e9)), c("other")], 3).drop("position")
 
 
 @query("TOP-07", oracle("""SELECT scope, other, position FROM (SELECT scope, other, row_number() OVER (PARTITION BY scope ORDER BY floor(max(sim) * 1e9) DESC, other) AS position FROM dr JOIN scope s USING (domain)
@@ -186,43 +192,64 @@ def persona_trends(spark, d):
         lines("kpi_cards", lambda x: F.concat_ws("|", x.value, x.label, x.hint, x.tone), " ; ").alias("kpi_cards"), "narrative")
 
 
-_DOC = qt._GRID + qt.MOM + qt._WORDS + qt._TOPT + qt._TOPC + _DC + f""",
-dist AS (SELECT domain, count(*) AS volume, count(DISTINCT voice) AS authors, {tb.r_sql('sum(engagement)::DOUBLE / count(*)', 1)} AS avg_engagement FROM item GROUP BY domain),
-ser AS (SELECT domain, string_agg(strftime(week, '%Y-%m-%d') || ':' || n || ':' || CAST(floor(share * 1e6 + 0.5) AS BIGINT), ' ' ORDER BY week) AS weeks FROM grid GROUP BY domain),
-wrd AS (SELECT domain, string_agg(term || ':' || n, ' ' ORDER BY position) AS terms FROM top WHERE position <= 10 GROUP BY domain),
-plc AS (SELECT domain, string_agg(community || ':' || volume || ':' || engagement, ' ' ORDER BY position) AS communities FROM ct GROUP BY domain),
-kin AS (SELECT domain, string_agg(other || ':' || CAST(floor(sim * 1e5 + 0.5) AS BIGINT), ' ' ORDER BY p) AS related FROM dr GROUP BY domain)"""
+_WHOLE = "'*'"         # the key of the row of the whole corpus
+_DOC = qt._GRID + qt.MOM + qt._WORDS + qt._TOPT + qt._TOPC + _DC + f""", kit AS (SELECT *, domain AS key FROM item UNION ALL SELECT *, {_WHOLE} FROM item),
+dist AS (SELECT key, count(*) AS volume, count(DISTINCT voice) AS authors, {tb.r_sql('sum(engagement)::DOUBLE / count(*)', 1)} AS avg_engagement, CAST(sum(engagement) AS BIGINT) AS total_engagement FROM kit GROUP BY key),
+mix AS (SELECT key, string_agg(source || ':' || n, ' ' ORDER BY n DESC, source) AS sources FROM (SELECT key, source, count(*) AS n FROM kit GROUP BY ALL) q GROUP BY key),
+ser AS (SELECT domain AS key, string_agg(strftime(week, '%Y-%m-%d') || ':' || n || ':' || CAST(floor(share * 1e6 + 0.5) AS BIGINT), ' ' ORDER BY week) AS weeks FROM grid GROUP BY domain
+  UNION ALL SELECT {_WHOLE}, string_agg(strftime(week, '%Y-%m-%d') || ':' || total || ':1000000', ' ' ORDER BY week) FROM axis),
+wrd AS (SELECT domain AS key, string_agg(term || ':' || n, ' ' ORDER BY position) AS terms FROM top GROUP BY domain
+  UNION ALL SELECT {_WHOLE}, string_agg(term || ':' || n, ' ' ORDER BY p) FROM (SELECT term, CAST(sum(n) AS BIGINT) AS n, row_number() OVER (ORDER BY sum(n) DESC, term) AS p FROM tc GROUP BY term) g WHERE p <= 40),
+plc AS (SELECT domain AS key, string_agg(concat_ws(':', community, volume, engagement, authors), ' ' ORDER BY position) AS communities FROM ct GROUP BY domain
+  UNION ALL SELECT {_WHOLE}, string_agg(concat_ws(':', community, source, volume, engagement, authors), ' ' ORDER BY p) FROM (SELECT *, row_number() OVER (ORDER BY engagement DESC, volume DESC, community, source) AS p FROM gm) g WHERE p <= 12),
+kin AS (SELECT domain AS key, string_agg(other || ':' || CAST(floor(sim * 1e3 + 0.5) AS BIGINT), ' ' ORDER BY p) AS related FROM dr GROUP BY domain),
+mat AS (SELECT domain AS key, string_agg(other || ':' || CAST(floor(sim * 1e3 + 0.5) AS BIGINT), ' ' ORDER BY other) AS similarity FROM ds GROUP BY domain)"""
+_CHANGE = "last_week, last, prev, share_last, share_prev, delta_pp, delta_pct, momentum, rising_score"
 
 
-@query("SRC-19", oracle("""SELECT domain, volume, authors, avg_engagement, delta_pp, momentum, rising_score, weeks, terms, communities, related
-  FROM dist LEFT JOIN mom USING (domain) LEFT JOIN ser USING (domain) LEFT JOIN wrd USING (domain) LEFT JOIN plc USING (domain) LEFT JOIN kin USING (domain)
-  UNION ALL SELECT NULL, count(*), count(DISTINCT voice), """ + tb.r_sql('sum(engagement)::DOUBLE / count(*)', 1) + """, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM item""", extra=_DOC))
+@query("SRC-19", oracle(f"""SELECT NULLIF(key, {_WHOLE}) AS domain, CASE WHEN key <> {_WHOLE} THEN {tb.sql_case('key', lx.DOMAIN_LABELS, '')} END AS label, volume, authors, avg_engagement, total_engagement, sources, {_CHANGE}, weeks, terms, communities, related, similarity
+  FROM dist LEFT JOIN (SELECT domain AS key, * FROM mom) m USING (key) LEFT JOIN mix USING (key) LEFT JOIN ser USING (key) LEFT JOIN wrd USING (key) LEFT JOIN plc USING (key) LEFT JOIN kin USING (key) LEFT JOIN mat USING (key)""", extra=_DOC))
 def trend_document(spark, d):
-    """The trends document: one nested JSON line per domain and one for the whole corpus, written
-    and read back; here its fields side by side."""
-    a = qt.act(spark, d)
-    grid = checkpointed(tr.share_grid(tr.weekly_counts(a)))
-    lists = lambda rows, order, value, name: rows.groupBy("domain").agg(ru.ordered_list(value, order).alias(name))
+    """The trends document: one nested JSON line per domain, and one for the whole corpus with its terms,
+    communities and weeks; written and read back. Here its fields side by side."""
+    a, whole = qt.act(spark, d), F.lit("*")
+    rows = checkpointed(a.drop("opportunity_id", "created_at"))
+    grid = checkpointed(tr.share_grid(tr.weekly_counts(rows)))
+    counts = checkpointed(tr.term_counts(items(spark, d)))
+    sims = checkpointed(domain_similarity(spark, d))
+    key = lambda df: df.withColumnRenamed("domain", "key")
+    both = lambda agg: key(agg(rows)).unionByName(key(agg(rows.withColumn("domain", whole))))
+    dist = both(lambda x: tr.category_distribution(x).join(x.groupBy("domain").agg(F.sum("engagement").alias("total_engagement")), "domain"))
+    mix = both(lambda x: x.groupBy("domain", "source").agg(qt.N().alias("n")))
+    totals = grid.select("week", "total").distinct().select(whole.alias("key"), "week", c("total").alias("n"), F.lit(1.0).alias("share"))
+    every = counts.groupBy("term").agg(F.sum("n").alias("n")).withColumn("key", whole)
+    words = key(tr.top_n(counts, ["domain"], [F.desc("n"), c("term")], 30)).unionByName(tr.top_n(every, ["key"], [F.desc("n"), c("term")], 40))
+    places = key(qt.top_of_communities(rows))
+    more = tr.community_activity(rows, ["community", "source"]).withColumn("key", whole)
+    more = tr.top_n(more, ["key"], [F.desc("engagement"), F.desc("volume"), c("community"), c("source")], 12)
+    near = tr.top_n(sims, ["domain"], [F.desc(F.floor(c("sim") * 1e9)), c("other")], 3)
+    lists = lambda df, order, value, name: df.groupBy("key").agg(ru.ordered_list(value, *order).alias(name))
     parts = [
-        tr.momentum(grid).select("domain", F.struct("delta_pp", "momentum", "rising_score").alias("change")),
-        lists(grid, c("week"), F.struct(F.date_format("week", "yyyy-MM-dd").alias("week"), "n", "share"), "weeks"),
-        lists(qt.top_terms(spark, d, 10), c("position"), F.struct("term", "n"), "terms"),
-        lists(qt.top_communities(spark, d), c("position"), F.struct("community", "volume", "engagement"), "communities"),
-        lists(related(spark, d), -F.floor(c("sim") * 1e9), F.struct("other", "sim"), "related")]
-    doc = tr.category_distribution(a)
+        key(tr.momentum(grid)).select("key", F.struct(F.date_format("last_week", "yyyy-MM-dd").alias("last_week"), *_CHANGE.split(", ")[1:]).alias("change")),
+        lists(mix, [-c("n"), c("source")], F.struct("source", "n"), "sources"),
+        lists(key(grid).select("key", "week", "n", "share").unionByName(totals), [c("week")], F.struct(F.date_format("week", "yyyy-MM-dd").alias("week"), "n", "share"), "weeks"),
+        lists(words, [c("position")], F.struct("term", "n"), "terms"),
+        lists(places.unionByName(more, allowMissingColumns=True), [c("position")], F.struct("community", "source", "volume", "engagement", "authors"), "communities"),
+        lists(key(near), [c("position")], F.struct("other", "sim"), "related"), lists(key(sims), [c("other")], F.struct("other", "sim"), "similarity")]
+    doc = dist
     for part in parts:
-        doc = doc.join(part, "domain", "left")
-    whole = tr.category_distribution(a.withColumn("domain", F.lit(None).cast("string")))
+        doc = doc.join(part, "key", "left")
     path = scratch_path(spark, "trends")
-    doc = doc.unionByName(whole, allowMissingColumns=True)
+    doc = doc.select(F.nullif("key", whole).alias("domain"), F.when(c("key") != "*", qt.tx.domain_label(c("key"))).alias("label"), *[x for x in doc.columns if x != "key"])
     doc.write.option("ignoreNullFields", "false").json(path)
     got = spark.read.schema(doc.schema).json(path)
     micro = lambda x, scale: F.floor(x * scale + 0.5).cast("string")
     text = lambda name, *cells: F.when(c(name).isNotNull(), F.array_join(F.transform(name, lambda x: F.concat_ws(":", *[f(x) for f in cells])), " ")).alias(name)
     plain = lambda field: lambda x: x[field].cast("string")
-    return got.select("domain", "volume", "authors", "avg_engagement", "change.delta_pp", "change.momentum", "change.rising_score",
+    return got.select("domain", "label", "volume", "authors", "avg_engagement", "total_engagement", text("sources", plain("source"), plain("n")), "change.*",
                       text("weeks", plain("week"), plain("n"), lambda x: micro(x.share, 1e6)), text("terms", plain("term"), plain("n")),
-                      text("communities", plain("community"), plain("volume"), plain("engagement")), text("related", plain("other"), lambda x: micro(x.sim, 1e5)))
+                      text("communities", *[plain(x) for x in ("community", "source", "volume", "engagement", "authors")]),
+                      text("related", plain("other"), lambda x: micro(x.sim, 1e3)), text("similarity", plain("other"), lambda x: micro(x.sim, 1e3)))
 
 
 # The account under which each persona is read.
@@ -230,7 +257,7 @@ SESSIONS = [("nova", "u0", "p0"), ("otto", "u1", "p1"), ("iris", "u3", "p0"), ("
 _SES = ", ses AS (SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{u}', '{k}')" for p, u, k in SESSIONS) + ") t(scope, user_id, persona_key))"
 
 
-_FUNNEL = qr._ASK + qr._POOL + _SES + f""", lw AS (SELECT s.scope AS persona, f.mode AS learned_mode, f.w AS learned FROM ses s JOIN fin f ON f.user_id = s.user_id AND f.persona_key = s.persona_key WHERE f.n > 0),
+_SCORED = qr._ASK + qr._POOL + _SES + f""", lw AS (SELECT s.scope AS persona, f.mode AS learned_mode, f.w AS learned FROM ses s JOIN fin f ON f.user_id = s.user_id AND f.persona_key = s.persona_key WHERE f.n > 0),
 fx AS (SELECT q.*, {tb.clamp_sql('(rel - min(rel) OVER (PARTITION BY persona)) / CASE WHEN max(rel) OVER (PARTITION BY persona) = min(rel) OVER (PARTITION BY persona) THEN 1e0 ELSE max(rel) OVER (PARTITION BY persona) - min(rel) OVER (PARTITION BY persona) END')} AS relevance,
   {qr._FIT} AS platform_fit, 1e0 - {tb.clamp_sql('effort_min / 240e0')} AS effort_fit, {tb.sql_case('source', lx.SOURCE_BUCKET, 'discuss')} AS bucket, CASE WHEN learned_mode = mode THEN learned ELSE {qr._W} END AS w
   FROM (SELECT pooled.*, pscore.rel FROM pooled JOIN pscore USING (persona, id)) q LEFT JOIN lw USING (persona)),
@@ -238,7 +265,8 @@ f0 AS (SELECT *, {qr._TOTAL} AS total, {qr._PARTS} AS parts FROM fx JOIN pri USI
 f1 AS (SELECT *, total * CASE WHEN mode = 'contribute' THEN 0.45e0 + 0.55e0 * COALESCE(NULLIF(contribution_worth, 0), 0.5e0) ELSE 1e0 END AS imp FROM f0),
 f2 AS (SELECT * REPLACE ({tb.r_sql('impact * prior', 4)} AS impact, {tb.r_sql('roi * prior', 4)} AS roi) FROM (SELECT *, {tb.r_sql('imp', 4)} AS impact, {tb.r_sql(f"CASE WHEN {qr._AWARE} THEN imp / greatest(COALESCE(NULLIF(effort_min, 0), 30e0) / 60e0, 0.1e0) ELSE imp END", 4)} AS roi FROM f1) t),
 fk AS (SELECT *, row_number() OVER (PARTITION BY persona ORDER BY impact DESC, sim DESC, id) AS place, CASE WHEN y = '' THEN 'weak match' ELSE y END || CASE WHEN {qr._AWARE} THEN ' · ~' || printf('%.1f', {tb.r_sql('effort_min / 60e0', 1)}) || 'h to engage' ELSE ' · monitor only' END AS why
-  FROM (SELECT *, {qr._WHY} AS y FROM f2) t)""" + (qr.MMR.replace("{lam}", "0.75e0") + qr._PACK).replace("FROM rkd", "FROM fk") + """,
+  FROM (SELECT *, {qr._WHY} AS y FROM f2) t)"""
+_FUNNEL = _SCORED + (qr.MMR.replace("{lam}", "0.75e0") + qr._PACK).replace("FROM rkd", "FROM fk") + """,
 fl AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY persona ORDER BY 0.6e0 * standout + 0.4e0 * relevance DESC, sim DESC, id) AS position FROM f2 WHERE source = 'github' AND mode IN ('contribute', 'discuss')) t WHERE position <= 3)"""
 
 
@@ -249,35 +277,53 @@ fl AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY persona ORDER BY
 def recommend(spark, d):
     """The whole funnel for every persona in one job: pair scorer on the pool, learned weights where
     they fit the mode, the buckets' prior, picks, basket and lane."""
-    rows = qr.filtered(spark, d).join(qr.asked(spark), "persona")
-    rows = rk.normalized_relevance(rk.with_relevance(rows, en.pair_scorer()(c("ask"), qr.tx.pair_text(c("title"), c("body")))))
-    who = spark.createDataFrame(SESSIONS, "persona string, user_id string, persona_key string")
-    learned = who.join(qs.learned(spark, d).where("n > 0"), ["user_id", "persona_key"]).select("persona", c("mode").alias("learned_mode"), c("weights").alias("learned"))
-    rows = rows.withColumn("bucket", qt.nm.bucket_of(c("source"))).join(qr.priors(spark), ["persona", "bucket"]).join(learned, "persona", "left")
-    scored = rk.with_scores(rows, learned=F.when(c("learned_mode") == c("mode"), c("learned")), prior=c("prior"))
-    got = rk.recommended(checkpointed(scored), corpus(spark, d).select("id", "vec"))
+    got = rk.recommended(checkpointed(funnel(spark, d)), corpus(spark, d).select("id", "vec"))
     whole = lambda x: F.floor(x * 1e4 + 0.5).cast("string")
     shown = F.transform("items", lambda x: F.concat_ws(":", x.id.cast("string"), whole(x.impact), whole(x.roi), x.why))
     ids = lambda name: F.when(c(name).isNotNull(), F.array_join(F.transform(name, lambda x: x.cast("string")), " ")).alias(name)
     return got.select("persona", "mode", "n_candidates", F.array_join(shown, " | ").alias("items"), ids("basket"), ids("lane"))
 
 
-@query("TRD-03", ("WITH RECURSIVE " + tb.OPP + tb.FEAT + qr.CAND + qr._SPL + qr._PRIOR + qr._MMR30 + _VIEW + ", " + tb.FB + tb.LMS + _SES + f""", qt AS ({qr._QUOTA}), sm AS (SELECT user_id, persona_key, CASE WHEN up = '' AND dn = '' THEN 'Still learning what you respond to.'
+def sessions(spark, name="persona"):
+    return spark.createDataFrame(SESSIONS, f"{name} string, user_id string, persona_key string")
+
+
+def funnel(spark, d):
+    """Every candidate with its scores."""
+    rows = qr.filtered(spark, d).join(qr.asked(spark), "persona")
+    rows = rk.normalized_relevance(rk.with_relevance(rows, en.pair_scorer()(c("ask"), qr.tx.pair_text(c("title"), c("body")))))
+    learned = sessions(spark).join(qs.learned(spark, d).where("n > 0"), ["user_id", "persona_key"]).select("persona", c("mode").alias("learned_mode"), c("weights").alias("learned"))
+    rows = rows.withColumn("bucket", qt.nm.bucket_of(c("source"))).join(qr.priors(spark), ["persona", "bucket"]).join(learned, "persona", "left")
+    return rk.with_scores(rows, learned=F.when(c("learned_mode") == c("mode"), c("learned")), prior=c("prior"))
+
+
+@query("TRD-03", ("WITH RECURSIVE " + tb.OPP + tb.FEAT + qr.CAND + qr._SPL + qr._PRIOR + re.sub(r"\b(sc|rel|fs)\b", r"view_\1", _VIEW) + ", " + tb.FB + tb.LMS
+                  + _SCORED + qr._MMR30.replace("FROM rkp", "FROM fk") + f""", qt AS ({qr._QUOTA.replace('JOIN rkp k', 'JOIN fk k')}),
+  sm AS (SELECT user_id, persona_key, n, CASE WHEN up = '' AND dn = '' THEN 'Still learning what you respond to.'
     ELSE concat_ws('. ', CASE WHEN up <> '' THEN 'Priority: ' || up END, CASE WHEN dn <> '' THEN 'Non-priority: ' || dn END) || '.' END AS summary FROM
   (SELECT *, array_to_string(list_transform(list_slice(list_filter(list_reverse_sort(dl), lambda r: r.d > 0.02), 1, 2), lambda r: ({qs._LAB})[r.i]), ', ') AS up,
    array_to_string(list_transform(list_slice(list_filter(list_sort(dl), lambda r: r.d < -0.02), 1, 2), lambda r: ({qs._LAB})[r.i]), ', ') AS dn FROM (SELECT *, {qs._DEL} AS dl FROM fin) q) t)
-  SELECT s.scope, plan, picks, cards AS movers, terms, narrative, summary AS learned FROM ses s JOIN (SELECT persona AS scope, string_agg(bucket || ':' || pct, ' ' ORDER BY bucket_pos) AS plan FROM spl GROUP BY persona) p USING (scope)
-  JOIN (SELECT persona AS scope, string_agg(CAST(id AS VARCHAR), ' ' ORDER BY rank) AS picks FROM qt GROUP BY persona) q USING (scope) JOIN {_LISTS.format(n=5)} c USING (scope)
-  JOIN (SELECT scope, string_agg(term, ' ' ORDER BY p) AS terms FROM tsum WHERE p <= 10 GROUP BY scope) t USING (scope) JOIN nar USING (scope) LEFT JOIN sm ON sm.user_id = s.user_id AND sm.persona_key = s.persona_key"""))
+  SELECT s.scope, mode, plan, picks, cards AS movers, terms, opportunities, reach, trending_terms, domains_active, m_label || ':' || printf('%.2f', m_delta) || ':' || m_direction AS top_mover, narrative, n AS learned_n, summary AS learned
+  FROM ses s JOIN kp USING (scope) JOIN (SELECT persona AS scope, string_agg(bucket || ':' || pct, ' ' ORDER BY bucket_pos) AS plan FROM spl WHERE pct > 0 GROUP BY persona) p USING (scope)
+  JOIN (SELECT q.persona AS scope, string_agg(concat_ws(':', rank, q.id, q.bucket, source, printf('%.1f', effort_min), why, substr(trim(title), 1, 140)), ' | ' ORDER BY rank) AS picks FROM qt q JOIN fk ON fk.persona = q.persona AND fk.id = q.id GROUP BY q.persona) q USING (scope)
+  JOIN {_LISTS.format(n=5)} c USING (scope) JOIN (SELECT scope, count(*) AS trending_terms, string_agg(term, ' ' ORDER BY p) FILTER (p <= 10) AS terms FROM tsum GROUP BY scope) t USING (scope)
+  JOIN (SELECT scope, count(*) AS opportunities, count(DISTINCT domain) AS domains_active FROM opp JOIN scope USING (domain) GROUP BY scope) z USING (scope)
+  JOIN nar USING (scope) LEFT JOIN sm ON sm.user_id = s.user_id AND sm.persona_key = s.persona_key"""))
 def brief(spark, d):
-    """One row per persona: plan, picks by bucket quota, movers, terms, what was learned."""
+    """One row per persona: plan, picks by bucket quota from the whole funnel with title, reason and effort, the
+    space's movers, terms, figures and narrative, and what was learned from how many steps."""
     v = view(spark, d)
-    plan = qr.split_rows(spark).groupBy(c("persona").alias("scope")).agg(
+    plan = qr.split_rows(spark).where("pct > 0").groupBy(c("persona").alias("scope")).agg(
         F.array_join(ru.ordered_list(F.concat(c("bucket"), F.lit(":"), c("pct").cast("string")), c("bucket_pos")), " ").alias("plan"))
-    picks = qr.quota(spark, d).groupBy(c("persona").alias("scope")).agg(F.array_join(ru.ordered_list(c("id").cast("string"), c("rank")), " ").alias("picks"))
-    who = spark.createDataFrame(SESSIONS, "scope string, user_id string, persona_key string")
-    learned = qs.learned(spark, d).select("user_id", "persona_key", fb.learned_summary(c("mode"), c("weights")).alias("learned"))
-    out = who.join(learned, ["user_id", "persona_key"], "left").select("scope", "learned")
+    ranked = rk.by_impact(checkpointed(funnel(spark, d)))
+    told = ranked.select("persona", "id", "bucket", "source", "effort_min", rk.why(rk.top_drivers(c("parts")), c("mode"), c("effort_min")).alias("why"), F.substring(F.trim("title"), 1, 140).alias("title"))
+    order = rk.diversified(ranked.join(corpus(spark, d).select("id", "vec"), "id"), 30, 0.75).select("persona", "id", c("rank").alias("place"))
+    picks = rk.bucket_quota(order.join(told, ["persona", "id"]), qr.split_rows(spark))
+    shown = F.concat_ws(":", c("rank").cast("string"), c("id").cast("string"), "bucket", "source", F.format_string("%.1f", "effort_min"), "why", "title")
+    picks = picks.groupBy(c("persona").alias("scope")).agg(F.array_join(ru.ordered_list(shown, c("rank")), " | ").alias("picks"))
+    learned = qs.learned(spark, d).select("user_id", "persona_key", c("n").alias("learned_n"), fb.learned_summary(c("mode"), c("weights")).alias("learned"))
+    out = sessions(spark, "scope").join(learned, ["user_id", "persona_key"], "left").select("scope", "learned_n", "learned")
+    mover = F.concat_ws(":", c("mover.label"), F.format_string("%.2f", c("mover.delta_pp")), c("mover.direction"))
     return out.join(plan, "scope").join(picks, "scope").join(v, "scope").select(
-        "scope", "plan", "picks", card_text(F.slice("cards", 1, 5)).alias("movers"),
-        F.array_join(F.transform(F.slice("terms", 1, 10), lambda x: x.term), " ").alias("terms"), "narrative", "learned")
+        "scope", "mode", "plan", "picks", card_text(F.slice("cards", 1, 5)).alias("movers"), lines(F.slice("terms", 1, 10), lambda x: x.term).alias("terms"),
+        "opportunities", "reach", "trending_terms", "domains_active", mover.alias("top_mover"), "narrative", "learned_n", "learned")
