@@ -37,6 +37,31 @@ def numeric_ranges(opps: DataFrame, key="source", fields=NUMBERS, p90_of_n=False
 
 
 
+KIND = {"STRING": "string", "BOOLEAN": "boolean", "VOID": "null"}
+
+
+def object_keys(rows: DataFrame, key: str, objects: str) -> DataFrame:
+    """(key, name, kind, present, rows, broken): per source and key of a column of JSON objects, how many rows hold
+    it with a value of that kind; any keys, in one pass over the rows. `broken` counts texts that are no
+    object; a source without keys has one row with a null name."""
+    text = F.nullif(F.trim(c(objects)), F.lit(""))
+    parsed = F.from_json(text, "map<string,variant>")
+    broken = text.isNotNull() & F.try_parse_json(text).isNull()
+    kind = F.schema_of_variant("value")
+    kind = F.when(kind.startswith("OBJECT"), "object").when(kind.startswith("ARRAY"), "array").otherwise(
+        F.coalesce(*[F.when(kind == k, v) for k, v in KIND.items()], F.lit("number")))
+    sizes = rows.groupBy(c(key).alias("_key")).agg(F.count(F.lit(1)).alias("rows"), F.count_if(broken).alias("broken"))
+    found = rows.where(~F.coalesce(broken, F.lit(False))).select(c(key).alias("key"), F.explode(parsed).alias("name", "value"))
+    found = found.select("key", "name", kind.alias("kind")).groupBy("key", "name", "kind").agg(F.count(F.lit(1)).alias("present"))
+    return sizes.join(found, c("_key").eqNullSafe(c("key")), "left").select(c("_key").alias(key), "name", "kind", "present", "rows", "broken")
+
+
+def presence(rows: DataFrame, fields: list[str]) -> DataFrame:
+    """(field, pct): the share of rows in which each field holds something, in percent."""
+    held = [F.bround(100.0 * F.count_if(c(f).isNotNull() & (c(f).cast("string") != "")) / F.count(F.lit(1)), 1).alias(f) for f in fields]
+    return rows.agg(*held).unpivot([], fields, "field", "pct")
+
+
 def type_counts(opps: DataFrame) -> DataFrame:
     return opps.groupBy("source", "opportunity_type").agg(F.count(F.lit(1)).alias("n"))
 
@@ -51,7 +76,8 @@ def thread_profile(posts: DataFrame) -> DataFrame:
     n = F.count(F.lit(1))
     return posts.agg(n.alias("posts"), F.bround(100 * F.count_if(c("num_comments") > 10) / n, 0).cast("bigint").alias("over_10_pct"),
                      F.bround(100 * F.count_if(c("num_comments") > 50) / n, 0).cast("bigint").alias("over_50_pct"),
-                     F.bround(100 * F.count_if(c("body") != "") / n, 0).cast("bigint").alias("self_pct"))
+                     F.bround(100 * F.count_if(c("body") != "") / n, 0).cast("bigint").alias("self_pct"),
+                     F.bround(100 * F.count_if(F.coalesce(c("body") == "", F.lit(True))) / n, 0).cast("bigint").alias("link_pct"))
 
 
 def posts_by_year(posts: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from beaconlake.session import checkpointed
 
 QUERY_BOUND = 4096          # largest query set that is sent to every task
 BLOCK_ROWS = 4096           # rows per side of one comparison block
+SAMPLE = 2048           # rows on which the cells are measured
 MAX_ANCHORS = 2048
 c = F.col
 
@@ -285,33 +286,55 @@ def copies(df: DataFrame, reps: DataFrame) -> DataFrame:
     return df.select("vec", c("id").alias("b")).join(many, "vec").where(c("a") != c("b")).select("a", "b")
 
 
+def cells_of(m: np.ndarray, anchors: np.ndarray, radius: float):
+    """(home, near): each row's nearest anchor, and which earlier cells may hold a partner of it: those whose
+    dividing plane is within the radius."""
+    size = (anchors * anchors).sum(1)
+    gap = np.sqrt(np.maximum(0.0, size[:, None] + size[None, :] - 2 * anchors @ anchors.T))
+    d2 = np.maximum(0.0, (m * m).sum(1)[:, None] + size[None, :] - 2 * m @ anchors.T)
+    home = d2.argmin(axis=1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        plane = (d2 - d2[np.arange(len(home)), home][:, None]) / (2 * gap[home])
+    return home, np.where(gap[home] > 0, plane <= radius, True) & (np.arange(len(anchors))[None, :] < home[:, None])
+
+
+def anchors_that_pay(sample: np.ndarray, anchors: np.ndarray, radius: float) -> tuple[int, float]:
+    """(number of anchors, copies of a row), measured on a sample: the number, doubled step by step, that leaves
+    the fewest comparisons. Cells cost half their homes' square, and homes times guests. One anchor is no
+    cut at all: half the square of all rows and no copies, which stays unless a cut halves that."""
+    best, size = (0.25, 1, 1.0), 2
+    while size <= len(anchors):
+        home, near = cells_of(sample, anchors[:size], radius)
+        homes, guests = np.bincount(home, minlength=size) / len(sample), near.sum(0) / len(sample)
+        best = min(best, (float((homes * homes / 2 + homes * guests).sum()), size, 1.0 + float(guests.sum())))
+        size *= 2
+    return best[1:]
+
+
 def similar_pairs(reps: DataFrame, threshold: float) -> DataFrame:
     """All pairs a < b of different unit vectors with dot >= threshold: exact, no neighbour
     limit. reps: id, vec.
 
     Every row lives in the cell of its nearest anchor and is copied only to those cells it
-    could still have a partner in (its distance to the dividing plane is within the radius).
-    A large cell is cut into blocks, and only block pairs meet, so no task holds a cell."""
+    could still have a partner in (its distance to the dividing plane is within the radius). How many
+    anchors pay is measured first; where none do, as for loose thresholds, all rows are one cell.
+    A large cell is cut into blocks, and only block pairs meet, so no task holds a cell and a row is sent
+    to as many tasks as there are blocks at most."""
     reps = reps.select("id", "vec")
     n = reps.count()
     wanted = max(1, min(MAX_ANCHORS, math.ceil(n / BLOCK_ROWS) * 4))
-    picked = reps.orderBy(F.md5(c("id").cast("string")), "id").limit(wanted).collect()      # at most 2048 rows
-    anchors = np.array([r.vec for r in picked], dtype=np.float64)
+    picked = reps.orderBy(F.md5(c("id").cast("string")), "id").limit(wanted + SAMPLE).collect()      # at most 4096 rows
+    vectors = np.array([r.vec for r in picked], dtype=np.float64)
     radius = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6
+    many, _ = anchors_that_pay(vectors[wanted:] if len(vectors) > wanted else vectors, vectors[:wanted], radius) if len(vectors) else (0, 0.0)
+    anchors = vectors[:many]
 
     def place(batches):
-        size = (anchors * anchors).sum(1) if len(anchors) else np.zeros(0)
-        gap = np.sqrt(np.maximum(0.0, size[:, None] + size[None, :] - 2 * anchors @ anchors.T)) if len(anchors) else np.zeros((0, 0))
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            m = _matrix(batch.column("vec"))
-            d2 = np.maximum(0.0, (m * m).sum(1)[:, None] + size[None, :] - 2 * m @ anchors.T)
-            home = d2.argmin(axis=1)
+            home, near = cells_of(_matrix(batch.column("vec")), anchors, radius)
             here = np.arange(len(home))
-            with np.errstate(divide="ignore", invalid="ignore"):
-                plane = (d2 - d2[here, home][:, None]) / (2 * gap[home])
-            near = np.where(gap[home] > 0, plane <= radius, True) & (np.arange(len(anchors))[None, :] < home[:, None])
             r, cell = np.nonzero(near)
             rows = np.concatenate([here, r])
             yield pa.RecordBatch.from_arrays(

@@ -263,8 +263,9 @@ def scorer_pool(spark, d):
 
 @query("UDF-02", O(f"SELECT persona, id, {Q6.format(_OVERLAP)} AS score_micro FROM filt JOIN ask USING (persona)", _ASK))
 def pair_score(spark, d):
+    """Candidates scored by a model behind the hook."""
     f = filtered(spark, d).join(asked(spark), "persona")
-    return f.select("persona", "id", micro(en.pair_scorer()(c("ask"), tx.pair_text(c("title"), c("body")))).alias("score_micro"))
+    return f.select("persona", "id", micro(en.pair_scorer(make=lambda: en.overlaps)(c("ask"), tx.pair_text(c("title"), c("body")))).alias("score_micro"))
 
 
 def mmr_sql(lam):

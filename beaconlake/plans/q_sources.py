@@ -8,6 +8,7 @@ from beaconlake.operators import encode as en, features as ft, profiling as pf,
 from beaconlake.plans import testbed as tb
 from beaconlake.plans.q_columns import items, micro
 from beaconlake.plans.q_trends import _GRID, N, act, near
+from beaconlake.plans.q_vectors import entries, hashed_sql
 from beaconlake.plans.registry import query
 from beaconlake.plans.testbed import oracle
 from beaconlake.session import checkpointed, scratch_path
@@ -176,12 +177,12 @@ def first_matching_term(spark, d):
     return got.groupBy("repo").agg(N().alias("n"), F.min("domain").alias("domain"))
 
 
-@query("SRC-12", oracle("SELECT opportunity_id, CAST(64 AS BIGINT) AS dims, true AS unit_length FROM opp"))
+@query("SRC-12", oracle("SELECT opportunity_id, dims, entries, true AS unit_length FROM " + hashed_sql("opp", "opportunity_id", "trim(title || chr(10) || body)", 64)))
 def embedding_build(spark, d):
     o = tb.opportunities(spark, d)
     v = o.select("opportunity_id", en.encoder(64)(en.embedding_text(c("title"), c("body"))).alias("v"))
     size = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    return v.select("opportunity_id", F.size("v").cast("bigint").alias("dims"), (F.abs(size - 1) < 1e-4).alias("unit_length"))
+    return v.select("opportunity_id", F.size("v").cast("bigint").alias("dims"), entries("v").alias("entries"), (F.abs(size - 1) < 1e-4).alias("unit_length"))
 
 
 # ---- label files -------------------------------------------------------------------------
@@ -344,7 +345,14 @@ _COVER = " UNION ALL ".join(f"SELECT source, '{f}' AS field, CAST(sum(CASE WHEN
 _RANGE = " UNION ALL ".join(f"""SELECT source, '{f}' AS field, min({f})::DOUBLE AS "min", median({f})::DOUBLE AS p50, list_sort(list({f}) FILTER (WHERE {f} IS NOT NULL))[CAST(floor((count({f}) - 1) * 0.9e0) AS INTEGER) + 1]::DOUBLE AS p90, max({f})::DOUBLE AS "max" FROM opp GROUP BY source HAVING count({f}) > 0""" for f in pf.NUMBERS)
 
 
-@query("AGG-22", oracle(f"""SELECT source, 'coverage ' || field AS item, CAST(present AS DOUBLE) AS a, CAST(rows AS DOUBLE) AS b, NULL AS c, NULL AS d FROM ({_COVER}) t
+_SIGNALS = " UNION ALL ".join(f"SELECT source, '{k}' AS name, '{t}' AS kind, count(*) AS present FROM opp WHERE {cond} GROUP BY source" for k, t, cond in [
+    ("star_velocity", "number", "gsig AND n_chars % 19 <> 0"), ("contributors", "number", "gsig"), ("open_issues", "number", "gsig"), ("archived", "boolean", "gsig"),
+    ("state", "string", "gsig AND (n_chars % 13 = 0 OR n_chars % 29 <> 0)"), ("reading_time_min", "number", "sig_ok AND source = 'devto' AND n_chars % 23 <> 0")])
+
+
+@query("AGG-22", oracle(f"""SELECT source, 'signal ' || name || ' ' || kind AS item, CAST(present AS DOUBLE) AS a, CAST(rows AS DOUBLE) AS b, NULL AS c, NULL AS d FROM ({_SIGNALS}) t JOIN (SELECT source, count(*) AS rows FROM opp GROUP BY source) z USING (source)
+  UNION ALL SELECT source, 'signals broken', CAST(sum(CASE WHEN sig_ok THEN 0 ELSE 1 END) AS DOUBLE), CAST(count(*) AS DOUBLE), NULL, NULL FROM opp GROUP BY source UNION ALL
+  SELECT source, 'coverage ' || field AS item, CAST(present AS DOUBLE) AS a, CAST(rows AS DOUBLE) AS b, NULL AS c, NULL AS d FROM ({_COVER}) t
   UNION ALL SELECT source, 'range ' || field, "min", p50, p90, "max" FROM ({_RANGE}) t UNION ALL SELECT source, 'type ' || opportunity_type, count(*), NULL, NULL, NULL FROM opp GROUP BY source, opportunity_type
   UNION ALL SELECT source, 'dates ' || min(substr(created_at, 1, 10)) || ' ' || max(substr(created_at, 1, 10)), NULL, NULL, NULL, NULL FROM opp WHERE created_at <> '' GROUP BY source"""))
 def data_profile(spark, d):
@@ -354,15 +362,23 @@ def data_profile(spark, d):
     span = pf.numeric_ranges(o).select("source", F.concat(F.lit("range "), "field").alias("item"), *num("min", "p50", "p90", "max"))
     kinds = pf.type_counts(o).select("source", F.concat(F.lit("type "), "opportunity_type").alias("item"), *num("n", None, None, None))
     days = pf.date_range(o).select("source", F.concat_ws(" ", F.lit("dates"), "first_day", "last_day").alias("item"), *num(None, None, None, None))
-    return cover.unionByName(span).unionByName(kinds).unionByName(days)
+    keys = checkpointed(pf.object_keys(o, "source", "signals"))
+    held = keys.where("name is not null").select("source", F.concat_ws(" ", F.lit("signal"), "name", "kind").alias("item"), *num("present", "rows", None, None))
+    broken = keys.select("source", "rows", "broken").distinct().select("source", F.lit("signals broken").alias("item"), *num("broken", "rows", None, None))
+    return cover.unionByName(span).unionByName(kinds).unionByName(days).unionByName(held).unionByName(broken)
 
 
 _P = "FROM (SELECT * FROM opp WHERE source = 'reddit') t"
 
 
+_FIELDS = ["num_comments", "score", "body", "created_at", "author", "community", "community_size", "language", "url"]
+_PRESENT = " UNION ALL ".join(f"SELECT 'field {f}', round_even(100e0 * sum(CASE WHEN {f} IS NOT NULL AND CAST({f} AS VARCHAR) <> '' THEN 1 ELSE 0 END) / count(*), 1), NULL, NULL, NULL {_P}" for f in _FIELDS)
+
+
 @query("AGG-23", oracle(f"""SELECT 'all' AS part, count(*)::DOUBLE AS a, round_even(100e0 * sum(CASE WHEN num_comments > 10 THEN 1 ELSE 0 END) / count(*), 0) AS b, median(num_comments)::DOUBLE AS c,
   list_sort(list(num_comments))[CAST(least(count(*) - 1, floor(count(*) * 0.9e0)) AS INTEGER) + 1]::DOUBLE AS d {_P}
-  UNION ALL SELECT 'shares', floor(avg(num_comments) * 1e6 + 0.5) / 1e6, round_even(100e0 * sum(CASE WHEN num_comments > 50 THEN 1 ELSE 0 END) / count(*), 0), round_even(100e0 * sum(CASE WHEN body <> '' THEN 1 ELSE 0 END) / count(*), 0), NULL {_P}
+  UNION ALL SELECT 'shares', floor(avg(num_comments) * 1e6 + 0.5) / 1e6, round_even(100e0 * sum(CASE WHEN num_comments > 50 THEN 1 ELSE 0 END) / count(*), 0), round_even(100e0 * sum(CASE WHEN body <> '' THEN 1 ELSE 0 END) / count(*), 0), round_even(100e0 * sum(CASE WHEN body = '' OR body IS NULL THEN 1 ELSE 0 END) / count(*), 0) {_P}
+  UNION ALL {_PRESENT}
   UNION ALL SELECT 'year ' || substr(created_at, 1, 4), count(*)::DOUBLE, NULL, NULL, NULL {_P} WHERE regexp_matches(created_at, '^[0-9]{{4}}-') GROUP BY substr(created_at, 1, 4)
   UNION ALL SELECT community, count(*)::DOUBLE, NULL, median(COALESCE(num_comments, 0))::DOUBLE, NULL {_P} GROUP BY community"""))
 def thread_profile(spark, d):
@@ -371,12 +387,13 @@ def thread_profile(spark, d):
     span = checkpointed(pf.numeric_ranges(posts, fields=["num_comments"], p90_of_n=True).select("source", "p50", "p90", "mean"))
     none = F.lit(None).cast("double")
     shares = pf.thread_profile(posts).withColumn("mean", span.select("mean").scalar()).select(
-        F.lit("shares").alias("part"), (F.floor(c("mean") * 1e6 + 0.5) / 1e6).alias("a"), c("over_50_pct").cast("double").alias("b"), c("self_pct").cast("double").alias("c"), none.alias("d"))
+        F.lit("shares").alias("part"), (F.floor(c("mean") * 1e6 + 0.5) / 1e6).alias("a"), c("over_50_pct").cast("double").alias("b"), c("self_pct").cast("double").alias("c"), c("link_pct").cast("double").alias("d"))
+    fields = pf.presence(posts, _FIELDS).select(F.concat(F.lit("field "), "field").alias("part"), c("pct").cast("double").alias("a"), none.alias("b"), none.alias("c"), none.alias("d"))
     years = pf.posts_by_year(posts).select(F.concat(F.lit("year "), c("year").cast("string")).alias("part"), c("n").cast("double").alias("a"), none.alias("b"), none.alias("c"), none.alias("d"))
     whole = head.join(span, "source").select(F.lit("all").alias("part"), c("posts").cast("double").alias("a"), c("over_10_pct").cast("double").alias("b"), c("p50").alias("c"), c("p90").alias("d"))
     per = pf.median_comments(posts, ["community"]).select(c("community").alias("part"), c("posts").cast("double").alias("a"), F.lit(None).cast("double").alias("b"),
                                                           c("median_comments").cast("double").alias("c"), F.lit(None).cast("double").alias("d"))
-    return whole.unionByName(per).unionByName(shares).unionByName(years)
+    return whole.unionByName(per).unionByName(shares).unionByName(years).unionByName(fields)
 
 
 @query("UDF-06", oracle("SELECT domain, count(*) AS items, CAST(sum(length(title)) AS BIGINT) AS title_chars FROM item WHERE domain <> '' GROUP BY domain"))

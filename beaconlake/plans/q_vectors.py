@@ -32,11 +32,24 @@ _VEC = f"WITH {PROTO}, {_FAC} "
 DOT = "list_dot_product(e.embedding::DOUBLE[], pv::DOUBLE[])"
 
 
-@query("UDF-01", "SELECT item_id, CAST(32 AS BIGINT) AS dims, true AS unit_length FROM benchmark")
+def hashed_sql(rel, key, text, dims):
+    """The default encoder in SQL: entries of the signed word-hash vector of each text, in millionths."""
+    return f"""(SELECT {key}, dims, array_to_string(list_transform(v, lambda x: CAST(floor((x / CASE WHEN len = 0 THEN 1e0 ELSE len END)::FLOAT::DOUBLE * 1e6 + 0.5) AS BIGINT)), ',') AS entries FROM
+  (SELECT {key}, {dims}::BIGINT AS dims, sqrt(list_dot_product(s, s)) AS len, CASE WHEN list_dot_product(s, s) = 0 THEN list_transform(s, lambda x, i: CASE WHEN i = 1 THEN 1e0 ELSE 0e0 END) ELSE s END AS v FROM
+  (SELECT {key}, list(n ORDER BY i) AS s FROM (SELECT {key}, i, COALESCE(sum(sign), 0)::DOUBLE AS n FROM (SELECT {key}, unnest(range({dims})) AS i FROM {rel}) g LEFT JOIN
+   (SELECT {key}, ('0x' || substr(md5(w), 1, 8))::BIGINT % {dims} AS i, CASE WHEN ('0x' || substr(md5(w), 9, 1))::BIGINT >= 8 THEN 1 ELSE -1 END AS sign FROM
+    (SELECT {key}, unnest(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}_]+')) AS w FROM {rel}) t) h USING ({key}, i) GROUP BY ALL) c GROUP BY {key}) z) y)"""
+
+
+def entries(v):
+    return F.array_join(F.transform(v, lambda x: F.floor(x.cast("double") * 1e6 + 0.5).cast("string")), ",")
+
+
+@query("UDF-01", "SELECT item_id, dims, entries, true AS unit_length FROM " + hashed_sql("benchmark", "item_id", "text", 32))
 def encode_hook(spark, d):
     b = tb.table(spark, d, "benchmark")
-    v = b.select("item_id", en.encoder(32, lambda texts: en.hashed_words(texts, 32))("text").alias("v"))
-    return v.select("item_id", F.size("v").cast("bigint").alias("dims"), (F.abs(nm.norm(c("v")) - 1) < 1e-4).alias("unit_length"))
+    v = b.select("item_id", en.encoder(make=lambda: en.HashedWords(32))("text").alias("v"))
+    return v.select("item_id", F.size("v").cast("bigint").alias("dims"), entries("v").alias("entries"), (F.abs(nm.norm(c("v")) - 1) < 1e-4).alias("unit_length"))
 
 
 @query("TOP-01", f"WITH {PROTO} SELECT label AS qid, rank, id, {Q6.format('sim')} AS sim_micro FROM (SELECT p.label, e.vec_id AS id, {DOT} AS sim, row_number() OVER (PARTITION BY p.label ORDER BY {DOT} DESC, e.vec_id) AS rank FROM embeddings e, proto p) t WHERE rank <= 5")
@@ -186,14 +199,34 @@ def pooled_candidates(spark, d):
     return seen.join(done, "id", "left_anti")
 
 
-@query("TRD-04")
+# The covariance of the sample, squared again and again: what remains is its first axis. The second is that
+# of the matrix without the first.
+def _axis_sql(name, matrix):
+    square = "list_transform(m, lambda r: list_transform(m, lambda q: list_dot_product(r, q) / list_sum(list_transform(m, lambda z: list_dot_product(z, z)))))"
+    return f"""{name}_pow AS (SELECT 0 AS step, m FROM {matrix} UNION ALL SELECT step + 1, {square} FROM {name}_pow WHERE step < 24),
+{name}_row AS (SELECT list_reverse_sort(list_transform(m, lambda r, i: {{'d': r[i], 'r': r}}))[1].r AS r FROM {name}_pow WHERE step = 24),
+{name}_unit AS (SELECT list_transform(r, lambda x: x / sqrt(list_dot_product(r, r))) AS u FROM {name}_row),
+{name} AS (SELECT list_transform(u, lambda x: x * CASE WHEN list_reverse_sort(list_transform(u, lambda y: {{'s': abs(y), 'y': y}}))[1].y > 0 THEN 1e0 ELSE -1e0 END) AS v FROM {name}_unit)"""
+
+
+_PCA = """WITH RECURSIVE smp AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS e FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(vec_id || ':7')) AS rn FROM embeddings) t WHERE rn <= 170),
+lng AS (SELECT id, generate_subscripts(e, 1) AS i, unnest(e) AS x FROM smp), cen AS (SELECT id, i, x - avg(x) OVER (PARTITION BY i) AS x FROM lng),
+cv AS (SELECT a.i, b.i AS j, sum(a.x * b.x) / ((SELECT count(*) FROM smp) - 1) AS v FROM cen a JOIN cen b USING (id) GROUP BY a.i, b.i),
+c1 AS (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(v ORDER BY j) AS r FROM cv GROUP BY i) t), """ + _axis_sql("one", "c1") + """,
+l1 AS (SELECT list_dot_product(v, list_transform(m, lambda r: list_dot_product(r, v))) AS l FROM one, c1),
+c2 AS (SELECT list_transform(m, lambda r, i: list_transform(r, lambda x, j: x - l * v[i] * v[j])) AS m FROM one, c1, l1), """ + _axis_sql("two", "c2") + """,
+l2 AS (SELECT list_dot_product(v, list_transform(m, lambda r: list_dot_product(r, v))) AS l FROM two, c2), spread AS (SELECT sum(v) AS total FROM cv WHERE i = j)"""
+
+
+@query("TRD-04", _PCA + f" SELECT id, label, {_Q5.format('list_dot_product(e, one.v)')} AS x, {_Q5.format('list_dot_product(e, two.v)')} AS y, {_Q5.format('l1.l / total')} AS share_x, {_Q5.format('l2.l / total')} AS share_y FROM smp, one, two, l1, l2, spread")
 def projection(spark, d):
-    """Two principal components of a per-label sample, fitted by Spark over the sample."""
+    """Two principal components of a per-label sample, fitted by Spark over the sample, and the share of the
+    variance that each explains."""
     s = stratified(corpus(spark, d), "label", "id", 170)
     rows = s.select("id", "label", array_to_vector(F.transform("vec", lambda x: x.cast("double"))).alias("features"))
     model = PCA(k=2, inputCol="features", outputCol="p").fit(rows)
-    axes = model.pc.toArray()
+    axes, shares = model.pc.toArray(), model.explainedVariance.toArray()
     # An axis may point either way; its largest loading points up.
     up = [1.0 if axis[abs(axis).argmax()] > 0 else -1.0 for axis in axes.T]
     xy = model.transform(rows).withColumn("a", vector_to_array("p"))
-    return xy.select("id", "label", F.round(c("a")[0] * up[0], 6).alias("x"), F.round(c("a")[1] * up[1], 6).alias("y"))
+    return xy.select("id", "label", q5(c("a")[0] * up[0]).alias("x"), q5(c("a")[1] * up[1]).alias("y"), q5(F.lit(float(shares[0]))).alias("share_x"), q5(F.lit(float(shares[1]))).alias("share_y"))

@@ -1,5 +1,6 @@
 """Solvers and scores of the funnel."""
 import itertools
+import os
 import random
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from beaconlake import lexicon as lx
-from beaconlake.operators import evaluation as ev, ranking as rk
+from beaconlake.operators import encode as en, evaluation as ev, ranking as rk
 
 
 def test_basket_is_optimal_and_in_budget(spark):
@@ -83,14 +84,35 @@ def test_encoded_candidates_equal_brute_force(spark):
     folder = "/root/testdata/sf0.001"
     rows = items(spark, folder).selectExpr("ingest_seq as id", "source", "title", "body").collect()
     text = [f"{r.title or ''}\n{r.body or ''}".strip() for r in rows]
-    docs = en.hashed_words(text, 64).astype(float)
+    docs = en.HashedWords(64)(text).astype(float)
     got = {}
     for r in qr.encoded_candidates(spark, folder).collect():
         got.setdefault((r.persona, r.source), []).append((r.place, r.id, r.sim_micro))
     people = qr.people(spark).collect()
     for p in people:
-        facets = en.hashed_words([f for f in [p.goal, *p.interests] if f], 64).astype(float)
+        facets = en.HashedWords(64)([f for f in [p.goal, *p.interests] if f]).astype(float)
         sims = (docs @ facets.T).max(1)
         for s in p.allowed:
             best = sorted((-sims[i], r.id) for i, r in enumerate(rows) if r.source == s)[:20]
             assert [x[2] for x in sorted(got.get((p.id, s), []))] == [int(np.floor(-v * 1e6 + 0.5)) for v, _ in best]
+
+
+def test_a_model_is_built_once_in_each_worker(spark, tmp_path):
+    where = str(tmp_path)
+
+    def make():
+        import os
+        import uuid
+        open(f"{where}/{os.getpid()}-{uuid.uuid4().hex}", "w").close()
+        return lambda texts: [[float(len(t))] for t in texts]
+    texts = spark.range(4000).selectExpr("repeat('x', cast(id % 7 as int)) as text").repartition(40)
+    got = texts.select("text", en.encoder(make=make)("text").alias("v")).collect()
+    assert all(r.v == [len(r.text)] for r in got)
+    made = [name.split("-")[0] for name in os.listdir(where)]
+    assert 1 <= len(made) == len(set(made)) < 40
+
+
+def test_the_default_scorer_and_its_model_agree(spark):
+    rows = spark.createDataFrame([("Data tools, data", "tools for Data_x and data"), ("", "x"), (None, None), ("a b", None), ("É é", "É")], "q string, t string")
+    got = rows.select(en.pair_scorer()(F.col("q"), F.col("t")).alias("a"), en.pair_scorer(make=lambda: en.overlaps)(F.col("q"), F.col("t")).alias("b")).collect()
+    assert [r.a for r in got] == [r.b for r in got] == [1.0, 0.0, 0.0, 0.0, 1.0]
