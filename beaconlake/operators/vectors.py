@@ -298,16 +298,25 @@ def cells_of(m: np.ndarray, anchors: np.ndarray, radius: float):
     return home, np.where(gap[home] > 0, plane <= radius, True) & (np.arange(len(anchors))[None, :] < home[:, None])
 
 
+def spread_out(vectors: np.ndarray, radius: float) -> np.ndarray:
+    """The vectors, in their order, that are over two radii from those taken before: closer anchors share
+    most of their rows."""
+    taken = []
+    for v in vectors:
+        if not taken or ((np.array(taken) - v) ** 2).sum(1).min() > 4 * radius * radius:
+            taken.append(v)
+    return np.array(taken).reshape(-1, vectors.shape[1] if vectors.ndim == 2 else 0)
+
+
 def anchors_that_pay(sample: np.ndarray, anchors: np.ndarray, radius: float) -> tuple[int, float]:
-    """(number of anchors, copies of a row), measured on a sample: the number, doubled step by step, that leaves
-    the fewest comparisons. Cells cost half their homes' square, and homes times guests. One anchor is no
+    """(number of anchors, copies of a row), measured on a sample: the number, doubled step by step up to all, that
+    leaves the fewest comparisons. Cells cost half their homes' square, and homes times guests. One anchor is no
     cut at all: half the square of all rows and no copies, which stays unless a cut halves that."""
-    best, size = (0.25, 1, 1.0), 2
-    while size <= len(anchors):
+    best = (0.25, 1, 1.0)
+    for size in sorted({2 ** i for i in range(1, len(anchors).bit_length())} | {len(anchors)} - {0, 1}):
         home, near = cells_of(sample, anchors[:size], radius)
         homes, guests = np.bincount(home, minlength=size) / len(sample), near.sum(0) / len(sample)
         best = min(best, (float((homes * homes / 2 + homes * guests).sum()), size, 1.0 + float(guests.sum())))
-        size *= 2
     return best[1:]
 
 
@@ -326,8 +335,9 @@ def similar_pairs(reps: DataFrame, threshold: float) -> DataFrame:
     picked = reps.orderBy(F.md5(c("id").cast("string")), "id").limit(wanted + SAMPLE).collect()      # at most 4096 rows
     vectors = np.array([r.vec for r in picked], dtype=np.float64)
     radius = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6
-    many, _ = anchors_that_pay(vectors[wanted:] if len(vectors) > wanted else vectors, vectors[:wanted], radius) if len(vectors) else (0, 0.0)
-    anchors = vectors[:many]
+    anchors = spread_out(vectors[:wanted], radius)
+    many, _ = anchors_that_pay(vectors[wanted:] if len(vectors) > wanted else vectors, anchors, radius) if len(vectors) else (0, 0.0)
+    anchors = anchors[:many]
 
     def place(batches):
         for batch in batches:

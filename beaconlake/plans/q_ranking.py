@@ -367,6 +367,18 @@ def keyword_graded(spark, d, pool=None):
                       tx.keyword_grade(c("source"), c("language"), c("barred"), c("domain_list"), c("whitelist"), c("text"), c("kws")).alias("grade"))
 
 
+def graded_groups(spark, d):
+    """The grades counted: items are first grouped by what a grade reads of them, their source, language, domains
+    and which of all keywords they hold, and only the groups meet the personas."""
+    p = people(spark).withColumn("kws", _keywords())
+    who = p.select(c("id").alias("persona"), F.explode("allowed").alias("source"), c("domains").alias("whitelist"), "barred", "kws")
+    every = p.select(F.explode("kws").alias("k")).agg(F.sort_array(F.collect_set("k")))
+    rows = items(spark, d).select("source", "language", "domain_list", F.lower(F.concat_ws(" ", "title", "body")).alias("text")).withColumn("every", every.scalar())
+    rows = rows.withColumn("held", F.array_join(F.filter("every", lambda k: F.contains("text", k)), "\n"))
+    groups = rows.groupBy("source", "language", "domain_list", "held").agg(N().alias("n")).join(who, "source")
+    return groups.withColumn("grade", tx.keyword_grade(c("source"), c("language"), c("barred"), c("domain_list"), c("whitelist"), c("held"), c("kws")))
+
+
 @query("TXT-17", oracle("SELECT persona, id, grade FROM gr", extra=_PZ + _GR))
 def keyword_grade(spark, d):
     return keyword_graded(spark, d).select("persona", "id", "grade")
@@ -374,15 +386,15 @@ def keyword_grade(spark, d):
 
 @query("UDF-03", oracle("SELECT persona, grade, count(*) AS n FROM gr GROUP BY ALL", extra=_PZ + _GR))
 def grader_hook(spark, d):
-    return keyword_graded(spark, d).groupBy("persona", "grade").agg(N().alias("n"))
+    return graded_groups(spark, d).groupBy("persona", "grade").agg(F.sum("n").alias("n"))
 
 
 @query("EVL-08", oracle(f"SELECT persona, grade, count(*) AS n FROM gr WHERE {_IN} GROUP BY ALL", extra=_PZ + _GR))
 def ideal_grades(spark, d):
-    g = keyword_graded(spark, d)
+    g = graded_groups(spark, d)
     inside = (F.size("whitelist") == 0) | F.arrays_overlap("domain_list", "whitelist")
     shut = (c("source") == "github") & F.array_contains("barred", F.lower(F.coalesce("language", F.lit(""))))
-    return g.where(inside & ~shut).groupBy("persona", "grade").agg(N().alias("n"))
+    return g.where(inside & ~shut).groupBy("persona", "grade").agg(F.sum("n").alias("n"))
 
 
 _JUDGE = f""", dense AS (SELECT persona, id, row_number() OVER (PARTITION BY persona ORDER BY sim DESC, id) AS rank FROM cand0),
