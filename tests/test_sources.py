@@ -85,3 +85,59 @@ def test_captured_source_reads_one_partition_per_domain(spark, tmp_path):
     df = spark.read.format("captured_payloads").option("path", f"file://{tmp_path}").load()
     assert df.rdd.getNumPartitions() == 2
     assert [(r.domain, r.seq, r.value) for r in df.orderBy("domain", "seq").collect()] == [("x", 0, "line0"), ("x", 1, "line1"), ("x", 2, "line2"), ("y", 0, "line0"), ("y", 1, "line1")]
+
+
+def captured_files(folder, rows):
+    for domain, name, lines in rows:
+        place = folder / f"domain={domain}"
+        place.mkdir(exist_ok=True)
+        (place / name).write_text("\n".join(lines) + "\n")
+
+
+def test_a_filter_on_the_domain_opens_only_its_files(spark, tmp_path):
+    from pyspark.sql.datasource import EqualTo, GreaterThan, In
+    from beaconlake.sources.captured import _FilteringReader
+    captured_files(tmp_path, [("a", "1", ["x", "y"]), ("a", "2", ["z"]), ("b", "1", ["w"]), ("c", "1", ["v"])])
+    opened = lambda *filters: (reader := _FilteringReader({"path": f"file://{tmp_path}"}), list(reader.pushFilters(list(filters))), sorted({n.split("domain=")[1] for p in reader.partitions() for n in p.names}))[1:]
+    more = GreaterThan(("seq",), 3)
+    assert opened() == ([], ["a/1", "a/2", "b/1", "c/1"])
+    assert opened(EqualTo(("domain",), "a"), more) == ([more], ["a/1", "a/2"])
+    assert opened(In(("domain",), ("b", "c", "none")), EqualTo(("domain",), "c")) == ([], ["c/1"])
+    assert opened(EqualTo(("domain",), "none")) == ([], [])
+    spark.dataSource.register(CapturedPayloads)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        got = spark.read.format("captured_payloads").option("path", f"file://{tmp_path}").option("pushdown", "true").load().where("domain = 'a' and value <> 'y'")
+        assert sorted(r.value for r in got.collect()) == ["x", "z"] and got.rdd.getNumPartitions() == 2
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def test_a_stream_gives_each_payload_once_across_restarts(spark, tmp_path):
+    import time
+    source, out, marks = tmp_path / "in", tmp_path / "out", tmp_path / "marks"
+    source.mkdir()
+    spark.dataSource.register(CapturedPayloads)
+
+    def run():
+        time.sleep(0.4)
+        stream = spark.readStream.format("captured_payloads").option("path", f"file://{source}").option("settle", "0.2").load()
+        query = stream.writeStream.format("parquet").option("path", str(out)).option("checkpointLocation", str(marks)).start()
+        query.processAllAvailable()
+        query.stop()
+        return sorted((r.domain, r.value) for r in spark.read.parquet(str(out)).collect())
+    captured_files(source, [("a", "1", ["x", "y"]), ("b", "1", ["w"])])
+    first = run()
+    assert first == [("a", "x"), ("a", "y"), ("b", "w")]
+    assert run() == first
+    captured_files(source, [("a", "0", ["early name"]), ("c", "9", ["new"])])
+    assert run() == sorted(first + [("a", "early name"), ("c", "new")])
+    assert run() == sorted(first + [("a", "early name"), ("c", "new")])
+
+
+def test_keys_of_any_objects(spark):
+    from beaconlake.operators import profiling as pf
+    rows = [("s", '{"a": 1, "b": {"x": [1]}, "c": null}'), ("s", '{"a": "t", "b": [1, 2]}'), ("s", "{broken"), ("s", ""), ("s", None), ("s", '{"a": 2.5, "d": true}'), ("t", "{}"), (None, '{"a": 1}')]
+    got = {(r.source, r.name, r.kind): (r.present, r.rows, r.broken) for r in pf.object_keys(spark.createDataFrame(rows, "source string, js string"), "source", "js").collect()}
+    assert got == {("s", "a", "number"): (2, 6, 1), ("s", "a", "string"): (1, 6, 1), ("s", "b", "object"): (1, 6, 1), ("s", "b", "array"): (1, 6, 1), ("s", "c", "null"): (1, 6, 1), ("s", "d", "boolean"): (1, 6, 1),
+                   ("t", None, None): (None, 1, 0), (None, "a", "number"): (1, 1, 0)}
