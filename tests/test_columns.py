@@ -117,3 +117,17 @@ def test_profile_becomes_persona(spark):
     p = ps.persona_from_profile(df).first()
     assert (p.id, p.name, p.domains, p.exclude_languages, p.time_budget_hours) == ("custom", "You", ["blockchain"], ["C++", "Rust", "Go"], 5.0)
     assert set(p.platforms) == set(lx.SOURCES) and p.interests == ["Blockchain"]
+
+
+def test_some_items_are_compared_with_all(spark):
+    """Shares of a few items against the whole corpus are those of the whole table."""
+    rows = [(f"o{i}", "s" if i % 3 else "t", float(i % 7), float(i), None if i % 5 else 1.5, float(-i)) for i in range(60)]
+    every = spark.createDataFrame(rows, "opportunity_id string, source string, pop double, disc double, vel double, standout_raw double")
+    few = every.where("opportunity_id in ('o3', 'o4', 'o5', 'o50')")
+    want = {r.opportunity_id: tuple(r) for r in ft.with_percentiles(every).collect()}
+    assert len(want) == 60 and {r.opportunity_id: tuple(r) for r in ft.with_percentiles(few, corpus=every).collect()} == {k: want[k] for k in ("o3", "o4", "o5", "o50")}
+    for r in ft.with_percentiles(every, ["vel"]).collect():
+        assert r.vel_pct == want[r.opportunity_id][8]
+    for i, source, pop, *_ in rows:
+        own = [x[2] for x in rows if x[1] == source]
+        assert want[i][6] == sum(v < pop for v in own) / len(own)

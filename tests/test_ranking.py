@@ -116,3 +116,23 @@ def test_the_default_scorer_and_its_model_agree(spark):
     rows = spark.createDataFrame([("Data tools, data", "tools for Data_x and data"), ("", "x"), (None, None), ("a b", None), ("É é", "É")], "q string, t string")
     got = rows.select(en.pair_scorer()(F.col("q"), F.col("t")).alias("a"), en.pair_scorer(make=lambda: en.overlaps)(F.col("q"), F.col("t")).alias("b")).collect()
     assert [r.a for r in got] == [r.b for r in got] == [1.0, 0.0, 0.0, 0.0, 1.0]
+
+
+def test_bounded_search_finds_the_best_and_scores_less(spark, monkeypatch):
+    from beaconlake.operators import tfidf
+    rng = random.Random(5)
+    rare = [f"term{i}" for i in range(400)]
+    common = ["alpha", "beta", "gamma", "delta"]
+    text = lambda n: " ".join(rng.choice(common) if rng.random() < 0.5 else rng.choice(rare) for _ in range(n))
+    docs = spark.createDataFrame([(i, text(40)) for i in range(600)] + [(900, ""), (901, None), (902, "the and of")], "id long, text string").repartition(4)
+    asks = spark.createDataFrame([(i, text(6)) for i in range(25)] + [(100, "alpha beta"), (101, "never seen"), (102, None)], "qid long, text string")
+    every = {}
+    for r in tfidf.search(docs, asks).collect():
+        every.setdefault(r.qid, []).append((-round(r.sim, 9), r.id))
+    got, scored = tfidf.search_top(docs, asks, 5)
+    best = {}
+    for r in got.collect():
+        best.setdefault(r.qid, []).append((-round(r.sim, 9), r.id))
+    assert {q: sorted(x)[:5] for q, x in best.items()} == {q: sorted(x)[:5] for q, x in every.items()}
+    assert scored.count() < 0.5 * sum(map(len, every.values()))
+    assert len(tfidf.stop_words()) > 150 and "the" in tfidf.stop_words() and "le" in tfidf.stop_words("french")
