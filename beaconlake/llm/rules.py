@@ -2,15 +2,19 @@
 
 One pass over the texts takes the statistics of every document. An isolation forest finds rows that
 random splits set apart early: each of TREES trees is grown on ROWS rows of a bounded sample (the
-SAMPLE smallest hashes of the id), and a row's anomaly is 2 ** (-mean path / expected path). The cut between
-normal and anomalous comes from the labelled documents, all of them: the anomaly that
-best parts low quality from the rest while at least KEEP of the good ones stay. A document is kept
-if it passes the hard limits and is not anomalous.
+SAMPLE smallest hashes of the id), and a row's anomaly is 2 ** (-mean path / expected path). One forest sees the
+rates of characters and marks; another sees all statistics, those of the hard limits included (repeated lines
+and words, length). Two, since splits on statistics that vary among good documents too hide what the others find.
+The cut between normal and anomalous comes from the labelled documents, all of them: the anomaly that
+best parts low quality from the rest while at least KEEP of the good ones stay; the second forest's from
+what the first one leaves. A document is kept if it passes the hard limits and no forest finds it anomalous.
 
 Defined results: a null text has no words, fails the limits and is not kept; without labels
 nothing is anomalous; repeated rows get equal results; empty tables give empty results; columns
 other than those named are not read.
 """
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -19,10 +23,12 @@ from beaconlake.llm.arrays import parts, rows_of, texts_of, whole_texts
 from beaconlake.session import checkpointed
 
 TREES, ROWS, SAMPLE = 128, 64, 8192
-KEEP = 0.995            # share of the good labelled documents that the cut must leave
+KEEP = 0.995            # share of the good labelled documents that the first cut must leave
+KEEP_MORE = 0.999       # and the second, of those
 MIN_WORDS = 50
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-RATES = ["chars_per_word", "symbols_per_word", "upper_share", "one_mark_share"]
+RATES = ["chars_per_word", "symbols_per_word", "upper_share", "one_mark_share", "dup_line_share", "repeat_share", "log_words"]
+FORESTS = {"anomaly": (4, KEEP), "anomaly_all": (len(RATES), KEEP_MORE)}       # how many of the rates, and the share to leave
 _SYMBOL, _UPPER, _TAIL, _WHITE = 1, 2, 3, 4
 _KIND = np.zeros(256, np.uint8)
 _KIND[[ord(c) for c in "#*$%&|<>"]] = _SYMBOL
@@ -68,7 +74,7 @@ def statistics(text: bytes) -> tuple:
     same = len(lines) - len(set(lines))
     repeat, symbols = repeated_words(words), int(kinds[_SYMBOL])
     single = sum([len(w) == 1 for w in words])
-    return n, chars, symbols, same, repeat, chars / n, symbols / n, int(kinds[_UPPER]) / chars, single / n
+    return n, chars, symbols, same, repeat, chars / n, symbols / n, int(kinds[_UPPER]) / chars, single / n, same / len(lines), repeat / n, math.log(n)
 
 
 def measured(docs: DataFrame, identity: str = "doc_id", text: str = "text") -> DataFrame:
@@ -137,26 +143,27 @@ def anomalies(rates: np.ndarray, trees: dict) -> np.ndarray:
     return np.round(2.0 ** (-total / len(trees["column"]) / trees["expected"]), 4)
 
 
-def scored(stats: DataFrame, trees: dict) -> DataFrame:
-    """The statistics with `anomaly`."""
+def scored(stats: DataFrame, trees: dict[str, dict]) -> DataFrame:
+    """The statistics with a column for each forest."""
     shared = stats.sparkSession.sparkContext.broadcast(trees)
     names = stats.columns
 
     def run(batches):
         for batch in batches:
             rates = np.array(batch.column(names.index("rates")).to_pylist(), dtype=np.float64).reshape(batch.num_rows, -1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(anomalies(rates, shared.value))], names=[*names, "anomaly"])
-    return stats.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in stats.dtypes) + ", anomaly double")
+            found = [pa.array(anomalies(rates[:, :FORESTS[name][0]], one)) for name, one in shared.value.items()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *found], names=[*names, *shared.value])
+    return stats.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in stats.dtypes) + "".join(f", {name} double" for name in trees))
 
 
-def cut_off(scores: DataFrame, labels: DataFrame, keep: float = KEEP) -> float:
-    """The anomaly above which a document falls: over all labelled rows that pass the limits,
-    the one with the best (share of bad found - share of good lost) among those that lose at most
-    1 - keep of the good. Scores have four digits, so the counts are few."""
+def cut_off(scores: DataFrame, labels: DataFrame, column: str = "anomaly", keep: float = KEEP) -> float:
+    """The anomaly above which a document falls: over all labelled rows, the one with the best
+    (share of bad found - share of good lost) among those that lose at most 1 - keep of the good. Scores have
+    four digits, so the counts are few."""
     known = labels.select(F.col("doc_id").alias("_id"), "quality").dropna().groupBy("_id").agg(F.min("quality").alias("quality"))
-    bins = (scores.where(~failed()).join(known, F.col("id") == F.col("_id")).groupBy("anomaly")
+    bins = (scores.join(known, F.col("id") == F.col("_id")).groupBy(F.col(column).alias("value"))
             .agg(F.sum(F.when(F.col("quality") == 0, 1).otherwise(0)).alias("bad"), F.sum(F.when(F.col("quality") != 0, 1).otherwise(0)).alias("good")).collect())
-    bins = sorted((r["anomaly"], r["bad"], r["good"]) for r in bins)
+    bins = sorted((r["value"], r["bad"], r["good"]) for r in bins)
     all_bad, all_good = sum(b for _, b, _ in bins), sum(g for *_, g in bins)
     best, cut, bad, good = 0.0, 1.0, 0, 0
     for value, b, g in reversed(bins):          # documents at `value` and above would fall
@@ -172,12 +179,15 @@ def failed():
 
 
 def judged(docs: DataFrame, labels: DataFrame, identity: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document: id, the counts, base_failed, anomaly, kept."""
+    """Per document: id, the counts, base_failed, the anomaly by each forest, kept."""
     stats = checkpointed(measured(docs, identity, text))
     sample = stats.where(~failed()).orderBy(F.xxhash64("id", F.lit("forest")), "id").limit(SAMPLE).select("rates").toArrow()   # a bounded sample
     rates = np.array(sample.column("rates").to_pylist(), dtype=np.float64)
+    out = ["id", *COUNTS, failed().alias("base_failed")]
     if not len(rates):
-        return stats.select("id", *COUNTS, failed().alias("base_failed"), F.lit(0.0).alias("anomaly"), (~failed()).alias("kept"))
-    scores = checkpointed(scored(stats, forest(rates)))
-    cut = cut_off(scores, labels)
-    return scores.select("id", *COUNTS, failed().alias("base_failed"), "anomaly", (~failed() & (F.col("anomaly") <= cut)).alias("kept"))
+        return stats.select(*out, *[F.lit(0.0).alias(name) for name in FORESTS], (~failed()).alias("kept"))
+    scores = checkpointed(scored(stats, {name: forest(rates[:, :width]) for name, (width, _) in FORESTS.items()}))
+    normal = ~failed()
+    for name, (_, keep) in FORESTS.items():
+        normal = normal & (F.col(name) <= cut_off(scores.where(normal), labels, name, keep))
+    return scores.select(*out, *FORESTS, normal.alias("kept"))

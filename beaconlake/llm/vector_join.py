@@ -6,11 +6,14 @@ together) cut each label's vectors into cells, each vector at its nearest pivot.
 inequality a partner of x lies in cell p only if d(x, p) <= d(x, nearest pivot) + 2 r; x is copied
 there and nowhere else. Cells that are still large are cut by pivots of their own, in the same way.
 Where vectors lie so evenly that nearly every cell could hold a partner, cutting multiplies rows and
-saves nothing; a part of the sample measures that, and such a cell stays whole. Cells join
-independently. One with more than BLOCK vectors is joined block against block; within a task all
+saves nothing; a part of the sample measures that, and such a cell stays whole: with k pivots and c copies a
+vector, the square of c has to stay well below k. Cells join independently. One with more than BLOCK vectors is joined block against block; within a task all
 distances come from one matrix product, and only counts and a spanning set of links leave it, never
 all pairs.
 
+Equal vectors are told by a 64-bit hash, which two different ones share with a chance of 2 ** -64 a pair. Components
+are read as single-precision numbers, as the table has them; cosines are computed in double precision.
+
 Defined results: null, zero and non-finite vectors, and vectors without a label, link with nothing;
 vectors of different length link with nothing; an id that occurs more than once is one row each,
 and its rows link as other vectors do; a null id links like any other and has the least id of its
@@ -29,7 +32,7 @@ THRESHOLD = 0.98
 PER_PIVOT = 256         # vectors a pivot should stand for
 MOST_PIVOTS = 4096      # pivots sent to every task
 TESTERS = 3             # sampled vectors for each pivot that measure what a cut would cost
-COPIES = 3.0            # cells a vector may lie in on average; beyond, a cell stays whole
+GAIN = 2.0              # how many times fewer comparisons a cut must leave; else a cell stays whole
 BLOCK = 2048            # vectors a side in one task
 LEVELS = 3              # times that cells are cut
 SLACK = 1e-6            # added to distances, so that rounding loses no candidate
@@ -74,7 +77,8 @@ def pivots(rows: DataFrame, radius: float) -> dict[str, np.ndarray]:
     for cell, kept in found.items():
         if len(kept) > 1 and cell in tests:
             far = distances(np.concatenate(tests[cell]), np.concatenate(kept))
-            if (far <= far.min(1, keepdims=True) + 2 * radius + SLACK).sum(1).mean() <= COPIES:
+            copies = (far <= far.min(1, keepdims=True) + 2 * radius + SLACK).sum(1).mean()
+            if copies ** 2 * GAIN <= len(kept):          # k cells of c / k of the rows each compare c ** 2 / k of all pairs
                 out[cell] = np.concatenate(kept)
     return out
 

@@ -157,7 +157,7 @@ def plain_links(rows, threshold):
 def test_vectors_equal_brute_force(spark, monkeypatch, seed, block, per_pivot):
     monkeypatch.setattr(vector_join, "BLOCK", block)
     monkeypatch.setattr(vector_join, "PER_PIVOT", per_pivot)
-    monkeypatch.setattr(vector_join, "COPIES", 3.0 if seed == 2 else 1e9)
+    monkeypatch.setattr(vector_join, "GAIN", 2.0 if seed == 2 else 0.0)
     luck = np.random.RandomState(seed)
     rows = [(None, 1), ([0.0] * 6, 1), ([float("nan")] + [1.0] * 5, 1), ([None] + [1.0] * 5, 1), ([float("inf")] + [0.0] * 5, 1), ([1.0] * 6, None), ([1.0, 0.0], 1), ([1.0, 0.0], 1), ([], 1)]
     for _ in range(12):
@@ -270,3 +270,19 @@ def test_pipeline_runs_whole(spark):
     out = corpus_pipeline.run(spark, FOLDER)
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() > 50
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "line_dedup", "ngram_join", "mixing", "byte_bpe"]
+
+
+def test_cells_are_cut_where_that_pays(spark, monkeypatch):
+    """Clusters far apart: cells of their own, few copies; vectors that lie evenly: no cut."""
+    monkeypatch.setattr(vector_join, "PER_PIVOT", 5)
+    luck = np.random.RandomState(4)
+    centers = luck.normal(0, 1, (30, 32))
+    close = [(centers[i % 30] + luck.normal(0, 0.02, 32)).tolist() for i in range(1800)]
+    even = luck.normal(0, 1, (1800, 32)).tolist()
+    radius = float(np.sqrt(2 - 2 * 0.98))
+    for rows, cells, most in ((close, 30, 1.1), (even, 1, 1.0)):
+        df = spark.createDataFrame([(i, v, 1) for i, v in enumerate(rows)], "vec_id long, embedding array<float>, label int")
+        own = vector_join.prepared(df, "vec_id", "embedding", "label").selectExpr("cell", "uid", "true as own", "1L as copies", "vector")
+        near = vector_join.pivots(own, radius)
+        assert len(near.get("1:32", [0])) == cells
+        assert vector_join.cut(own, near, radius).count() <= most * len(rows)
