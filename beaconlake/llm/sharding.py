@@ -14,6 +14,7 @@ table gives an empty result. `shards` returns columns of its own, so no input na
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from beaconlake.llm.prefix import running
+from beaconlake.operators.skew import broadcast_if_small
 from beaconlake.session import checkpointed
 
 SAMPLE = 16384          # keys drawn for the splitters, about
@@ -57,15 +58,20 @@ def pieces(rows: DataFrame, bounds: list[int], piece: int = PIECE) -> DataFrame:
     step = F.least(F.col("steps") - 1, F.floor((F.col("key").cast("double") - low) / (high - low) * F.col("steps"))).cast("long")
     hot = checkpointed(rows.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > piece)
                        .select(F.col("key").alias("hot"), F.ceil(F.col("rows") / F.lit(piece)).alias("cuts")))
+    # Rows that share the id as well are cut by their number; they are equal, so which is which does not matter.
+    twin = checkpointed(rows.groupBy(F.col("key").alias("_key"), F.col("id").alias("_id")).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > piece)
+                        .select("_key", "_id", F.lit(True).alias("twin")))
+    salt = F.xxhash64("id", F.when(F.col("twin"), F.col("serial")).otherwise(F.lit(0)), F.lit("salt"))
     return (ranged.join(F.broadcast(steps), "range").withColumn("step", step).drop("steps")
             .join(hot, F.col("key") == F.col("hot"), "left")
-            .withColumn("salt", F.when(F.col("cuts").isNotNull(), F.pmod(F.xxhash64("id", F.lit("salt")), F.col("cuts"))).otherwise(F.lit(0))).drop("cuts"))
+            .join(broadcast_if_small(twin), (F.col("key") == F.col("_key")) & F.col("id").eqNullSafe(F.col("_id")), "left")
+            .withColumn("salt", F.when(F.col("cuts").isNotNull(), F.pmod(salt, F.col("cuts"))).otherwise(F.lit(0))).drop("cuts", "_key", "_id", "twin", "serial"))
 
 
 def shards(docs: DataFrame, count: int = 8, identity: str = "doc_id", text: str = "text",
            ranges: int = RANGES, piece: int = PIECE) -> DataFrame:
     """Per document: id, size, text_crc32, shard (0 to count - 1) and slot (gapless from 0)."""
-    rows = checkpointed(measured(docs, identity, text))
+    rows = checkpointed(measured(docs, identity, text).withColumn("serial", F.monotonically_increasing_id()))
     total = rows.agg(F.sum("size").alias("n")).first()["n"] or 1
     cut = pieces(rows, splitters(rows, total, ranges), piece)
     sums = cut.groupBy(*UNIT).agg(F.sum("size").alias("_bytes"), F.count(F.lit(1)).alias("_rows"))

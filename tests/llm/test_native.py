@@ -41,6 +41,18 @@ def test_one_text_that_fills_a_third_is_cut(spark):
     assert rows and {tuple(r) for r in rows} == {tuple(r) for r in sharding.shards(docs, 8, piece=32).collect()}
 
 
+def test_one_row_repeated_many_times_is_cut(spark):
+    docs = spark.range(1500).selectExpr("if(id % 2 = 0, 7, id) as doc_id", "if(id % 2 = 0, 'the same text', concat('text ', id, ' of its own')) as text")
+    rows = sharding.shards(docs, 8, piece=32).collect()
+    check_shards(rows, [r["text"] for r in docs.collect()], 8)
+    sizes = defaultdict(int)
+    for r in rows:
+        sizes[r["shard"]] += r["size"]
+    assert max(sizes.values()) <= 1.05 * min(sizes.values())
+    held = sharding.measured(docs, "doc_id", "text").selectExpr("*", "monotonically_increasing_id() as serial")
+    assert max(r["count"] for r in sharding.pieces(held, [], 32).groupBy(*sharding.UNIT).count().collect()) <= 32 * 3
+
+
 def test_small_groups_stay_together(spark):
     docs = spark.range(4000).selectExpr("id as doc_id", "concat('text ', id div 2, ' twice') as text")
     shard_of = defaultdict(set)
