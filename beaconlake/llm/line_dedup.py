@@ -8,7 +8,7 @@ line with a third of all rows costs one row per task; only lines above the ratio
 mean lines of a page, per host) travel back to the pages.
 
 `drop_lines` looks twice. Near copies share most of their lines, and those would go from all of them.
-So where lines above the ratio make up COPIED of a page's words, the page is taken for a copy: of such pages
+So where lines above the ratio make up COPIED of a page's characters, the page is taken for a copy: of such pages
 only one counts for a line, besides all other pages that hold it.
 
 Defined results: lines are compared without the white space around them; blank lines and lines
@@ -26,29 +26,24 @@ from beaconlake.session import checkpointed
 RATIO = 0.1             # share of the host's pages above which a line is boilerplate
 MIN_PAGES = 2           # different pages that must hold it: one alone says nothing
 LONG = 5                # words of a line that does not recur by chance
-COPIED = 0.5            # share of a page's words in such lines that makes it a copy
+COPIED = 0.5            # share of a page's characters in such lines that makes it a copy
 SMALL = 100_000         # boilerplate lines that may be broadcast; beyond, Spark joins by shuffle
 EQUAL = 1_000_000       # repeated pages that may be broadcast by hash (24 MB)
+_WHITE = " \t\n\r\x0b\x0c"
 
 
 def line_key(line: Column) -> Column:
-    return F.xxhash64(F.trim(line, F.lit(" \t\n\r\x0b\x0c")))
-
-
-def _line(line: Column) -> Column:
-    words = word_count(line)
-    return F.struct(line_key(line).alias("line"), (words >= LONG).alias("long"), words.alias("words"))
+    return F.xxhash64(F.trim(line, F.lit(_WHITE)))
 
 
 def different(pages: DataFrame, host: Column, lines: Column, same: Column) -> DataFrame:
-    """(host, keys): the lines of each different page, once each; pages of a host with equal `same` are one."""
-    keys = F.array_distinct(F.transform(F.filter(lines, lambda x: F.trim(x, F.lit(" \t\n\r\x0b\x0c")) != ""), _line))
-    own = pages.select(host.alias("host"), same.alias("same"), keys.alias("keys"))
+    """(host, lines): the lines of each different page; pages of a host with equal `same` are one."""
+    own = pages.select(host.alias("host"), same.alias("same"), F.filter(lines, lambda x: F.trim(x, F.lit(_WHITE)) != "").alias("lines"))
     again = checkpointed(pages.select(host.alias("_host"), same.alias("_same")).groupBy("_host", "_same").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
     again = broadcast_if_small(again, EQUAL)
     known = F.col("host").eqNullSafe(F.col("_host")) & F.col("same").eqNullSafe(F.col("_same"))
     folded = own.join(again, known, "left_semi").dropDuplicates(["host", "same"])           # equal pages have equal lines
-    return own.join(again, known, "left_anti").unionByName(folded).select("host", "keys")
+    return own.join(again, known, "left_anti").unionByName(folded).select("host", "lines")
 
 
 def _above(seen: DataFrame, total: DataFrame, ratio: float, min_pages: int, long_ratio: float | None) -> DataFrame:
@@ -62,15 +57,20 @@ def boilerplate(own: DataFrame, ratio: float, min_pages: int, long_ratio: float
     """(host, line): the lines above the ratio of the different pages. With `long_ratio` that is the ratio
     of lines of LONG words or more; with `copies`, pages made of such lines count as one."""
     total = checkpointed(own.groupBy("host").agg(F.count(F.lit(1)).alias("pages")))
-    each = own.select("host", F.explode("keys").alias("key")).select("host", "key.line", "key.long")
+    keys = F.array_distinct(F.transform("lines", lambda x: F.struct(line_key(x).alias("line"), (word_count(x) >= LONG if long_ratio is not None else F.lit(False)).alias("long"))))
+    each = own.select("host", F.explode(keys).alias("key")).select("host", "key.line", "key.long")
     above = checkpointed(_above(each.groupBy("host", "line", "long").agg(F.count(F.lit(1)).alias("on")), total, ratio, min_pages, long_ratio))
     if not copies:
         return above.select("host", "line")
-    held = own.join(listed(above), F.col("host").eqNullSafe(F.col("_host"))).withColumn("held", F.filter("keys", lambda x: F.array_contains("_bad", x["line"])))
-    words = lambda keys: F.aggregate(keys, F.lit(0).cast("long"), lambda n, x: n + x["words"])
-    held = held.select("host", "held", (words("held") >= F.lit(COPIED) * words("keys")).alias("copied"))
+    sized = F.array_distinct(F.transform("lines", lambda x: F.struct(line_key(x).alias("line"), F.length(F.trim(x, F.lit(_WHITE))).alias("size"))))
+    held = own.select("host", sized.alias("keys")).join(listed(above), F.col("host").eqNullSafe(F.col("_host")))
+    held = held.withColumn("held", F.filter("keys", lambda x: F.array_contains("_bad", x["line"])))
+    size = lambda keys: F.aggregate(keys, F.lit(0), lambda n, x: n + x["size"])
+    held = held.select("host", "held", (size("held") >= F.lit(COPIED) * size("keys")).alias("copied"))
     on = F.sum(F.when(F.col("copied"), 0).otherwise(1)) + F.max(F.col("copied").cast("int"))
-    again = held.select("host", "copied", F.explode("held").alias("key")).groupBy("host", "key.line", "key.long").agg(on.alias("on"))
+    again = held.select("host", "copied", F.explode("held").alias("key")).groupBy("host", "key.line").agg(on.alias("on"))
+    kind = above.select(F.col("host").alias("_h"), F.col("line").alias("_l"), "long")
+    again = again.join(kind, F.col("host").eqNullSafe(F.col("_h")) & (F.col("line") == F.col("_l"))).drop("_h", "_l")
     return checkpointed(_above(again, total, ratio, min_pages, long_ratio)).select("host", "line")
 
 
@@ -86,7 +86,7 @@ def split_pages(pages: DataFrame, host: Column, lines: Column, same: Column, rat
     known = listed(boilerplate(different(pages, host, lines, same), ratio, min_pages, long_ratio, copies))
     cut = pages.withColumns({"_at": host, "_lines": lines}).join(known, F.col("_at").eqNullSafe(F.col("_host")), "left")
     stays = F.filter("_lines", lambda x: ~F.array_contains(F.coalesce("_bad", F.array().cast("array<bigint>")), line_key(x))
-                     | (F.trim(x, F.lit(" \t\n\r\x0b\x0c")) == ""))
+                     | (F.trim(x, F.lit(_WHITE)) == ""))
     return cut.withColumn("_kept", stays).drop("_at", "_host", "_bad")
 
 

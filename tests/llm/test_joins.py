@@ -208,7 +208,7 @@ def plain_lines(rows, ratio, long_ratio, least):
         above = lambda x, n: n >= least and n > (long_ratio if count(x) >= 5 else ratio) * len(own)
         seen = collections.Counter(x for lines in own.values() for x in lines)
         first = {x for x, n in seen.items() if above(x, n)}
-        copied = {t for t, lines in own.items() if lines & first and sum(map(count, lines & first)) >= 0.5 * sum(map(count, lines))}
+        copied = {t for t, lines in own.items() if lines & first and sum(map(len, lines & first)) >= 0.5 * sum(map(len, lines))}
         for x in first:
             holds = {t for t, lines in own.items() if x in lines}
             if above(x, len(holds - copied) + bool(holds & copied)):
