@@ -44,10 +44,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
         context.setCheckpointDir(shared_dir(df.sparkSession))
     got = df.checkpoint(eager=True)
     if _passing:
-        _passing[-1].append(got._jdf.logicalPlan().rdd().getCheckpointFile().get())
+        _passing[-1].append(stored_at(got))
     return got
 
 
+def stored_at(df: DataFrame) -> str:
+    """The folder of a checkpointed table."""
+    return df._jdf.logicalPlan().rdd().getCheckpointFile().get()
+
+
 def stored(make: Callable[[], DataFrame]) -> DataFrame:
     """What `make` returns, stored by a checkpoint. What it stored on the way is deleted then, as nothing
     reads it any more. Shuffle files go when the driver's collector meets their handles, so it is asked to run."""
