@@ -27,7 +27,7 @@ from beaconlake.llm.arrays import parts, plain, rows_of, texts_of, whole_texts
 from beaconlake.llm.components import components
 from beaconlake.llm.shingles import Hasher, shared_at_least, signature
 from beaconlake.llm.trie_join import links
-from beaconlake.session import checkpointed, stored
+from beaconlake.session import checkpointed, removed, stored, stored_at
 
 BLOCK = 1024            # sets a task joins at a time
 SMALL = 1_000_000       # ids that may be broadcast (16 MB); beyond, the ids join by shuffle
@@ -106,16 +106,20 @@ def whole_sets(docs: DataFrame, identity: str, text: str, chosen: DataFrame) ->
     return rows.mapInArrow(run, "sig bigint, n bigint, members array<bigint>").dropDuplicates(["sig"])
 
 
-def candidates(sets: DataFrame) -> DataFrame:
-    """(sig, n, members, group): the sets that share a rare member, with those members that any
-    other set holds, and the candidate group."""
+def rare_first(sets: DataFrame) -> DataFrame:
+    """(sig, n, members, prefix): the sets that enough other sets' members can match, with those members that
+    any other set holds, and the rarest of them that a partner must share."""
     held = sets.select("sig", "n", F.explode("members").alias("key"))
     live = checkpointed(held.groupBy("key").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").withColumnRenamed("key", "_key"))
     need = F.expr("(4 * n + 4) div 5")
     kept = (held.join(live, F.col("key") == F.col("_key")).groupBy("sig", "n")
             .agg(F.sort_array(F.collect_list(F.struct("sets", "key"))).alias("by_use"))         # one set's members
             .where(F.size("by_use") >= need))
-    kept = checkpointed(kept.select("sig", "n", F.col("by_use.key").alias("members"), F.slice("by_use.key", 1, (F.size("by_use") - need + 1).cast("int")).alias("prefix")))
+    return kept.select("sig", "n", F.col("by_use.key").alias("members"), F.slice("by_use.key", 1, (F.size("by_use") - need + 1).cast("int")).alias("prefix"))
+
+
+def candidates(kept: DataFrame) -> DataFrame:
+    """(sig, n, members, group): the sets that share a rare member, with the candidate group."""
     first = kept.select("sig", F.explode("prefix").alias("key"))
     hub = checkpointed(first.groupBy("key").agg(F.min("sig").alias("b"), F.count(F.lit(1)).alias("sets")).where("sets > 1").select(F.col("key").alias("_key"), "b"))
     edges = first.join(hub, F.col("key") == F.col("_key")).select(F.col("sig").alias("a"), "b")
@@ -197,7 +201,9 @@ def groups(docs: DataFrame, identity: str = "doc_id", text: str = "text", block:
     """Per document: id, n_shingles and component_id, the least id reachable by links."""
     signs = checkpointed(signed(docs, identity, text))
     chosen = stored(lambda: survivors(docs, text, signs))
-    near = stored(lambda: candidates(checkpointed(whole_sets(docs, identity, text, chosen))))
+    kept = stored(lambda: rare_first(checkpointed(whole_sets(docs, identity, text, chosen))))
+    near = stored(lambda: candidates(kept))
+    removed(docs.sparkSession, [stored_at(kept)])
     of = stored(lambda: _named(signs, linked_sets(near, block)))
     out = signs.join(of, F.col("sig") == F.col("_sig"), "left")
     return out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
