@@ -22,6 +22,12 @@ def lookup(key, table, default=None):
     return found if default is None else F.coalesce(found, F.lit(default))
 
 
+def once(value, use):
+    """`use(value)` with the value worked out a single time a row, however often it is read. A Column that
+    is written down several times, or read inside a lambda, is worked out again at each place."""
+    return F.transform(F.array(value), use).getItem(0)
+
+
 def fixed_round(x, digits):
     """Half-up rounding by floor, so the same doubles come out on any engine."""
     scale = float(10 ** digits)

@@ -7,6 +7,7 @@ from pathlib import Path
 import pyspark
 from pyspark.sql import DataFrame, Window, functions as F
 
+from beaconlake.functions.numeric import once
 from beaconlake.operators import trends as tr
 from beaconlake.operators.skew import broadcast_if_small
 from beaconlake.session import checkpointed
@@ -14,6 +15,7 @@ from beaconlake.session import checkpointed
 c = F.col
 VOCABULARY = 40000      # fixed value: default size; a vocabulary up to it is sent to every task
 HEADS = 3               # strongest terms of a query that set its first threshold
+TASK_BYTES = 4 << 20    # text that one task cuts into terms; the counts of a byte take some 70 bytes of memory
 SLACK = 1e-8            # sums in another order may differ by less
 
 
@@ -30,9 +32,24 @@ def term_list(text, stop=None):
     """Words of two characters or more without stop words, then neighbouring pairs."""
     left_out = stop_words() if stop is None else stop
     words = F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)), lambda w: ~w.isin(*left_out))
-    pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words), F.lit(1))),
-                       lambda a, b: F.concat_ws(" ", a, b))
-    return F.concat(words, F.filter(pairs, lambda p: p.isNotNull()))
+    return once(words, lambda ws: F.concat(ws, F.filter(_pairs(ws), lambda p: p.isNotNull())))
+
+
+def _pairs(words):
+    return F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words), F.lit(1))),
+                      lambda a, b: F.concat_ws(" ", a, b))
+
+
+def dealt(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """The rows by key, in as many partitions as their text needs: a task's share, and with it the memory of all
+    work by key behind it, does not grow with the corpus. The number is given, so Spark merges none."""
+    held = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return docs.repartition(max(docs.sparkSession.sparkContext.defaultParallelism, -(-held // TASK_BYTES)), key)
+
+
+def by_id(rows: DataFrame, like: DataFrame) -> DataFrame:
+    """The rows by id, in as many partitions as the stored table `like` has."""
+    return rows.repartition(like.rdd.getNumPartitions(), "id")
 
 
 def term_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -61,12 +78,12 @@ def postings(docs: DataFrame, queries: DataFrame, size=VOCABULARY) -> tuple[Data
     The documents are shuffled and cut into terms once: the counts are stored, and used for the
     vocabulary and for the weights. A vocabulary of up to 40,000 terms is broadcast, a larger one
     joined as Spark sees fit."""
-    counts = checkpointed(term_counts(docs.repartition("id"), "id", "text"))
+    counts = checkpointed(term_counts(dealt(docs, "id", "text"), "id", "text"))
     vocab = vocabulary(counts, docs.agg(F.count(F.lit(1))), size)
     sent = F.broadcast if size <= VOCABULARY else (lambda df: df)
     asked = checkpointed(unit_weights(term_counts(queries, "qid", "text"), sent(vocab), "qid").withColumnRenamed("w", "qw"))
     marked = vocab.join(asked.select("term", F.lit(True).alias("asked")).distinct(), "term", "left")
-    weighted = counts.join(sent(marked), "term").select("id", "term", "asked", (c("tf") * c("idf")).alias("w"))
+    weighted = by_id(counts.join(sent(marked), "term").select("id", "term", "asked", (c("tf") * c("idf")).alias("w")), counts)
     per_doc = weighted.groupBy("id").agg(F.sqrt(F.sum(c("w") * c("w"))).alias("len"), F.collect_list(F.when(c("asked"), F.struct("term", "w"))).alias("hits"))
     return per_doc.select("id", "len", F.inline("hits")).select("id", "term", (c("w") / c("len")).alias("w")), asked
 
@@ -104,12 +121,12 @@ def search_top(docs: DataFrame, queries: DataFrame, k: int, size=VOCABULARY) ->
     held = checkpointed(held)
     terms = checkpointed(bounds(held, asked))
     scored = lambda pairs: pairs.groupBy("qid", "id").agg(F.sum("part").alias("sim"))
-    with_terms = lambda some: held.join(broadcast_if_small(some), "term").withColumn("part", c("w") * c("qw"))
+    with_terms = lambda some: by_id(held, held).join(broadcast_if_small(some), "term").withColumn("part", c("w") * c("qw"))
     first = checkpointed(kth_best(scored(with_terms(terms.where(c("at") <= HEADS))), k))
     essential = checkpointed(terms.join(broadcast_if_small(first), "qid", "left").where((c("at") <= HEADS) | (c("rest") >= F.coalesce("floor", F.lit(0.0)))).drop("floor"))
     behind = terms.join(essential.groupBy("qid").agg(F.max("at").alias("last")), "qid").groupBy("qid").agg(F.coalesce(F.max(F.when(c("at") == c("last") + 1, c("rest"))), F.lit(0.0)).alias("behind"))
     partly = checkpointed(scored(with_terms(essential)))
     floor = kth_best(partly, k).join(behind, "qid", "right").fillna(0.0, ["floor"])
     left = checkpointed(partly.join(broadcast_if_small(floor), "qid").where(c("sim") + c("behind") >= c("floor")).select("qid", "id"))
-    near = held.join(broadcast_if_small(left), "id").join(broadcast_if_small(terms.select("qid", "term", "qw")), ["qid", "term"])
+    near = by_id(held, held).join(broadcast_if_small(by_id(left, held)), "id").join(broadcast_if_small(terms.select("qid", "term", "qw")), ["qid", "term"])
     return scored(near.withColumn("part", c("w") * c("qw"))), left

@@ -136,3 +136,14 @@ def test_bounded_search_finds_the_best_and_scores_less(spark, monkeypatch):
     assert {q: sorted(x)[:5] for q, x in best.items()} == {q: sorted(x)[:5] for q, x in every.items()}
     assert scored.count() < 0.5 * sum(map(len, every.values()))
     assert len(tfidf.stop_words()) > 150 and "the" in tfidf.stop_words() and "le" in tfidf.stop_words("french")
+
+
+def test_search_partitions_follow_the_text(spark, monkeypatch):
+    from beaconlake.operators import tfidf
+    docs = spark.createDataFrame([(i, f"alpha beta term{i % 50} term{i % 70}") for i in range(2000)] + [(None, "alpha"), (5, None)], "id long, text string")
+    asks = spark.createDataFrame([(1, "alpha term3")], "qid long, text string")
+    whole = {(r.id, r.term): round(r.w, 12) for r in tfidf.postings(docs, asks)[0].collect()}
+    monkeypatch.setattr(tfidf, "TASK_BYTES", 2000, raising=False)
+    held, _ = tfidf.postings(docs, asks)
+    assert held.rdd.getNumPartitions() >= 20
+    assert {(r.id, r.term): round(r.w, 12) for r in held.collect()} == whole
