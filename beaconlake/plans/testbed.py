@@ -199,7 +199,7 @@ def profiles(spark: SparkSession, folder: str) -> DataFrame:
     pick = lambda vals, n: f"element_at(array({_quoted(vals)}), cast(c_custkey % {n} as int) + 1)"
     dom = f"array({_quoted(lx.DOMAINS)})"
     at = lambda off: f"element_at({dom}, cast(({k} + {off}) % 15 as int) + 1)"
-    return table(spark, folder, "customer").selectExpr(
+    return spread(table(spark, folder, "customer"), "c_custkey").selectExpr(
         "concat('u', c_custkey) as user_id", "concat('p', c_custkey % 3) as profile_key",
         f"concat(c_name, {pick(ROLES, 4)}) as name", f"{pick(GOALS, 7)} as goal",
         f"slice(array(if({k} % 6 = 0, 'blockchain_web3', {at(0)}), {at(5)}, {at(10)}), 1, cast({k} % 4 as int)) as domains",

@@ -131,3 +131,21 @@ def test_some_items_are_compared_with_all(spark):
     for i, source, pop, *_ in rows:
         own = [x[2] for x in rows if x[1] == source]
         assert want[i][6] == sum(v < pop for v in own) / len(own)
+
+
+def test_split_reads_its_weights_once(spark, capsys):
+    rows = spark.createDataFrame([([3, 3, 3, 1], "learn", "newbie"), (None, None, None)], "weights array<int>, m string, l string")
+    rows.select(splits.largest_remainder(c("weights")).alias("s")).explain(True)
+    shown = capsys.readouterr().out.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+    assert 0 < shown.count("weights#") <= 2
+    got = rows.select(splits.largest_remainder(c("weights")).alias("s"), splits.recommended_split(c("m"), c("l")).alias("r")).collect()
+    assert got[0].s == [30, 30, 30, 10] and got[1].s is None
+    assert all(sum(r.r) == 100 for r in got)
+
+
+def test_profiles_of_one_file_are_spread(spark, tmp_path):
+    from beaconlake.plans import testbed as tb
+    rows = spark.createDataFrame([(i, f"Customer#{i}", i % 25, 1.5 * i) for i in range(200)], "c_custkey long, c_name string, c_nationkey int, c_acctbal double")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    p = tb.profiles(spark, str(tmp_path)).select("user_id", F.spark_partition_id().alias("part")).collect()
+    assert len(p) == 200 and len({r.part for r in p}) > 1
