@@ -325,7 +325,7 @@ def dealt_chunks(spark, d):
 @query("SRC-23", oracle("SELECT opportunity_id, (row_number() OVER (ORDER BY opportunity_id) - 1) // 20 AS chunk FROM opp"))
 def block_chunks(spark, d):
     chunks = si.block_chunks(tb.opportunities(spark, d).select("opportunity_id"), ["opportunity_id"], 20)
-    return si.overwrite(chunks.repartition("chunk"), scratch_path(spark, "blocks"), ["chunk"]).withColumn("chunk", c("chunk").cast("bigint"))
+    return si.export_blocks(chunks, scratch_path(spark, "blocks")).withColumn("chunk", c("chunk").cast("bigint"))
 
 
 @query("SRC-24", oracle("SELECT source, CAST(sum(CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN 1 ELSE 0 END) AS BIGINT) AS archived, CAST(sum(CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN 0 ELSE 1 END) AS BIGINT) AS kept FROM opp GROUP BY source"))

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession, Window, functions
 from beaconlake.operators import ordered
 
 c = F.col
+SPAN = 50       # chunks of an export that share an upper folder
 
 
 def first_arrivals(rows: DataFrame, key: str, seq: str) -> DataFrame:
@@ -31,6 +32,19 @@ def overwrite(df: DataFrame, path: str, by: list[str] = ()) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def export_blocks(chunks: DataFrame, path: str) -> DataFrame:
+    """Replace a table of numbered chunks, a folder each, and hand it back as read. SPAN chunks in a row share an
+    upper folder and one task. So the driver lists the upper folders only, tasks list what they hold, and each
+    task moves its own folders into place, where the driver would move one after the other. The schema is known:
+    no file is opened for it."""
+    parted = chunks.withColumn("span", F.floor(c("chunk") / SPAN))
+    last = chunks.agg(F.max("chunk")).first()[0] or 0
+    parts = max(chunks.sparkSession.sparkContext.defaultParallelism, int(last) // SPAN + 1)
+    (parted.repartition(parts, "span").write.mode("overwrite").option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+     .partitionBy("span", "chunk").parquet(path))
+    return chunks.sparkSession.read.schema(parted.schema).parquet(path).select(*chunks.columns)
+
+
 def append_events(events: DataFrame, path: str) -> None:
     """Append-only log as JSON lines."""
     events.write.mode("append").json(path)

@@ -1,6 +1,7 @@
 """Payload edge cases, label files, sinks."""
 import gzip
 import json
+import os
 
 from pyspark.sql import functions as F
 
@@ -141,3 +142,18 @@ def test_keys_of_any_objects(spark):
     got = {(r.source, r.name, r.kind): (r.present, r.rows, r.broken) for r in pf.object_keys(spark.createDataFrame(rows, "source string, js string"), "source", "js").collect()}
     assert got == {("s", "a", "number"): (2, 6, 1), ("s", "a", "string"): (1, 6, 1), ("s", "b", "object"): (1, 6, 1), ("s", "b", "array"): (1, 6, 1), ("s", "c", "null"): (1, 6, 1), ("s", "d", "boolean"): (1, 6, 1),
                    ("t", None, None): (None, 1, 0), (None, "a", "number"): (1, 1, 0)}
+
+
+def test_exported_blocks_lie_under_spans(spark, tmp_path):
+    rows = spark.createDataFrame([(f"id{i:05d}",) for i in range(2407)], "id string")
+    chunks = si.block_chunks(rows, ["id"], 20)
+    path = f"{tmp_path}/blocks"
+    got = si.export_blocks(chunks, path)
+    assert sorted((r.id, r.chunk) for r in got.collect()) == [(f"id{i:05d}", i // 20) for i in range(2407)]
+    spans = sorted(x for x in os.listdir(path) if x.startswith("span="))
+    assert spans == ["span=0", "span=1", "span=2"]
+    held = [f for s in spans for f in os.listdir(f"{path}/{s}")]
+    assert len(held) == len(set(held)) == 121
+    one = [f for f in os.listdir(f"{path}/span=1/chunk=77") if f.endswith(".parquet")]
+    assert len(one) == 1
+    assert si.export_blocks(chunks.where("false"), f"{tmp_path}/none").count() == 0
