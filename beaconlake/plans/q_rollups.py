@@ -288,11 +288,17 @@ def sessions(spark, name="persona"):
     return spark.createDataFrame(SESSIONS, f"{name} string, user_id string, persona_key string")
 
 
-def funnel(spark, d):
-    """Every candidate with its scores."""
+def session_weights(spark, d):
+    """(persona, user_id, persona_key, mode, n, weights): what was learned from each session's own log, stored once."""
+    asked = sessions(spark)
+    return checkpointed(asked.join(qs.learned(spark, d, asked.select("user_id", "persona_key")), ["user_id", "persona_key"]))
+
+
+def funnel(spark, d, known=None):
+    """Every candidate with its scores; `known` is session_weights when it is at hand."""
     rows = qr.filtered(spark, d).join(qr.asked(spark), "persona")
     rows = rk.normalized_relevance(rk.with_relevance(rows, en.pair_scorer()(c("ask"), qr.tx.pair_text(c("title"), c("body")))))
-    learned = sessions(spark).join(qs.learned(spark, d).where("n > 0"), ["user_id", "persona_key"]).select("persona", c("mode").alias("learned_mode"), c("weights").alias("learned"))
+    learned = (session_weights(spark, d) if known is None else known).where("n > 0").select("persona", c("mode").alias("learned_mode"), c("weights").alias("learned"))
     rows = rows.withColumn("bucket", qt.nm.bucket_of(c("source"))).join(qr.priors(spark), ["persona", "bucket"]).join(learned, "persona", "left")
     return rk.with_scores(rows, learned=F.when(c("learned_mode") == c("mode"), c("learned")), prior=c("prior"))
 
@@ -315,14 +321,15 @@ def brief(spark, d):
     v = view(spark, d)
     plan = qr.split_rows(spark).where("pct > 0").groupBy(c("persona").alias("scope")).agg(
         F.array_join(ru.ordered_list(F.concat(c("bucket"), F.lit(":"), c("pct").cast("string")), c("bucket_pos")), " ").alias("plan"))
-    ranked = rk.by_impact(checkpointed(funnel(spark, d)))
+    known = session_weights(spark, d)
+    ranked = rk.by_impact(checkpointed(funnel(spark, d, known)))
     told = ranked.select("persona", "id", "bucket", "source", "effort_min", rk.why(rk.top_drivers(c("parts")), c("mode"), c("effort_min")).alias("why"), F.substring(F.trim("title"), 1, 140).alias("title"))
     order = rk.diversified(ranked.join(corpus(spark, d).select("id", "vec"), "id"), 30, 0.75).select("persona", "id", c("rank").alias("place"))
     picks = rk.bucket_quota(order.join(told, ["persona", "id"]), qr.split_rows(spark))
     shown = F.concat_ws(":", c("rank").cast("string"), c("id").cast("string"), "bucket", "source", F.format_string("%.1f", "effort_min"), "why", "title")
     picks = picks.groupBy(c("persona").alias("scope")).agg(F.array_join(ru.ordered_list(shown, c("rank")), " | ").alias("picks"))
-    learned = qs.learned(spark, d).select("user_id", "persona_key", c("n").alias("learned_n"), fb.learned_summary(c("mode"), c("weights")).alias("learned"))
-    out = sessions(spark, "scope").join(learned, ["user_id", "persona_key"], "left").select("scope", "learned_n", "learned")
+    learned = known.select(c("persona").alias("scope"), c("n").alias("learned_n"), fb.learned_summary(c("mode"), c("weights")).alias("learned"))
+    out = sessions(spark, "scope").join(learned, "scope", "left").select("scope", "learned_n", "learned")
     mover = F.concat_ws(":", c("mover.label"), F.format_string("%.2f", c("mover.delta_pp")), c("mover.direction"))
     return out.join(plan, "scope").join(picks, "scope").join(v, "scope").select(
         "scope", "mode", "plan", "picks", card_text(F.slice("cards", 1, 5)).alias("movers"), lines(F.slice("terms", 1, 10), lambda x: x.term).alias("terms"),

@@ -71,8 +71,10 @@ def shown(w):
     return F.array_join(F.transform(w, lambda x: F.floor(x * 1e6 + 0.5).cast("string")), ",")
 
 
-def learned(spark, d):
-    return fb.learned_weights(fb.training_steps(log(spark, d)))
+def learned(spark, d, accounts=None):
+    """The weights of every account; with accounts (user_id, persona_key) theirs only, as each learns from its own log."""
+    rows = log(spark, d)
+    return fb.learned_weights(fb.training_steps(rows if accounts is None else rows.join(F.broadcast(accounts), ["user_id", "persona_key"], "left_semi")))
 
 
 @query("STR-03", W(f"SELECT user_id, persona_key, mode, n, {_WTS} AS weights FROM fin", tb.LMS, True))

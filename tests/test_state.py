@@ -147,3 +147,20 @@ def test_upsert_keeps_creation_and_newest_values(spark):
     assert (got["u"].goal, got["u"].created_at, got["u"].updated_at) == (None, 10.0, 20.0)
     kept = fb.without_deleted(df, df.where("user_id = 'v'").select("user_id", "profile_key"), ["user_id", "profile_key"])
     assert {r.user_id for r in kept.collect()} == {"u"}
+
+
+def test_sessions_learn_from_their_own_logs(spark, tmp_path, monkeypatch):
+    from beaconlake.plans import registry  # noqa: F401
+    from beaconlake.plans import q_rollups as qr, q_state as qs
+    kinds = ["click", "purchase", "error", "view"]
+    rows = [(i, f"2024-01-{1 + i % 28:02d} 00:00:00", i % 7, kinds[i * 5 % 4], float(i % 30), '{"k": %d}' % (i * 13 % 90)) for i in range(600)]
+    events = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string")
+    events.withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/events.parquet")
+    every = {(r.user_id, r.persona_key): r for r in qs.learned(spark, str(tmp_path)).collect()}
+    seen, plain = [], qs.fb.training_steps
+    monkeypatch.setattr(qs.fb, "training_steps", lambda log: seen.append({r.user_id for r in log.select("user_id").distinct().collect()}) or plain(log))
+    got = qr.session_weights(spark, str(tmp_path)).collect()
+    assert seen == [{"u0", "u1", "u2", "u3"}]
+    want = {p: every[u, k] for p, u, k in qr.SESSIONS if (u, k) in every}
+    assert len(got) == len(want) > 0
+    assert all((r.mode, r.n, r.weights) == (want[r.persona].mode, want[r.persona].n, want[r.persona].weights) for r in got)
